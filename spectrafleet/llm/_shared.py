@@ -83,3 +83,9 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         digest = seen
     roots = now.select(F.col("lo").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Keep Arrow batches small, so that a batch of very long texts fits a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, url_rules
+from . import bpe, chat, token_files, url_rules
+from ._shared import new_path
 
 
 def op4_redirect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +28,35 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.parse_formatted(chat.format_conversations(turns.unionByName(probe))))
 
 
+def tokenizer_path(name: str) -> str:
+    """A public tokenizer's file: in TOKENIZER_DIR if that is set, else where the public_tokenizers package has it."""
+    if folder := os.environ.get("TOKENIZER_DIR"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    out = new_path(spark, "token-files")
+    manifest = token_files.write_token_files(docs, str(tokenizer_path("byte_bpe_50k.json")), out, end_id=2)
+    return token_files.read_token_files(manifest, out)
+
+
+def bpe_digests(encoder, ids: bytes) -> tuple:
+    (wide,) = bpe.ids_of(encoder, ids)
+    return len(wide) // 4, hashlib.sha256(wide).hexdigest(), hashlib.sha256(encoder.decode_joined(ids)).hexdigest()
+
+
+def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return bpe.encode_documents(docs, str(tokenizer_path("word_bpe_49k.json")), bpe_digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_redirect_rules": op4_redirect_rules,
+    "op5_token_files": op5_token_files,
     "op6_chat_format": op6_chat_format,
+    "op7_bpe_chunks": op7_bpe_chunks,
 }
