@@ -5,6 +5,24 @@ from __future__ import annotations
 _UP = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
 _LOW = "'abcdefghijklmnopqrstuvwxyz'"
 
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_UP}, {_LOW}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP1 = rf"""
+with d as (select doc_id, {_WORDS} as w from documents),
+i as (select item_id, {_WORDS} as w from benchmark),
+win as (select distinct item_id, least(len(w), 10) as n, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') as g
+        from i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as u(k) where len(w) > 0),
+grams as (select doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') as g
+          from d, (select distinct n from win) as l, unnest(range(1, len(w) - n + 2)) as u(k)),
+hit as (select doc_id, k, grams.n, item_id from grams join win using (n, g)),
+pos as (select doc_id, count(distinct k + x) as n_hit from hit, unnest(range(0, n)) as u(x) group by doc_id),
+its as (select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as items
+        from (select distinct doc_id, item_id from hit) group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join pos using (doc_id) left join its using (doc_id)
+"""
+
 OP4 = rf"""
 with p as (
   select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {_UP}, {_LOW}) as host,
@@ -31,4 +49,4 @@ select conv_id, count(*) as n_turns,
 from e group by conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_redirect_rules": OP4, "op6_chat_format": OP6}
+ORACLE_SQL: dict[str, str] = {"op1_winnowing": OP1, "op4_redirect_rules": OP4, "op6_chat_format": OP6}

@@ -9,10 +9,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, token_files, url_rules
+from . import bpe, chat, decontaminate, simhash, token_files, url_rules
 from ._shared import new_path
 
 
+def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contamination(docs.select("doc_id", "text"), items).drop("spans")
+
+
+def op8_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def op4_redirect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return url_rules.judge_urls(pages, url_rules.default_rules(spark)).select("page_id", "host", "path", "rule", "verdict")
@@ -55,8 +64,10 @@ def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_winnowing": op1_winnowing,
     "op4_redirect_rules": op4_redirect_rules,
     "op5_token_files": op5_token_files,
     "op6_chat_format": op6_chat_format,
     "op7_bpe_chunks": op7_bpe_chunks,
+    "op8_simhash_popcount": op8_simhash_popcount,
 }
