@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, simhash, token_files, url_rules
+from . import bpe, chat, decontaminate, minhash, simhash, token_files, url_rules
 from ._shared import new_path
 
 
@@ -22,6 +22,10 @@ def op8_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def op9_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprint_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def op4_redirect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return url_rules.judge_urls(pages, url_rules.default_rules(spark)).select("page_id", "host", "path", "rule", "verdict")
@@ -70,4 +74,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_format": op6_chat_format,
     "op7_bpe_chunks": op7_bpe_chunks,
     "op8_simhash_popcount": op8_simhash_popcount,
+    "op9_one_permutation": op9_one_permutation,
 }
