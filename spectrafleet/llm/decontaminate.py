@@ -22,6 +22,7 @@ from .hashing import ALNUM, gram_hashes, slices, span_hashes, word_spans
 SPAN, K = 10, 5
 W = SPAN - K + 1
 SIDE = SPAN - K
+BROADCAST_CONTEXTS = 50_000
 _GRAM = "array<struct<fp:long,pos:int,gram:string,before:array<string>,after:array<string>,short:boolean>>"
 
 
@@ -105,8 +106,11 @@ def contamination(docs: DataFrame, items: DataFrame, filter_bits: int = 1 << 23)
     spark = docs.sparkSession
     bounded_batches(spark)
     grams = materialize(benchmark_grams(items), "benchmark-grams")
-    # Items that share a fingerprint with all the words around it are one context.
-    contexts = materialize(grams.groupBy("fp", "gram", "before", "after", "short").agg(F.sort_array(F.collect_set("item_id")).alias("items")).withColumn("context", F.sha2(F.to_json(F.struct("gram", "before", "after", "short")), 256)), "benchmark-contexts")
+    # Items that share a fingerprint with all the words around it are one context; its number is fixed by being written.
+    contexts = materialize(grams.groupBy("fp", "gram", "before", "after", "short").agg(F.sort_array(F.collect_set("item_id")).alias("items")).withColumn("context", F.monotonically_increasing_id()), "benchmark-contexts")
+    known = contexts.drop("items")
+    if known.count() <= BROADCAST_CONTEXTS:  # at most some 30 MB; beyond that, a shuffled join
+        known = F.broadcast(known)
     lengths = [r["n"] for r in grams.filter("short").select(F.size(F.split("gram", " ")).alias("n")).distinct().collect()]  # 1 to 9
     bit = F.pmod("fp", F.lit(filter_bits))
     mask = np.zeros(filter_bits // 64, np.uint64)
@@ -127,10 +131,10 @@ def contamination(docs: DataFrame, items: DataFrame, filter_bits: int = 1 << 23)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "digest": pdf["digest"], "n_words": [n for n, _ in got], "g": [g for _, g in got]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
-    printed = rows.mapInPandas(run, f"doc_id long, digest long, n_words long, g {_GRAM}")
-    # A document without fingerprints keeps one row, under a key of its own so that such rows don't meet in one task.
-    flat = printed.select("doc_id", "digest", "n_words", F.explode_outer("g").alias("d")).withColumn("fp", F.coalesce("d.fp", F.xxhash64("doc_id", "digest")))
-    joined = flat.join(contexts.withColumnRenamed("gram", "its_gram"), (flat["fp"] == contexts["fp"]) & (F.col("d.gram") == F.col("its_gram")) & (F.col("d.short") == F.col("short")), "left")
+    printed = materialize(rows.mapInPandas(run, f"doc_id long, digest long, n_words long, g {_GRAM}"), "document-grams")
+    flat = printed.filter("size(g) > 0").select("doc_id", "digest", "n_words", F.explode("g").alias("d")).withColumn("fp", F.col("d.fp"))
+    known = known.withColumnRenamed("gram", "its_gram").withColumnRenamed("fp", "its_fp")
+    joined = flat.join(known, (F.col("fp") == F.col("its_fp")) & (F.col("d.gram") == F.col("its_gram")) & (F.col("d.short") == F.col("short")), "left")
     left, right = _run_length(F.col("d.before"), F.col("before")), _run_length(F.col("d.after"), F.col("after"))
     n = F.when(F.col("short"), F.size(F.split("its_gram", " "))).otherwise(F.lit(K) + left + right)
     start = F.when(F.col("short"), F.col("d.pos")).otherwise(F.col("d.pos") - left)
@@ -145,13 +149,15 @@ def contamination(docs: DataFrame, items: DataFrame, filter_bits: int = 1 << 23)
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], s["stop"]).alias("stop")))),
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    found = materialize(by_doc.select("doc_id", "digest", "n_words", merged.alias("spans"), "contexts", F.when(F.size("contexts") > 0, F.sha2(F.array_join("contexts", ","), 256)).alias("set")), "contamination")
+    found = materialize(by_doc.select("doc_id", "digest", "n_words", merged.alias("spans"), "contexts", F.when(F.size("contexts") > 0, F.sha2(F.array_join(F.col("contexts").cast("array<string>"), ","), 256)).alias("set")), "contamination")
     # Documents hit by the same contexts share one list of items, made once.
     sets = found.filter("set is not null").select("set", "contexts").dropDuplicates(["set"]).select("set", F.explode("contexts").alias("context"))
     listed = sets.join(contexts.select("context", "items"), "context").select("set", F.explode("items").alias("item")).groupBy("set").agg(F.sort_array(F.collect_set("item")).alias("items"))
     listed = listed.select("set", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["stop"] - s["start"])
-    none = found.filter("set is null").select("doc_id", "n_words", n_hit.alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"), "spans")
+    missed = printed.filter("size(g) = 0").select("doc_id", "digest", "n_words").distinct().select("doc_id", "n_words", F.array().cast("array<struct<start:int,stop:int>>").alias("spans"))
+    none = found.filter("set is null").select("doc_id", "n_words", "spans").unionByName(missed)
+    none = none.select("doc_id", "n_words", n_hit.alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"), "spans")
     some = found.filter("set is not null").join(listed, "set").select("doc_id", "n_words", n_hit.alias("n_hit"), "n_items", "items_sha256", F.lit(True).alias("contaminated"), "spans")
     return none.unionByName(some)
 
