@@ -1,6 +1,6 @@
 """SimHash near-duplicates by segment-popcount embedding.
 
-A 64-bit fingerprint is mapped to the 16 bit counts of its 4-bit segments. The Manhattan distance of two such points
+A 64-bit fingerprint is mapped to the 32 bit counts of its 2-bit segments. The Manhattan distance of two such points
 is at most the fingerprints' Hamming distance, so fingerprints at distance 2 or less lie in grid cells whose
 radius-1 neighbourhoods overlap. The range join is thus an equi-join on neighbourhood cells; fingerprints alone in
 all their cells have no partner. Those left are verified exactly: two words differ in at most two bits if and only
@@ -54,19 +54,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, fp long")
 
 
+def _long(bits: int) -> Column:
+    return F.lit(bits - (1 << 64) if bits >> 63 else bits)
+
+
 def segment_counts(fp: Column) -> Column:
-    """16 bit counts of 4-bit segments, one in each nibble of a long."""
-    ones = F.lit(0x1111111111111111)
-    first, *rest = (F.shiftrightunsigned(fp, j).bitwiseAND(ones) for j in range(4))
-    return sum(rest, first)
+    """32 bit counts (0 to 2) of 2-bit segments, one in each two bits of a long."""
+    a, b = (F.shiftrightunsigned(fp, j).bitwiseAND(_long(0x5555555555555555)) for j in (0, 1))
+    return a.bitwiseXOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1))
 
 
 def _neighbour_cells(cell: Column) -> Column:
-    """The cell and all cells at Manhattan distance 1 with counts from 0 to 4."""
+    """The cell and all cells at Manhattan distance 1 with counts from 0 to 2."""
     out = [cell]
-    for j in range(16):
-        count = F.shiftrightunsigned(cell, 4 * j).bitwiseAND(F.lit(15))
-        out += [F.when(count < 4, cell + F.lit(1 << 4 * j)), F.when(count > 0, cell - F.lit(1 << 4 * j))]
+    for j in range(0, 64, 2):
+        count = F.shiftrightunsigned(cell, j).bitwiseAND(F.lit(3))
+        # 0 and 1 differ in the low bit, 1 and 2 in both.
+        out += [F.when(count < 2, cell.bitwiseXOR(_long(1 << j))), F.when(count > 0, cell.bitwiseXOR(_long(3 << j)))]
     return F.array_compact(F.array(*out))
 
 
@@ -75,7 +79,7 @@ def near_duplicate_links(fps: DataFrame) -> DataFrame:
     cells = fps.select("fp", F.explode(_neighbour_cells(segment_counts(F.col("fp")))).alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("cell")
     candidates = materialize(cells.join(shared, "cell").select("fp").distinct(), "simhash-candidates")
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(b if b < 1 << 63 else b - (1 << 64))) for b in (1 << j for j in range(64))])
+    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(_long(1 << j)) for j in range(64)])
     near = candidates.select("fp", F.explode(flips).alias("word"))
     least = near.groupBy("word").agg(F.min("fp").alias("a"), F.max("fp").alias("last")).filter("a <> last").select("word", "a")
     return near.join(least, "word").filter("fp <> a").select("a", F.col("fp").alias("b")).distinct()
