@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, minhash, simhash, token_files, url_rules
+from . import bpe, chat, decontaminate, minhash, reshard, simhash, token_files, url_rules
 from ._shared import new_path
 
 
@@ -26,6 +26,15 @@ def op9_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def op10_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents lie in shards by source, which are uneven; they go to 16 shards of near equal bytes."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(16))
+    written, _ = reshard.reshard(docs, old, 16, new_path(spark, "shards"))
+    slots = reshard.with_slots(written.select("doc_id", "size", "text_crc32", "shard", "part"))
+    return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_redirect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return url_rules.judge_urls(pages, url_rules.default_rules(spark)).select("page_id", "host", "path", "rule", "verdict")
@@ -75,4 +84,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe_chunks": op7_bpe_chunks,
     "op8_simhash_popcount": op8_simhash_popcount,
     "op9_one_permutation": op9_one_permutation,
+    "op10_flow_reshard": op10_flow_reshard,
 }
