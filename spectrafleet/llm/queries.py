@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, minhash, reshard, simhash, token_files, url_rules
+from . import bpe, chat, decontaminate, minhash, ngram_lm, reshard, simhash, token_files, url_rules
 from ._shared import new_path
 
 
@@ -35,6 +35,16 @@ def op10_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _fold(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op3_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    scored = ngram_lm.score_documents(docs, _fold(7) != 2)
+    return scored.select("doc_id", (_fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_redirect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return url_rules.judge_urls(pages, url_rules.default_rules(spark)).select("page_id", "host", "path", "rule", "verdict")
@@ -78,6 +88,7 @@ def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
+    "op3_deleted_interpolation": op3_deleted_interpolation,
     "op4_redirect_rules": op4_redirect_rules,
     "op5_token_files": op5_token_files,
     "op6_chat_format": op6_chat_format,
