@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, minhash, ngram_lm, reshard, simhash, token_files, url_rules
+from . import bpe, chat, decontaminate, minhash, ngram_lm, quality, reshard, simhash, token_files, url_rules
 from ._shared import new_path
 
 
@@ -39,6 +39,18 @@ def _fold(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
+    """Learned from the labelled documents outside fold 2 of 4."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(_fold(4) != 2)
+    return quality.fit(docs.select("doc_id", "text"), labels.select("doc_id", F.col("quality").alias("label")))
+
+
+def op2_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    scored = quality.add_scores(docs, quality_model(spark, docs, sf_dir))
+    return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"), "n_passages")
+
+
 def op3_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     scored = ngram_lm.score_documents(docs, _fold(7) != 2)
@@ -88,6 +100,7 @@ def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
+    "op2_attention_mil": op2_attention_mil,
     "op3_deleted_interpolation": op3_deleted_interpolation,
     "op4_redirect_rules": op4_redirect_rules,
     "op5_token_files": op5_token_files,
