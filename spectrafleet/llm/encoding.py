@@ -13,8 +13,10 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: The memo is emptied when it holds this many pieces or characters.
-MEMO_PIECES, MEMO_CHARS = 400_000, 16_000_000
+#: A generation of the memo ends at this many pieces or characters; the one before it is kept for what recurs.
+MEMO_PIECES, MEMO_CHARS = 500_000, 10_000_000
+#: A word of Latin letters with marks behind it: both kinds of file cut between the two (no apostrophes here).
+_MARKED = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@[-`{-~]+)")
 #: White space before and after a single space: there a cut before that space would change the pieces.
 _RUN = re.compile(r"\s (?:\s|\Z)")
 _CUT = re.compile(r"(?= \S)")
@@ -37,6 +39,7 @@ class Encoder:
         self.keeps_space = self.tokenizer.encode(" a", add_special_tokens=False).ids != self.tokenizer.encode("a", add_special_tokens=False).ids
         self.table = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(self.size)]
         self.memo: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.chars = 0
 
     @staticmethod
@@ -56,22 +59,43 @@ class Encoder:
             return [text]
         if _RUN.search(text):
             return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        out = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [" " + x for x in text.split(" ")]
+        if "\0" in text:
+            out[0] = out[0][1:]
+        return out
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned integers of self.dtype."""
         cut = [self.pieces(t) for t in texts]
         memo = self.memo
-        missing = list({p for ps in cut for p in ps if p not in memo})
-        if missing:
-            if len(memo) + len(missing) > MEMO_PIECES or self.chars > MEMO_CHARS:
-                memo.clear()
-                self.chars = 0
-                missing = list({p for ps in cut for p in ps})
-            memo.update(zip(missing, self._whole(missing), strict=True))
-            self.chars += sum(map(len, missing))
-        return [b"".join([memo[p] for p in ps]) for ps in cut]
+        if len(memo) > MEMO_PIECES or self.chars > MEMO_CHARS:
+            self.before, self.memo, self.chars = memo, {}, 0
+            memo = self.memo
+        held = [list(map(memo.get, ps)) for ps in cut]
+        self._learn({p for ps, hs in zip(cut, held, strict=True) for p, h in zip(ps, hs, strict=True) if h is None})
+        return [b"".join([memo[p] if h is None else h for p, h in zip(ps, hs, strict=True)]) for ps, hs in zip(cut, held, strict=True)]
+
+    def _learn(self, missing: set[str]) -> None:
+        memo, before = self.memo, self.before
+        marked = {}
+        new = set()
+        for p in missing:
+            if p in before:
+                memo[p] = before[p]
+                self.chars += len(p)
+            elif m := _MARKED.fullmatch(p):
+                marked[p] = m.groups()
+                new.update(m.groups())
+            else:
+                new.add(p)
+        for p in [p for p in new if p in before and p not in memo]:
+            memo[p] = before[p]
+        todo = [p for p in new if p not in memo]
+        if todo:
+            memo.update(zip(todo, self._whole(todo), strict=True))
+            self.chars += sum(map(len, todo))
+        for p, (word, marks) in marked.items():
+            memo[p] = memo[word] + memo[marks]
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
