@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ._shared import bounded_batches, new_path
 from .hashing import NON_SPACE, mix, slices, span_hashes, word_spans
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 END = np.uint64(0x6A09E667F3BCC909)
 CLASSES, STEPS = 48, 4
 _ZERO = -400
@@ -59,8 +59,10 @@ def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[Block]:
             data.append(text.encode("utf-8", "surrogatepass").lower())
             size += len(data[-1]) + 8
             if size >= BLOCK_BYTES:
-                yield _block(ids, train, data)
+                whole = _block(ids, train, data)
                 ids, train, data, size = [], [], [], 0
+                yield whole
+                del whole
     if ids:
         yield _block(ids, train, data)
 
@@ -84,10 +86,12 @@ def _block(ids: list, train: list[bool], data: list[bytes]) -> Block:
     inside[offsets[1:] - 1] = False
     tokens[inside] = np.concatenate(hashes)
     words, word_at = np.unique(tokens, return_inverse=True)
+    word_at = word_at.astype(np.int32)
     context = np.empty_like(word_at)
     context[1:] = word_at[:-1]
     context[offsets[:-1]] = np.searchsorted(words, END)
     pairs, pair_at = np.unique(mix(words[context] * np.uint64(0x9E3779B97F4A7C15) + tokens), return_inverse=True)
+    pair_at = pair_at.astype(np.int32)
     return Block(digest.intdigest() - (1 << 63), ids, np.array(train), offsets, words, word_at, context, pairs, pair_at)
 
 
