@@ -68,6 +68,9 @@ def _labels(rest: int) -> str:
 
 TRAIN_STATS = ", ".join(f"avg({f}) as m_{f}, case when stddev_pop({f}) <= 1e-12 then 1 else stddev_pop({f}) end as s_{f}, min({f}) as lo_{f}, max({f}) as hi_{f}" for f in FEATURES)
 
+LANDED = """landed as (select event_id::varchar as id, case when event_id % 4 = 0 then ' ' else 'm' || user_id end as mac, case when event_id % 3 = 0 then user_id::varchar end as campaign_id, user_id,
+  case when event_id % 9 = 0 then null when event_id % 10 = 0 then '' else format('[{{}}, {{}},{{}}]', event_id % 7, event_id % 5, user_id % 3) end as pxx, (epoch_us(ts) // 1000)::varchar as ts, 'c' || (user_id % 10) as campaign, event_type as label from events)""".replace("{{}}", "{}")
+
 ORACLE_SQL: dict[str, str] = {
     "sensor_ranking": f"with {PSD}, {CORR}, {NOISE}, {RANKING}, f as (select campaign, sensor_id, avg(noise_floor_db) as mean_noise_floor_db from psd join nf using (src_row) group by all) select campaign, sensor_id, n_records, rank, {r('mean_score mean_correlation score_std mean_noise_floor_db')} from ranking join f using (campaign, sensor_id)",
     "db_to_linear": f"with {PSD} select campaign, record_idx, sensor_id, round(list_sum(list_transform(pxx_db, lambda x: power(10.0::double, x / 10))) * 1e6, 6) as total_uw from psd",
@@ -119,4 +122,14 @@ ORACLE_SQL: dict[str, str] = {
     "campaign_diagnostics": f"with {PSD}, {CURVES}, {CAL}, {DB}, {DIAG} select campaign, role, is_ood, n_records, {r('mean_raw_rmse_db median_raw_rmse_db max_raw_rmse_db mean_cal_rmse_db median_cal_rmse_db max_cal_rmse_db improvement_db dispersion log_correlation')} from diag",
     "role_summary": f"with {PSD}, {CURVES}, {CAL}, {DB}, {DIAG} select role, count(*) as campaigns, sum(n_records)::bigint as records, round(avg(mean_raw_rmse_db), 6) as mean_raw_rmse_db, round(avg(mean_cal_rmse_db), 6) as mean_cal_rmse_db, round(max(max_cal_rmse_db), 6) as max_cal_rmse_db, round(sum(dispersion), 6) as dispersion_term, round(sum(1 - log_correlation), 6) as correlation_term, count(*) filter (is_ood) as ood_campaigns from diag group by role",
     "objective_history": f"with {EV}, s as (select campaign as run, src_row as step, value as objective from ev where sensor_id in ('view', 'click')), l as (select *, lag(objective) over w as b, min(objective) over (partition by run order by step rows unbounded preceding) as best, row_number() over (partition by run order by objective, step) as k from s window w as (partition by run order by step)) select run, step, round(objective, 4) as objective, round(objective - b, 4) as delta, round((objective - b) / greatest(abs(b), 1e-12), 4) as relative_delta, objective <= best as is_best_so_far, k = 1 as is_selected from l",
+    "stream_calibrate": f"with {PSD}, {CURVES}, {CAL} select campaign, sensor_id, count(*) as n, round(sum(list_sum(cp)) * 1e6, 6) as total_uw from cal group by all",
+    "content_fingerprint": f"with {PSD} select campaign, 64::int as digits, 1::bigint as same from psd group by campaign",
+    "ingest_measurements": f"with {LANDED} select id, coalesce(nullif(trim(mac), ''), 'fallback') as mac, coalesce(campaign_id::bigint, 7) as campaign_id, replace(pxx, ' ', '') as pxx, ts as timestamp from landed where pxx is not null and pxx <> ''",
+    "ingest_report": f"with {LANDED}, raw as (select * from landed where not (campaign = 'c1' and label = 'click')), pairs as (select * from (select distinct campaign from raw), (select distinct label from raw)), n as (select campaign, label, count(*) as raw, count(*) filter (pxx is not null and pxx <> '' and not (campaign = 'c2' and label = 'view')) as kept from raw group by all) select campaign, label, coalesce(kept, 0) as rows, case when raw is null then 'no data' when kept = 0 then 'nothing left after filter' else 'saved' end as reason from pairs left join n using (campaign, label)",
+    "read_measurements": f"with {LANDED}, v as (select *, id::bigint % 13 = 0 or pxx is null or pxx = '' as bad from landed) select campaign, label as sensor_id, count(*) filter (not bad) as n_good, round(sum(id::bigint % 7 + id::bigint % 5 + user_id % 3) filter (not bad), 6)::double as total, count(*) filter (bad) as n_bad from v group by all",
+    "parse_campaign_payload": "select p_partkey as campaign_id, 'campaign ' || p_partkey as name, (60 + p_size * 15)::double as acquisition_interval_s, (88000000 + 125000 * p_size)::double as central_freq_hz, p_size * 1e6::double as span_hz, (1000 * (1 + p_size % 5))::double as rbw_hz, case p_size % 3 when 1 then true when 2 then false end as antenna_amp, case when p_size % 3 = 0 then 'antenna_amp missing' end as problem from part",
+    "build_metadata_row": "select 'c' || p_partkey as campaign_label, p_partkey::varchar as campaign_id, printf('%.12g', (60 + p_size * 15) / 60) as acquisition_freq_minutes, printf('%.12g', (88000000 + 125000 * p_size) / 1e6) as \"central_freq_MHz\", p_size::varchar as \"span_MHz\", (1 + p_size % 5)::varchar as \"rbw_kHz\", case p_size % 3 when 1 then 'true' when 2 then 'false' end as antenna_amp from part",
+    "load_campaign_config": "with f as (select 'g' || (p_partkey % 50) as campaign, first(p_size order by p_partkey) as s from part group by all) select campaign, round((88000000 + 125000 * s)::double, 3) as central_freq_hz, round(s * 1e6::double, 3) as span_hz, round((1000 * (1 + s % 5))::double, 3) as rbw_hz, (s % 40)::double as lna_gain_db, (s % 20)::double as vga_gain_db, round((60 + s * 15)::double, 3) as acquisition_interval_s, case s % 3 when 1 then true when 2 then false end as antenna_amp, case when s % 3 = 0 then 'antenna_amp missing' end as problem from f",
+    "load_registry": "with r as (select 'r' || (p_partkey % 997) as label, case when p_partkey % 5 = 0 then null else p_partkey end as id from part), w as (select *, count(*) over (partition by label) as n from r) select problem, count(*) as n from (select case when id is null or id <= 0 then 'bad id' when n > 1 then 'repeated label' end as problem from w) where problem is not null group by problem",
+    "resolve_sensors": f"with {CELLS}, reg as (select distinct sensor_id as label, case when sensor_id = 'Node3' then ' ' else 'mac-' || sensor_id end as mac from cells), c as (select 'Node' || (s_suppkey * 5 % 11) as label, s_suppkey as pos from supplier), w as (select *, count(*) over (partition by label) as n from c) select label, pos, mac, case when n > 1 then 'repeated' when mac is null then 'unknown' when trim(mac) = '' then 'blank mac' end as problem from w left join reg using (label)",
 }

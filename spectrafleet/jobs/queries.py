@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..functions import spectra as S
 from ..operators import alignment as A
@@ -15,6 +16,8 @@ from ..operators import ranking as R
 from ..operators import records as P
 from ..operators import sets as X
 from ..sources import fixtures as T
+from ..sources import measurements as M
+from ..streaming import calibrate as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TOLERANCE_MS = 1_800_000
@@ -357,3 +360,89 @@ def role_summary(spark, sf_dir):
 def objective_history(spark, sf_dir):
     steps = T.events_series(spark, sf_dir).filter("sensor_id = 'view' or sensor_id = 'click'").select(F.col("campaign").alias("run"), F.col("src_row").alias("step"), F.col("value").alias("objective"))
     return rounded(D.objective_history(steps), 4)
+
+
+def _landed(spark, sf_dir):
+    """Landed JSON rows: a spectrum of three values from each event, some without mac or spectrum."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    pxx = F.when(F.col("event_id") % 9 == 0, F.lit(None)).when(F.col("event_id") % 10 == 0, F.lit("")).otherwise(F.format_string("[%d, %d,%d]", F.col("event_id") % 7, F.col("event_id") % 5, F.col("user_id") % 3))
+    return rows.select(
+        F.col("event_id").cast("string").alias("id"), F.when(F.col("event_id") % 4 == 0, F.lit(" ")).otherwise(F.concat(F.lit("m"), F.col("user_id").cast("string"))).alias("mac"), F.when(F.col("event_id") % 3 == 0, F.col("user_id").cast("string")).alias("campaign_id"),
+        pxx.alias("pxx"), F.lit("88e6").alias("start_freq_hz"), F.lit("108e6").alias("end_freq_hz"), F.expr("cast(unix_micros(cast(ts as timestamp)) div 1000 as string)").alias("timestamp"), F.concat(F.lit("c"), F.col("user_id") % 10).alias("campaign"), F.col("event_type").alias("label"),
+    )
+
+
+@query
+def ingest_measurements(spark, sf_dir):
+    return M.ingest_measurements(_landed(spark, sf_dir), F.lit("fallback"), F.lit(7).cast("bigint")).select("id", "mac", "campaign_id", "pxx", "timestamp")
+
+
+@query
+def ingest_report(spark, sf_dir):
+    raw = _landed(spark, sf_dir).filter("not (campaign = 'c1' and label = 'click')")
+    kept = raw.filter("pxx is not null and pxx <> '' and not (campaign = 'c2' and label = 'view')")
+    return M.ingest_report(raw.select("label").distinct(), raw.select("campaign"), raw, kept)
+
+
+@query
+def read_measurements(spark, sf_dir):
+    raw = _landed(spark, sf_dir).withColumns({"sensor_id": F.col("label"), "src_row": F.col("id").cast("bigint")}).withColumn("pxx", F.when(F.col("src_row") % 13 == 0, F.lit("[1,\"x\"]")).otherwise(F.col("pxx")))
+    out = M.parse_measurements(raw)
+    bad = M.invalid_measurements(out).groupBy("campaign", "sensor_id").agg(F.count(F.lit(1)).alias("n_bad"))
+    good = out.filter(S.is_valid_spectrum(F.col("pxx_db"))).groupBy("campaign", "sensor_id").agg(F.count(F.lit(1)).alias("n_good"), F.sum(S.array_sum(F.col("pxx_db"))).alias("total"))
+    return rounded(good.join(bad, ["campaign", "sensor_id"]))
+
+
+def _payloads(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    text = F.format_string(
+        '{"name":"campaign %d","schedule":{"start_date":"2024-01-01","end_date":"2024-01-02","start_time":"00:00","end_time":"23:59","interval_seconds":%d},"config":{"rbw":%d,"span":%d,"lna_gain":%d,"vga_gain":%d,"antenna_amp":"%s","centerFrequency":%d}}',
+        F.col("p_partkey"), 60 + F.col("p_size") * 15, 1000 * (1 + F.col("p_size") % 5), F.col("p_size"), F.col("p_size") % 40, F.col("p_size") % 20, F.when(F.col("p_size") % 3 == 0, "maybe").when(F.col("p_size") % 3 == 1, "Yes").otherwise("0"), 88000000 + 125000 * F.col("p_size"),
+    )
+    return M.parse_campaign_payload(part.select(F.col("p_partkey").alias("campaign_id"), F.concat(F.lit("c"), "p_partkey").alias("campaign_label"), text.alias("payload")))
+
+
+@query
+def parse_campaign_payload(spark, sf_dir):
+    return _payloads(spark, sf_dir).select("campaign_id", "name", "acquisition_interval_s", "central_freq_hz", "span_hz", "rbw_hz", "antenna_amp", "problem")
+
+
+@query
+def build_metadata_row(spark, sf_dir):
+    return M.build_metadata_row(_payloads(spark, sf_dir)).select("campaign_label", "campaign_id", "acquisition_freq_minutes", "central_freq_MHz", "span_MHz", "rbw_kHz", "antenna_amp")
+
+
+@query
+def load_campaign_config(spark, sf_dir):
+    rows = M.build_metadata_row(_payloads(spark, sf_dir)).withColumns({"campaign": F.concat(F.lit("g"), F.expr("cast(campaign_id as bigint) % 50")), "row": F.col("campaign_id").cast("bigint")})
+    return rounded(M.load_campaign_config(rows.drop("campaign_id")), 3)
+
+
+@query
+def load_registry(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit(" r"), (F.col("p_partkey") % 997).cast("string"), F.lit(" ")).alias("label"), F.when(F.col("p_partkey") % 5 == 0, "x").otherwise(F.col("p_partkey").cast("string")).alias("id"))
+    return X.registry_problems(rows).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def resolve_sensors(spark, sf_dir):
+    registry = X.sensor_registry(T.cells(spark, sf_dir)).select(F.col("sensor_id").alias("label"), F.when(F.col("sensor_id") == "Node3", " ").otherwise(F.concat(F.lit("mac-"), "sensor_id")).alias("mac"))
+    chosen = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("Node"), (F.col("s_suppkey") * 5 % 11).cast("string")).alias("label"), F.col("s_suppkey").alias("pos"))
+    return X.resolve_sensors(registry, chosen)
+
+
+@query
+def content_fingerprint(spark, sf_dir):
+    out = M.content_fingerprint(T.psd(spark, sf_dir), T.psd(spark, sf_dir).groupBy("campaign").agg(F.count(F.lit(1)).alias("n")))
+    return out.select("campaign", F.length("sha256").alias("digits"), F.count(F.lit(1)).over(Window.partitionBy("sha256")).alias("same"))
+
+
+@query
+def stream_calibrate(spark, sf_dir):
+    """Streams the spectra table from files to calibrated files, and reads them."""
+    root = C.work_folder(spark)
+    T.psd(spark, sf_dir).repartition(4).write.parquet(f"{root}/in")
+    rows = spark.read.parquet(f"{root}/in")
+    done = stream.start(stream.stream_calibrate(stream.read_stream(spark, f"{root}/in", rows.schema), curves(spark, sf_dir)), f"{root}/out", f"{root}/log")
+    done.awaitTermination()
+    return rounded(spark.read.parquet(f"{root}/out").groupBy("campaign", "sensor_id").agg(F.count(F.lit(1)).alias("n"), (F.sum(S.array_sum(F.col("calibrated_power"))) * 1e6).alias("total_uw")))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spectra import array_mean, calibrate_power, db_to_linear, linear_to_db, propagated_variance
@@ -187,3 +189,13 @@ def spline_basis(frequency: np.ndarray, n_basis: int, degree: int, lo: float, hi
         down = np.divide(knots[d + 1 :] - x[:, None], right, out=np.zeros((len(x), len(right))), where=right > 0)
         b = up * b[:, :-1] + down * b[:, 1:]
     return b / b.sum(axis=1, keepdims=True)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share: under spark.checkpoint.dir, or a temporary one on a local master."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spectrafleet-")
+    return f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"
