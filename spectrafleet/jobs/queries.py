@@ -12,6 +12,7 @@ from ..functions import spectra as S
 from ..operators import alignment as A
 from ..operators import calibration as C
 from ..operators import diagnostics as D
+from ..operators import fit
 from ..operators import ranking as R
 from ..operators import records as P
 from ..operators import sets as X
@@ -446,3 +447,32 @@ def stream_calibrate(spark, sf_dir):
     done = stream.start(stream.stream_calibrate(stream.read_stream(spark, f"{root}/in", rows.schema), curves(spark, sf_dir)), f"{root}/out", f"{root}/log")
     done.awaitTermination()
     return rounded(spark.read.parquet(f"{root}/out").groupBy("campaign", "sensor_id").agg(F.count(F.lit(1)).alias("n"), (F.sum(S.array_sum(F.col("calibrated_power"))) * 1e6).alias("total_uw")))
+
+
+def corpus(spark, sf_dir):
+    """Spectra with one configuration for each campaign, and the campaign's reliable sensor."""
+    rows = T.psd(spark, sf_dir)
+    number = F.expr("cast(substring(campaign, 2) as bigint)")
+    settings = rows.select("campaign", number.alias("config_id")).distinct().join(T.configs(spark, sf_dir), "config_id")
+    reliable = rows.groupBy("campaign").agg(F.min("sensor_id").alias("reliable_sensor"))
+    return rows, settings, reliable
+
+
+@query
+def fit_corpus(spark, sf_dir):
+    rows, settings, reliable = corpus(spark, sf_dir)
+    done = fit.fit(rows, settings, reliable, T.FEATURES, fit.FitConfig(outer=2, inner=4))
+    made = fit.campaign_curves(done.model, done.state)
+    return made.select("campaign", "sensor_id", F.size("gain").alias("n"), S.array_mean(F.col("gain")).alias("mean_gain"), (S.array_mean(F.col("floor")) * done.model.power_scale).alias("mean_floor"))
+
+
+@query
+def evaluate_corpus(spark, sf_dir):
+    rows, settings, reliable = corpus(spark, sf_dir)
+    done = fit.fit(rows, settings, reliable, T.FEATURES, fit.FitConfig(outer=2, inner=4))
+    wanted = rows.select("campaign", "sensor_id", "start_freq_hz", "end_freq_hz", "n_bins").distinct().join(settings.drop("config_id"), "campaign").withColumnRenamed("campaign", "config_id")
+    made = fit.evaluate_curves(done.model, wanted).withColumnRenamed("config_id", "campaign")
+    out = C.calibrate(rows, made, ("campaign", "sensor_id"))
+    g = C.config_geometry(settings.filter("role = 'train'"), T.FEATURES)
+    trust = C.envelope_checks(settings, g).select("campaign", F.col("outside_envelope").alias("is_ood"))
+    return D.role_summary(D.campaign_diagnostics(out, settings.select("campaign", "role"), trust))
