@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
-SHINGLE_WORDS, BINS, BITS = 5, 128, 8
+SHINGLE_WORDS, BINS, BITS = 5, 256, 8
 _TOP = 64 - (BINS.bit_length() - 1)
 _NO_ID = -(1 << 63)
 
