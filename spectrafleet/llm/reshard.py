@@ -84,15 +84,15 @@ def order_key(size: Column, doc_id: Column, crc: Column) -> Column:
 
 
 def find_thresholds(sized: DataFrame, wanted: list[tuple[int, int]]) -> dict[tuple[int, int], int]:
-    """For each (old shard, bytes before), the least key such that documents with smaller keys hold that many bytes or just more.
+    """For each (old shard, bytes before), the least key such that documents with smaller keys hold about that many bytes: the document at the cut falls on the nearer side.
 
     sized has old, key, size. Each pass decides DIGIT more bits for all thresholds together: it sums bytes per digit
     within the prefixes still open, at most 2**DIGIT sums for each threshold.
     """
     spark = sized.sparkSession
-    open_ = {w: (0, w[1]) for w in wanted}  # prefix so far, bytes still to pass below it
+    open_ = {w: (0, w[1], 0) for w in wanted}  # prefix so far, bytes still to pass below it, bytes at the cut
     for low in range(KEY_BITS - DIGIT, -1, -DIGIT):
-        prefixes = sorted({(old, p) for (old, _), (p, _) in open_.items()})
+        prefixes = sorted({(old, p) for (old, _), (p, _, _) in open_.items()})
         frame = spark.createDataFrame(prefixes, "old int, prefix long")
         sums = (
             sized.withColumn("prefix", F.shiftright("key", low + DIGIT))
@@ -104,16 +104,17 @@ def find_thresholds(sized: DataFrame, wanted: list[tuple[int, int]]) -> dict[tup
         by_prefix: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for r in sums:
             by_prefix.setdefault((r["old"], r["prefix"]), []).append((r["digit"], r["size"]))
-        for w, (prefix, left) in open_.items():
+        for w, (prefix, left, at_cut) in open_.items():
             digit = 0
             for digit, size in sorted(by_prefix.get((w[0], prefix), [])):
                 if size > left:
+                    at_cut = size
                     break
                 left -= size
             else:
                 digit += 1 if by_prefix.get((w[0], prefix)) else 0
-            open_[w] = (prefix * (1 << DIGIT) + digit, left)
-    return {w: key + (left > 0) for w, (key, left) in open_.items()}
+            open_[w] = (prefix * (1 << DIGIT) + digit, left, at_cut)
+    return {w: key + (2 * left > at_cut) for w, (key, left, at_cut) in open_.items()}
 
 
 def plan_moves(sized: DataFrame, n_new: int, capacities: list[int] | None = None) -> tuple[Column, dict[tuple[int, int], int]]:
