@@ -132,4 +132,8 @@ ORACLE_SQL: dict[str, str] = {
     "load_campaign_config": "with f as (select 'g' || (p_partkey % 50) as campaign, first(p_size order by p_partkey) as s from part group by all) select campaign, round((88000000 + 125000 * s)::double, 3) as central_freq_hz, round(s * 1e6::double, 3) as span_hz, round((1000 * (1 + s % 5))::double, 3) as rbw_hz, (s % 40)::double as lna_gain_db, (s % 20)::double as vga_gain_db, round((60 + s * 15)::double, 3) as acquisition_interval_s, case s % 3 when 1 then true when 2 then false end as antenna_amp, case when s % 3 = 0 then 'antenna_amp missing' end as problem from f",
     "load_registry": "with r as (select 'r' || (p_partkey % 997) as label, case when p_partkey % 5 = 0 then null else p_partkey end as id from part), w as (select *, count(*) over (partition by label) as n from r) select problem, count(*) as n from (select case when id is null or id <= 0 then 'bad id' when n > 1 then 'repeated label' end as problem from w) where problem is not null group by problem",
     "resolve_sensors": f"with {CELLS}, reg as (select distinct sensor_id as label, case when sensor_id = 'Node3' then ' ' else 'mac-' || sensor_id end as mac from cells), c as (select 'Node' || (s_suppkey * 5 % 11) as label, s_suppkey as pos from supplier), w as (select *, count(*) over (partition by label) as n from c) select label, pos, mac, case when n > 1 then 'repeated' when mac is null then 'unknown' when trim(mac) = '' then 'blank mac' end as problem from w left join reg using (label)",
+    "rank_campaigns": f"with {PSD}, {CORR}, {RANKING}, {DIST} select campaign, sensor_id, n_records, ranking.rank, is_outlier, round(mean_score, 6) as mean_score, round(mean_correlation, 6) as mean_correlation, round(score, 6) as similarity from ranking join dist using (campaign, sensor_id)",
+    "prepare_corpus": f"with {PSD}, {CONFIGS} select campaign, string_agg(distinct sensor_id, ',' order by sensor_id) filter (campaign <> 'c1' or sensor_id <> 'Node5') as sensors, case when campaign = 'c1' then 'Node5' else '' end as left_out, count(distinct record_idx) - 1 as n_records, round(any_value(central_freq_hz) / 1e6, 6) as central_freq_mhz, round(any_value(span_hz) / 1e6, 6) as span_mhz, round(any_value(rbw_hz) / 1e3, 6) as rbw_khz, round(any_value(acquisition_interval_s) / 60, 6) as interval_min from psd left join configs on config_id = substring(campaign, 2)::bigint group by campaign",
+    "campaign_inspection": f"with {PSD} select campaign, sensor_id, count(*) as n_records, make_timestamp(min(ts_ms) * 1000)::varchar as start_utc, make_timestamp(max(ts_ms) * 1000)::varchar as end_utc, round((max(ts_ms) - min(ts_ms)) / 60000, 6) as span_min, 64.0::double as median_bins, round(avg(list_avg(pxx_db)), 6) as mean_db, round(avg(list_aggregate(pxx_db, 'quantile_cont', 0.1)), 6) as mean_p10_db from psd group by campaign, sensor_id",
+    "deployment_summary": f"with {PSD}, {CURVES}, {CAL}, b as (select campaign, record_idx, unnest(cp) as v, generate_subscripts(cp, 1) as bin from cal), sp as (select campaign, avg(s) as calibrated_spread from (select campaign, record_idx, bin, stddev_pop(v) as s from b group by all) group by campaign), vs as (select campaign, avg(v) as m, quantile_cont(v, 0.99) as q from b group by campaign), gs as (select avg(s) as g from (select bin, stddev_pop(v) as s from (select unnest(gain) as v, generate_subscripts(gain, 1) as bin from curves) group by bin)), cs as (select avg(list_avg(gain)) as mg, avg(list_avg(floor)) as mf, avg(list_avg(var)) as mv, max(sqrt(list_avg(list_transform(range(2, len(gain)), lambda i: power(gain[i + 1] - 2 * gain[i] + gain[i - 1], 2))))) as r from curves) select campaign, round(calibrated_spread * 1e6, 6) as calibrated_spread, round(m * 1e6, 6) as mean_calibrated, round(q * 1e6, 6) as q99_calibrated, round(g, 6) as gain_spread, round(mg, 6) as mean_gain, round(mf * 1e6, 6) as mean_floor, round(mv * 1e12, 6) as mean_var, round(r, 6) as max_gain_roughness from sp join vs using (campaign), gs, cs",
 }

@@ -19,6 +19,7 @@ from ..operators import sets as X
 from ..sources import fixtures as T
 from ..sources import measurements as M
 from ..streaming import calibrate as stream
+from . import composites as jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TOLERANCE_MS = 1_800_000
@@ -476,3 +477,16 @@ def evaluate_corpus(spark, sf_dir):
     g = C.config_geometry(settings.filter("role = 'train'"), T.FEATURES)
     trust = C.envelope_checks(settings, g).select("campaign", F.col("outside_envelope").alias("is_ood"))
     return D.role_summary(D.campaign_diagnostics(out, settings.select("campaign", "role"), trust))
+
+
+@query
+def rank_campaigns(spark, sf_dir):
+    ranking, distribution = jobs.rank_campaigns(T.psd(spark, sf_dir), 1000)
+    return rounded(ranking.join(distribution.select("campaign", "sensor_id", "is_outlier", F.col("score").alias("similarity")), ["campaign", "sensor_id"]).drop("score_std", "mean_noise_floor_db"))
+
+
+@query
+def prepare_corpus(spark, sf_dir):
+    rows, settings, _ = corpus(spark, sf_dir)
+    gone = rows.filter("campaign = 'c1' and sensor_id = 'Node5'").select("campaign", "sensor_id").distinct()
+    return rounded(jobs.prepare_corpus(rows, settings, gone, 1, 1000).overview.drop("reliable_sensor", "outliers"))
