@@ -41,6 +41,8 @@ class FitConfig:
     shrink: float = 1.0
     anchor: float = 1e-2
     ridge: float = 1e-3
+    consistency: float = 0.0
+    correlation: float = 0.0
     patience: int = 12
     seed: int = 17
 
@@ -137,6 +139,71 @@ def loss_and_gradient(model: Model, c: np.ndarray, grid: tuple, row: int, dev: l
     return loss, model.flat(grads), [a + 2 * cfg.shrink * dev[0], b + 2 * cfg.shrink * dev[1], d]
 
 
+def to_parameters(model: Model, c: np.ndarray, bases: list[np.ndarray], gain: np.ndarray, floor: np.ndarray) -> np.ndarray:
+    """Parameter gradient from the gradients by (sensor, bin) of centred log gain and of the floor parameter."""
+    t, e = model.theta, model.config.embedding
+    h, x, coef = model.coefficients(c)
+    raw = gain @ bases[0]
+    gc = [raw - np.outer(model.weights, raw.sum(axis=0)), floor @ bases[1], np.zeros_like(coef[2])]
+    dx = sum(k @ t[f"A{i}"] for i, k in enumerate(gc))
+    dh = dx[:, e:].sum(axis=0) * (1 - h**2)
+    return model.flat({"E": dx[:, :e], "W": np.outer(dh, c), "b": dh} | {f"A{i}": k.T @ x for i, k in enumerate(gc)} | {f"B{i}": k.sum(axis=0) for i, k in enumerate(gc)})
+
+
+def record_penalties(model: Model, c: np.ndarray, grid: tuple, rows: list[int], y: np.ndarray, records: int) -> tuple[float, float, np.ndarray]:
+    """(consistency, correlation, weighted parameter gradient) of one record's share of its campaign's means.
+
+    Both look at log spectra corrected by the persistent curves alone: how far sensors lie from their mean, and how
+    far the mean correlation of their pairs is from 1.
+    """
+    cfg, bases = model.config, model.bases(*grid)
+    u, p, _ = (k[rows] for k in model.persistent(c, bases))
+    g, n, eps = np.exp(np.clip(u, -30, 30)), softplus(p), EPSILON / model.power_scale
+    x = np.maximum(y - n, 0.0) / g
+    z = np.log(x + eps)
+    away = z - z.mean(axis=0)
+    cons = float((away**2).mean()) / records
+    dz = cfg.consistency * 2 * away / z.size / records
+    a = z - z.mean(axis=1, keepdims=True)
+    norm = np.sqrt((a**2).sum(axis=1))
+    flat = norm < 1e-6
+    unit = np.where(flat[:, None], 0.0, a / np.maximum(norm, 1e-6)[:, None])
+    rho = unit @ unit.T
+    rho[np.outer(flat, flat)] = 1.0
+    m = len(rows)
+    pairs = max(m * (m - 1) // 2, 1)
+    corr = float((1 - rho[np.triu_indices(m, 1)]).sum()) / pairs / records
+    others = unit.sum(axis=0) - unit
+    da = -(others - (unit * others).sum(axis=1, keepdims=True) * unit) / np.maximum(norm, 1e-6)[:, None] / pairs / records
+    da[flat] = 0.0
+    dz = dz + cfg.correlation * (da - da.mean(axis=1, keepdims=True))
+    up = y > n
+    gain, floor = np.zeros((len(model.sensors), z.shape[1])), np.zeros((len(model.sensors), z.shape[1]))
+    gain[rows], floor[rows] = -dz * x / (x + eps), np.where(up, -dz / (g * (x + eps)), 0.0) * sigmoid(p)
+    return cons, corr, to_parameters(model, c, bases, gain, floor)
+
+
+def penalties(model: Model, data: DataFrame, state: DataFrame) -> tuple[float, float, np.ndarray]:
+    """Sums of record_penalties() over all records: one record in a group, one vector for each task to the driver."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sensor_id")
+        f = pdf.iloc[0]
+        out = record_penalties(model, np.asarray(f["c"], float), (f["start_freq_hz"], f["end_freq_hz"], int(f["n_bins"])), [model.sensors.index(s) for s in pdf["sensor_id"]], np.stack(pdf["y"].to_numpy()), int(f["records"]))
+        return pd.DataFrame({"cons": [out[0]], "corr": [out[1]], "grad": [out[2]]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [(p["cons"].sum(), p["corr"].sum(), np.sum(np.stack(p["grad"].to_numpy()), axis=0)) for p in batches if len(p)]
+        if parts:
+            yield pd.DataFrame({"cons": [sum(p[0] for p in parts)], "corr": [sum(p[1] for p in parts)], "grad": [np.sum([p[2] for p in parts], axis=0)]})
+
+    schema = "cons double, corr double, grad array<double>"
+    counts = data.groupBy("campaign").agg(F.count_distinct("record_idx").alias("records"))
+    joined = data.join(state.select("campaign", "sensor_id", "c"), ["campaign", "sensor_id"]).join(counts, "campaign")
+    parts = joined.groupBy("campaign", "record_idx").applyInPandas(one, schema).mapInPandas(add, schema).collect()
+    return sum(p["cons"] for p in parts), sum(p["corr"] for p in parts), np.sum([p["grad"] for p in parts], axis=0)
+
+
 _STATE = "campaign string, sensor_id string, start_freq_hz double, end_freq_hz double, n_bins int, c array<double>, reliable boolean, d0 array<double>, d1 array<double>, d2 array<double>"
 _SUMS = "campaign string, sensor_id string, k double, y array<double>, yy array<double>, ys array<double>, s array<double>, ss array<double>"
 _ARRAYS = ("y", "yy", "ys", "s", "ss")
@@ -308,6 +375,9 @@ def fit(rows: DataFrame, configs: DataFrame, reliable: DataFrame, features: tupl
         table = keep(state.join(record_sums(data, latent), ["campaign", "sensor_id"]), f"sums-{outer}")
         for _ in range(config.inner):
             loss, grad = objective_and_gradient(model, table)
+            if config.consistency or config.correlation:
+                cons, corr, extra = penalties(model, data, state)
+                loss, grad = loss + config.consistency * cons + config.correlation * corr, grad + extra
             history.append(loss)
             if not np.isfinite(loss):
                 reason = "diverged"

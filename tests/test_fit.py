@@ -52,6 +52,31 @@ def test_gradients_match_finite_differences(row, reliable):
             assert gdev[j][i] == pytest.approx((call(m, up)[0] - call(m, down)[0]) / (2 * eps), rel=1e-4, abs=1e-5)
 
 
+@pytest.mark.parametrize("cons,corr", [(1.0, 0.0), (0.0, 1.0), (0.7, 2.0)])
+def test_penalty_gradients_match_finite_differences(cons, corr):
+    rng = np.random.default_rng(9)
+    m, c = model(5), np.array([0.3, 0.9])
+    m.config = G.replace(m.config, consistency=cons, correlation=corr)
+    y = rng.gamma(3.0, 2.0, (2, 12))
+    call = lambda mm: G.record_penalties(mm, c, (0.0, 1.0, 12), [0, 2], y, 4)
+    grad, flat, eps = call(m)[2], m.flat(m.theta), 1e-6
+    value = lambda t: cons * (r := call(G.replace(m, theta=m.unflat(t))))[0] + corr * r[1]
+    for i in range(len(flat)):
+        up, down = flat.copy(), flat.copy()
+        up[i] += eps
+        down[i] -= eps
+        assert grad[i] == pytest.approx((value(up) - value(down)) / (2 * eps), rel=1e-3, abs=1e-6)
+
+
+def test_penalties_vanish_on_identical_spectra():
+    m = model(1)
+    m.theta = {k: np.zeros_like(v) for k, v in m.theta.items()}
+    m.config = G.replace(m.config, consistency=1.0, correlation=1.0)
+    same = np.tile(np.linspace(2, 5, 12), (3, 1))
+    one, two, grad = G.record_penalties(m, np.zeros(2), (0.0, 1.0, 12), [0, 1, 2], same, 1)
+    assert one == pytest.approx(0) and two == pytest.approx(0) and np.allclose(grad, 0)
+
+
 def test_persistent_gain_is_centred_and_parameters_round_trip():
     m = model(3)
     g = m.persistent(np.array([0.1, 0.2]), m.bases(0.0, 1.0, 9))[0]
@@ -83,3 +108,5 @@ def test_fit_recovers_gains(spark):
     dev = np.array([r["d0"] for r in done.state.filter("campaign = 'c1'").collect()])
     assert np.allclose(dev.mean(axis=0), 0, atol=1e-9)
     assert G.fit_diagnostics(done)["steps"] == 32
+    tied = G.fit(df, conf, reliable, FEATURES, G.FitConfig(outer=1, inner=3, consistency=1e3, correlation=1e3))
+    assert np.isfinite(tied.history).all() and tied.history[-1] < tied.history[0]
