@@ -102,9 +102,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs without the near-duplicates: of each group, the row with the smallest doc_id stays."""
-    groups = near_duplicates(docs.select("doc_id", "text"))
-    drop = materialize(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "simhash-drop")
-    return docs.join(drop, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
-
+    """docs without the near-duplicates: of each group, the row with the smallest doc_id stays.
 
+    Repeated rows of that doc_id become one; rows with a null doc_id cannot be told apart and stay.
+    """
+    groups = materialize(near_duplicates(docs.select("doc_id", "text")).filter("doc_id is not null").select("doc_id", "component_id"), "simhash-groups")
+    drop = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    twice = materialize(groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "simhash-repeated")
+    if twice.isEmpty():  # then whole texts needn't be shuffled by doc_id
+        return kept
+    once = kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
