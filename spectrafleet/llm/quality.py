@@ -116,7 +116,7 @@ class Model:
         return self.forward(x, counts)["y"].astype(np.float64), counts
 
 
-def fit_bags(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.004, decay: float = 1e-4, seed: int = 7) -> Model:
+def fit_bags(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, epochs: int = 16, batch: int = 64, rate: float = 0.004, decay: float = 3e-3, seed: int = 7) -> Model:
     """Adam on the logistic loss, with gradients through the attention."""
     rng = np.random.default_rng(seed)
     draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
