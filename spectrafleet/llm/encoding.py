@@ -16,7 +16,12 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: A generation of the memo ends at this many pieces or characters; the one before it is kept for what recurs.
 MEMO_PIECES, MEMO_CHARS = 500_000, 10_000_000
 #: A word of Latin letters with marks behind it: both kinds of file cut between the two (no apostrophes here).
-_MARKED = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@[-`{-~]+)")
+_MARKED = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]+)")
+#: A word of Latin letters alone: one piece of the tokenizer's own.
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_SPACED_WORD = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: So many words are encoded as one text.
+_TOGETHER = 500
 #: White space before and after a single space: there a cut before that space would change the pieces.
 _RUN = re.compile(r"\s (?:\s|\Z)")
 _CUT = re.compile(r"(?= \S)")
@@ -38,6 +43,10 @@ class Encoder:
         #: True: a piece keeps the one space before it. False: white space is dropped.
         self.keeps_space = self.tokenizer.encode(" a", add_special_tokens=False).ids != self.tokenizer.encode("a", add_special_tokens=False).ids
         self.table = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(self.size)]
+        # Which ids begin (space kept) or end (space dropped) a word.
+        first = self.table[int(self.tokenizer.encode(" a", add_special_tokens=False).ids[0])]
+        self.edge = np.array([t.startswith("Ġ".encode()) if self.keeps_space else t.endswith(b"</w>") for t in self.table])
+        self.joins = first.startswith("Ġ".encode()) if self.keeps_space else first.endswith(b"</w>")
         self.memo: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.chars = 0
@@ -51,6 +60,21 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words (with the space before them, if that is kept), encoded together and cut apart at word edges."""
+        groups = [words[i : i + _TOGETHER] for i in range(0, len(words), _TOGETHER)]
+        out = []
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([("" if self.keeps_space else " ").join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            at = np.flatnonzero(self.edge[ids]) * self.dtype.itemsize
+            if len(at) != len(group):
+                out += self._whole(group)
+                continue
+            cuts = [*at.tolist(), len(ids) * self.dtype.itemsize] if self.keeps_space else [0, *(at + self.dtype.itemsize).tolist()]
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
     def pieces(self, text: str) -> list[str]:
         """Pieces whose ids make up the text's ids."""
         if not self.keeps_space:
@@ -92,7 +116,11 @@ class Encoder:
             memo[p] = before[p]
         todo = [p for p in new if p not in memo]
         if todo:
-            memo.update(zip(todo, self._whole(todo), strict=True))
+            plain = _SPACED_WORD.fullmatch if self.keeps_space else _WORD.fullmatch
+            words = [p for p in todo if self.joins and plain(p)]
+            memo.update(zip(words, self._words(words), strict=True))
+            rest = [p for p in todo if p not in memo]
+            memo.update(zip(rest, self._whole(rest), strict=True))
             self.chars += sum(map(len, todo))
         for p, (word, marks) in marked.items():
             memo[p] = memo[word] + memo[marks]

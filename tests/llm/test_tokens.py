@@ -27,6 +27,16 @@ def test_pieces_give_the_whole_texts_ids(path, text):
     assert np.frombuffer(e.encode(text), e.dtype).tolist() == plain(path, text)
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_words_encoded_together(path):
+    rng = np.random.default_rng(0)
+    letters = list("abcdefgzABCZäÖßéÿ")
+    texts = [" ".join("".join(rng.choice(letters, rng.integers(1, 12))) + rng.choice(["", "", ",", "!!", "$$$", "'s", "İ,", "1"]) for _ in range(700)) for _ in range(6)]
+    e = Encoder(path)
+    for t, got in zip(texts, e.encode_many(texts), strict=True):
+        assert np.frombuffer(got, e.dtype).tolist() == plain(path, t)
+
+
 @settings(max_examples=300, deadline=None)
 @given(parts=st.lists(TEXT, max_size=6))
 def test_joined_pieces_give_the_whole_texts_ids(parts):
