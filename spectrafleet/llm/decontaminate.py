@@ -112,7 +112,6 @@ def contamination(docs: DataFrame, items: DataFrame, filter_bits: int = 1 << 23)
     if known.count() <= BROADCAST_CONTEXTS:  # at most some 30 MB; beyond that, a shuffled join
         known = F.broadcast(known)
     lengths = [r["n"] for r in grams.filter("short").select(F.size(F.split("gram", " ")).alias("n")).distinct().collect()]  # 1 to 9
-    bit = F.pmod("fp", F.lit(filter_bits))
     mask = np.zeros(filter_bits // 64, np.uint64)
     # At most filter_bits / 64 rows.
     if got := contexts.groupBy(F.expr(f"cast(pmod(fp, {filter_bits}L) div 64 as int)").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(fp, {filter_bits}L) % 64 as int))")).alias("v")).collect():
