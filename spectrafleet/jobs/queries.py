@@ -462,7 +462,7 @@ def corpus(spark, sf_dir):
 @query
 def fit_corpus(spark, sf_dir):
     rows, settings, reliable = corpus(spark, sf_dir)
-    done = fit.fit(rows, settings, reliable, T.FEATURES, fit.FitConfig(outer=2, inner=4))
+    done = fit.fit(rows, settings, reliable, T.FEATURES)
     made = fit.campaign_curves(done.model, done.state)
     return made.select("campaign", "sensor_id", F.size("gain").alias("n"), S.array_mean(F.col("gain")).alias("mean_gain"), (S.array_mean(F.col("floor")) * done.model.power_scale).alias("mean_floor"))
 
@@ -470,7 +470,7 @@ def fit_corpus(spark, sf_dir):
 @query
 def evaluate_corpus(spark, sf_dir):
     rows, settings, reliable = corpus(spark, sf_dir)
-    done = fit.fit(rows, settings, reliable, T.FEATURES, fit.FitConfig(outer=2, inner=4))
+    done = fit.fit(rows, settings, reliable, T.FEATURES)
     wanted = rows.select("campaign", "sensor_id", "start_freq_hz", "end_freq_hz", "n_bins").distinct().join(settings.drop("config_id"), "campaign").withColumnRenamed("campaign", "config_id")
     made = fit.evaluate_curves(done.model, wanted).withColumnRenamed("config_id", "campaign")
     out = C.calibrate(rows, made, ("campaign", "sensor_id"))

@@ -32,8 +32,8 @@ class FitConfig:
     degree: int = 3
     embedding: int = 3
     hidden: int = 6
-    outer: int = 4
-    inner: int = 8
+    outer: int = 10
+    inner: int = 30
     rate: float = 0.03
     decay: float = 1e-4
     clip: float = 10.0
@@ -43,7 +43,8 @@ class FitConfig:
     ridge: float = 1e-3
     consistency: float = 0.0
     correlation: float = 0.0
-    patience: int = 12
+    patience: int = 5
+    tolerance: float = 1e-4
     seed: int = 17
 
 
@@ -339,6 +340,7 @@ class FitResult:
     latent: DataFrame
     history: list[float]
     reason: str
+    selected: float
 
 
 def fit(rows: DataFrame, configs: DataFrame, reliable: DataFrame, features: tuple[str, ...], config: FitConfig = FitConfig(), weights: dict[str, float] | None = None) -> FitResult:
@@ -368,11 +370,11 @@ def fit(rows: DataFrame, configs: DataFrame, reliable: DataFrame, features: tupl
     data = keep(rows.select(*grid, F.transform("pxx_db", lambda x: F.pow(F.lit(10.0), x / 10) / scale).alias("y")), "data")
     state = keep(init_campaign_state(model, data, configs, reliable), "state-0")
     first = second = np.zeros(model.flat(model.theta).size)
-    best, best_at, history, step, stale, reason = np.inf, dict(model.theta), [], 0, 0, "all rounds done"
-    latent = data
+    best, kept, history, step, stale, reason = np.inf, None, [], 0, 0, "all rounds done"
     for outer in range(config.outer):
         latent = keep(latent_update(data, campaign_curves(model, state)), f"latent-{outer}")
-        table = keep(state.join(record_sums(data, latent), ["campaign", "sensor_id"]), f"sums-{outer}")
+        table = keep(state.join(record_sums(data, latent), ["campaign", "sensor_id"]), f"sums-{outer}").persist()  # every step reads it
+        before, kept = best, kept or (model, outer, latent)
         for _ in range(config.inner):
             loss, grad = objective_and_gradient(model, table)
             if config.consistency or config.correlation:
@@ -382,10 +384,9 @@ def fit(rows: DataFrame, configs: DataFrame, reliable: DataFrame, features: tupl
             if not np.isfinite(loss):
                 reason = "diverged"
                 break
-            if loss < best:
-                best, best_at, stale = loss, dict(model.theta), 0
-            else:
-                stale += 1
+            # The first round has the starting variances by bin, not refreshed ones on splines: its losses don't compare.
+            if loss < best and (outer or config.outer == 1):
+                best, kept = loss, (model, outer, latent)
             grad = grad + config.decay * model.flat(model.theta)
             norm = float(np.linalg.norm(grad))
             grad = grad * min(1.0, config.clip / max(norm, EPSILON))
@@ -393,11 +394,19 @@ def fit(rows: DataFrame, configs: DataFrame, reliable: DataFrame, features: tupl
             first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
             move = config.rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
             model = replace(model, theta=model.unflat(model.flat(model.theta) - move))
+        better = not np.isfinite(before) or best < before - config.tolerance * max(abs(before), 1.0)
+        stale = 0 if better else stale + 1
         if reason == "diverged" or stale >= config.patience:
-            reason = reason if reason == "diverged" else "no better step"
+            reason = reason if reason == "diverged" else "no better round"
+            table.unpersist()
             break
-        state = keep(refresh_deviations(model, table), f"state-{outer + 1}")
-    return FitResult(replace(model, theta=best_at), state, latent, history, reason)
+        if outer + 1 < config.outer:
+            state = keep(refresh_deviations(model, table), f"state-{outer + 1}")
+        table.unpersist()
+    # The deviations belong to the parameters chosen, not to the last ones.
+    model, outer, latent = kept
+    state = keep(refresh_deviations(model, spark.read.schema(table.schema).parquet(f"{root}/sums-{outer}")), "state")
+    return FitResult(model, state, latent, history, reason, best)
 
 
 def evaluate_curves(model: Model, wanted: DataFrame, clip: bool = False) -> DataFrame:
@@ -418,6 +427,6 @@ def evaluate_curves(model: Model, wanted: DataFrame, clip: bool = False) -> Data
 def fit_diagnostics(result: FitResult) -> dict[str, float | str | int]:
     h = np.array(result.history)
     return {
-        "start_objective": float(h[0]), "end_objective": float(h[-1]), "selected_objective": float(h.min()), "steps": len(h), "increases": int((np.diff(h) > 0).sum()),
+        "start_objective": float(h[0]), "end_objective": float(h[-1]), "selected_objective": result.selected, "steps": len(h), "increases": int((np.diff(h) > 0).sum()),
         "reason": result.reason, "embedding_norm": float(np.linalg.norm(result.model.theta["E"])),
     }

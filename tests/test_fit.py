@@ -110,3 +110,19 @@ def test_fit_recovers_gains(spark):
     assert G.fit_diagnostics(done)["steps"] == 32
     tied = G.fit(df, conf, reliable, FEATURES, G.FitConfig(outer=1, inner=3, consistency=1e3, correlation=1e3))
     assert np.isfinite(tied.history).all() and tied.history[-1] < tied.history[0]
+
+
+def test_registered_fits_run_the_whole_schedule(spark, monkeypatch):
+    from spectrafleet.jobs import queries as Q
+
+    class Seen(Exception):
+        pass
+
+    def stop(rows, configs, reliable, features, config=G.FitConfig(), weights=None):
+        raise Seen(config.outer, config.inner, config.patience)
+
+    monkeypatch.setattr(Q.fit, "fit", stop)
+    for query in (Q.fit_corpus, Q.evaluate_corpus):
+        with pytest.raises(Seen) as got:
+            query(spark, "/root/testdata/sf0.001")
+        assert got.value.args == (10, 30, 5)
