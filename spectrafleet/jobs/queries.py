@@ -475,7 +475,7 @@ def evaluate_corpus(spark, sf_dir):
     made = fit.evaluate_curves(done.model, wanted).withColumnRenamed("config_id", "campaign")
     out = C.calibrate(rows, made, ("campaign", "sensor_id"))
     g = C.config_geometry(settings.filter("role = 'train'"), T.FEATURES)
-    trust = C.envelope_checks(settings, g).select("campaign", F.col("outside_envelope").alias("is_ood"))
+    trust = C.out_of_distribution(settings, g).select("campaign", "is_ood")
     return D.role_summary(D.campaign_diagnostics(out, settings.select("campaign", "role"), trust))
 
 

@@ -114,6 +114,12 @@ def envelope_checks(configs: DataFrame, g: Geometry) -> DataFrame:
     return configs.select("*", F.greatest(*[F.abs(x) for x in z]).alias("max_abs_z"), out.alias("out_of_range"), (F.size(out) > 0).alias("outside_envelope"))
 
 
+def out_of_distribution(configs: DataFrame, g: Geometry) -> DataFrame:
+    """envelope_checks() with distance and is_ood: outside the envelope, or farther than the Mahalanobis threshold."""
+    out = envelope_checks(configs, g).withColumn("distance", mahalanobis(g))
+    return out.withColumn("is_ood", F.col("outside_envelope") | (F.col("distance") > float(g.threshold)))
+
+
 def trust_diagnostics(configs: DataFrame, g: Geometry, freq_min_hz: float, freq_max_hz: float) -> DataFrame:
     """Trust of each deployment row (features, start_freq_hz, end_freq_hz, n_bins): bins off the support, envelope, distance, verdict."""
     step = (F.col("end_freq_hz") - F.col("start_freq_hz")) / (F.col("n_bins") - 1)
