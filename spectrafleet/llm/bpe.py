@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, materialize
+from ._shared import bit_filter, bounded_batches, materialize
 from .encoding import Encoder
 
 #: Mean chunk length is about 2**CUT_BITS bytes past MIN_CHUNK.
@@ -71,44 +71,57 @@ def _keys(c: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def encoded_piece(encoder: Encoder, text: str, ids: bytes | None = None) -> tuple:
-    """(ids, head, head_n, tail, tail_n, solid): the word parts at both ends, with how many ids are theirs."""
-    first = _SPACE.search(text)
-    ids = encoder.encode(text) if ids is None else ids
-    if not first:
-        return ids, text, 0, "", 0, True
-    head, tail = text[: first.start()], text[max(text.rfind(x) for x in " \t\n\r") + 1 :]
-    width = encoder.dtype.itemsize
-    return ids, head, len(encoder.encode(head)) // width, tail, len(encoder.encode(tail)) // width, False
+def encoded_pieces(encoder: Encoder, texts: list[str], ids: list[bytes] | None = None) -> list[tuple]:
+    """(ids, head, head_n, tail, tail_n, solid) of each text: the word parts at both ends, with how many ids are theirs."""
+    ids = encoder.encode_many(texts) if ids is None else ids
+    cuts = []
+    for text in texts:
+        first = _SPACE.search(text)
+        cuts.append((text[: first.start()], text[max(text.rfind(x) for x in " \t\n\r") + 1 :]) if first else None)
+    ends = [x for c in cuts if c for x in c]
+    sizes = iter([len(x) // encoder.dtype.itemsize for x in encoder.encode_many(ends)])
+    return [(i, c[0], next(sizes), c[1], next(sizes), False) if c else (i, t, 0, "", 0, True) for i, t, c in zip(ids, texts, cuts, strict=True)]
+
+
+def encoded_piece(encoder: Encoder, text: str) -> tuple:
+    return encoded_pieces(encoder, [text])[0]
+
+
+def join_many(encoder: Encoder, documents: list[list[tuple]]) -> list[bytes]:
+    """The ids of each text, from the pieces that make it up; the words that straddle joins are encoded again, all together."""
+    width, straddling, parts = encoder.dtype.itemsize, [], []
+    for pieces in documents:
+        word, out = "", []
+        for ids, head, head_n, tail, tail_n, solid in pieces:
+            if solid:
+                word += head
+                continue
+            if word:
+                out.append(len(straddling))
+                straddling.append(word + head)
+            out.append(ids[head_n * width if word else 0 : len(ids) - tail_n * width])
+            word = tail
+        if word:
+            out.append(len(straddling))
+            straddling.append(word)
+        parts.append(out)
+    repaired = encoder.encode_many(straddling)
+    return [b"".join([repaired[x] if isinstance(x, int) else x for x in out]) for out in parts]
 
 
 def join_pieces(encoder: Encoder, pieces: list[tuple]) -> bytes:
-    """The ids of the text that the pieces make up."""
-    out, word, width = [], "", encoder.dtype.itemsize
-    for ids, head, head_n, tail, tail_n, solid in pieces:
-        if solid:
-            word += head
-            continue
-        if word:
-            out.append(encoder.encode(word + head))
-            ids_from = head_n * width
-        else:
-            ids_from = 0
-        out.append(ids[ids_from : len(ids) - tail_n * width])
-        word = tail
-    out.append(encoder.encode(word))
-    return b"".join(out)
+    return join_many(encoder, [pieces])[0]
 
 
-def ids_of(encoder: Encoder, ids: bytes) -> tuple:
-    return (np.frombuffer(ids, encoder.dtype).astype("<u4").tobytes(),)
+def ids_of(encoder: Encoder, documents: list[bytes]) -> list[tuple]:
+    return [(np.frombuffer(ids, encoder.dtype).astype("<u4").tobytes(),) for ids in documents]
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, finish: Callable[[Encoder, bytes], tuple] = ids_of, finish_schema: str = "ids binary", filter_bits: int = 1 << 23) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer_path: str, finish: Callable[[Encoder, list[bytes]], list[tuple]] = ids_of, finish_schema: str = "ids binary", filter_bits: int = 1 << 23) -> DataFrame:
     """doc_id and finish_schema's columns for every row of docs (doc_id, text; other columns are ignored).
 
-    finish(encoder, ids) runs where a document's ids are complete; the default returns them as little-endian
-    unsigned 32-bit integers. filter_bits bounds what is broadcast: a bit filter of the shared chunks' digests. When
+    finish(encoder, [ids of a document, ...]) runs where documents' ids are complete; the default returns them as
+    little-endian unsigned 32-bit integers. A text of any length is one row of its task. filter_bits bounds what is broadcast: a bit filter of the shared chunks' digests. When
     it fills up, more chunks take the shared path and the ids stay the same. A null text is empty and gives no ids;
     null and repeated doc_ids give one row for each input row; an empty table gives no rows.
     """
@@ -125,12 +138,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, finish: Callable[[Enc
             yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["h1", "h2", "n"]).astype({"h1": "int64", "h2": "int64", "n": "int64"})
 
     shared = texts.select("text").mapInPandas(count, "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1")
-    bits = shared.select(F.explode(F.array(F.pmod("h1", F.lit(filter_bits)), F.pmod("h2", F.lit(filter_bits)))).alias("b"))
-    words = bits.groupBy(F.expr("cast(b div 64 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v"))
-    mask = np.zeros(filter_bits // 64, np.uint64)
-    if got := words.collect():  # at most filter_bits / 64 rows
-        mask[[r["w"] for r in got]] = np.array([r["v"] for r in got], np.int64).view(np.uint64)
-    mask_b = spark.sparkContext.broadcast(mask.view(np.uint8))
+    mask_b = spark.sparkContext.broadcast(bit_filter(shared.select(F.explode(F.array("h1", "h2"))), filter_bits))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, bitmap, task = Encoder.load(tokenizer_path), mask_b.value, TaskContext.get()
@@ -167,11 +175,11 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, finish: Callable[[Enc
                                 sent.clear()
                             sent.add(k)
                         rows.append((doc_id, at, seq, *k, c.decode() if new else None, *[None] * 6, *[None] * len(names)))
-            for (doc_id, n, seq, text), ids in zip(spans, encoder.encode_many([s[3] for s in spans]), strict=True):
-                if seq < 0:
-                    rows.append((doc_id, n, seq, *[None] * 9, *finish(encoder, ids)))
-                else:
-                    rows.append((doc_id, n, seq, None, None, None, *encoded_piece(encoder, text, ids), *[None] * len(names)))
+            encoded = encoder.encode_many([s[3] for s in spans])
+            done = iter(finish(encoder, [i for s, i in zip(spans, encoded, strict=True) if s[2] < 0]))
+            between = iter(encoded_pieces(encoder, [s[3] for s in spans if s[2] >= 0], [i for s, i in zip(spans, encoded, strict=True) if s[2] >= 0]))
+            for doc_id, n, seq, _ in spans:
+                rows.append((doc_id, n, seq, *[None] * 9, *next(done)) if seq < 0 else (doc_id, n, seq, None, None, None, *next(between), *[None] * len(names)))
             yield _frame(rows, ["doc_id", "row", "seq", "h1", "h2", "text", "ids_", "head", "head_n", "tail", "tail_n", "solid", *names])
 
     schema = f"doc_id long, row long, seq int, h1 long, h2 long, text string, ids_ binary, head string, head_n int, tail string, tail_n int, solid boolean, {finish_schema}"
@@ -180,8 +188,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, finish: Callable[[Enc
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder.load(tokenizer_path)
         for pdf in batches:
-            ids = encoder.encode_many(pdf["text"].tolist())
-            yield _frame([(h1, h2, *encoded_piece(encoder, t, i)) for h1, h2, t, i in zip(pdf["h1"], pdf["h2"], pdf["text"], ids, strict=True)], ["h1", "h2", "ids_", "head", "head_n", "tail", "tail_n", "solid"])
+            got = encoded_pieces(encoder, pdf["text"].tolist())
+            yield _frame([(h1, h2, *p) for h1, h2, p in zip(pdf["h1"], pdf["h2"], got, strict=True)], ["h1", "h2", "ids_", "head", "head_n", "tail", "tail_n", "solid"])
 
     once = table.filter("text is not null").select("h1", "h2", "text").dropDuplicates(["h1", "h2"])
     encoded = once.mapInPandas(encode, "h1 long, h2 long, ids_ binary, head string, head_n int, tail string, tail_n int, solid boolean")
@@ -193,10 +201,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, finish: Callable[[Enc
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder.load(tokenizer_path)
         for pdf in batches:
-            rows = []
-            for doc_id, pieces in zip(pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None), pdf["pieces"], strict=True):
-                ids = join_pieces(encoder, [(p["ids_"], p["head"], p["head_n"], p["tail"], p["tail_n"], p["solid"]) for p in pieces])
-                rows.append((doc_id, *finish(encoder, ids)))
+            got = join_many(encoder, [[(p["ids_"], p["head"], p["head_n"], p["tail"], p["tail_n"], p["solid"]) for p in pieces] for pieces in pdf["pieces"]])
+            ids = pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None)
+            rows = [(i, *x) for i, x in zip(ids, finish(encoder, got), strict=True)]
             yield _frame(rows, ["doc_id", *names])
 
     done = table.filter("seq < 0").select("doc_id", *names)

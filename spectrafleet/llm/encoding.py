@@ -1,7 +1,9 @@
-"""A tokenizers file behind a bounded memo of white-space-delimited pieces, for use inside tasks.
+"""A tokenizers file behind a bounded memo of text pieces, for use inside tasks.
 
-Both kinds of file used here cut a text at white space before any merge, so a text's ids are the ids of its pieces,
-one after another. Pieces recur, so each is encoded once per worker while the memo lasts.
+Both kinds of file used here cut a text at certain places before any merge, so a text's ids are the ids of the pieces
+between such places, one after another. Pieces recur, so each is encoded once per worker while the memo lasts. All
+texts of a slice are cut, looked up and put together as arrays; no step works piece by piece. Pieces are looked up by
+hash, and what was found is compared with the text byte by byte, so that equal hashes can't give wrong ids.
 """
 
 from __future__ import annotations
@@ -10,26 +12,68 @@ import os
 import re
 
 import numpy as np
+import pandas as pd
+
+from .hashing import NON_SPACE, slices, span_hashes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: A generation of the memo ends at this many pieces or characters; the one before it is kept for what recurs.
-MEMO_PIECES, MEMO_CHARS = 500_000, 10_000_000
-#: A word of Latin letters with marks behind it: both kinds of file cut between the two (no apostrophes here).
-_MARKED = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]+)")
-#: A word of Latin letters alone: one piece of the tokenizer's own.
-_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_SPACED_WORD = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: The memo begins anew when it holds so many pieces or bytes: some 100 MB.
+MEMO_PIECES, MEMO_BYTES = 1_200_000, 24 << 20
 #: So many words are encoded as one text.
 _TOGETHER = 500
-#: White space before and after a single space: there a cut before that space would change the pieces.
-_RUN = re.compile(r"\s (?:\s|\Z)")
-_CUT = re.compile(r"(?= \S)")
-#: str.split() takes these for white space; the tokenizer doesn't.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+_LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
+#: ASCII punctuation but the apostrophe: behind a letter, both kinds of file cut before it.
+_MARK = np.array([33 <= b <= 126 and not chr(b).isalnum() and b != 39 for b in range(256)])
+#: ASCII other than white space.
+_PLAIN = np.array([b < 128 and bool(NON_SPACE[b]) for b in range(256)])
+#: White space, and first bytes that other white space may begin with.
+_MAY_BE_SPACE = np.array([not NON_SPACE[b] or b in (0xC2, 0xE1, 0xE2, 0xE3) for b in range(256)])
+#: A word of Latin letters, with the space before it if there is one.
+_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _LOADED: dict[str, Encoder] = {}
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """flat[start : start + size] of each range, one after another."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class _Memo:
+    """Pieces by hash, with their bytes and ids in flat arrays."""
+
+    def __init__(self, dtype: np.dtype):
+        self.keys, self.entry = np.empty(0, np.uint64), np.empty(0, np.int64)  # sorted by key
+        self.bytes, self.ids = np.empty(1 << 16, np.uint8), np.empty(1 << 16, dtype)
+        self.byte_at, self.id_at = np.zeros(1, np.int64), np.zeros(1, np.int64)  # entry i: at[i] to at[i + 1]
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Each hash's entry, or -1."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, self.entry[at], -1)
+
+    def add(self, hashes: np.ndarray, pieces: list[bytes], ids: list[bytes]) -> None:
+        for name, new in (("byte", np.frombuffer(b"".join(pieces), np.uint8)), ("id", np.frombuffer(b"".join(ids), self.ids.dtype))):
+            flat, at = (self.bytes, self.byte_at) if name == "byte" else (self.ids, self.id_at)
+            sizes = np.fromiter(map(len, pieces if name == "byte" else ids), np.int64, len(pieces)) // flat.itemsize
+            used = int(at[-1])
+            if used + len(new) > len(flat):
+                flat = np.concatenate([flat, np.empty(max(len(flat), len(new)), flat.dtype)])
+            flat[used : used + len(new)] = new
+            at = np.concatenate([at, used + np.cumsum(sizes)])
+            if name == "byte":
+                self.bytes, self.byte_at = flat, at
+            else:
+                self.ids, self.id_at = flat, at
+        order = np.argsort(hashes)
+        where = np.searchsorted(self.keys, hashes[order])
+        self.entry = np.insert(self.entry, where, len(self.byte_at) - 1 - len(hashes) + order)
+        self.keys = np.insert(self.keys, where, hashes[order])
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -42,14 +86,16 @@ class Encoder:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: True: a piece keeps the one space before it. False: white space is dropped.
         self.keeps_space = self.tokenizer.encode(" a", add_special_tokens=False).ids != self.tokenizer.encode("a", add_special_tokens=False).ids
-        self.table = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(self.size)]
+        table = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(self.size)]
         # Which ids begin (space kept) or end (space dropped) a word.
-        first = self.table[int(self.tokenizer.encode(" a", add_special_tokens=False).ids[0])]
-        self.edge = np.array([t.startswith("Ġ".encode()) if self.keeps_space else t.endswith(b"</w>") for t in self.table])
+        first = table[int(self.tokenizer.encode(" a", add_special_tokens=False).ids[0])]
+        self.edge = np.array([t.startswith("Ġ".encode()) if self.keeps_space else t.endswith(b"</w>") for t in table])
         self.joins = first.startswith("Ġ".encode()) if self.keeps_space else first.endswith(b"</w>")
-        self.memo: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.chars = 0
+        # Decoding without a decoder puts a space between tokens: each is kept with one behind it.
+        self.spaced = np.frombuffer(b" ".join([*table, b""]), np.uint8)
+        self.spaced_at = np.cumsum([0, *(len(t) + 1 for t in table)])
+        self.plain_decoding = self.tokenizer.decoder is None
+        self.memo = _Memo(self.dtype)
 
     @staticmethod
     def load(path: str) -> Encoder:
@@ -75,60 +121,104 @@ class Encoder:
             out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
         return out
 
-    def pieces(self, text: str) -> list[str]:
-        """Pieces whose ids make up the text's ids."""
+    def _spans(self, raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pieces of texts, each with a newline behind it at breaks, start and end; pieces' ids make up a text's ids."""
+        before, after = np.empty_like(raw), np.empty_like(raw)
+        before[1:], before[:1], after[:-1], after[-1:] = raw[:-1], 10, raw[1:], 10
+        marked = _MARK[raw] & _LETTER[before]
         if not self.keeps_space:
-            return [text] if _ODD_SPACE.search(text) else text.split()
-        if any(s in text for s in self.specials):
-            return [text]
-        if _RUN.search(text):
-            return _CUT.split(text)
-        out = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [" " + x for x in text.split(" ")]
-        if "\0" in text:
-            out[0] = out[0][1:]
-        return out
+            inside = NON_SPACE[raw]
+            return np.flatnonzero(inside & (~NON_SPACE[before] | marked)), np.flatnonzero(inside & (~NON_SPACE[after] | _MARK[after] & _LETTER[raw])) + 1
+        plain, space = _PLAIN[before], raw == 32
+        # A space belongs to what follows. A run of white space is cut before its last space, if what follows is known
+        # not to be white space; behind other characters it is cut off in any case.
+        start = marked | space & (plain | ~_MAY_BE_SPACE[after]) | ~NON_SPACE[raw] & plain
+        start[2:] |= _PLAIN[raw[2:]] & (raw[1:-1] == 10) & _PLAIN[raw[:-2]]
+        start[:1] = True
+        start[breaks] = True
+        start[breaks[:-1] + 1] = True
+        starts = np.flatnonzero(start)
+        return starts, np.append(starts[1:], len(raw))
+
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        texts = [p.decode() for p in pieces]
+        words = [i for i, t in enumerate(texts) if _WORD.fullmatch(t) and self.joins and (t[0] == " ") == self.keeps_space]
+        ids: list[bytes] = [b""] * len(texts)
+        for i, x in zip(words, self._words([texts[i] for i in words]), strict=True):
+            ids[i] = x
+        plain = set(words)
+        rest = [i for i in range(len(texts)) if i not in plain]
+        for i, x in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
+            ids[i] = x
+        self.memo.add(hashes, pieces, ids)
+
+    def _slice(self, data: list[bytes], end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        blob = b"\n".join([*data, b""])
+        raw = np.frombuffer(blob, np.uint8)
+        breaks = np.cumsum([len(d) + 1 for d in data]) - 1
+        starts, ends = self._spans(raw, breaks)
+        hashes = span_hashes(blob, starts, ends)
+        code, distinct = pd.factorize(hashes)
+        if len(self.memo.keys) > MEMO_PIECES or self.memo.byte_at[-1] > MEMO_BYTES:
+            self.memo = _Memo(self.dtype)
+        entry = self.memo.find(distinct)
+        if (entry < 0).any():
+            first = np.empty(len(distinct), np.int64)
+            first[code[::-1]] = np.arange(len(code))[::-1]
+            new = np.flatnonzero(entry < 0)
+            self._learn(distinct[new], [blob[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            entry = self.memo.find(distinct)
+        memo, of = self.memo, entry[code]
+        sizes = memo.byte_at[of + 1] - memo.byte_at[of]
+        same = np.array_equal(sizes, ends - starts) and np.array_equal(gathered(memo.bytes, memo.byte_at[of], sizes), gathered(raw, starts, sizes))
+        if not same:  # two pieces with one hash
+            each = [np.concatenate([np.frombuffer(x, self.dtype), end]) for x in self._whole([d.decode() for d in data])]
+            return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+        counts = memo.id_at[of + 1] - memo.id_at[of]
+        at = np.searchsorted(starts, breaks)
+        if self.keeps_space:
+            counts[at] = 0  # the newlines between the texts
+        done = np.concatenate([[0], np.cumsum(counts)])
+        stops = done[at]
+        ids = gathered(memo.ids, memo.id_at[of], counts)
+        return np.insert(ids, np.repeat(stops, len(end)), np.tile(end, len(data))), np.diff(stops, prepend=0) + len(end)
+
+    def encode_flat(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids one after another, each text's number of ids); end is put behind every text's own ids."""
+        tail = np.array([] if end is None else [end], self.dtype)
+        odd = {i: t for i, t in enumerate(texts) if any(s in t for s in self.specials)}
+        data = [b"" if i in odd else t.encode() for i, t in enumerate(texts)]
+        parts = [self._slice(data[lo:hi], tail) for lo, hi in slices([len(d) for d in data])]
+        ids = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, self.dtype)
+        sizes = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.int64)
+        if odd:
+            each = np.split(ids, np.cumsum(sizes)[:-1])
+            for i, x in zip(odd, self._whole(list(odd.values())), strict=True):
+                each[i] = np.concatenate([np.frombuffer(x, self.dtype), tail])
+            ids, sizes = np.concatenate(each), np.array([len(x) for x in each], np.int64)
+        return ids, sizes
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned integers of self.dtype."""
-        cut = [self.pieces(t) for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO_PIECES or self.chars > MEMO_CHARS:
-            self.before, self.memo, self.chars = memo, {}, 0
-            memo = self.memo
-        held = [list(map(memo.get, ps)) for ps in cut]
-        self._learn({p for ps, hs in zip(cut, held, strict=True) for p, h in zip(ps, hs, strict=True) if h is None})
-        return [b"".join([memo[p] if h is None else h for p, h in zip(ps, hs, strict=True)]) for ps, hs in zip(cut, held, strict=True)]
-
-    def _learn(self, missing: set[str]) -> None:
-        memo, before = self.memo, self.before
-        marked = {}
-        new = set()
-        for p in missing:
-            if p in before:
-                memo[p] = before[p]
-                self.chars += len(p)
-            elif m := _MARKED.fullmatch(p):
-                marked[p] = m.groups()
-                new.update(m.groups())
-            else:
-                new.add(p)
-        for p in [p for p in new if p in before and p not in memo]:
-            memo[p] = before[p]
-        todo = [p for p in new if p not in memo]
-        if todo:
-            plain = _SPACED_WORD.fullmatch if self.keeps_space else _WORD.fullmatch
-            words = [p for p in todo if self.joins and plain(p)]
-            memo.update(zip(words, self._words(words), strict=True))
-            rest = [p for p in todo if p not in memo]
-            memo.update(zip(rest, self._whole(rest), strict=True))
-            self.chars += sum(map(len, todo))
-        for p, (word, marks) in marked.items():
-            memo[p] = memo[word] + memo[marks]
+        ids, sizes = self.encode_flat(texts)
+        data, at = ids.tobytes(), [0, *(np.cumsum(sizes) * self.dtype.itemsize).tolist()]
+        return [data[a:b] for a, b in zip(at, at[1:])]
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
 
+    def decode_many(self, ids: list[bytes]) -> list[bytes]:
+        """What decode(ids, skip_special_tokens=False) gives, in UTF-8."""
+        if not self.plain_decoding:
+            return [self.tokenizer.decode(np.frombuffer(x, self.dtype).tolist(), skip_special_tokens=False).encode() for x in ids]
+        out: list[bytes] = []
+        for lo, hi in slices([len(x) for x in ids]):
+            flat = np.frombuffer(b"".join(ids[lo:hi]), self.dtype)
+            sizes = self.spaced_at[flat + np.int64(1)] - self.spaced_at[flat]
+            data, done = gathered(self.spaced, self.spaced_at[flat], sizes).tobytes(), np.concatenate([[0], np.cumsum(sizes)])
+            at = done[np.cumsum([0, *(len(x) // self.dtype.itemsize for x in ids[lo:hi])])].tolist()
+            out += [data[a : max(a, b - 1)] for a, b in zip(at, at[1:])]
+        return out
+
     def decode_joined(self, ids: bytes) -> bytes:
-        """What decode(ids, skip_special_tokens=False) gives, in UTF-8, for a file that has no decoder."""
-        table = self.table
-        return b" ".join([table[i] for i in np.frombuffer(ids, self.dtype).tolist()])
+        return self.decode_many([ids])[0]

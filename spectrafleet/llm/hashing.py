@@ -41,7 +41,7 @@ def word_spans(data: bytes, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes, from prefix sums of a polynomial."""
-    n = 1 << max(20, (len(data) + 1).bit_length())
+    n = 1 << max(19, (len(data) + 1).bit_length())
     up, down = _powers(n)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
@@ -57,7 +57,7 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def slices(sizes: list[int], limit: int = 1 << 20):
+def slices(sizes: list[int], limit: int = 1 << 19):
     """Index ranges of consecutive texts of about limit bytes together; a larger text stands alone."""
     lo = at = 0
     for i, n in enumerate(sizes):

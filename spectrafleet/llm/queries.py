@@ -31,7 +31,7 @@ def op10_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(16))
     written, _ = reshard.reshard(docs, old, 16, new_path(spark, "shards"))
-    slots = reshard.with_slots(written.select("doc_id", "size", "text_crc32", "shard", "part"))
+    slots = reshard.with_slots(written.select("doc_id", "size", "text_crc32", "shard", "file"))
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -88,9 +88,9 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest, out)
 
 
-def bpe_digests(encoder, ids: bytes) -> tuple:
-    (wide,) = bpe.ids_of(encoder, ids)
-    return len(wide) // 4, hashlib.sha256(wide).hexdigest(), hashlib.sha256(encoder.decode_joined(ids)).hexdigest()
+def bpe_digests(encoder, documents: list[bytes]) -> list[tuple]:
+    texts = encoder.decode_many(documents)
+    return [(len(wide) // 4, hashlib.sha256(wide).hexdigest(), hashlib.sha256(text).hexdigest()) for (wide,), text in zip(bpe.ids_of(encoder, documents), texts, strict=True)]
 
 
 def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Resharding by minimum-cost flow: from old shard sizes and new capacities, move the fewest bytes.
 
 Nodes are old and new shards; keeping a byte costs nothing, moving it costs one. The flow says how many bytes go from
-each old shard to each new one. Each old shard's documents are ordered by a key (larger size classes first, then a
-hash), and the flow's bytes are consecutive blocks of that order. A block's ends are found as thresholds of the key
-by counting bytes per key prefix, one level of prefix after another, so no task or driver sees a shard's rows, and
-every document's new shard follows from its own row and those few thresholds.
+each old shard to each new one. An old shard's files stand in the order of their names, and the flow's bytes are
+consecutive blocks of that order, what stays first. A file that lies in one block moves or stays whole; only a file
+that a block's end falls into is cut, at the nearer document. Files that stay whole are not rewritten: the new shards
+are those files and the new ones together.
+
+What reaches the driver is one number for each shard; files and their places stay in tables.
 """
 
 from __future__ import annotations
@@ -12,16 +14,18 @@ from __future__ import annotations
 from collections import deque
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from ._shared import materialize
+from ._shared import materialize, spare
 
-#: Bits of the order key: a size class, then a hash of the document. DIGIT bits are decided in one pass.
-CLASS_BITS, HASH_BITS, DIGIT = 6, 54, 12
-KEY_BITS = CLASS_BITS + HASH_BITS
 BYTES_PER_FILE = 128 << 20
+#: Up to so many files, some 20 MB, their table is broadcast; beyond that it is joined by shuffle.
+BROADCAST_FILES = 100_000
+#: Columns that are added to documents; columns of those names come back with this before their names.
+ADDED, THEIRS = ("shard", "file", "size", "text_crc32", "slot"), "doc_"
 
 
 def min_cost_flow(supply: list[int], capacity: list[int]) -> dict[tuple[int, int], int]:
@@ -77,97 +81,97 @@ def even_capacities(total: int, n: int) -> list[int]:
     return [total // n + (i < total % n) for i in range(n)]
 
 
-def order_key(size: Column, doc_id: Column, crc: Column) -> Column:
-    """Smaller for larger size classes (powers of two), then by a hash."""
-    size_class = F.lit(63) - F.floor(F.log2(size.cast("double"))).cast("long")
-    return F.shiftleft(size_class, HASH_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(doc_id, crc), 64 - HASH_BITS))
+def blocks(flow: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int]]:
+    """(old, lo, hi, new): bytes lo to hi of an old shard, in the order of its files, go to a new one."""
+    out = []
+    for old in sorted({i for i, _ in flow}):
+        targets = sorted((j for i, j in flow if i == old), key=lambda j: (j != old, j))
+        ends = list(accumulate(flow[old, j] for j in targets))
+        out += [(old, lo, hi, j) for lo, hi, j in zip([0, *ends], ends, targets)]
+    return out
 
 
-def find_thresholds(sized: DataFrame, wanted: list[tuple[int, int]]) -> dict[tuple[int, int], int]:
-    """For each (old shard, bytes before), the least key such that documents with smaller keys hold about that many bytes: the document at the cut falls on the nearer side.
+def lay_out(docs: DataFrame, shard: Column, uri: str) -> T.StructType:
+    """Write docs as uri/shard=N/*.parquet without a shuffle, each task the shards it meets; the written columns but shard.
 
-    sized has old, key, size. Each pass decides DIGIT more bits for all thresholds together: it sums bytes per digit
-    within the prefixes still open, at most 2**DIGIT sums for each threshold.
+    A null shard is shard 0. Columns named like ADDED ones are written with THEIRS before their names.
     """
-    spark = sized.sparkSession
-    open_ = {w: (0, w[1], 0) for w in wanted}  # prefix so far, bytes still to pass below it, bytes at the cut
-    for low in range(KEY_BITS - DIGIT, -1, -DIGIT):
-        prefixes = sorted({(old, p) for (old, _), (p, _, _) in open_.items()})
-        frame = spark.createDataFrame(prefixes, "old int, prefix long")
-        sums = (
-            sized.withColumn("prefix", F.shiftright("key", low + DIGIT))
-            .join(F.broadcast(frame), ["old", "prefix"])  # one row for each threshold
-            .groupBy("old", "prefix", F.shiftright("key", low).bitwiseAND(F.lit((1 << DIGIT) - 1)).alias("digit"))
-            .agg(F.sum("size").alias("size"))
-            .collect()
-        )
-        by_prefix: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for r in sums:
-            by_prefix.setdefault((r["old"], r["prefix"]), []).append((r["digit"], r["size"]))
-        for w, (prefix, left, at_cut) in open_.items():
-            digit = 0
-            for digit, size in sorted(by_prefix.get((w[0], prefix), [])):
-                if size > left:
-                    at_cut = size
-                    break
-                left -= size
-            else:
-                digit += 1 if by_prefix.get((w[0], prefix)) else 0
-            open_[w] = (prefix * (1 << DIGIT) + digit, left, at_cut)
-    return {w: key + (2 * left > at_cut) for w, (key, left, at_cut) in open_.items()}
-
-
-def plan_moves(sized: DataFrame, n_new: int, capacities: list[int] | None = None) -> tuple[Column, dict[tuple[int, int], int]]:
-    """(the new shard as an expression over old and key, the flow in bytes) for sized rows (old, key, size)."""
-    sizes = {r["old"]: r["s"] for r in sized.groupBy("old").agg(F.sum("size").alias("s")).collect()}  # one row for each shard
-    supply = [sizes.get(i, 0) for i in range(max(sizes, default=-1) + 1)]
+    (number,) = spare(docs, "_shard")
+    rows = docs.withColumn(number, F.coalesce(shard.cast("int"), F.lit(0)))
+    for c in docs.columns:
+        if c.lower() in ADDED:
+            rows = rows.withColumnRenamed(c, *spare(rows, THEIRS + c))
+    rows = rows.withColumnRenamed(number, "shard")
+    rows.write.partitionBy("shard").parquet(uri)
+    return T.StructType([f for f in rows.schema.fields if f.name != "shard"])
+
+
+def read_shards(spark: SparkSession, columns: T.StructType, uri: str) -> DataFrame:
+    """The documents of uri/shard=N with shard, file (its name), size and text_crc32."""
+    rows = spark.read.schema(T.StructType([*columns.fields, T.StructField("shard", T.IntegerType())])).parquet(uri)
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    return rows.select("*", F.col("_metadata.file_name").alias("file"), size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
+
+
+def rewrite_shards(spark: SparkSession, columns: T.StructType, old_uri: str, new_uri: str, n_new: int, capacities: list[int] | None = None, file_bytes: int = BYTES_PER_FILE) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """Give the shards at old_uri n_new shards' capacities (bytes; near equal ones by default); the rows and the flow.
+
+    Writes only documents of files that change their shard or are cut, under new_uri; the rows returned are those
+    files' and the untouched old ones'.
+    """
+    rows = read_shards(spark, columns, old_uri)
+    files = materialize(rows.groupBy("shard", "file").agg(F.sum("size").alias("bytes")), "shard-files")
+    per_shard = {r["shard"]: (r["s"], r["n"]) for r in files.groupBy("shard").agg(F.sum("bytes").alias("s"), F.count(F.lit(1)).alias("n")).collect()}
+    supply = [per_shard.get(i, (0, 0))[0] for i in range(max(per_shard, default=-1) + 1)]
     flow = min_cost_flow(supply, capacities or even_capacities(sum(supply), n_new))
-    blocks: dict[int, list[tuple[int, int]]] = {}
-    for old in range(len(supply)):
-        # What stays comes first, so that the largest documents stay.
-        targets = sorted((j for i, j in flow if i == old), key=lambda j: (j != old, j))
-        ends = accumulate(flow[old, j] for j in targets)
-        blocks[old] = list(zip(targets, ends, strict=True))
-    wanted = [(old, end) for old, parts in blocks.items() for _, end in parts[:-1]]
-    at = find_thresholds(sized, wanted) if wanted else {}
-    shard = F.lit(0)
-    for old, parts in blocks.items():
-        if not parts:
-            continue
-        inner = F.lit(parts[-1][0])
-        for target, end in reversed(parts[:-1]):
-            inner = F.when(F.col("key") < at[old, end], target).otherwise(inner)
-        shard = F.when(F.col("old") == old, inner).otherwise(shard)
-    return shard.cast("int"), flow
-
-
-def reshard(docs: DataFrame, old: Column, n_new: int, out_uri: str, capacities: list[int] | None = None) -> tuple[DataFrame, dict[tuple[int, int], int]]:
-    """Rewrite docs (doc_id, text, others) into n_new shards of near equal bytes; the written rows and the flow.
-
-    old is each row's present shard number. A document's size is its UTF-8 bytes (null text: none) plus 1. Files go
-    to out_uri/shard=N; a shard that neither gains nor loses bytes needs no rewriting, and its rows are written only
-    because out_uri is new. Repeated rows and null ids are kept; equal rows go to the same shard. An empty table
-    writes nothing. The rows returned add shard, part (a file group within the shard), size and text_crc32, read back from the files.
+    # Each block's new files have consecutive numbers, each for the old files that begin in one stretch of file_bytes.
+    moved = blocks(flow)
+    counts = [(hi - 1) // file_bytes - lo // file_bytes + 2 for _, lo, hi, _ in moved]
+    numbers = [0, *accumulate(counts)]
+    cuts = spark.createDataFrame([(*b, n) for b, n in zip(moved, numbers)], "shard int, lo long, hi long, new int, number int")  # at most shards x shards rows
+    place = F.sum("bytes").over(Window.partitionBy("shard").orderBy("file"))
+    placed = files.withColumn("stop", place).withColumn("start", F.col("stop") - F.col("bytes"))
+    met = placed.join(F.broadcast(cuts), "shard").filter("start < hi and stop > lo")
+    pieces = F.sort_array(F.collect_list(F.struct("lo", "hi", "new", "number"))).alias("pieces")  # at most one for each new shard
+    fates = materialize(met.groupBy("shard", "file").agg(F.first("start").alias("start"), pieces).filter((F.size("pieces") > 1) | (F.col("pieces")[0]["new"] != F.col("shard"))), "shard-fates")
+    few = sum(n for _, n in per_shard.values()) <= BROADCAST_FILES
+    small = F.broadcast if few else lambda df: df
+    changed = rows.join(small(fates), ["shard", "file"])
+    whole = changed.filter(F.size("pieces") == 1).withColumn("piece", F.col("pieces")[0])
+    cut = changed.filter(F.size("pieces") > 1)
+    # A cut file is at most one for each end of a block, and no longer than files are.
+    before = F.sum("size").over(Window.partitionBy("shard", "file").orderBy("doc_id", "text_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    middle = (F.col("start") + F.col("before")) * 2 + F.col("size")
+    nearer = F.get(F.filter("pieces", lambda p: middle < p["hi"] * 2), 0)
+    cut = cut.withColumn("before", before).withColumn("piece", F.coalesce(nearer, F.element_at("pieces", -1)))
+    keep = [f.name for f in columns.fields]
+    stretch = F.floor(F.col("start") / file_bytes) - F.floor(F.col("piece.lo") / file_bytes) + 1
+    number = F.col("piece.number") + F.greatest(stretch, F.lit(0))
+    both = whole.select(*keep, F.col("piece.new").alias("shard"), number.alias("file")).unionByName(cut.select(*keep, F.col("piece.new").alias("shard"), number.alias("file")))
+    tasks = max(1, min(numbers[-1], 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = both.repartitionById(tasks, F.floor(F.col("file") * tasks / max(1, numbers[-1])).cast("int"))
+    dealt.drop("file").write.partitionBy("shard").parquet(new_uri)
+    stayed = rows.join(small(fates.select("shard", "file")), ["shard", "file"], "left_anti").select(*rows.columns)
+    return stayed.unionByName(read_shards(spark, columns, new_uri)), flow
+
+
+def reshard(docs: DataFrame, old: Column, n_new: int, out_uri: str, capacities: list[int] | None = None, file_bytes: int = BYTES_PER_FILE) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """Lay docs (doc_id, text, others) out in old shards and rewrite those into n_new shards; the rows and the flow.
+
+    old is each row's present shard number (null: 0). A document's size is its UTF-8 bytes (null text: none) plus 1;
+    one of any length goes to one shard. Repeated rows and null ids are kept and may go to different shards. An empty
+    table gives no rows. The rows have all columns of docs (those named like ADDED ones with THEIRS before their
+    names) and shard, file, size and text_crc32, read back from the files.
     """
-    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    rows = docs.select("*", old.cast("int").alias("old"), size.alias("size"), crc.alias("text_crc32"))
-    keyed = rows.withColumn("key", order_key(F.col("size"), F.col("doc_id"), F.col("text_crc32")))
-    sized = materialize(keyed.select("old", "key", "size"), "shard-sizes")
-    shard, flow = plan_moves(sized, n_new, capacities)
-    total = sum(flow.values())
-    parts = max(1, -(-total // n_new // BYTES_PER_FILE))
-    placed = keyed.withColumn("shard", shard).withColumn("part", F.pmod("key", F.lit(parts)).cast("int")).drop("old", "key", "size", "text_crc32")
-    placed.repartition("shard", "part").sortWithinPartitions("shard", "part", "doc_id").write.partitionBy("shard", "part").parquet(out_uri)
-    schema = placed.schema
-    back = docs.sparkSession.read.schema(schema).parquet(out_uri)
-    return back.select("*", size.alias("size"), crc.alias("text_crc32")), flow
+    columns = lay_out(docs, old, f"{out_uri}/old")
+    return rewrite_shards(docs.sparkSession, columns, f"{out_uri}/old", f"{out_uri}/new", n_new, capacities, file_bytes)
 
 
 def with_slots(written: DataFrame) -> DataFrame:
-    """Add slot: each row's place in its shard, gapless from 0, by part, then doc_id and text_crc32."""
-    counts = written.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
-    bases = counts.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("base"))
-    w = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32")
-    numbered = written.withColumn("row", F.row_number().over(w) - 1)
-    return numbered.join(bases, ["shard", "part"]).withColumn("slot", (F.col("base") + F.col("row")).cast("long")).drop("row", "base")
+    """Add slot: each row's place in its shard, gapless from 0, by file, then doc_id and text_crc32."""
+    counts = written.groupBy("shard", "file").agg(F.count(F.lit(1)).alias("n"))
+    bases = counts.select("shard", "file", (F.sum("n").over(Window.partitionBy("shard").orderBy("file")) - F.col("n")).alias("base"))
+    w = Window.partitionBy("shard", "file").orderBy("doc_id", "text_crc32")
+    numbered = written.select("*", F.struct((F.row_number().over(w) - 1).alias("row")).alias("slot"))
+    bases = bases.select("shard", "file", F.struct("base").alias("_base"))
+    return numbered.join(bases, ["shard", "file"]).select(*written.columns, (F.col("_base.base") + F.col("slot.row")).cast("long").alias("slot"))

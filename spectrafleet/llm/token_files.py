@@ -43,8 +43,9 @@ def _put(store, path: str, temporary: str) -> None:
 def write_token_files(docs: DataFrame, tokenizer_path: str, out_uri: str, end_id: int) -> DataFrame:
     """Write docs (doc_id, text) and return the manifest: part, n_docs, n_ids, base (one row per partition written).
 
-    Documents come in ascending doc_id order (null first, ties by text); repeated rows are written again each time.
-    A null text is empty: its ids are end_id alone. An empty table writes no file. A task writes under a name of its
+    Documents come in ascending doc_id order (null first, ties by a digest of the text); repeated rows are written
+    again each time. A null text is empty: its ids are end_id alone. A text of any length is one row of its task. Rows
+    without a doc_id, or with the same one, are dealt to as many partitions as they fill. An empty table writes no file. A task writes under a name of its
     own attempt and renames at the end, so a retried or speculative task leaves the same files.
     """
     spark = docs.sparkSession
@@ -57,13 +58,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_uri: str, end_id
         task = TaskContext.get()
         part, mark = task.partitionId(), f"{task.partitionId():06d}.{task.taskAttemptId()}"
         encoder = Encoder.load(tokenizer_path)
-        end = np.array([end_id], encoder.dtype).tobytes()
         ids, lengths, out = [], [], None
         for pdf in batches:
             out = out or store.open_output_stream(f"{root}/{mark}.bin")
-            got = encoder.encode_many(pdf["text"].tolist())
-            out.write(b"".join(x for b in got for x in (b, end)))
-            lengths.append(np.array([len(b) // encoder.dtype.itemsize + 1 for b in got], np.int64))
+            tokens, sizes = encoder.encode_flat(pdf["text"].tolist(), end_id)
+            out.write(tokens.tobytes())
+            lengths.append(sizes)
             ids.append(pdf["doc_id"].to_numpy(np.int64))
         if out is None:
             return
@@ -76,7 +76,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_uri: str, end_id
         yield pd.DataFrame({"part": [part], "n_docs": [len(ids)], "n_ids": [int(lengths.sum())]})
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    written = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInPandas(write, "part int, n_docs long, n_ids long")
+    # What is equal in doc_id and text is told apart by where it was read, so that no key fills a partition alone.
+    keyed = rows.withColumn("digest", F.xxhash64("text")).withColumn("read_in", F.spark_partition_id())
+    written = keyed.repartitionByRange("doc_id", "digest", "read_in").sortWithinPartitions("doc_id", "digest").select("doc_id", "text").mapInPandas(write, "part int, n_docs long, n_ids long")
     parts = sorted(written.collect())  # one small row for each partition
     bases = [0, *accumulate(p["n_ids"] for p in parts)]
     manifest = spark.createDataFrame([(p["part"], p["n_docs"], p["n_ids"], b) for p, b in zip(parts, bases, strict=False)], "part int, n_docs long, n_ids long, base long")
@@ -94,8 +96,20 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_uri: str, end_id
                 _put(store, f"{root}/part-{part:06d}.idx", mark)
             yield pdf[["part"]]
 
+    def clear(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = _store(out_uri)
+        for pdf in batches:
+            for part in pdf["part"]:
+                if store.get_file_info(path := f"{root}/part-{part:06d}.len").type != FileType.NotFound:
+                    store.delete_file(path)
+            yield pdf[["part"]]
+
     if parts:
-        manifest.repartition(len(parts), "part").mapInPandas(index, "part int").agg(F.count(F.lit(1))).collect()
+        from pyarrow.fs import FileType
+
+        dealt = manifest.repartition(min(len(parts), 4096), "part")
+        for step in (index, clear):  # lengths go when all offsets are written, as a lost task may need them again
+            dealt.mapInPandas(step, "part int").agg(F.count(F.lit(1))).collect()
     return manifest
 
 
