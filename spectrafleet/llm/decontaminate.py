@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, materialize
+from ._shared import bit_filter, bounded_batches, materialize, settle_rows, text_digest
 from .hashing import ALNUM, gram_hashes, slices, span_hashes, word_spans
 
 SPAN, K = 10, 5
@@ -97,12 +97,18 @@ def _run_length(a: Column, b: Column) -> Column:
 def contamination(docs: DataFrame, items: DataFrame, filter_bits: int = 1 << 23) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans for docs (doc_id, text) against items (item_id, text).
 
-    spans are the merged word ranges hit, as array<struct<start, stop>> with stop exclusive. Null texts have no words;
-    items with a null id are ignored, repeated item ids count once. Rows equal in doc_id and text give one row; an
-    empty docs table gives none, and an empty items table no hits. Other columns are ignored. filter_bits bounds what
-    is broadcast: a bit filter of the benchmark's fingerprints that spares the join most of the others. When it fills
-    up, more fingerprints reach the join and the result stays the same.
+    spans are the merged word ranges hit, as array<struct<start, stop>> with stop exclusive. Every row gives one row,
+    repeated ones too; null ids are kept. Null texts have no words; a text of any length is read whole. Items with a
+    null id are ignored, repeated item ids count once; items of equal texts are all listed. An empty docs table gives
+    no rows, and an empty items table no hits. Other columns are ignored. filter_bits bounds what is broadcast: a bit
+    filter of the benchmark's fingerprints that spares the join most of the others. When it fills up, more
+    fingerprints reach the join and the result stays the same.
     """
+    return _contamination(docs, items, filter_bits).drop("digest")
+
+
+def _contamination(docs: DataFrame, items: DataFrame, filter_bits: int) -> DataFrame:
+    """contamination() with the digest of each row's text."""
     spark = docs.sparkSession
     bounded_batches(spark)
     grams = materialize(benchmark_grams(items), "benchmark-grams")
@@ -112,11 +118,7 @@ def contamination(docs: DataFrame, items: DataFrame, filter_bits: int = 1 << 23)
     if known.count() <= BROADCAST_CONTEXTS:  # at most some 30 MB; beyond that, a shuffled join
         known = F.broadcast(known)
     lengths = [r["n"] for r in grams.filter("short").select(F.size(F.split("gram", " ")).alias("n")).distinct().collect()]  # 1 to 9
-    mask = np.zeros(filter_bits // 64, np.uint64)
-    # At most filter_bits / 64 rows.
-    if got := contexts.groupBy(F.expr(f"cast(pmod(fp, {filter_bits}L) div 64 as int)").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(fp, {filter_bits}L) % 64 as int))")).alias("v")).collect():
-        mask[[r["w"] for r in got]] = np.array([r["v"] for r in got], np.int64).view(np.uint64)
-    mask_b = spark.sparkContext.broadcast(mask.view(np.uint8))
+    mask_b = spark.sparkContext.broadcast(bit_filter(contexts.select("fp"), filter_bits))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bitmap = mask_b.value
@@ -129,17 +131,18 @@ def contamination(docs: DataFrame, items: DataFrame, filter_bits: int = 1 << 23)
             got = list(_grams(pdf["text"].tolist(), lengths, keep))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "digest": pdf["digest"], "n_words": [n for n, _ in got], "g": [g for _, g in got]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
-    printed = materialize(rows.mapInPandas(run, f"doc_id long, digest long, n_words long, g {_GRAM}"), "document-grams")
-    flat = printed.filter("size(g) > 0").select("doc_id", "digest", "n_words", F.explode("g").alias("d")).withColumn("fp", F.col("d.fp"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", text_digest(F.col("text")))
+    # Each row has a number of its own, fixed by being written, so that repeated rows stay apart.
+    printed = materialize(rows.mapInPandas(run, f"doc_id long, digest long, n_words long, g {_GRAM}").withColumn("row", F.monotonically_increasing_id()), "document-grams")
+    flat = printed.filter("size(g) > 0").select("row", "doc_id", "digest", "n_words", F.explode("g").alias("d")).withColumn("fp", F.col("d.fp"))
     known = known.withColumnRenamed("gram", "its_gram").withColumnRenamed("fp", "its_fp")
     joined = flat.join(known, (F.col("fp") == F.col("its_fp")) & (F.col("d.gram") == F.col("its_gram")) & (F.col("d.short") == F.col("short")), "left")
     left, right = _run_length(F.col("d.before"), F.col("before")), _run_length(F.col("d.after"), F.col("after"))
     n = F.when(F.col("short"), F.size(F.split("its_gram", " "))).otherwise(F.lit(K) + left + right)
     start = F.when(F.col("short"), F.col("d.pos")).otherwise(F.col("d.pos") - left)
     hit = F.when(F.col("short") | (n >= SPAN), F.struct(start.alias("start"), (start + n).alias("stop")))
-    hits = joined.select("doc_id", "digest", "n_words", hit.alias("span"), F.when(hit.isNotNull(), F.col("context")).alias("context"))
-    by_doc = hits.groupBy("doc_id", "digest").agg(F.first("n_words").alias("n_words"), F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.collect_set("context")).alias("contexts"))
+    hits = joined.select("row", "doc_id", "digest", "n_words", hit.alias("span"), F.when(hit.isNotNull(), F.col("context")).alias("context"))
+    by_doc = hits.groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc_id", "digest", "n_words")], F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.collect_set("context")).alias("contexts"))
     merged = F.aggregate(
         "spans",
         F.array().cast("array<struct<start:int,stop:int>>"),
@@ -154,14 +157,14 @@ def contamination(docs: DataFrame, items: DataFrame, filter_bits: int = 1 << 23)
     listed = sets.join(contexts.select("context", "items"), "context").select("set", F.explode("items").alias("item")).groupBy("set").agg(F.sort_array(F.collect_set("item")).alias("items"))
     listed = listed.select("set", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["stop"] - s["start"])
-    missed = printed.filter("size(g) = 0").select("doc_id", "digest", "n_words").distinct().select("doc_id", "n_words", F.array().cast("array<struct<start:int,stop:int>>").alias("spans"))
-    none = found.filter("set is null").select("doc_id", "n_words", "spans").unionByName(missed)
-    none = none.select("doc_id", "n_words", n_hit.alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"), "spans")
-    some = found.filter("set is not null").join(listed, "set").select("doc_id", "n_words", n_hit.alias("n_hit"), "n_items", "items_sha256", F.lit(True).alias("contaminated"), "spans")
+    missed = printed.filter("size(g) = 0").select("doc_id", "digest", "n_words", F.array().cast("array<struct<start:int,stop:int>>").alias("spans"))
+    none = found.filter("set is null").select("doc_id", "digest", "n_words", "spans").unionByName(missed)
+    none = none.select("doc_id", "digest", "n_words", n_hit.alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"), "spans")
+    some = found.filter("set is not null").join(listed, "set").select("doc_id", "digest", "n_words", n_hit.alias("n_hit"), "n_items", "items_sha256", F.lit(True).alias("contaminated"), "spans")
     return none.unionByName(some)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the documents that share a window with an item; rows with a null doc_id stay."""
-    dirty = materialize(contamination(docs.select("doc_id", "text"), items).filter("contaminated and doc_id is not null").select("doc_id").distinct(), "contaminated")
-    return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that share a window with an item; all columns are kept. A null doc_id is no reason to stay."""
+    found = _contamination(docs.select("doc_id", "text"), items, 1 << 23).filter("contaminated").select("doc_id", "digest", F.lit(False).alias("keep")).distinct()
+    return settle_rows(docs, materialize(found, "contaminated"))

@@ -1,11 +1,17 @@
 """SimHash near-duplicates by segment-popcount embedding.
 
-A 64-bit fingerprint is mapped to the 32 bit counts of its 2-bit segments. The Manhattan distance of two such points
-is at most the fingerprints' Hamming distance, so fingerprints at distance 2 or less lie in grid cells whose
-radius-1 neighbourhoods overlap. The range join is thus an equi-join on neighbourhood cells; fingerprints alone in
-all their cells have no partner. Those left are verified exactly: two words differ in at most two bits if and only
-if some word differs from each in at most one. Linking each to the smallest fingerprint at that word keeps every
-component and never lists the pairs of a dense group.
+Links within a few bits (near_duplicates). A 64-bit fingerprint is mapped to the 32 bit counts of its 2-bit segments.
+The Manhattan distance of two such points is at most the fingerprints' Hamming distance, so fingerprints at distance
+2 or less differ in at most two counts. The counts lie in 7 groups, of which 5 at least agree: each fingerprint lies
+in 21 grid cells, one for each choice of 5 groups, and the range join is an equi-join on cells. Pairs of one cell are
+held to the Manhattan bound and then verified exactly. A cell with more than DENSE members doesn't list its pairs: two
+words differ in at most two bits if and only if some word differs from each in at most one, so its members are linked
+to the smallest fingerprint at each such word, which keeps every component.
+
+Links at a likeness (deduplicate). At a Jaccard likeness of 0.8, fingerprints differ in some 10 of 64 bits and now and
+then in 20; cells of that radius would hold a large part of all rows. There, a cell is made of the least shingle
+hashes under a fixed mixing, several cells a text, which texts alike enough share almost surely. Candidates of a cell
+are then held to the Manhattan bound, to the Hamming distance, and last to the exact likeness of their shingle sets.
 """
 
 from __future__ import annotations
@@ -18,9 +24,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, connected_components, materialize
+from ._shared import bounded_batches, bit_filter, connected_components, drop_written, in_mask, materialize, settle_rows, text_digest
+from .hashing import NON_SPACE, gram_hashes, mix, slices, span_hashes, word_spans
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 2
+#: Groups of 2-bit segments as bit masks; a cell leaves out MAX_BITS of them.
+_EDGES = (0, 5, 10, 15, 20, 24, 28, 32)
+_GROUPS = [sum(3 << 2 * j for j in range(a, b)) for a, b in zip(_EDGES, _EDGES[1:])]
+DENSE = 16
+#: Links at a likeness: words of a shingle, the least likeness, and bits that fingerprints of such texts may differ in
+#: (half of those at 0.8 exactly differ in 10 or fewer, one in a million in more than 24).
+ALIKE_WORDS, ALIKE, ALIKE_BITS = 5, 0.8, 24
+#: Cells of a text, and hashes that make up one: texts at 0.8 share none of them twice in 10,000 times.
+CELLS, CELL_HASHES = 12, 3
 _SLICE = 1 << 15
 
 
@@ -64,25 +80,35 @@ def segment_counts(fp: Column) -> Column:
     return a.bitwiseXOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1))
 
 
-def _neighbour_cells(cell: Column) -> Column:
-    """The cell and all cells at Manhattan distance 1 with counts from 0 to 2."""
-    out = [cell]
-    for j in range(0, 64, 2):
-        count = F.shiftrightunsigned(cell, j).bitwiseAND(F.lit(3))
-        # 0 and 1 differ in the low bit, 1 and 2 in both.
-        out += [F.when(count < 2, cell.bitwiseXOR(_long(1 << j))), F.when(count > 0, cell.bitwiseXOR(_long(3 << j)))]
-    return F.array_compact(F.array(*out))
+def manhattan(a: Column, b: Column) -> Column:
+    """The Manhattan distance of two segment_counts() words."""
+    # 0, 1, 2 become the unary codes 00, 01, 11: they differ in as many bits as the counts differ.
+    unary = lambda x: x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(_long(0x5555555555555555)).bitwiseOR(x.bitwiseAND(_long(0xAAAAAAAAAAAAAAAA)))
+    return F.bit_count(unary(a).bitwiseXOR(unary(b)))
+
+
+def grid_cells(counts: Column) -> Column:
+    """The cells of a segment_counts() word: for each choice of two groups, a hash of the counts of all others."""
+    pairs = [(g, h) for g in range(len(_GROUPS)) for h in range(g)]
+    return F.array(*[F.xxhash64(counts.bitwiseAND(_long((1 << 64) - 1 ^ _GROUPS[g] ^ _GROUPS[h])), F.lit(i)) for i, (g, h) in enumerate(pairs)])
 
 
 def near_duplicate_links(fps: DataFrame) -> DataFrame:
     """(a, b) links over distinct fingerprints fps (fp) whose components are those of all pairs within MAX_BITS bits."""
-    cells = fps.select("fp", F.explode(_neighbour_cells(segment_counts(F.col("fp")))).alias("cell"))
-    shared = cells.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("cell")
-    candidates = materialize(cells.join(shared, "cell").select("fp").distinct(), "simhash-candidates")
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Few bytes become many rows here, so they are dealt to all tasks first.
+    cells = fps.repartition(parts, "fp").select("fp", F.explode(grid_cells(segment_counts(F.col("fp")))).alias("cell"))
+    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = materialize(cells.join(shared, "cell"), "simhash-cells")
+    sparse = members.filter(F.col("n") <= DENSE)
+    left, right = sparse.select("cell", F.col("fp").alias("a")), sparse.select("cell", F.col("fp").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    pairs = left.join(right, "cell").filter((a < b) & (manhattan(segment_counts(a), segment_counts(b)) <= MAX_BITS) & (F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS)).select("a", "b")
+    crowd = members.filter(F.col("n") > DENSE).select("fp").distinct().repartition(parts, "fp")
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(_long(1 << j)) for j in range(64)])
-    near = candidates.select("fp", F.explode(flips).alias("word"))
+    near = crowd.select("fp", F.explode(flips).alias("word"))
     least = near.groupBy("word").agg(F.min("fp").alias("a"), F.max("fp").alias("last")).filter("a <> last").select("word", "a")
-    return near.join(least, "word").filter("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+    return pairs.unionByName(near.join(least, "word").filter("fp <> a").select("a", F.col("fp").alias("b"))).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -101,16 +127,109 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return printed.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs without the near-duplicates: of each group, the row with the smallest doc_id stays.
+def shingle_sets(texts: list[str], words: int = ALIKE_WORDS) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(distinct shingle hashes, sorted; two digests of the word sequence) of each text. Fewer words: one shingle of all; none: no shingle."""
+    data = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+    for lo, hi in slices([len(d) for d in data]):
+        blob = b"\n".join(data[lo:hi])
+        starts, ends = word_spans(blob, NON_SPACE)
+        first = np.searchsorted(starts, np.cumsum([0, *(len(d) + 1 for d in data[lo:hi])])).tolist()
+        hashes = span_hashes(blob, starts, ends)
+        grams = gram_hashes(hashes, words)
+        for i, (a, b) in enumerate(zip(first, first[1:]), lo):
+            own = hashes[a:b]
+            found = np.unique(grams[a : b - words + 1]) if b - a >= words else gram_hashes(own, b - a) if b > a else np.empty(0, np.uint64)
+            yield found, xxhash.xxh3_64_intdigest(own.tobytes(), 1), xxhash.xxh3_64_intdigest(b" ".join(data[i].split()), 2)
+
+
+_CELL_SEEDS = mix(np.arange(1, CELLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def likeness_cells(shingles: np.ndarray) -> np.ndarray:
+    """For each of CELLS orders, a hash of the least CELL_HASHES shingles."""
+    mixed = mix(shingles[None, :] ^ _CELL_SEEDS[:, None])
+    if mixed.shape[1] > CELL_HASHES:
+        mixed = np.partition(mixed, CELL_HASHES - 1, axis=1)[:, :CELL_HASHES]
+    mixed.sort(axis=1)
+    out = _CELL_SEEDS.copy()
+    for column in mixed.T:
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + column)
+    return out
+
+
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """SimHash of distinct shingle hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), _SLICE):
+        ones += np.unpackbits(mix(shingles[at : at + _SLICE]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(shingles), bitorder="little").view("<i8")[0])
+
+
+def alike_links(texts: DataFrame, docs: DataFrame, likeness: float, words: int) -> DataFrame:
+    """(a, b) nodes of distinct texts at the likeness or more. texts: node, fp, n, cells, doc_id, digest of a row that has it."""
+    cells = texts.select("node", F.explode("cells").alias("cell"))
+    # Each member meets four members of its cell, the least and greatest in two orders, one of them the cell's own:
+    # no cell lists its pairs, and texts of one group meet many different ones over their cells.
+    own = F.col("node").bitwiseXOR(F.col("cell"))
+    met = cells.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(own).alias("near"), F.max(own).alias("far")).filter("lo <> hi")
+    others = F.array("lo", "hi", F.col("near").bitwiseXOR(F.col("cell")), F.col("far").bitwiseXOR(F.col("cell")))
+    pairs = cells.join(met, "cell").select("node", F.explode(others).alias("other")).filter("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    small = texts.select("node", "fp", "n")
+    both = pairs.join(small.toDF("a", "fp_a", "n_a"), "a").join(small.toDF("b", "fp_b", "n_b"), "b")
+    fa, fb, scale = F.col("fp_a"), F.col("fp_b"), round(likeness * 10_000)
+    near = (manhattan(segment_counts(fa), segment_counts(fb)) <= ALIKE_BITS) & (F.bit_count(fa.bitwiseXOR(fb)) <= ALIKE_BITS) & (F.least("n_a", "n_b") * 10_000 >= F.greatest("n_a", "n_b") * scale)
+    pairs = materialize(both.filter(near).select("a", "b"), "simhash-pairs")
+    # Only texts that are still in a pair are read again for their shingles.
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    named = texts.join(asked, "node", "left_semi").select(F.xxhash64("doc_id", "digest"))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(named))
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text_digest(F.col("text"))).alias("key"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = list(shingle_sets(pdf["text"][in_mask(shared.value, pdf["key"].to_numpy())].tolist(), words))
+            yield pd.DataFrame({"node": np.array([g[1] for g in got], np.uint64).view(np.int64), "s": [g[0].view(np.int64) for g in got]})
+
+    sets = materialize(rows.mapInPandas(read, "node long, s array<long>").join(asked, "node", "left_semi").dropDuplicates(["node"]), "simhash-sets")
+    a, b = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s_{x}")) for x in "ab")
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    return pairs.join(a, "a").join(b, "b").filter(common * 10_000 >= (F.size("s_a") + F.size("s_b") - common) * scale).select("a", "b")
+
 
-    Repeated rows of that doc_id become one; rows with a null doc_id cannot be told apart and stay.
+def alike_verdicts(docs: DataFrame, likeness: float = ALIKE, words: int = ALIKE_WORDS) -> DataFrame:
+    """doc_id, digest (of the text), keep for the rows of docs that are alike another; others have no verdict.
+
+    Texts of equal word sequences are one text; different texts link at the likeness of their sets of word shingles or
+    more. Of all rows that links join, that with the smallest doc_id stays (nulls last, ties by digest).
+    """
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = list(shingle_sets(pdf["text"].tolist(), words))
+            signed = lambda x: np.array(x, np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "digest": pdf["digest"], "node": signed([g[1] for g in got]), "again": signed([g[2] for g in got]), "fp": [set_fingerprint(g[0]) for g in got], "n": [len(g[0]) for g in got], "cells": [likeness_cells(g[0]).view(np.int64) for g in got]})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", text_digest(F.col("text")))
+    printed = materialize(rows.mapInPandas(run, "doc_id long, digest long, node long, again long, fp long, n int, cells array<long>"), "simhash-shingles")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("first")
+    texts = printed.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("cells").alias("cells"), first, F.count(F.lit(1)).alias("rows"), (F.min("again") == F.max("again")).alias("sure"))
+    # A node that two different texts share by chance is left alone: its rows stay.
+    texts = materialize(texts.filter("sure").select("node", "fp", "n", "cells", "first", "rows", "first.doc_id", "first.digest"), "simhash-texts")
+    parts = connected_components(alike_links(texts, docs, likeness, words), "simhash-components")
+    classed = texts.select("node", "first", "rows").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    best = classed.groupBy("component").agg(F.min("first").alias("best"), F.sum("rows").alias("total")).filter("total > 1")
+    chosen = classed.join(best, "component").select("node", "best")
+    kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))
+    out = materialize(printed.select("doc_id", "digest", "node").join(chosen, "node").select("doc_id", "digest", kept.alias("keep")).distinct(), "simhash-verdicts")
+    drop_written(printed)
+    return out
+
+
+def deduplicate(docs: DataFrame, likeness: float = ALIKE, words: int = ALIKE_WORDS) -> DataFrame:
+    """docs without near-duplicates: of each group of rows that alike_verdicts() joins, one stays; all columns are kept.
+
+    Null texts are empty, and texts without words are copies of each other; a null doc_id is no reason to stay.
+    Repeated rows become one. A text of any length is read whole. An empty table gives no rows.
     """
-    groups = materialize(near_duplicates(docs.select("doc_id", "text")).filter("doc_id is not null").select("doc_id", "component_id"), "simhash-groups")
-    drop = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
-    twice = materialize(groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "simhash-repeated")
-    if twice.isEmpty():  # then whole texts needn't be shuffled by doc_id
-        return kept
-    once = kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    return settle_rows(docs, alike_verdicts(docs.select("doc_id", "text"), likeness, words))

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from spectrafleet.llm import decontaminate, simhash
 from spectrafleet.llm._shared import connected_components
@@ -64,11 +65,98 @@ def test_near_duplicates_on_rows(spark):
     near = [(a, b) for a in fps for b in fps if a is not None and b is not None and a < b and bin(fps[a] ^ fps[b]).count("1") <= 2]
     parts = groups([i for i in fps if i is not None], near) | {None: 6}
     assert got == sorted(((i, f"{fps[i]:016x}", parts[i]) for i, _ in rows), key=str)
-    assert sorted(r["doc_id"] for r in simhash.deduplicate(docs.filter("doc_id is not null")).collect()) == sorted(set(parts.values()))
-    assert simhash.deduplicate(docs).filter("doc_id is null").count() == 1
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def five_word_shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike_groups(rows):
+    """Rows' indexes -> the least index of the group that likeness 0.8 links."""
+    sets = [five_word_shingles(t) for _, t in rows]
+    same = lambda a, b: len(a & b) * 5 >= 4 * len(a | b)
+    return groups(range(len(rows)), [(i, j) for j in range(len(rows)) for i in range(j) if same(sets[i], sets[j])])
+
+
+def survivors(rows):
+    """(doc_id, text) that stay: of each group the smallest doc_id, nulls last; repeated rows once."""
+    best = {}
+    for i, g in alike_groups(rows).items():
+        key = (rows[i][0] is None, rows[i][0] or 0)
+        best[g] = min(best.get(g, key), key)
+    return best
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 16])
+def test_deduplicate_against_all_pairs(spark, monkeypatch, bits):
+    from spectrafleet.llm import _shared
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    rows, n = [], 100
+    for _ in range(25):
+        base = [rng.choice(words) for _ in range(rng.choice([6, 12, 40, 300]))]
+        for _ in range(rng.choice([1, 2, 5])):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 1, 3, 8])):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((n, " ".join(copy)))
+            n += 1
+    hub = [rng.choice(words) for _ in range(200)]
+    rows += [(1000 + i, " ".join(hub[:i] + ["new"] + hub[i:])) for i in range(0, 120, 2)]  # a large group of near copies
+    rows += [(5, None), (6, ""), (7, " \n"), (None, "\t"), (8, "One  two"), (9, "one TWO"), (10, "one two three"), (None, rows[0][1]), (11, "twice the same row"), (11, "twice the same row"), (11, "another text of that id"), (None, "alone without any id"), (12, "z " * 20_000)]
+    monkeypatch.setattr(_shared, "ROW_FILTER_BITS", bits)
+    docs = spark.createDataFrame([(i, t, "x", 1, 2, True) for i, t in rows], "doc_id long, text string, _its_id string, digest int, node int, keep boolean").repartition(5)
+    got = simhash.deduplicate(docs)
+    assert got.dtypes == docs.dtypes
+    kept = got.collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == sorted(survivors(rows).values())
+    assert {(r["doc_id"], r["text"]) for r in kept} <= set(rows)
+    assert simhash.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_settled_rows(spark):
+    from spectrafleet.llm._shared import settle_rows, text_digest
+
+    rows = [(1, "a"), (1, "a"), (1, "b"), (None, "c"), (2, None), (3, "d"), (4, "e"), (4, "e")]
+    docs = spark.createDataFrame([(i, t, 9) for i, t in rows], "doc_id long, text string, keep int")
+    keys = spark.createDataFrame([(1, "a", True), (1, "b", False), (None, "c", False), (2, "", False)], "doc_id long, text string, keep boolean")
+    for bits in (64, 1 << 20):
+        got = settle_rows(docs, keys.select("doc_id", text_digest(F.col("text")).alias("digest"), "keep"), bits)
+        assert got.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(1, "a"), (3, "d"), (4, "e"), (4, "e")]
+
+
+def test_grid_keeps_near_words_together(spark):
+    rng = random.Random(1)
+    rows = []
+    for _ in range(300):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), rng.choice([1, 2, 2, 9])):
+            b ^= 1 << bit
+        rows.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
+    df = spark.createDataFrame(rows, "a long, b long").withColumns({"ca": simhash.segment_counts(F.col("a")), "cb": simhash.segment_counts(F.col("b"))})
+    for r in df.select("a", "b", simhash.manhattan(F.col("ca"), F.col("cb")).alias("m"), F.arrays_overlap(simhash.grid_cells(F.col("ca")), simhash.grid_cells(F.col("cb"))).alias("met")).collect():
+        parts = [[(x & (1 << 64) - 1) >> j & 3 for j in range(0, 64, 2)] for x in (r["a"], r["b"])]
+        assert r["m"] == sum(abs(x.bit_count() - y.bit_count()) for x, y in zip(*parts))
+        assert r["met"] or bin((r["a"] ^ r["b"]) & (1 << 64) - 1).count("1") > 2
+
+
+@pytest.mark.parametrize("dense", [2, 16])
+def test_dense_cells_keep_their_components(spark, monkeypatch, dense):
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    rng = random.Random(dense)
+    fps = {rng.getrandbits(64) for _ in range(30)}
+    x = rng.getrandbits(64)
+    fps |= {x ^ (1 << i) ^ (1 << j) for i in range(0, 12) for j in range(12)}
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    links = simhash.near_duplicate_links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()
+    brute = [(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 2]
+    assert groups(signed, [(r["a"], r["b"]) for r in links]) == groups(signed, brute)
+
+
 def test_components_of_chains_stars_and_loops(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(200, 260)] + [(7, 7), (300, None), (rng.randrange(400, 500), 401)]
@@ -115,7 +203,9 @@ def test_contamination_against_all_windows(spark, bits):
         assert got[i] == (n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0), i
     assert len(got) == len(docs)
     clean = decontaminate.decontaminate(docs_df, spark.createDataFrame(items, "item_id long, text string"))
-    assert {r["doc_id"] for r in clean.collect()} == {i for i, v in got.items() if not v[4] or i is None}
+    assert {r["doc_id"] for r in clean.collect()} == {i for i, v in got.items() if not v[4]}
+    twice = decontaminate.contamination(docs_df.filter("doc_id = 40").unionByName(docs_df.filter("doc_id = 40")), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(twice) == 2 and len(set(map(str, twice))) == 1 and twice[0]["contaminated"]
     assert clean.columns == docs_df.columns
     none = decontaminate.contamination(docs_df, spark.createDataFrame([], "item_id long, text string"))
     assert none.filter("contaminated").count() == 0 and none.count() == len(docs)
