@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bounded_batches
+from ._shared import bounded_batches, spare
 from .hashing import NON_SPACE, slices, span_hashes, word_spans
 
 PASSAGE_WORDS, BUCKETS, CLASSES, HIDDEN, GATE = 64, 256, 9, 24, 12
@@ -27,6 +27,8 @@ WIDTH = BUCKETS + CLASSES * CLASSES + EXTRA
 THRESHOLD = 0.7
 #: The default bound of the labelled sample that is fitted on the driver, about 60 MB of passage features.
 MAX_FIT_DOCS = 4000
+#: A fitted document gives so many passages at most, evenly spread over its length; scoring reads all of them.
+MAX_FIT_PASSAGES = 64
 
 
 def _byte_classes() -> np.ndarray:
@@ -110,10 +112,23 @@ class Model:
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(score, number of passages) of each text."""
-        if not texts:
-            return np.zeros(0), np.zeros(0, np.int64)
-        x, counts = passage_features(texts)
-        return self.forward(x, counts)["y"].astype(np.float64), counts
+        out = [(np.zeros(0), np.zeros(0, np.int64))]
+        for lo, hi in slices([len(t) for t in texts], 1 << 18):  # features take many times the text's memory
+            x, counts = passage_features(texts[lo:hi])
+            out.append((self.forward(x, counts)["y"].astype(np.float64), counts))
+        return np.concatenate([y for y, _ in out]), np.concatenate([n for _, n in out])
+
+
+def gradients(p: dict[str, np.ndarray], f: dict[str, np.ndarray], n: np.ndarray, dy: np.ndarray) -> dict[str, np.ndarray]:
+    """Of a loss whose derivatives by the bags' logits are dy, by every weight; f is forward() of bags of n passages."""
+    g = {"c": f["bag"].T @ dy, "d": dy.sum()}
+    dbag = np.repeat(dy[:, None] * p["c"], n, axis=0)
+    da = (dbag * f["h"]).sum(axis=1)
+    de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, f["starts"]), n))
+    dt, ds = de[:, None] * p["w"] * f["s"] * (1 - f["t"] ** 2), de[:, None] * p["w"] * f["t"] * f["s"] * (1 - f["s"])
+    g |= {"w": (f["t"] * f["s"]).T @ de, "V": f["h"].T @ dt, "U": f["h"].T @ ds}
+    dh = (f["a"][:, None] * dbag + dt @ p["V"].T + ds @ p["U"].T) * (1 - f["h"] ** 2)
+    return g | {"W": f["z"].T @ dh, "b": dh.sum(axis=0)}
 
 
 def fit_bags(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, epochs: int = 16, batch: int = 64, rate: float = 0.004, decay: float = 3e-3, seed: int = 7) -> Model:
@@ -132,14 +147,7 @@ def fit_bags(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, epochs: int
             rows = np.concatenate([np.arange(begins[i], begins[i] + counts[i]) for i in pick])
             f = model.forward(x[rows], n)
             dy = ((f["y"] - labels[pick]) / len(pick)).astype(np.float32)
-            g = {"c": f["bag"].T @ dy, "d": dy.sum()}
-            dbag = np.repeat(dy[:, None] * p["c"], n, axis=0)
-            da = (dbag * f["h"]).sum(axis=1)
-            de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, f["starts"]), n))
-            dt, ds = de[:, None] * p["w"] * f["s"] * (1 - f["t"] ** 2), de[:, None] * p["w"] * f["t"] * f["s"] * (1 - f["s"])
-            g |= {"w": (f["t"] * f["s"]).T @ de, "V": f["h"].T @ dt, "U": f["h"].T @ ds}
-            dh = (f["a"][:, None] * dbag + dt @ p["V"].T + ds @ p["U"].T) * (1 - f["h"] ** 2)
-            g |= {"W": f["z"].T @ dh, "b": dh.sum(axis=0)}
+            g = gradients(p, f, n, dy)
             step += 1
             for k, (m, v) in moving.items():
                 grad = g[k] + (decay * p[k] if p[k].ndim else 0)
@@ -149,11 +157,12 @@ def fit_bags(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, epochs: int
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_FIT_DOCS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_FIT_DOCS, max_passages: int = MAX_FIT_PASSAGES) -> Model:
     """Learn from labels (doc_id, label 0 or 1) of docs (doc_id, text).
 
     At most max_docs labelled documents are used, those whose doc_id hashes lowest: the sample is the same on every
-    run and independent of the text. Null labels and ids are left out; a repeated doc_id counts once, with its
+    run and independent of the text. Of a text of more than max_passages passages, that many are used, evenly spread,
+    which bounds what reaches the driver (max_docs * max_passages * WIDTH * 2 bytes at most). Null labels and ids are left out; a repeated doc_id counts once, with its
     greatest label and text. Without labelled documents every score is 0.5 or so.
     """
     spark = docs.sparkSession
@@ -166,7 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_FIT_DOCS) -> Mod
         for pdf in batches:
             x, counts = passage_features(pdf["text"].tolist())
             cut = np.split(x.astype(np.float16), np.cumsum(counts)[:-1])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "x": [c.tobytes() for c in cut]})
+            spread = [c[np.arange(max_passages) * len(c) // max_passages] if len(c) > max_passages else c for c in cut]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "x": [c.tobytes() for c in spread]})
 
     rows = texts.groupBy("doc_id", "label").agg(F.max("text").alias("text")).mapInPandas(describe, "doc_id long, label int, x binary").toArrow().sort_by("doc_id")
     bags = [np.frombuffer(b, np.float16).reshape(-1, WIDTH) for b in rows["x"].to_pylist()]
@@ -175,8 +185,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_FIT_DOCS) -> Mod
 
 
 def add_scores(docs: DataFrame, model: Model, score: str = "score", passages: str = "n_passages") -> DataFrame:
-    """docs with a score (0 to 1) and the number of passages of each row's whole text; null texts score as empty ones."""
+    """docs with a score (0 to 1) and the number of passages of each row's whole text, of any length.
+
+    Null texts score as empty ones, repeated rows and rows of equal texts score alike, an empty table gives no rows.
+    Columns of docs that have the new ones' names are replaced.
+    """
     spark = docs.sparkSession
+    docs = docs.drop(score, passages)
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # a fixed number of weights
 
@@ -190,5 +205,6 @@ def add_scores(docs: DataFrame, model: Model, score: str = "score", passages: st
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject."""
-    return add_scores(docs, model, "_score", "_passages").filter(F.col("_score") >= threshold).select(*docs.columns)
+    """The rows of docs that the classifier doesn't reject, with all their columns."""
+    score, passages = spare(docs, "_score", "_passages")
+    return add_scores(docs, model, score, passages).filter(F.col(score) >= threshold).select(*docs.columns)
