@@ -5,10 +5,12 @@ c(v) and a text's first context is the end mark. The weights are learned by expe
 counts: every training token is scored with its own occurrence deleted from the counts.
 
 Counting and lookup are one exchange. Each task reads its texts in blocks of BLOCK_BYTES, and asks for the counts of
-a block's distinct words and word pairs; the requests, which carry the block's own counts, are dealt by hash. A
-bucket sums each key's counts over all blocks and answers every block in the order of its request. However common a
-word is, it reaches its bucket once for each block. Answers lie in the shared folder, one folder for each block,
-named by a digest of the block's rows; the scoring passes make the same blocks from the same rows and read them.
+a block's distinct words and word pairs; the requests, which carry the block's own counts, are dealt to buckets by
+hash. A bucket sums each key's counts over all blocks and answers every block in the order of its request. However
+common a word is, it reaches its bucket once for each block, and there are as many buckets as the text's bytes ask
+for, so that one fits a task. Answers lie in the shared folder, those of some SHELF_BLOCKS blocks in one file, sorted
+by a digest of the block's rows, which its row groups are found by; the scoring passes make the same blocks from the
+same rows and read them.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from ._shared import bounded_batches, new_path
 from .hashing import NON_SPACE, mix, slices, span_hashes, word_spans
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES, BUCKET_BYTES, SHELF_BLOCKS = 6 << 20, 16 << 20, 16
 END = np.uint64(0x6A09E667F3BCC909)
 CLASSES, STEPS = 48, 4
 _ZERO = -400
@@ -49,7 +51,17 @@ class Block:
         return np.repeat(self.train, np.diff(self.starts)).astype(np.float64)
 
 
-def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[Block]:
+@dataclass
+class Layout:
+    """How texts are cut into blocks, and where blocks' answers lie."""
+
+    uri: str
+    block_bytes: int
+    buckets: int
+    shelves: int
+
+
+def blocks(batches: Iterator[pd.DataFrame], block_bytes: int) -> Iterator[Block]:
     """Blocks of (doc_id, train, text) rows; what a block holds depends on the rows and their order alone."""
     ids, train, data, size = [], [], [], 0
     for pdf in batches:
@@ -58,7 +70,7 @@ def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[Block]:
             train.append(bool(t))
             data.append(text.encode("utf-8", "surrogatepass").lower())
             size += len(data[-1]) + 8
-            if size >= BLOCK_BYTES:
+            if size >= block_bytes:
                 whole = _block(ids, train, data)
                 ids, train, data, size = [], [], [], 0
                 yield whole
@@ -113,61 +125,81 @@ def _by_bucket(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(bucket, kind="stable"), np.searchsorted(np.sort(bucket), np.arange(n + 1))
 
 
-def gather_counts(rows: DataFrame, out_uri: str) -> tuple[int, int, int]:
-    """Answer every block's request under out_uri; (buckets, N, V) of the training rows (doc_id, train, text)."""
+def plan_layout(rows: DataFrame, uri: str, block_bytes: int, bucket_bytes: int) -> Layout:
+    sums = rows.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    total = (sums["b"] or 0) + 8 * sums["n"]
+    return Layout(uri, block_bytes, max(8, -(-total // bucket_bytes)), max(1, -(-total // (block_bytes * SHELF_BLOCKS))))
+
+
+def gather_counts(rows: DataFrame, layout: Layout) -> tuple[int, int]:
+    """Answer every block's request; N and V of the training rows (doc_id, train, text)."""
     spark = rows.sparkSession
-    n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = layout.buckets
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in blocks(batches):
+        for b in blocks(batches, layout.block_bytes):
             weight = b.weight
             for kind, keys, at in ((1, b.words, b.word_at), (2, b.pairs, b.pair_at)):
                 counts = np.bincount(at, weights=weight, minlength=len(keys)).astype(np.int64)
                 order, begin = _by_bucket(keys, n)
-                cut = [order[begin[i] : begin[i + 1]] for i in range(n)]
-                out = [(b.digest, kind, i, keys[c].tobytes(), pack(counts[c])) for i, c in enumerate(cut) if len(c)]
-                yield pd.DataFrame(out, columns=["block", "kind", "bucket", "keys", "counts"])
-
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
-        sizes = [len(k) for k in keys]
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.concatenate([unpack(c, m) for c, m in zip(pdf["counts"], sizes, strict=True)])
-        # A sum of float64 is exact up to 2**53.
-        totals = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
-        cuts = np.split(at, np.cumsum(sizes)[:-1])
-        out = pd.DataFrame({"block": pdf["block"], "kind": pdf["kind"], "bucket": pdf["bucket"], "counts": [pack(totals[c]) for c in cuts], "n": [len(c) for c in cuts], "tokens": 0, "types": 0})
-        out.loc[out.index[0], ["tokens", "types"]] = int(totals.sum()), int((totals > 0).sum())
-        return out
+                some = np.flatnonzero(np.diff(begin)).tolist()
+                cut = [order[begin[i] : begin[i + 1]] for i in some]
+                yield pd.DataFrame({"block": b.digest, "kind": kind, "bucket": some, "keys": [keys[c].tobytes() for c in cut], "counts": [pack(counts[c]) for c in cut]})
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked = [pdf for pdf in batches if len(pdf)]  # one bucket
+        for kind in (1, 2):
+            parts = [p for p in (pdf[pdf["kind"] == kind] for pdf in asked) if len(p)]
+            if not parts:
+                continue
+            keys = [np.frombuffer(k, np.uint64) for p in parts for k in p["keys"]]
+            sizes = [len(k) for k in keys]
+            distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+            del keys
+            counts = np.concatenate([unpack(c, m) for c, m in zip((c for p in parts for c in p["counts"]), sizes, strict=True)])
+            # A sum of float64 is exact up to 2**53.
+            totals = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
+            tokens, types, done = int(totals.sum()), int((totals > 0).sum()), 0
+            for p in parts:
+                m = sizes[: len(p)]
+                sizes = sizes[len(p) :]
+                ends = done + np.cumsum([0, *m])
+                out = pd.DataFrame({"block": p["block"], "kind": kind, "bucket": p["bucket"], "counts": [pack(totals[at[a:b]]) for a, b in zip(ends, ends[1:])], "n": m, "tokens": 0, "types": 0})
+                if not done:
+                    out.iloc[0, [5, 6]] = tokens, types
+                done = int(ends[-1])
+                yield out
 
     asked = rows.mapInPandas(ask, "block long, kind int, bucket int, keys binary, counts binary")
-    answered = asked.groupBy("kind", "bucket").applyInPandas(answer, "block long, kind int, bucket int, counts binary, n long, tokens long, types long")
-    answered.repartition("block").write.partitionBy("block").parquet(out_uri)
-    schema = "kind int, bucket int, counts binary, n long, tokens long, types long, block long"
-    sums = spark.read.schema(schema).parquet(out_uri).filter("kind = 1").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
-    return n, sums["n"] or 0, sums["v"] or 0
+    answered = asked.repartitionById(n, "bucket").mapInPandas(answer, "block long, kind int, bucket int, counts binary, n long, tokens long, types long")
+    shelved = answered.withColumn("shelf", F.pmod("block", F.lit(layout.shelves)).cast("int")).repartition("shelf").sortWithinPartitions("shelf", "block")
+    shelved.write.option("parquet.block.size", str(2 << 20)).partitionBy("shelf").parquet(layout.uri)
+    schema = "block long, kind int, bucket int, counts binary, n long, tokens long, types long, shelf int"
+    sums = spark.read.schema(schema).parquet(layout.uri).filter("kind = 1").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
+    return sums["n"] or 0, sums["v"] or 0
 
 
-def _answers(block: Block, out_uri: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _answers(block: Block, layout: Layout) -> tuple[np.ndarray, np.ndarray]:
     """Training counts of a block's words and pairs."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
-    store, root = fs.FileSystem.from_uri(out_uri)
+    store, root = fs.FileSystem.from_uri(layout.uri)
     found: dict[tuple[int, int], np.ndarray] = {}
-    for info in store.get_file_info(fs.FileSelector(f"{root}/block={block.digest}")):
+    for info in store.get_file_info(fs.FileSelector(f"{root}/shelf={block.digest % layout.shelves}", allow_not_found=True)):
         if info.base_name.endswith(".parquet"):
             with store.open_input_file(info.path) as f:
-                table = pq.read_table(f, columns=["kind", "bucket", "counts", "n"]).to_pydict()
+                table = pq.read_table(f, columns=["kind", "bucket", "counts", "n"], filters=[("block", "=", block.digest)]).to_pydict()
             for kind, bucket, counts, m in zip(table["kind"], table["bucket"], table["counts"], table["n"], strict=True):
                 found[kind, bucket] = unpack(counts, m)
     out = []
     for kind, keys in ((1, block.words), (2, block.pairs)):
-        order, begin = _by_bucket(keys, n)
+        order, begin = _by_bucket(keys, layout.buckets)
         totals = np.empty(len(keys), np.int64)
-        for i in range(n):
-            if begin[i] < begin[i + 1]:
-                totals[order[begin[i] : begin[i + 1]]] = found[kind, i]
+        for i in np.flatnonzero(np.diff(begin)).tolist():
+            if (kind, i) not in found:
+                raise RuntimeError("the documents were not read again in the same order; write them as a table first")
+            totals[order[begin[i] : begin[i + 1]]] = found[kind, i]
         out.append(totals)
     return out[0], out[1]
 
@@ -180,10 +212,11 @@ def size_class(counts: np.ndarray) -> np.ndarray:
 def learn_weights(bins: pd.DataFrame, v: int, rounds: int = 60) -> np.ndarray:
     """(CLASSES, 3) weights of pair, word and uniform estimates by expectation-maximisation over binned tokens.
 
-    bins has size_class, p2, p1 (log2 of the estimates in STEPS-ths, _ZERO for none) and weight. Unseen classes get
-    the word and uniform weights of the smallest class seen.
+    bins has size_class, p2, p1 (log2 of the estimates in STEPS-ths, _ZERO for none) and weight. A class without bins
+    gets the weights of the nearest class with some (of two, the smaller); class 0, contexts never seen, gives the
+    share of the pairs to the words. Without any bins all mass is uniform.
     """
-    weights = np.tile([0.0, 0.9, 0.1], (CLASSES, 1))
+    weights = np.tile([0.0, 0.0, 1.0], (CLASSES, 1))
     value = lambda x: np.where(x > _ZERO, 2.0 ** (x / STEPS), 0.0)
     for c, part in bins.groupby("size_class"):
         p = np.stack([value(part["p2"].to_numpy(float)), value(part["p1"].to_numpy(float)), np.full(len(part), 1 / (v + 1))], axis=1)
@@ -194,29 +227,35 @@ def learn_weights(bins: pd.DataFrame, v: int, rounds: int = 60) -> np.ndarray:
             share /= share.sum(axis=1, keepdims=True)
             lam = (share * w[:, None]).sum(axis=0) / w.sum()
         weights[int(c)] = lam * (1 - 1e-9) + np.array([0, 0, 1e-9])
+    seen = np.unique(bins["size_class"].to_numpy(np.int64))
+    for c in np.setdiff1d(np.arange(CLASSES), seen) if len(seen) else ():
+        weights[c] = weights[seen[np.argmin(np.abs(seen - c))]]
+        if not c:
+            weights[c] = 0, weights[c, 0] + weights[c, 1], weights[c, 2]
     return weights
 
 
-def score_documents(docs: DataFrame, train: Column) -> DataFrame:
+def score_documents(docs: DataFrame, train: Column, block_bytes: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for docs (doc_id, text), learning from rows where train holds.
 
     score is the log10 probability of the text with its end mark; base_score that of add-one word counts. A null text
     is empty and has its end mark alone; repeated rows count and are scored each time; null ids are kept; an empty
-    table gives no rows, and with no training rows all mass is uniform. Other columns are ignored. docs must give the
-    same rows in the same order when read again, as a table does: else a block finds no answer and the job fails.
+    table gives no rows, and with no training rows all mass is uniform. A text longer than block_bytes is a block of
+    its own. Other columns are ignored. docs must give the same rows in the same order when read again, as a table
+    does: else a block finds no answer and the job says so.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce("text", F.lit("")).alias("text"))
-    out = new_path(spark, "ngram-counts")
-    n, tokens, types = gather_counts(rows, out)
+    layout = plan_layout(rows, new_path(spark, "ngram-counts"), block_bytes or BLOCK_BYTES, bucket_bytes or BUCKET_BYTES)
+    tokens, types = gather_counts(rows, layout)
 
     def logs(p: np.ndarray) -> np.ndarray:
         return np.where(p > 0, np.round(np.log2(np.where(p > 0, p, 1.0)) * STEPS), _ZERO).astype(np.int64)
 
     def held_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in blocks(batches):
-            word, pair = _answers(b, out, n)
+        for b in blocks(batches, layout.block_bytes):
+            word, pair = _answers(b, layout)
             times = np.bincount(b.pair_at, weights=b.weight, minlength=len(b.pairs))
             first = np.full(len(b.pairs), -1)
             first[b.pair_at[::-1]] = np.arange(len(b.pair_at))[::-1]
@@ -233,8 +272,8 @@ def score_documents(docs: DataFrame, train: Column) -> DataFrame:
     weights = learn_weights(bins, types)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in blocks(batches):
-            word, pair = _answers(b, out, n)
+        for b in blocks(batches, layout.block_bytes):
+            word, pair = _answers(b, layout)
             c1, c2 = word[b.context_at], word[b.word_at]
             lam = weights[size_class(c1)]
             p = lam[:, 0] * pair[b.pair_at] / np.maximum(c1, 1) + lam[:, 1] * c2 / max(tokens, 1) + lam[:, 2] / (types + 1)

@@ -29,15 +29,14 @@ def rows():
     return out + [(500, None), (501, "new words only"), (None, "no id w1"), (5, "again w1"), (5, "again w1")]
 
 
-@pytest.mark.parametrize("block", [1 << 24, 700])
-def test_scores_match_plain_counts(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "bucket"), [(1 << 24, 1 << 24), (700, 1000)])
+def test_scores_match_plain_counts(spark, block, bucket):
     data = rows()
     docs = spark.createDataFrame([(i, t, 1, 1) for i, t in data], "doc_id long, text string, train int, n_tokens int").repartition(3, "text")
     from spectrafleet.llm._shared import materialize
 
     docs = materialize(docs, "docs")
-    monkeypatch.setattr(ngram_lm, "BLOCK_BYTES", block)
-    got = ngram_lm.score_documents(docs, F.col("doc_id") % 4 != 1).collect()
+    got = ngram_lm.score_documents(docs, F.col("doc_id") % 4 != 1, block, bucket).collect()
     train = [words(t or "") for i, t in data if i is not None and i % 4 != 1]
     c = Counter(w for t in train for w in t)
     pairs = Counter(p for t in train for p in zip(["\0end", *t], t))
@@ -70,6 +69,21 @@ def test_no_rows_and_no_training_rows(spark):
     assert row["train_tokens"] == 0 and row["n_tokens"] == 3 and row["n_known"] == 0 and row["score"] <= 0
 
 
+def test_classes_without_counts_follow_their_neighbours():
+    bins = pd.DataFrame({"size_class": [3, 3, 6], "p2": [-4, ngram_lm._ZERO, -8], "p1": [-40, -20, -30], "weight": [5.0, 2.0, 3.0]})
+    w = ngram_lm.learn_weights(bins, 100)
+    assert np.allclose(w.sum(axis=1), 1) and (w[1] == w[3]).all() and (w[4] == w[3]).all() and (w[5] == w[6]).all() and (w[47] == w[6]).all()
+    assert w[0, 0] == 0 and w[0, 1] == w[3, 0] + w[3, 1]
+    assert (ngram_lm.learn_weights(bins.iloc[:0], 100) == [0, 0, 1]).all()
+
+
+def test_rows_in_another_order_are_reported(spark):
+    other = F.udf(lambda i: f"a{i} {random.random()}").asNondeterministic()
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), other("id").alias("text"))
+    with pytest.raises(Exception, match="same order"):
+        ngram_lm.score_documents(docs, F.lit(True), 60).collect()
+
+
 def test_packed_counts_round_trip():
     x = np.array([0, 1, 254, 255, 256, 1 << 40])
     assert ngram_lm.unpack(ngram_lm.pack(x), len(x)).tolist() == x.tolist()
