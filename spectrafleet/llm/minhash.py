@@ -85,11 +85,13 @@ def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Add next_<column>: each column's value in the next row by descending key (null last), the first row's after the last.
 
     The rows are dealt into key ranges of about equal counts; each range also gets the next range's first rows, so
-    no task sees more than its range. Ties of the key are ordered by the columns. Ranges and their first keys, one
+    no task sees more than its range. Ties of the key are ordered by the columns, rows with a null key by a digest of
+    the first column, by which they are dealt as well; rows of one key share a range. Ranges and their first keys, one
     number for each range, are all that reaches the driver.
     """
     spark = df.sparkSession
-    df = df.withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)))
+    unkeyed = F.lit(_NO_ID) + F.pmod(F.xxhash64(columns[0]), F.lit(1 << 40))  # below every id in use
+    df = df.withColumn("_key", F.coalesce(F.col(key).cast("long"), unkeyed))
     n = max(2, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     cuts = sorted(set(df.agg(F.percentile_approx("_key", [i / n for i in range(1, n)], 100 * n)).first()[0] or []))
     of_range = F.size(F.filter(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<long>"), lambda c: F.col("_key") >= c))
@@ -111,7 +113,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     A document's edited text has its last third (floor of its code points by 3) replaced by the first as many code
     points, or all, of the next document by descending doc_id; the last is followed by the first. Null text: empty.
-    Repeated rows stay, ordered by text; null doc_ids come last. An empty table gives no rows; a lone row is its own
+    Repeated rows stay, ordered by text; null doc_ids come last, by a digest of their texts. A text of any length is
+    one row of its task; ids below -2**63 + 2**40 are not provided for. An empty table gives no rows; a lone row is its own
     next. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
