@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._shared import bounded_batches, new_path
 from .hashing import NON_SPACE, mix, slices, span_hashes, word_spans
 
-BLOCK_BYTES, BUCKET_BYTES, SHELF_BLOCKS = 6 << 20, 16 << 20, 16
+BLOCK_BYTES, BUCKET_BYTES, SHELF_BLOCKS = 6 << 20, 8 << 20, 16
 END = np.uint64(0x6A09E667F3BCC909)
 CLASSES, STEPS = 48, 4
 _ZERO = -400
@@ -172,7 +172,7 @@ def gather_counts(rows: DataFrame, layout: Layout) -> tuple[int, int]:
 
     asked = rows.mapInPandas(ask, "block long, kind int, bucket int, keys binary, counts binary")
     answered = asked.repartitionById(n, "bucket").mapInPandas(answer, "block long, kind int, bucket int, counts binary, n long, tokens long, types long")
-    shelved = answered.withColumn("shelf", F.pmod("block", F.lit(layout.shelves)).cast("int")).repartition("shelf").sortWithinPartitions("shelf", "block")
+    shelved = answered.withColumn("shelf", F.pmod("block", F.lit(layout.shelves)).cast("int")).repartitionById(layout.shelves, "shelf").sortWithinPartitions("shelf", "block")
     shelved.write.option("parquet.block.size", str(2 << 20)).partitionBy("shelf").parquet(layout.uri)
     schema = "block long, kind int, bucket int, counts binary, n long, tokens long, types long, shelf int"
     sums = spark.read.schema(schema).parquet(layout.uri).filter("kind = 1").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
