@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import alignment as A
+from ..operators import calibration as C
+from ..operators import diagnostics as D
 from ..operators import ranking as R
 from ..operators import sets as X
 from ..operators.calibration import work_folder
+from ..operators.fit import FitResult, evaluate_curves
 from ..sources.measurements import require_valid
 
 GRID = ("start_freq_hz", "end_freq_hz", "n_bins")
@@ -70,3 +73,13 @@ def campaign_overview(rows: DataFrame, aligned: DataFrame, distribution: DataFra
         "campaign", F.array_join(F.sort_array("has"), ",").alias("sensors"), F.array_join(F.sort_array(F.array_except("had", "has")), ",").alias("left_out"), "n_records", "reliable_sensor", "outliers",
         (F.col("central_freq_hz") / 1e6).alias("central_freq_mhz"), (F.col("span_hz") / 1e6).alias("span_mhz"), (F.col("rbw_hz") / 1e3).alias("rbw_khz"), (F.col("acquisition_interval_s") / 60).alias("interval_min"),
     )
+
+
+def evaluate_corpus(rows: DataFrame, settings: DataFrame, done: FitResult, features: tuple[str, ...]) -> DataFrame:
+    """Role summary of rows calibrated with a fit's persistent curves, out-of-distribution campaigns counted."""
+    grid = rows.select("campaign", "sensor_id", "start_freq_hz", "end_freq_hz", "n_bins").distinct()
+    made = evaluate_curves(done.model, grid.join(settings.drop("config_id"), "campaign").withColumnRenamed("campaign", "config_id")).withColumnRenamed("config_id", "campaign")
+    out = C.calibrate(rows, made, ("campaign", "sensor_id"))
+    g = C.config_geometry(settings.filter("role = 'train'"), features)
+    trust = C.out_of_distribution(settings, g).select("campaign", "is_ood")
+    return D.role_summary(D.campaign_diagnostics(out, settings.select("campaign", "role"), trust))

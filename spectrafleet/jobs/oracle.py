@@ -121,9 +121,10 @@ ORACLE_SQL: dict[str, str] = {
     "overlay_limits": f"with {PSD}, {CURVES}, {CAL}, {DB} select campaign, round(min(least(list_min(raw_db), list_min(cal_db))) - 0.5, 6) as lower, round(max(greatest(list_max(raw_db), list_max(cal_db))) + 0.5, 6) as upper from db group by campaign",
     "campaign_diagnostics": f"with {PSD}, {CURVES}, {CAL}, {DB}, {DIAG} select campaign, role, is_ood, n_records, {r('mean_raw_rmse_db median_raw_rmse_db max_raw_rmse_db mean_cal_rmse_db median_cal_rmse_db max_cal_rmse_db improvement_db dispersion log_correlation')} from diag",
     "role_summary": f"with {PSD}, {CURVES}, {CAL}, {DB}, {DIAG} select role, count(*) as campaigns, sum(n_records)::bigint as records, round(avg(mean_raw_rmse_db), 6) as mean_raw_rmse_db, round(avg(mean_cal_rmse_db), 6) as mean_cal_rmse_db, round(max(max_cal_rmse_db), 6) as max_cal_rmse_db, round(sum(dispersion), 6) as dispersion_term, round(sum(1 - log_correlation), 6) as correlation_term, count(*) filter (is_ood) as ood_campaigns from diag group by role",
-    "objective_history": f"with {EV}, s as (select campaign as run, src_row as step, value as objective from ev where sensor_id in ('view', 'click')), l as (select *, lag(objective) over w as b, min(objective) over (partition by run order by step rows unbounded preceding) as best, row_number() over (partition by run order by objective, step) as k from s window w as (partition by run order by step)) select run, step, round(objective, 4) as objective, round(objective - b, 4) as delta, round((objective - b) / greatest(abs(b), 1e-12), 4) as relative_delta, objective <= best as is_best_so_far, k = 1 as is_selected from l",
+    "objective_history": f"with {EV}, s as (select campaign || '/' || sensor_id as run, src_row as step, value as objective from ev), l as (select *, lag(objective) over w as b, min(objective) over (partition by run order by step rows unbounded preceding) as best, row_number() over (partition by run order by objective, step) as k from s window w as (partition by run order by step)) select run, step, round(objective, 4) as objective, round(objective - b, 4) as delta, round((objective - b) / greatest(abs(b), 1e-12), 4) as relative_delta, objective <= best as is_best_so_far, k = 1 as is_selected from l",
     "stream_calibrate": f"with {PSD}, {CURVES}, {CAL} select campaign, sensor_id, count(*) as n, round(sum(list_sum(cp)) * 1e6, 6) as total_uw from cal group by all",
-    "content_fingerprint": f"with {PSD} select campaign, 64::int as digits, 1::bigint as same from psd group by campaign",
+    "content_fingerprint": f"""with {PSD} select campaign, sha256('{{"campaign":"' || campaign || '","grid":{{"start_freq_hz":8.8E7,"end_freq_hz":1.08E8,"n_bins":' || any_value(n_bins) || '}},"n":' || count(*) || ',"sensors":["' || string_agg(distinct sensor_id, '","' order by sensor_id) || '"]}}') as sha256 from psd group by campaign""",
+    "write_calibrated": f"with {PSD}, {CURVES}, {CAL} select campaign, sensor_id, count(*) as n, round(sum(list_sum(cp)) * 1e6, 6) as total_uw from cal group by all",
     "ingest_measurements": f"with {LANDED} select id, coalesce(nullif(trim(mac), ''), 'fallback') as mac, coalesce(campaign_id::bigint, 7) as campaign_id, replace(pxx, ' ', '') as pxx, ts as timestamp from landed where pxx is not null and pxx <> ''",
     "ingest_report": f"with {LANDED}, raw as (select * from landed where not (campaign = 'c1' and label = 'click')), pairs as (select * from (select distinct campaign from raw), (select distinct label from raw)), n as (select campaign, label, count(*) as raw, count(*) filter (pxx is not null and pxx <> '' and not (campaign = 'c2' and label = 'view')) as kept from raw group by all) select campaign, label, coalesce(kept, 0) as rows, case when raw is null then 'no data' when kept = 0 then 'nothing left after filter' else 'saved' end as reason from pairs left join n using (campaign, label)",
     "read_measurements": f"with {LANDED}, v as (select *, id::bigint % 13 = 0 or pxx is null or pxx = '' as bad from landed) select campaign, label as sensor_id, count(*) filter (not bad) as n_good, round(sum(id::bigint % 7 + id::bigint % 5 + user_id % 3) filter (not bad), 6)::double as total, count(*) filter (bad) as n_bad from v group by all",
@@ -132,8 +133,8 @@ ORACLE_SQL: dict[str, str] = {
     "load_campaign_config": "with f as (select 'g' || (p_partkey % 50) as campaign, first(p_size order by p_partkey) as s from part group by all) select campaign, round((88000000 + 125000 * s)::double, 3) as central_freq_hz, round(s * 1e6::double, 3) as span_hz, round((1000 * (1 + s % 5))::double, 3) as rbw_hz, (s % 40)::double as lna_gain_db, (s % 20)::double as vga_gain_db, round((60 + s * 15)::double, 3) as acquisition_interval_s, case s % 3 when 1 then true when 2 then false end as antenna_amp, case when s % 3 = 0 then 'antenna_amp missing' end as problem from f",
     "load_registry": "with r as (select 'r' || (p_partkey % 997) as label, case when p_partkey % 5 = 0 then null else p_partkey end as id from part), w as (select *, count(*) over (partition by label) as n from r) select problem, count(*) as n from (select case when id is null or id <= 0 then 'bad id' when n > 1 then 'repeated label' end as problem from w) where problem is not null group by problem",
     "resolve_sensors": f"with {CELLS}, reg as (select distinct sensor_id as label, case when sensor_id = 'Node3' then ' ' else 'mac-' || sensor_id end as mac from cells), c as (select 'Node' || (s_suppkey * 5 % 11) as label, s_suppkey as pos from supplier), w as (select *, count(*) over (partition by label) as n from c) select label, pos, mac, case when n > 1 then 'repeated' when mac is null then 'unknown' when trim(mac) = '' then 'blank mac' end as problem from w left join reg using (label)",
-    "rank_campaigns": f"with {PSD}, {CORR}, {RANKING}, {DIST} select campaign, sensor_id, n_records, ranking.rank, is_outlier, round(mean_score, 6) as mean_score, round(mean_correlation, 6) as mean_correlation, round(score, 6) as similarity from ranking join dist using (campaign, sensor_id)",
-    "prepare_corpus": f"with {PSD}, {CONFIGS} select campaign, string_agg(distinct sensor_id, ',' order by sensor_id) filter (campaign <> 'c1' or sensor_id <> 'Node5') as sensors, case when campaign = 'c1' then 'Node5' else '' end as left_out, count(distinct record_idx) - 1 as n_records, round(any_value(central_freq_hz) / 1e6, 6) as central_freq_mhz, round(any_value(span_hz) / 1e6, 6) as span_mhz, round(any_value(rbw_hz) / 1e3, 6) as rbw_khz, round(any_value(acquisition_interval_s) / 60, 6) as interval_min from psd left join configs on config_id = substring(campaign, 2)::bigint group by campaign",
+    "rank_campaigns": f"with {PSD}, {CORR}, {NOISE}, {RANKING}, {DIST}, f as (select campaign, sensor_id, avg(noise_floor_db) as mean_noise_floor_db from psd join nf using (src_row) group by all) select campaign, sensor_id, n_records, ranking.rank, is_outlier, round(score, 6) as similarity, {r('mean_score mean_correlation score_std mean_noise_floor_db')} from ranking join dist using (campaign, sensor_id) join f using (campaign, sensor_id)",
+    "prepare_corpus": f"with {PSD.replace('psd as', 'every as', 1)}, psd as (select * from every where record_idx > 0 and not (campaign = 'c1' and sensor_id = 'Node5')), {CORR}, {RANKING}, {DIST}, {CONFIGS}, j as (select campaign, ranking.sensor_id, is_outlier, row_number() over (partition by campaign order by is_outlier, ranking.rank) as k from ranking join dist using (campaign, sensor_id)), best as (select campaign, any_value(sensor_id) filter (k = 1) as reliable_sensor, coalesce(string_agg(sensor_id, ',' order by sensor_id) filter (is_outlier), '') as outliers from j group by campaign) select campaign, string_agg(distinct sensor_id, ',' order by sensor_id) as sensors, case when campaign = 'c1' then 'Node5' else '' end as left_out, count(distinct record_idx) as n_records, any_value(reliable_sensor) as reliable_sensor, any_value(outliers) as outliers, round(any_value(central_freq_hz) / 1e6, 6) as central_freq_mhz, round(any_value(span_hz) / 1e6, 6) as span_mhz, round(any_value(rbw_hz) / 1e3, 6) as rbw_khz, round(any_value(acquisition_interval_s) / 60, 6) as interval_min from psd join best using (campaign) left join configs on config_id = substring(campaign, 2)::bigint group by campaign",
     "campaign_inspection": f"with {PSD} select campaign, sensor_id, count(*) as n_records, make_timestamp(min(ts_ms) * 1000)::varchar as start_utc, make_timestamp(max(ts_ms) * 1000)::varchar as end_utc, round((max(ts_ms) - min(ts_ms)) / 60000, 6) as span_min, 64.0::double as median_bins, round(avg(list_avg(pxx_db)), 6) as mean_db, round(avg(list_aggregate(pxx_db, 'quantile_cont', 0.1)), 6) as mean_p10_db from psd group by campaign, sensor_id",
     "deployment_summary": f"with {PSD}, {CURVES}, {CAL}, b as (select campaign, record_idx, unnest(cp) as v, generate_subscripts(cp, 1) as bin from cal), sp as (select campaign, avg(s) as calibrated_spread from (select campaign, record_idx, bin, stddev_pop(v) as s from b group by all) group by campaign), vs as (select campaign, avg(v) as m, quantile_cont(v, 0.99) as q from b group by campaign), gs as (select avg(s) as g from (select bin, stddev_pop(v) as s from (select unnest(gain) as v, generate_subscripts(gain, 1) as bin from curves) group by bin)), cs as (select avg(list_avg(gain)) as mg, avg(list_avg(floor)) as mf, avg(list_avg(var)) as mv, max(sqrt(list_avg(list_transform(range(2, len(gain)), lambda i: power(gain[i + 1] - 2 * gain[i] + gain[i - 1], 2))))) as r from curves) select campaign, round(calibrated_spread * 1e6, 6) as calibrated_spread, round(m * 1e6, 6) as mean_calibrated, round(q * 1e6, 6) as q99_calibrated, round(g, 6) as gain_spread, round(mg, 6) as mean_gain, round(mf * 1e6, 6) as mean_floor, round(mv * 1e12, 6) as mean_var, round(r, 6) as max_gain_roughness from sp join vs using (campaign), gs, cs",
 }

@@ -16,6 +16,7 @@ from ..operators import fit
 from ..operators import ranking as R
 from ..operators import records as P
 from ..operators import sets as X
+from ..sources import artifacts
 from ..sources import fixtures as T
 from ..sources import measurements as M
 from ..streaming import calibrate as stream
@@ -270,7 +271,7 @@ def mean_psd_curve(spark, sf_dir):
 
 @query
 def corpus_stats(spark, sf_dir):
-    out = C.corpus_stats(T.psd(spark, sf_dir))
+    out = C.corpus_stats(T.psd(spark, sf_dir), exact=True)
     return rounded(out.select(*[(F.col(c) * (1e12 if c.startswith("var") else 1e6 if c == "q05" else 1)).alias(c) for c in out.columns]))
 
 
@@ -360,7 +361,7 @@ def role_summary(spark, sf_dir):
 
 @query
 def objective_history(spark, sf_dir):
-    steps = T.events_series(spark, sf_dir).filter("sensor_id = 'view' or sensor_id = 'click'").select(F.col("campaign").alias("run"), F.col("src_row").alias("step"), F.col("value").alias("objective"))
+    steps = T.events_series(spark, sf_dir).select(F.concat_ws("/", "campaign", "sensor_id").alias("run"), F.col("src_row").alias("step"), F.col("value").alias("objective"))
     return rounded(D.objective_history(steps), 4)
 
 
@@ -388,8 +389,13 @@ def ingest_report(spark, sf_dir):
 
 @query
 def read_measurements(spark, sf_dir):
-    raw = _landed(spark, sf_dir).withColumns({"sensor_id": F.col("label"), "src_row": F.col("id").cast("bigint")}).withColumn("pxx", F.when(F.col("src_row") % 13 == 0, F.lit("[1,\"x\"]")).otherwise(F.col("pxx")))
-    out = M.parse_measurements(raw)
+    """Landed rows as sensor files, of two sensors with other columns than the rest, read back and checked."""
+    root = C.work_folder(spark)
+    raw = _landed(spark, sf_dir).withColumn("pxx", F.when(F.col("id").cast("bigint") % 13 == 0, F.lit("[1,\"x\"]")).otherwise(F.col("pxx"))).withColumn("sensor_id", F.concat("label", F.lit(".csv")))
+    slim = F.col("label").isin("click", "view")
+    for rows, cols in ((raw.filter(slim), ("pxx", "start_freq_hz", "end_freq_hz", "timestamp")), (raw.filter(~slim), ("id", "mac", "campaign_id", "pxx", "timestamp", "end_freq_hz", "start_freq_hz"))):
+        rows.select(*cols, "campaign", "sensor_id").write.mode("append").partitionBy("campaign", "sensor_id").option("header", True).option("escape", '"').csv(root)
+    out = M.read_measurements(spark, root)
     bad = M.invalid_measurements(out).groupBy("campaign", "sensor_id").agg(F.count(F.lit(1)).alias("n_bad"))
     good = out.filter(S.is_valid_spectrum(F.col("pxx_db"))).groupBy("campaign", "sensor_id").agg(F.count(F.lit(1)).alias("n_good"), F.sum(S.array_sum(F.col("pxx_db"))).alias("total"))
     return rounded(good.join(bad, ["campaign", "sensor_id"]))
@@ -436,7 +442,14 @@ def resolve_sensors(spark, sf_dir):
 @query
 def content_fingerprint(spark, sf_dir):
     out = M.content_fingerprint(T.psd(spark, sf_dir), T.psd(spark, sf_dir).groupBy("campaign").agg(F.count(F.lit(1)).alias("n")))
-    return out.select("campaign", F.length("sha256").alias("digits"), F.count(F.lit(1)).over(Window.partitionBy("sha256")).alias("same"))
+    return out
+
+
+@query
+def write_calibrated(spark, sf_dir):
+    path = C.work_folder(spark)
+    artifacts.write_calibrated(calibrated(spark, sf_dir), path)
+    return rounded(spark.read.parquet(path).groupBy("campaign", "sensor_id").agg(F.count(F.lit(1)).alias("n"), (F.sum(S.array_sum(F.col("calibrated_power"))) * 1e6).alias("total_uw")))
 
 
 @query
@@ -471,22 +484,17 @@ def fit_corpus(spark, sf_dir):
 def evaluate_corpus(spark, sf_dir):
     rows, settings, reliable = corpus(spark, sf_dir)
     done = fit.fit(rows, settings, reliable, T.FEATURES)
-    wanted = rows.select("campaign", "sensor_id", "start_freq_hz", "end_freq_hz", "n_bins").distinct().join(settings.drop("config_id"), "campaign").withColumnRenamed("campaign", "config_id")
-    made = fit.evaluate_curves(done.model, wanted).withColumnRenamed("config_id", "campaign")
-    out = C.calibrate(rows, made, ("campaign", "sensor_id"))
-    g = C.config_geometry(settings.filter("role = 'train'"), T.FEATURES)
-    trust = C.out_of_distribution(settings, g).select("campaign", "is_ood")
-    return D.role_summary(D.campaign_diagnostics(out, settings.select("campaign", "role"), trust))
+    return jobs.evaluate_corpus(rows, settings, done, T.FEATURES)
 
 
 @query
 def rank_campaigns(spark, sf_dir):
     ranking, distribution = jobs.rank_campaigns(T.psd(spark, sf_dir), 1000)
-    return rounded(ranking.join(distribution.select("campaign", "sensor_id", "is_outlier", F.col("score").alias("similarity")), ["campaign", "sensor_id"]).drop("score_std", "mean_noise_floor_db"))
+    return rounded(ranking.join(distribution.select("campaign", "sensor_id", "is_outlier", F.col("score").alias("similarity")), ["campaign", "sensor_id"]))
 
 
 @query
 def prepare_corpus(spark, sf_dir):
     rows, settings, _ = corpus(spark, sf_dir)
     gone = rows.filter("campaign = 'c1' and sensor_id = 'Node5'").select("campaign", "sensor_id").distinct()
-    return rounded(jobs.prepare_corpus(rows, settings, gone, 1, 1000).overview.drop("reliable_sensor", "outliers"))
+    return rounded(jobs.prepare_corpus(rows, settings, gone, 1, 1000).overview)

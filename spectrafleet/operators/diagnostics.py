@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.spectra import array_mean, curve_roughness, linear_to_db
-from .records import log_dispersion, log_pearson, mean_over, record_matrix, rmse_matrix
+from ..functions.spectra import array_mean, array_sum, curve_roughness, linear_to_db
+from .quantiles import exact_quantile
+from .records import log_dispersion, log_pearson, mean_over, record_matrix, rmse_matrix, sensor_spread
 
 
 def pairwise_rmse(rows: DataFrame, spectrum: str, name: str = "rmse_db") -> DataFrame:
@@ -33,8 +34,10 @@ def with_db(calibrated: DataFrame) -> DataFrame:
 def deployment_summary(calibrated: DataFrame, curves: DataFrame) -> DataFrame:
     """One row per campaign: mean gain, spread of gain and of calibrated power over sensors, mean floor and variance, mean and 99 % quantile of calibrated power, greatest roughness."""
     per_bin = lambda df, by, c: df.select(*by, F.posexplode(c).alias("bin", "v")).groupBy(*by, "bin").agg(F.stddev_pop("v").alias("s"))
-    power = per_bin(calibrated.select("campaign", "record_idx", "calibrated_power"), ["campaign", "record_idx"], "calibrated_power").groupBy("campaign").agg(F.avg("s").alias("calibrated_spread"))
-    values = calibrated.select("campaign", F.explode("calibrated_power").alias("v")).groupBy("campaign").agg(F.avg("v").alias("mean_calibrated"), F.percentile("v", F.lit(0.99)).alias("q99_calibrated"))
+    power = sensor_spread(calibrated, "calibrated_power", "calibrated_spread")
+    means = calibrated.groupBy("campaign").agg((F.sum(array_sum(F.col("calibrated_power"))) / F.sum(F.size("calibrated_power"))).alias("mean_calibrated"))
+    high = exact_quantile(calibrated.select("campaign", F.explode("calibrated_power").alias("value")), ["campaign"], 0.99, "q99_calibrated")
+    values = means.join(high, "campaign")
     gain = per_bin(curves.select(F.lit(1).alias("one"), "gain"), ["one"], "gain").agg(F.avg("s").alias("gain_spread"))
     rest = curves.agg(
         F.avg(array_mean(F.col("gain"))).alias("mean_gain"), F.avg(array_mean(F.col("floor"))).alias("mean_floor"), F.avg(array_mean(F.col("var"))).alias("mean_var"), F.max(curve_roughness(F.col("gain"))).alias("max_gain_roughness")

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spectra import array_sum, edge_jump_ratio
 from .calibration import config_stats, corpus_stats, spline_basis, work_folder
 
 EPSILON = 1e-12
@@ -45,6 +46,7 @@ class FitConfig:
     correlation: float = 0.0
     patience: int = 5
     tolerance: float = 1e-4
+    divergence: float = 10.0
     seed: int = 17
 
 
@@ -314,23 +316,29 @@ def refresh_deviations(model: Model, table: DataFrame) -> DataFrame:
 
 
 def init_campaign_state(model: Model, rows: DataFrame, configs: DataFrame, reliable: DataFrame) -> DataFrame:
-    """States whose floors are a tenth of each bin's 5 % quantile over records; gains start at the persistent ones."""
-    cfg = model
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = np.stack(pdf["y"].to_numpy())
-        f, c = pdf.iloc[0], np.asarray(pdf["c"].iloc[0], float)
-        grid = (f["start_freq_hz"], f["end_freq_hz"], int(f["n_bins"]))
-        base = [x[model.sensors.index(f["sensor_id"])] for x in cfg.persistent(c, cfg.bases(*grid))]
-        floor = 0.1 * np.quantile(y, 0.05, axis=0)
-        spread = np.maximum(y.var(axis=0), model.variance_floor + EPSILON)
-        out = {k: pdf[k].iloc[:1] for k in ("campaign", "sensor_id", "start_freq_hz", "end_freq_hz", "n_bins", "c", "reliable")}
-        return pd.DataFrame(out | {"d0": [np.zeros(len(floor))], "d1": [inverse_softplus(floor) - base[1]], "d2": [inverse_softplus(spread - model.variance_floor) - base[2]]})
+    """States whose floors are a tenth of each bin's 5 % quantile over records; gains start at the persistent ones.
 
+    Quantiles and variances are sketches and sums of each bin, made within tasks first: no task holds a sensor's spectra.
+    """
     c = F.array(*[(F.col(f).cast("double") - float(m)) / float(s) for f, m, s in zip(model.features, model.mean, model.scale, strict=True)])
-    known = rows.join(configs.select("campaign", c.alias("c")), "campaign").join(reliable.select("campaign", "reliable_sensor"), "campaign")
+    key = ("campaign", "sensor_id", "start_freq_hz", "end_freq_hz", "n_bins")
+    bins = rows.select(*key, F.posexplode("y").alias("bin", "v")).groupBy(*key, "bin").agg(F.percentile_approx("v", 0.05, 1000).alias("low"), F.var_pop("v").alias("spread"))
+    one = bins.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("bin", "low", "spread"))).alias("b"))  # n_bins entries
+    one = one.select(*key, F.transform("b", lambda x: x["low"]).alias("low"), F.transform("b", lambda x: x["spread"]).alias("spread"))
+    known = one.join(configs.select("campaign", c.alias("c")), "campaign").join(reliable.select("campaign", "reliable_sensor"), "campaign")
     known = known.withColumn("reliable", F.col("sensor_id") == F.col("reliable_sensor")).drop("reliable_sensor")
-    return known.groupBy("campaign", "sensor_id").applyInPandas(one, _STATE)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                grid = (r["start_freq_hz"], r["end_freq_hz"], int(r["n_bins"]))
+                base = [x[model.sensors.index(r["sensor_id"])] for x in model.persistent(np.asarray(r["c"], float), model.bases(*grid))]
+                spread = np.maximum(np.asarray(r["spread"], float), model.variance_floor + EPSILON)
+                out.append((r["campaign"], r["sensor_id"], *grid, r["c"], r["reliable"], np.zeros(grid[2]), inverse_softplus(0.1 * np.asarray(r["low"], float)) - base[1], inverse_softplus(spread - model.variance_floor) - base[2]))
+            yield pd.DataFrame(out, columns=[x.strip().split(" ")[0] for x in _STATE.split(", ")])
+
+    return known.mapInPandas(run, _STATE)
 
 
 @dataclass
@@ -338,15 +346,24 @@ class FitResult:
     model: Model
     state: DataFrame
     latent: DataFrame
+    #: The loss at each step, and after each round.
     history: list[float]
     reason: str
     selected: float
+    rounds: list[float] = field(default_factory=list)
+    selected_round: int = 0
+    #: States with sums, as the selected loss was taken over them; not saved.
+    table: DataFrame | None = None
 
 
 def fit(rows: DataFrame, configs: DataFrame, reliable: DataFrame, features: tuple[str, ...], config: FitConfig = FitConfig(), weights: dict[str, float] | None = None) -> FitResult:
     """Fit aligned rows (campaign, record_idx, sensor_id, grid columns, pxx_db), one configuration row for each campaign.
 
-    Every round's tables are written to the shared folder, so a lost executor costs one round at most.
+    A round takes gradient steps for the parameters under fixed deviations, then renews the deviations, and its loss is
+    taken after that. The result is one round's parameters, deviations and latent spectra together: those of the least
+    loss. The fit ends early when no round was better for config.patience rounds, or when the loss is no number or more
+    than config.divergence times the best. Every round's tables are written to the shared folder, so a lost executor
+    costs one round at most.
     """
     spark = rows.sparkSession
     root = work_folder(spark)
@@ -370,23 +387,24 @@ def fit(rows: DataFrame, configs: DataFrame, reliable: DataFrame, features: tupl
     data = keep(rows.select(*grid, F.transform("pxx_db", lambda x: F.pow(F.lit(10.0), x / 10) / scale).alias("y")), "data")
     state = keep(init_campaign_state(model, data, configs, reliable), "state-0")
     first = second = np.zeros(model.flat(model.theta).size)
-    best, kept, history, step, stale, reason = np.inf, None, [], 0, 0, "all rounds done"
+    best, kept, history, rounds, step, stale, reason = np.inf, None, [], [], 0, 0, "all rounds done"
+
+    def objective(model: Model, table: DataFrame, state: DataFrame) -> tuple[float, np.ndarray]:
+        loss, grad = objective_and_gradient(model, table)
+        if config.consistency or config.correlation:
+            cons, corr, extra = penalties(model, data, state)
+            loss, grad = loss + config.consistency * cons + config.correlation * corr, grad + extra
+        return loss, grad
+
     for outer in range(config.outer):
         latent = keep(latent_update(data, campaign_curves(model, state)), f"latent-{outer}")
-        table = keep(state.join(record_sums(data, latent), ["campaign", "sensor_id"]), f"sums-{outer}").persist()  # every step reads it
-        before, kept = best, kept or (model, outer, latent)
+        sums = keep(record_sums(data, latent), f"sums-{outer}")
+        table = keep(state.join(sums, ["campaign", "sensor_id"]), f"table-{outer}").persist()  # every step reads it
         for _ in range(config.inner):
-            loss, grad = objective_and_gradient(model, table)
-            if config.consistency or config.correlation:
-                cons, corr, extra = penalties(model, data, state)
-                loss, grad = loss + config.consistency * cons + config.correlation * corr, grad + extra
+            loss, grad = objective(model, table, state)
             history.append(loss)
             if not np.isfinite(loss):
-                reason = "diverged"
                 break
-            # The first round has the starting variances by bin, not refreshed ones on splines: its losses don't compare.
-            if loss < best and (outer or config.outer == 1):
-                best, kept = loss, (model, outer, latent)
             grad = grad + config.decay * model.flat(model.theta)
             norm = float(np.linalg.norm(grad))
             grad = grad * min(1.0, config.clip / max(norm, EPSILON))
@@ -394,19 +412,24 @@ def fit(rows: DataFrame, configs: DataFrame, reliable: DataFrame, features: tupl
             first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
             move = config.rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
             model = replace(model, theta=model.unflat(model.flat(model.theta) - move))
-        better = not np.isfinite(before) or best < before - config.tolerance * max(abs(before), 1.0)
-        stale = 0 if better else stale + 1
-        if reason == "diverged" or stale >= config.patience:
-            reason = reason if reason == "diverged" else "no better round"
-            table.unpersist()
-            break
-        if outer + 1 < config.outer:
-            state = keep(refresh_deviations(model, table), f"state-{outer + 1}")
+        renewed = keep(refresh_deviations(model, table), f"state-{outer + 1}")
         table.unpersist()
-    # The deviations belong to the parameters chosen, not to the last ones.
-    model, outer, latent = kept
-    state = keep(refresh_deviations(model, spark.read.schema(table.schema).parquet(f"{root}/sums-{outer}")), "state")
-    return FitResult(model, state, latent, history, reason, best)
+        after = keep(renewed.join(sums, ["campaign", "sensor_id"]), f"after-{outer}")
+        total = objective(model, after, renewed)[0] if np.isfinite(history[-1:]).all() else np.nan
+        rounds.append(total)
+        if kept is None or total < best - config.tolerance * max(abs(best), 1.0):
+            best, kept, stale = total, (model, renewed, latent, after, outer), 0
+        else:
+            stale += 1
+        if not np.isfinite(total) or total - best > (config.divergence - 1) * max(abs(best), 1.0):
+            reason = "diverged"
+            break
+        if stale >= config.patience:
+            reason = "no better round"
+            break
+        state = renewed
+    model, state, latent, after, chosen = kept or (model, state, keep(latent_update(data, campaign_curves(model, state)), "latent"), None, 0)
+    return FitResult(model, state, latent, history, reason, best, rounds, chosen, after)
 
 
 def evaluate_curves(model: Model, wanted: DataFrame, clip: bool = False) -> DataFrame:
@@ -425,8 +448,33 @@ def evaluate_curves(model: Model, wanted: DataFrame, clip: bool = False) -> Data
 
 
 def fit_diagnostics(result: FitResult) -> dict[str, float | str | int]:
-    h = np.array(result.history)
-    return {
-        "start_objective": float(h[0]), "end_objective": float(h[-1]), "selected_objective": result.selected, "steps": len(h), "increases": int((np.diff(h) > 0).sum()),
-        "reason": result.reason, "embedding_norm": float(np.linalg.norm(result.model.theta["E"])),
+    """Of the steps, of the rounds, and, where the fit's tables are at hand, how evenly and smoothly it fits."""
+    h, rounds = np.array(result.history), np.array(result.rounds)
+    rises = np.diff(rounds)
+    out = {
+        "start_objective": float(h[0]), "end_objective": float(h[-1]), "selected_objective": result.selected, "selected_round": result.selected_round, "steps": len(h), "increases": int((np.diff(h) > 0).sum()),
+        "rounds": len(rounds), "round_increases": int((rises > 0).sum()), "max_round_increase": float(np.max(rises / np.maximum(np.abs(rounds[:-1]), 1.0), initial=0.0)), "reason": result.reason,
+        "embedding_norm": float(np.linalg.norm(result.model.theta["E"])), "max_embedding_norm": float(np.linalg.norm(result.model.theta["E"], axis=1).max()),
     }
+    return out if result.table is None else out | stability(result)
+
+
+def stability(result: FitResult) -> dict[str, float]:
+    """The greatest campaign's share of the loss, residual variance over observed variance, and jump of a gain curve at its edges."""
+    model, table = result.model, result.table
+
+    def losses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                c, grid, at, dev = _row(model, r)
+                out.append(loss_and_gradient(model, c, grid, at, dev, {k: np.asarray(r[k], float) for k in ("k", *_ARRAYS)}, bool(r["reliable"]))[0])
+            yield pd.DataFrame({"campaign": pdf["campaign"], "loss": out})
+
+    share = table.mapInPandas(losses, "campaign string, loss double").groupBy("campaign").agg(F.sum("loss").alias("loss")).agg(F.max("loss").alias("m")).first()["m"]
+    n = F.sum(F.col("k") * F.size("y"))
+    seen = table.groupBy("campaign").agg((F.sum(array_sum(F.col("yy"))) / n - F.pow(F.sum(array_sum(F.col("y"))) / n, 2)).alias("seen"))
+    curves = campaign_curves(model, result.state)
+    left = curves.groupBy("campaign").agg(F.max(F.array_max("var")).alias("left"), F.max(edge_jump_ratio(F.col("gain"))).alias("jump"))
+    row = left.join(seen, "campaign").agg(F.max(F.col("left") / F.greatest("seen", F.lit(EPSILON))).alias("ratio"), F.max("jump").alias("jump")).first()
+    return {"max_campaign_share": share / max(abs(result.selected), EPSILON), "max_variance_ratio": row["ratio"], "max_edge_jump_ratio": row["jump"]}

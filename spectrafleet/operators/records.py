@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STD_FLOOR, NORM_FLOOR, LOG_FLOOR = 1e-8, 1e-6, 1e-12
-_PAIRS = "campaign string, record_idx long, sensor_a string, sensor_b string, value double"
 
 
 def pearson(x: np.ndarray) -> np.ndarray:
@@ -38,21 +38,41 @@ def rmse_matrix(db: np.ndarray) -> np.ndarray:
     return np.sqrt(((db[:, None, :] - db[None, :, :]) ** 2).mean(axis=2))
 
 
-def record_matrix(aligned: DataFrame, spectrum: str, matrix: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """campaign, record_idx, sensor_a, sensor_b, value for a < b: matrix() of each record's spectra, rows in sensor order.
+def by_record(rows: DataFrame, spectrum: str, work: Callable[[np.ndarray, np.ndarray], list[tuple]], schema: str) -> DataFrame:
+    """campaign, record_idx and schema's columns: work(sensor ids, spectra by sensor) of each record, whose rows come in sensor order.
 
-    A group is one record, some tens of spectra at most, so a large campaign spreads over many tasks.
+    A record is some tens of spectra at most, so a large campaign spreads over many tasks, and a task works on many
+    records at a time; one that two batches share waits for its end.
     """
+    names = ["campaign", "record_idx", *[x.strip().split(" ")[0] for x in schema.split(",")]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in itertools.chain(batches, [None]):
+            both = rest if pdf is None else pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if both is None or not len(both):
+                continue
+            campaign, record = both["campaign"].to_numpy(), both["record_idx"].to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero((campaign[1:] != campaign[:-1]) | (record[1:] != record[:-1])) + 1, [len(both)]])
+            done = len(starts) - (1 if pdf is None else 2)
+            sensors, spectra = both["sensor_id"].to_numpy(), both["x"].to_numpy()
+            out = [(campaign[a], record[a], *r) for a, b in zip(starts[:done], starts[1 : done + 1]) for r in work(sensors[a:b], np.stack(spectra[a:b]).astype(np.float64))]
+            rest = None if pdf is None else both.iloc[starts[done] :]
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    slim = rows.select("campaign", F.col("record_idx").cast("long").alias("record_idx"), "sensor_id", F.col(spectrum).alias("x"))
+    return slim.repartition("campaign", "record_idx").sortWithinPartitions("campaign", "record_idx", "sensor_id").mapInPandas(run, f"campaign string, record_idx long, {schema}")
+
+
+def record_matrix(aligned: DataFrame, spectrum: str, matrix: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """campaign, record_idx, sensor_a, sensor_b, value for a < b: matrix() of each record's spectra, rows in sensor order."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sensor_id")
-        names = pdf["sensor_id"].to_numpy()
-        m = matrix(np.stack(pdf["x"].to_numpy()).astype(np.float64))
+    def pairs(names: np.ndarray, spectra: np.ndarray) -> list[tuple]:
         a, b = np.triu_indices(len(names), 1)
-        return pd.DataFrame({"campaign": pdf["campaign"].iloc[0], "record_idx": pdf["record_idx"].iloc[0], "sensor_a": names[a], "sensor_b": names[b], "value": m[a, b]})
+        return list(zip(names[a], names[b], matrix(spectra)[a, b].tolist(), strict=True))
 
-    slim = aligned.select("campaign", F.col("record_idx").cast("long").alias("record_idx"), "sensor_id", F.col(spectrum).alias("x"))
-    return slim.groupBy("campaign", "record_idx").applyInPandas(one, _PAIRS)
+    return by_record(aligned, spectrum, pairs, "sensor_a string, sensor_b string, value double")
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -63,8 +83,18 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 
 def log_dispersion(aligned: DataFrame, power: str) -> DataFrame:
     """campaign, dispersion: mean squared deviation of log power from its mean over a record's sensors, bin by bin."""
-    bins = aligned.select("campaign", "record_idx", F.posexplode(F.transform(power, lambda x: F.log(x + F.lit(LOG_FLOOR)))).alias("bin", "v"))
-    return bins.groupBy("campaign", "record_idx", "bin").agg((F.var_pop("v") * F.count("v")).alias("ss"), F.count("v").alias("n")).groupBy("campaign").agg((F.sum("ss") / F.sum("n")).alias("dispersion"))
+
+    def squares(_: np.ndarray, spectra: np.ndarray) -> list[tuple]:
+        z = np.log(spectra + LOG_FLOOR)
+        return [(float(((z - z.mean(axis=0)) ** 2).sum()), z.size)]
+
+    return by_record(aligned, power, squares, "ss double, n long").groupBy("campaign").agg((F.sum("ss") / F.sum("n")).alias("dispersion"))
+
+
+def sensor_spread(aligned: DataFrame, power: str, name: str) -> DataFrame:
+    """campaign, name: the deviation over a record's sensors, averaged over records and bins."""
+    work = lambda _, spectra: [(float(spectra.std(axis=0).sum()), spectra.shape[1])]
+    return by_record(aligned, power, work, "total double, n long").groupBy("campaign").agg((F.sum("total") / F.sum("n")).alias(name))
 
 
 def sensor_pairs(aligned: DataFrame) -> DataFrame:

@@ -23,13 +23,19 @@ METADATA_COLUMNS = (
 )
 # Accepted names of each setting (lower case, letters and digits only) and their factor to SI units, first name first.
 ALIASES = {
-    "central_freq_hz": (("centralfreqmhz", 1e6), ("centerfreqmhz", 1e6), ("centralfreqhz", 1.0), ("centerfreqhz", 1.0), ("centerfrequency", 1.0)),
-    "span_hz": (("spanmhz", 1e6), ("spanhz", 1.0), ("span", 1e6)),
-    "rbw_hz": (("rbwkhz", 1e3), ("rbwhz", 1.0), ("rbw", 1.0)),
+    "central_freq_hz": (
+        ("centralfreqmhz", 1e6), ("centralfrequencymhz", 1e6), ("centerfreqmhz", 1e6), ("centerfrequencymhz", 1e6), ("centralfreqhz", 1.0),
+        ("centralfrequencyhz", 1.0), ("centerfreqhz", 1.0), ("centerfrequencyhz", 1.0), ("centerfrequency", 1.0),
+    ),
+    "span_hz": (("spanmhz", 1e6), ("bandwidthmhz", 1e6), ("span", 1e6), ("spanhz", 1.0), ("bandwidthhz", 1.0)),
+    "rbw_hz": (("rbwkhz", 1e3), ("resolutionbandwidthkhz", 1e3), ("rbw", 1.0), ("rbwhz", 1.0), ("resolutionbandwidthhz", 1.0)),
     "lna_gain_db": (("lnagaindb", 1.0), ("lnagain", 1.0)),
     "vga_gain_db": (("vgagaindb", 1.0), ("vgagain", 1.0)),
-    "acquisition_interval_s": (("acquisitionfreqminutes", 60.0), ("intervalseconds", 1.0)),
-}
+    "acquisition_interval_s": (
+        ("acquisitionfreqminutes", 60.0), ("acquisitionintervalminutes", 60.0), ("intervalseconds", 1.0), ("acquisitionfreqseconds", 1.0), ("acquisitionintervalseconds", 1.0),
+    ),
+}
+AMPLIFIER_ALIASES = ("antennaamp", "antennaamplifierenabled")
 TRUE_WORDS, FALSE_WORDS = ("true", "1", "yes", "y", "on"), ("false", "0", "no", "n", "off")
 
 
@@ -44,21 +50,36 @@ def parse_measurements(raw: DataFrame) -> DataFrame:
     return typed.withColumn("pxx_db", F.from_json("pxx", "array<double>")).drop("pxx").withColumnRenamed("timestamp", "ts_ms").withColumn("n_bins", F.size("pxx_db"))
 
 
+#: Columns of a file at most; files are read by their own headers, whatever their number and order of columns.
+FILE_COLUMNS = 64
+#: Headers are one row for each file; beyond so many they are joined by shuffle.
+BROADCAST_FILES = 10_000
+_PLACE = r"(?:[^/=]+=)?([^/]+)/(?:[^/=]+=)?([^/]+)\.csv(?:/[^/]+)?$"
+
+
 def read_measurements(spark: SparkSession, root: str, campaigns: list[str] | None = None) -> DataFrame:
-    """All sensor files root/<campaign>/<sensor>.csv but metadata.csv, ordered within a sensor by (ts_ms, src_row).
+    """All sensor files root/<campaign>/<sensor>.csv but metadata.csv; a <sensor>.csv may also be a folder of part files.
 
-    src_row is the id column where there is one, else the row's place in its file, which multi-line reading keeps
-    within one task for each file.
+    Every file's columns are found by the names in its own header, so files with other columns, or with the same in
+    another order, may lie together; a file without a pxx column is an error. src_row is the id column where there is
+    one, else the row's place in its file, which multi-line reading keeps within one task for each file.
     """
     path = [f"{root}/{c}/*.csv" for c in campaigns] if campaigns else f"{root}/*/*.csv"
-    header = T.StructType([T.StructField(c, T.StringType()) for c in ACQUISITION_COLUMNS])
-    first = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    raw = first.select(*[F.col(c) for c in header.fieldNames() if c in first.columns], F.col("_metadata.file_path").alias("file"))
-    raw = raw.filter(~F.col("file").rlike(r"/metadata\.csv$"))
-    name = F.regexp_extract("file", r"([^/]+)/([^/]+)\.csv$", 1)
-    place = F.monotonically_increasing_id()
-    keyed = raw.withColumns({"campaign": name, "sensor_id": F.regexp_extract("file", r"([^/]+)/([^/]+)\.csv$", 2), "src_row": F.coalesce(F.expr("try_cast(id as bigint)"), place) if "id" in first.columns else place})
-    return parse_measurements(keyed.drop("file"))
+    names = [f"_c{i}" for i in range(FILE_COLUMNS)]
+    cells = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in names])).option("multiLine", True).option("escape", '"').csv(path)
+    cells = cells.select(F.array(*names).alias("cells"), F.col("_metadata.file_path").alias("file")).filter(~F.col("file").rlike(r"metadata\.csv(?:/[^/]+)?$"))
+    is_header = F.exists("cells", lambda c: F.coalesce(F.trim(c) == "pxx", F.lit(False)))
+    headers = cells.filter(is_header).groupBy("file").agg(F.first(F.transform("cells", lambda c: F.regexp_replace(F.trim(c), "^\ufeff", ""))).alias("names"))
+    if headers.count() <= BROADCAST_FILES:
+        headers = F.broadcast(headers)
+    rows = cells.withColumn("place", F.monotonically_increasing_id()).filter(~is_header).join(headers, "file", "left")
+    known = F.when(F.col("names").isNull(), F.raise_error(F.concat(F.lit("no pxx column in "), F.col("file"))).cast("array<string>")).otherwise(F.col("names"))
+    rows = rows.withColumn("names", known)
+    value = {c: F.get("cells", F.array_position("names", F.lit(c)).cast("int") - 1) for c in ACQUISITION_COLUMNS}
+    keyed = rows.select(
+        F.regexp_extract("file", _PLACE, 1).alias("campaign"), F.regexp_extract("file", _PLACE, 2).alias("sensor_id"), F.coalesce(value["id"].try_cast("bigint"), F.col("place")).alias("src_row"), *[v.alias(c) for c, v in value.items()]
+    )
+    return parse_measurements(keyed)
 
 
 def list_campaigns(measurements: DataFrame) -> DataFrame:
@@ -77,9 +98,9 @@ def invalid_measurements(rows: DataFrame) -> DataFrame:
     return rows.withColumn("problem", rule).filter("problem is not null")
 
 
-def grid_problems(rows: DataFrame) -> DataFrame:
-    """campaign, grids: campaigns whose rows lie on more than one frequency grid."""
-    return rows.groupBy("campaign").agg(F.count_distinct(F.struct("start_freq_hz", "end_freq_hz", F.size("pxx_db"))).alias("grids")).filter("grids > 1")
+def grid_problems(rows: DataFrame, by: tuple[str, ...] = ("campaign",)) -> DataFrame:
+    """by, grids: campaigns (or, by campaign and sensor_id, sensors) whose rows lie on more than one frequency grid."""
+    return rows.groupBy(*by).agg(F.count_distinct(F.struct("start_freq_hz", "end_freq_hz", F.size("pxx_db"))).alias("grids")).filter("grids > 1")
 
 
 def require_valid(rows: DataFrame) -> DataFrame:
@@ -145,12 +166,14 @@ def load_campaign_config(metadata: DataFrame, order: str = "row") -> DataFrame:
     """campaign and its seven settings in SI units from the first metadata row; problem names what is missing or not positive."""
     first = metadata.withColumn("_n", F.row_number().over(Window.partitionBy("campaign").orderBy(order))).filter("_n = 1").drop("_n")
     by_key = {re.sub("[^a-z0-9]", "", c.lower()): c for c in reversed(metadata.columns)}
-    value = lambda c: F.expr(f"try_cast(nullif(trim(`{c}`), '') as double)")
+    # The first accepted name that holds anything decides, even if it is no number.
     cols = {}
     for name, options in ALIASES.items():
-        found = [value(by_key[a]) * k for a, k in options if a in by_key]
-        cols[name] = F.coalesce(*found) if found else F.lit(None).cast("double")
-    cols["antenna_amp"] = permissive_boolean(F.col(by_key["antennaamp"])) if "antennaamp" in by_key else F.lit(None).cast("boolean")
+        found = [F.when(F.trim(by_key[a]) != "", F.struct(F.trim(by_key[a]).alias("text"), F.lit(k).alias("factor"))) for a, k in options if a in by_key]
+        chosen = F.coalesce(*found) if found else F.lit(None).cast("struct<text:string,factor:double>")
+        cols[name] = chosen["text"].try_cast("double") * chosen["factor"]
+    amplifier = [F.col(by_key[a]) for a in AMPLIFIER_ALIASES if a in by_key]
+    cols["antenna_amp"] = permissive_boolean(F.coalesce(*[F.when(F.trim(c) != "", c) for c in amplifier])) if amplifier else F.lit(None).cast("boolean")
     out = first.select("campaign", *[c.alias(n) for n, c in cols.items()])
     bad = [F.when(F.col(c).isNull(), F.lit(f"{c} missing")) for c in cols] + [F.when(F.col(c) <= 0, F.lit(f"{c} not positive")) for c in ("central_freq_hz", "span_hz", "rbw_hz", "acquisition_interval_s")]
     return out.withColumn("problem", F.coalesce(*bad))
