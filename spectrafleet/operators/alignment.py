@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .quantiles import counted
+
 MIN_TOLERANCE_MS, MAX_TOLERANCE_MS, TOLERANCE_RATIO = 250, 5000, 0.25
 EXHAUSTIVE_SENSORS = 12
 
@@ -46,7 +48,8 @@ def nearest_asof(rows: DataFrame, tolerance_ms: DataFrame) -> DataFrame:
     A time-bucketed equi-join: a bucket is as wide as the tolerance, so partners lie in the same or a neighbouring one.
     Ties go to the earlier time; of rows at one time, to the one that stands nearest to the anchor in (time, row) order.
     """
-    anchors = rows.join(F.broadcast(select_anchor(rows)), "campaign").join(F.broadcast(tolerance_ms), "campaign")  # one row for each campaign
+    one = select_anchor(rows).join(tolerance_ms, "campaign")
+    anchors = rows.join(counted(one), "campaign")
     width = F.greatest("tolerance_ms", F.lit(1))
     left = anchors.filter("sensor_id = anchor").select("campaign", "tolerance_ms", F.col("src_row").alias("anchor_row"), F.col("ts_ms").alias("anchor_ts"), F.floor(F.col("ts_ms") / width).alias("b"))
     right = anchors.filter("sensor_id <> anchor").select("campaign", "sensor_id", "src_row", "ts_ms", F.explode(F.array(*[F.floor(F.col("ts_ms") / width) + d for d in (-1, 0, 1)])).alias("b"))
@@ -55,14 +58,14 @@ def nearest_asof(rows: DataFrame, tolerance_ms: DataFrame) -> DataFrame:
     return near.groupBy("campaign", "anchor_row", "anchor_ts", "sensor_id").agg(best.alias("m")).select("campaign", "anchor_row", "anchor_ts", "sensor_id", "m.src_row", "m.ts_ms")
 
 
-def greedy_groups(times: dict[str, np.ndarray], tol: int) -> list[dict[str, int]]:
+def greedy_groups(times: dict[str, np.ndarray], tol: int, anchor: str | None = None) -> list[dict[str, int]]:
     """One-to-one, order-preserving groups of row positions that hold every sensor; times are sorted.
 
-    The anchor is the sensor with the fewest rows, ties by id. Each anchor row takes every other sensor's nearest row
+    The anchor, where none is given, is the sensor with the fewest rows, ties by id. Each anchor row takes every other sensor's nearest row
     not before that sensor's last match, within tol and the earlier on a tie; pointers move only on a full match.
     """
     names = sorted(times)
-    anchor = min(names, key=lambda s: (len(times[s]), s))
+    anchor = anchor or min(names, key=lambda s: (len(times[s]), s))
     at, out = {s: 0 for s in names}, []
     for i, t in enumerate(times[anchor]):
         group = {anchor: i}
@@ -139,37 +142,76 @@ def align(rows: DataFrame, tolerance_ms: int | None = None, allow_pruning: bool
 
     Works on slim rows (campaign, sensor_id, src_row, ts_ms); join spectra back on (campaign, sensor_id, src_row).
     Campaigns whose anchor rows are more than two tolerances apart are aligned by joins alone, where the greedy rule
-    and the nearest row agree; the others are aligned one campaign in a task, on timestamps only. With allow_pruning,
-    a campaign without a common record keeps its best subset of sensors.
+    and the nearest row agree. The others are cut where no row of any sensor stands for longer than a tolerance, which
+    no record can span, and each stretch is aligned in a task, on timestamps only. With allow_pruning, a campaign
+    without a common record keeps its best subset of sensors; that choice takes the whole campaign's timestamps.
     """
     slim = rows.select("campaign", "sensor_id", "src_row", "ts_ms")
     tol = infer_tolerance(slim) if tolerance_ms is None else slim.select("campaign").distinct().withColumn("tolerance_ms", F.lit(tolerance_ms).cast("long"))
     sensors = slim.groupBy("campaign").agg(F.count_distinct("sensor_id").alias("sensors"))
-    anchors = slim.join(F.broadcast(select_anchor(slim)), "campaign").filter("sensor_id = anchor")
+    chosen = counted(select_anchor(slim).join(tol, "campaign").join(sensors, "campaign").filter("sensors >= 2"))
     gap = F.col("ts_ms") - F.lag("ts_ms").over(Window.partitionBy("campaign").orderBy("ts_ms"))
-    spread = anchors.withColumn("gap", gap).groupBy("campaign").agg(F.min("gap").alias("gap")).join(tol, "campaign").join(sensors, "campaign")
-    near = nearest_asof(slim, tol)
+    gaps = slim.join(chosen, "campaign").filter("sensor_id = anchor").withColumn("gap", gap).groupBy("campaign").agg(F.min("gap").alias("gap"))
+    spread = counted(gaps.join(chosen, "campaign").withColumn("easy", F.col("gap").isNull() | (F.col("gap") > 2 * F.col("tolerance_ms"))))
+    easy = spread.filter("easy").select("campaign", "anchor", "sensors", "tolerance_ms")
+    near = nearest_asof(slim.join(easy.select("campaign"), "campaign"), easy.select("campaign", "tolerance_ms"))
     w = Window.partitionBy("campaign").orderBy("anchor_ts", "anchor_row")
     met = near.groupBy("campaign", "anchor_row", "anchor_ts").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("sensor_id", "src_row", "ts_ms")).alias("others"))
-    easy = spread.filter("sensors >= 2 and (gap is null or gap > 2 * tolerance_ms)").join(F.broadcast(select_anchor(slim)), "campaign")
-    whole = met.join(F.broadcast(easy), "campaign").filter("n = sensors - 1").withColumn("record_idx", F.row_number().over(w) - 1)
+    whole = met.join(easy, "campaign").filter("n = sensors - 1").withColumn("record_idx", F.row_number().over(w) - 1)
     fast = whole.select("campaign", "record_idx", "tolerance_ms", F.explode(F.concat("others", F.array(F.struct(F.col("anchor").alias("sensor_id"), F.col("anchor_row").alias("src_row"), F.col("anchor_ts").alias("ts_ms"))))).alias("r"))
     fast = fast.select("campaign", "record_idx", "r.sensor_id", "r.src_row", "r.ts_ms", "tolerance_ms")
-    left = sensors.filter("sensors >= 2").join(fast.select("campaign").distinct() if allow_pruning else easy.select("campaign"), "campaign", "left_anti")
+    hard = spread.filter("not easy").select("campaign", "anchor", "sensors", "tolerance_ms")
+    slow = _stretches(slim.join(hard, "campaign"))
+    out = fast.unionByName(slow)
+    if not allow_pruning:
+        return out
+    left = chosen.select("campaign").join(out.select("campaign").distinct(), "campaign", "left_anti")
+
+    def pruned(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts_ms", "src_row"], kind="stable")
+        parts = {s: p for s, p in pdf.groupby("sensor_id")}
+        times = {s: p["ts_ms"].to_numpy() for s, p in parts.items()}
+        _, groups, t = prune(times, tolerance_ms)
+        made = [(pdf["campaign"].iloc[0], k, s, int(parts[s]["src_row"].iloc[j]), int(times[s][j]), t) for k, g in enumerate(groups) for s, j in g.items()]
+        return pd.DataFrame(made, columns=["campaign", "record_idx", "sensor_id", "src_row", "ts_ms", "tolerance_ms"])
+
+    return out.unionByName(slim.join(left, "campaign").groupBy("campaign").applyInPandas(pruned, _ALIGNED))
+
+
+def _stretches(rows: DataFrame) -> DataFrame:
+    """The greedy rule on rows with their campaign's anchor, number of sensors and tolerance, one stretch of time at a time."""
+    # An empty bucket as wide as the tolerance parts what stands on its two sides.
+    bucketed = rows.withColumn("b", F.floor(F.col("ts_ms") / F.greatest("tolerance_ms", F.lit(1))))
+    full = bucketed.groupBy("campaign", "b").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("campaign").orderBy("b")
+    cut = F.when(F.col("b") - F.lag("b").over(w) > 1, 1).otherwise(0)
+    stretch = full.withColumn("cut", cut).select("campaign", "b", F.sum("cut").over(w).alias("stretch"))
+    schema = "campaign string, stretch long, k int, sensor_id string, src_row long, ts_ms long, tolerance_ms long"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts_ms", "src_row"], kind="stable")
         parts = {s: p for s, p in pdf.groupby("sensor_id")}
         times = {s: p["ts_ms"].to_numpy() for s, p in parts.items()}
-        t = tolerance_ms if tolerance_ms is not None else _tolerance(times)
-        groups = greedy_groups(times, t)
-        if not groups and allow_pruning:
-            _, groups, t = prune(times, tolerance_ms)
-        out = [(pdf["campaign"].iloc[0], k, s, int(parts[s]["src_row"].iloc[j]), int(times[s][j]), t) for k, g in enumerate(groups) for s, j in g.items()]
-        return pd.DataFrame(out, columns=["campaign", "record_idx", "sensor_id", "src_row", "ts_ms", "tolerance_ms"])
-
-    slow = slim.join(F.broadcast(left.select("campaign")), "campaign").groupBy("campaign").applyInPandas(one, _ALIGNED)
-    return fast.unionByName(slow)
+        campaign, part, anchor, t = (pdf[c].iloc[0] for c in ("campaign", "stretch", "anchor", "tolerance_ms"))
+        groups = greedy_groups(times, int(t), anchor) if len(parts) == pdf["sensors"].iloc[0] else []
+        made = [(campaign, part, k, s, int(parts[s]["src_row"].iloc[j]), int(times[s][j]), t) for k, g in enumerate(groups) for s, j in g.items()]
+        return pd.DataFrame(made, columns=[x.strip().split(" ")[0] for x in schema.split(",")])
+
+    found = bucketed.join(stretch, ["campaign", "b"]).groupBy("campaign", "stretch").applyInPandas(one, schema)
+    counts = found.groupBy("campaign", "stretch").agg((F.max("k") + 1).alias("n"))
+    before = counts.select("campaign", "stretch", (F.sum("n").over(Window.partitionBy("campaign").orderBy("stretch")) - F.col("n")).alias("base"))
+    return found.join(before, ["campaign", "stretch"]).select("campaign", (F.col("base") + F.col("k")).cast("int").alias("record_idx"), "sensor_id", "src_row", "ts_ms", "tolerance_ms")
+
+
+def pruned_sensors(rows: DataFrame, aligned: DataFrame) -> DataFrame:
+    """campaign, sensor_id of the sensors that pruning left out of their aligned campaign."""
+    kept = aligned.select("campaign", "sensor_id").distinct()
+    return rows.select("campaign", "sensor_id").distinct().join(kept.select("campaign").distinct(), "campaign", "left_semi").join(kept, ["campaign", "sensor_id"], "left_anti")
+
+
+def unaligned_campaigns(rows: DataFrame, aligned: DataFrame) -> DataFrame:
+    """campaign: those without any common record."""
+    return rows.select("campaign").distinct().join(aligned.select("campaign").distinct(), "campaign", "left_anti")
 
 
 def align_report(rows: DataFrame, aligned: DataFrame) -> DataFrame:

@@ -100,3 +100,10 @@ def stack_row_aligned(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     grids = rows.groupBy("campaign").agg(F.count_distinct(F.struct("start_freq_hz", "end_freq_hz", "n_bins")).alias("grids"))
     bad = counts.groupBy("campaign").agg(F.count_distinct("n").alias("counts")).join(grids, "campaign").filter("counts > 1 or grids > 1")
     return placed, bad
+
+
+def require_none(problems: DataFrame, what: str, shown: int = 20) -> None:
+    """Fail if a table of problems has rows, naming some of them: the strict form of every check here."""
+    some = problems.limit(shown).collect()
+    if some:
+        raise ValueError(f"{what}: " + "; ".join(", ".join(str(v) for v in r) for r in some))

@@ -189,3 +189,30 @@ def test_pairwise_matches_against_plain_counting(spark):
             else:
                 right = right[1:]
         assert n == count
+
+
+def test_stretches_align_like_whole_campaigns(spark):
+    from spectrafleet.operators import alignment as A
+    from spectrafleet.operators import sets as X
+
+    rng, rows = np.random.default_rng(8), []
+    for campaign in ("p", "q", "r"):
+        for sensor in ("a", "b", "c"):
+            starts = np.repeat(np.arange(12) * 5000, 6)
+            times = np.sort(starts + rng.integers(0, 900, len(starts)))[: rng.integers(40, 72)]
+            rows += [(campaign, sensor, k, int(t)) for k, t in enumerate(times + (10**7 if (campaign, sensor) == ("r", "c") else 0))]
+    df = spark.createDataFrame(rows, "campaign string, sensor_id string, src_row long, ts_ms long")
+    aligned = A.align(df, 60, allow_pruning=True)
+    got = {}
+    for r in aligned.collect():
+        got.setdefault(r["campaign"], {}).setdefault(r["record_idx"], {})[r["sensor_id"]] = r["src_row"]
+    for campaign in ("p", "q", "r"):
+        times = {s: np.array([t for c, x, _, t in rows if c == campaign and x == s]) for s in "abc"}
+        groups = A.greedy_groups(times, 60) if campaign != "r" else A.prune(times, 60)[1]
+        assert groups and [got[campaign][k] for k in sorted(got[campaign])] == groups
+    assert {tuple(r) for r in A.pruned_sensors(df, aligned).collect()} == {("r", "c")}
+    strict = A.align(df, 60)
+    assert [r["campaign"] for r in A.unaligned_campaigns(df, strict).collect()] == ["r"]
+    with pytest.raises(ValueError, match="no common record: r"):
+        X.require_none(A.unaligned_campaigns(df, strict), "no common record")
+    X.require_none(A.unaligned_campaigns(df, aligned), "no common record")
