@@ -2,9 +2,10 @@
 
 Of the hashes of K-word grams, the least in each window of W consecutive ones is kept. A shared span of
 K + W - 1 = 10 words holds one whole window, so both sides keep the same gram of it: every shared span of ten words
-or more is found. Training and benchmark fingerprints are joined on that hash, each hit is extended word by word on
-both sides, and a run of ten or more equal words is a hit. Items of fewer than ten words are one gram of their own
-length, kept without winnowing.
+or more is found. Training and benchmark fingerprints meet in a filter of the benchmark's; each hit is extended to
+every ten-word span around it, and these are joined as words with the spans around the benchmark's fingerprints. A
+gram that stands in many items, or often in documents, is thus never paired with each of its other places. Items of
+fewer than ten words are one gram of their own length, kept without winnowing.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .hashing import ALNUM, gram_hashes, slices, span_hashes, word_spans
 SPAN, K = 10, 5
 W = SPAN - K + 1
 SIDE = SPAN - K
-BROADCAST_CONTEXTS = 50_000
+BROADCAST_SPANS = 50_000
 _GRAM = "array<struct<fp:long,pos:int,gram:string,before:array<string>,after:array<string>,short:boolean>>"
 
 
@@ -72,8 +73,22 @@ def _all(hashes: np.ndarray) -> np.ndarray:
     return np.ones(len(hashes), bool)
 
 
+def spans_around(grams: Column) -> Column:
+    """An array of start, words (joined by spaces) and n for each span of SPAN words around each gram, or for a short item's gram itself."""
+    def around(g: Column) -> Column:
+        found = []
+        for left in range(SIDE + 1):
+            words = F.concat(F.reverse(F.slice(g["before"], 1, left)) if left else F.array().cast("array<string>"), F.array(g["gram"]), F.slice(g["after"], 1, SIDE - left) if left < SIDE else F.array().cast("array<string>"))
+            whole = ~g["short"] & (F.size(g["before"]) >= left) & (F.size(g["after"]) >= SIDE - left)
+            found.append(F.when(whole, F.struct((g["pos"] - left).alias("start"), F.array_join(words, " ").alias("words"), F.lit(SPAN).alias("n"))))
+        found.append(F.when(g["short"], F.struct(g["pos"].alias("start"), g["gram"].alias("words"), F.size(F.split(g["gram"], " ")).alias("n"))))
+        return F.array_compact(F.array(*found))
+
+    return F.array_distinct(F.flatten(F.transform(grams, around)))
+
+
 def benchmark_grams(items: DataFrame) -> DataFrame:
-    """fp, gram, before, after, short, item_id: the fingerprints of every item, with the words on both sides."""
+    """item_id, g: the fingerprints of every item, with the words on both sides."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -85,13 +100,7 @@ def benchmark_grams(items: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["item_id", "g"])
 
     rows = items.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"item_id string, g {_GRAM}").select("item_id", F.explode("g").alias("g")).select("g.fp", "g.gram", "g.before", "g.after", "g.short", "item_id").distinct()
-
-
-def _run_length(a: Column, b: Column) -> Column:
-    """How many leading words of two arrays of at most SIDE words agree."""
-    miss = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda i: F.coalesce(F.get(a, i) == F.get(b, i), F.lit(False))), False)
-    return F.when(miss == 0, SIDE).otherwise(miss - 1).cast("int")
+    return rows.mapInPandas(run, f"item_id string, g {_GRAM}").filter("size(g) > 0")
 
 
 def contamination(docs: DataFrame, items: DataFrame, filter_bits: int = 1 << 23) -> DataFrame:
@@ -112,13 +121,14 @@ def _contamination(docs: DataFrame, items: DataFrame, filter_bits: int) -> DataF
     spark = docs.sparkSession
     bounded_batches(spark)
     grams = materialize(benchmark_grams(items), "benchmark-grams")
-    # Items that share a fingerprint with all the words around it are one context; its number is fixed by being written.
-    contexts = materialize(grams.groupBy("fp", "gram", "before", "after", "short").agg(F.sort_array(F.collect_set("item_id")).alias("items")).withColumn("context", F.monotonically_increasing_id()), "benchmark-contexts")
-    known = contexts.drop("items")
-    if known.count() <= BROADCAST_CONTEXTS:  # at most some 30 MB; beyond that, a shuffled join
-        known = F.broadcast(known)
-    lengths = [r["n"] for r in grams.filter("short").select(F.size(F.split("gram", " ")).alias("n")).distinct().collect()]  # 1 to 9
-    mask_b = spark.sparkContext.broadcast(bit_filter(contexts.select("fp"), filter_bits))
+    spans = materialize(grams.select("item_id", F.explode(spans_around(F.col("g"))).alias("s")).select("item_id", "s.words", "s.n").distinct(), "benchmark-spans")
+    # Each distinct span has a number, fixed by being written; which items hold it stays a table of pairs.
+    numbered = materialize(spans.select("words").distinct().withColumn("span_id", F.monotonically_increasing_id()), "benchmark-span-ids")
+    holders = spans.join(numbered, "words").select("span_id", "item_id")
+    if numbered.count() <= BROADCAST_SPANS:  # at most some 10 MB; beyond that, a shuffled join
+        numbered = F.broadcast(numbered)
+    lengths = [r["n"] for r in spans.filter(F.col("n") < SPAN).select("n").distinct().collect()]  # 1 to 9
+    mask_b = spark.sparkContext.broadcast(bit_filter(grams.select(F.explode("g.fp")), filter_bits))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bitmap = mask_b.value
@@ -134,15 +144,9 @@ def _contamination(docs: DataFrame, items: DataFrame, filter_bits: int) -> DataF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", text_digest(F.col("text")))
     # Each row has a number of its own, fixed by being written, so that repeated rows stay apart.
     printed = materialize(rows.mapInPandas(run, f"doc_id long, digest long, n_words long, g {_GRAM}").withColumn("row", F.monotonically_increasing_id()), "document-grams")
-    flat = printed.filter("size(g) > 0").select("row", "doc_id", "digest", "n_words", F.explode("g").alias("d")).withColumn("fp", F.col("d.fp"))
-    known = known.withColumnRenamed("gram", "its_gram").withColumnRenamed("fp", "its_fp")
-    joined = flat.join(known, (F.col("fp") == F.col("its_fp")) & (F.col("d.gram") == F.col("its_gram")) & (F.col("d.short") == F.col("short")), "left")
-    left, right = _run_length(F.col("d.before"), F.col("before")), _run_length(F.col("d.after"), F.col("after"))
-    n = F.when(F.col("short"), F.size(F.split("its_gram", " "))).otherwise(F.lit(K) + left + right)
-    start = F.when(F.col("short"), F.col("d.pos")).otherwise(F.col("d.pos") - left)
-    hit = F.when(F.col("short") | (n >= SPAN), F.struct(start.alias("start"), (start + n).alias("stop")))
-    hits = joined.select("row", "doc_id", "digest", "n_words", hit.alias("span"), F.when(hit.isNotNull(), F.col("context")).alias("context"))
-    by_doc = hits.groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc_id", "digest", "n_words")], F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.collect_set("context")).alias("contexts"))
+    some = printed.filter("size(g) > 0").select("row", "doc_id", "digest", "n_words", F.explode(spans_around(F.col("g"))).alias("s"))
+    hits = some.select("row", "doc_id", "digest", "n_words", "s.*").join(numbered, "words").select("row", "doc_id", "digest", "n_words", F.struct("start", (F.col("start") + F.col("n")).alias("stop")).alias("span"), "span_id")
+    by_doc = hits.groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc_id", "digest", "n_words")], F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.collect_set("span_id")).alias("span_ids"))
     merged = F.aggregate(
         "spans",
         F.array().cast("array<struct<start:int,stop:int>>"),
@@ -151,17 +155,18 @@ def _contamination(docs: DataFrame, items: DataFrame, filter_bits: int) -> DataF
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], s["stop"]).alias("stop")))),
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    found = materialize(by_doc.select("doc_id", "digest", "n_words", merged.alias("spans"), "contexts", F.when(F.size("contexts") > 0, F.sha2(F.array_join(F.col("contexts").cast("array<string>"), ","), 256)).alias("set")), "contamination")
-    # Documents hit by the same contexts share one list of items, made once.
-    sets = found.filter("set is not null").select("set", "contexts").dropDuplicates(["set"]).select("set", F.explode("contexts").alias("context"))
-    listed = sets.join(contexts.select("context", "items"), "context").select("set", F.explode("items").alias("item")).groupBy("set").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    found = materialize(by_doc.select("row", "doc_id", "digest", "n_words", merged.alias("spans"), "span_ids", F.sha2(F.array_join(F.col("span_ids").cast("array<string>"), ","), 256).alias("set")), "contamination")
+    # Documents hit by the same spans share one list of items, made once.
+    sets = found.select("set", "span_ids").dropDuplicates(["set"]).select("set", F.explode("span_ids").alias("span_id"))
+    listed = sets.join(holders, "span_id").groupBy("set").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     listed = listed.select("set", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["stop"] - s["start"])
-    missed = printed.filter("size(g) = 0").select("doc_id", "digest", "n_words", F.array().cast("array<struct<start:int,stop:int>>").alias("spans"))
-    none = found.filter("set is null").select("doc_id", "digest", "n_words", "spans").unionByName(missed)
-    none = none.select("doc_id", "digest", "n_words", n_hit.alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"), "spans")
-    some = found.filter("set is not null").join(listed, "set").select("doc_id", "digest", "n_words", n_hit.alias("n_hit"), "n_items", "items_sha256", F.lit(True).alias("contaminated"), "spans")
-    return none.unionByName(some)
+    hit = found.join(listed, "set").select("doc_id", "digest", "n_words", n_hit.alias("n_hit"), "n_items", "items_sha256", F.lit(True).alias("contaminated"), "spans")
+    # Rows that kept a fingerprint but met no span are few; the others never leave their task.
+    suspects = printed.filter("size(g) > 0").select("row", "doc_id", "digest", "n_words").join(found.select("row"), "row", "left_anti").drop("row")
+    clean = printed.filter("size(g) = 0").select("doc_id", "digest", "n_words").unionByName(suspects)
+    none = F.array().cast("array<struct<start:int,stop:int>>").alias("spans")
+    return clean.select("doc_id", "digest", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit("").cast("binary"), 256).alias("items_sha256"), F.lit(False).alias("contaminated"), none).unionByName(hit)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
