@@ -34,9 +34,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that materialize() wrote in this process and nobody has deleted.
+_MADE: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write the rows as Parquet in the shared folder and read them back."""
     path = new_path(df.sparkSession, name)
+    _MADE.append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path
@@ -46,10 +51,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def drop_written(df: DataFrame) -> None:
     """Delete a table that materialize() wrote and no later step reads."""
     path = getattr(df, "_written_to", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+    if path in _MADE:
+        _MADE.remove(path)
+        delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def tables_made() -> int:
+    """A mark for clear_tables()."""
+    return len(_MADE)
+
+
+def clear_tables(spark: SparkSession, mark: int) -> None:
+    """Delete the tables that materialize() wrote since a mark, once what was made from them is written."""
+    while len(_MADE) > mark:
+        delete(spark, _MADE.pop())
 
 
 def spare(df: DataFrame, *names: str) -> list[str]:

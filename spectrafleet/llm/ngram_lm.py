@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._shared import bounded_batches, new_path
 from .hashing import NON_SPACE, mix, slices, span_hashes, word_spans
 
-BLOCK_BYTES, BUCKET_BYTES, SHELF_BLOCKS = 6 << 20, 8 << 20, 16
+BLOCK_BYTES, BUCKET_BYTES, SHELF_BLOCKS = 6 << 20, 8 << 20, 8
 END = np.uint64(0x6A09E667F3BCC909)
 CLASSES, STEPS = 48, 4
 _ZERO = -400

@@ -188,7 +188,8 @@ def alike_links(texts: DataFrame, docs: DataFrame, likeness: float, words: int)
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = list(shingle_sets(pdf["text"][in_mask(shared.value, pdf["key"].to_numpy())].tolist(), words))
-            yield pd.DataFrame({"node": np.array([g[1] for g in got], np.uint64).view(np.int64), "s": [g[0].view(np.int64) for g in got]})
+            if got:  # an empty column of arrays has no type
+                yield pd.DataFrame({"node": np.array([g[1] for g in got], np.uint64).view(np.int64), "s": [g[0].view(np.int64) for g in got]})
 
     sets = materialize(rows.mapInPandas(read, "node long, s array<long>").join(asked, "node", "left_semi").dropDuplicates(["node"]), "simhash-sets")
     a, b = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s_{x}")) for x in "ab")
