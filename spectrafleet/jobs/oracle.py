@@ -101,6 +101,7 @@ ORACLE_SQL: dict[str, str] = {
     "dataset_summary": f"with {PSD}, s as (select campaign, (max(ts_ms) - min(ts_ms)) / 1000 as s from psd group by campaign, record_idx), m as (select campaign, count(*) as n_records, avg(s) as mean_spread_s, max(s) as max_spread_s from s group by all) select campaign, count(distinct sensor_id) as n_sensors, max(n_bins) as n_bins, round(max((end_freq_hz - start_freq_hz) / (n_bins - 1)), 6) as step_hz, round(max(end_freq_hz - start_freq_hz) / 1e6, 6) as span_mhz, string_agg(distinct sensor_id, ',' order by sensor_id) as sensors, any_value(n_records) as n_records, round(any_value(mean_spread_s), 6) as mean_spread_s, round(any_value(max_spread_s), 6) as max_spread_s from psd join m using (campaign) group by campaign",
     "sensor_integrity": f"with {PSD}, v as (select campaign, sensor_id, unnest(pxx_db) as v from psd), a as (select campaign, sensor_id, avg(v) as mean_db, stddev_pop(v) as std_db, min(v) as min_db, max(v) as max_db from v group by all) select campaign, sensor_id, count(*) as n_records, min(ts_ms) as first_ms, max(ts_ms) as last_ms, round((max(ts_ms) - min(ts_ms)) / 1000, 6) as span_s, round(any_value(mean_db), 6) as mean_db, round(any_value(std_db), 6) as std_db, round(any_value(min_db), 6) as min_db, round(any_value(max_db), 6) as max_db from psd join a using (campaign, sensor_id) group by campaign, sensor_id",
     "psd_histogram": f"with {CELLS}, {_hist('cells')} select campaign, sensor_id, bin, n, round(density, 6) as density from dens",
+    "histogram_summary": f"with {CELLS}, c as (select campaign, value, 10.0::double as lo, (50.0::double - 10.0::double) / 50 as w from cells), g as (select *, least(floor((value - lo) / w), 49) as g from c where value between 10 and 50), h as (select campaign, (g - (value < lo + g * w)::int + (value >= lo + (g + 1) * w and g < 49)::int)::int as bin, count(*) as n from g group by all), t as (select campaign, count(*) filter (value < 10 or value > 50) / count(*) as clipped_fraction from cells group by campaign), b as (select campaign, unnest(range(0, 50))::int as bin from t), a as (select campaign, bin, coalesce(n, 0)::bigint as n from b left join h using (campaign, bin)) select campaign, bin, round(10 + (bin + 0.5::double) * (40::double / 50), 6) as centre, n, round(n / (sum(n) over (partition by campaign) * (40::double / 50)), 6) as density, round(clipped_fraction, 6) as clipped_fraction from a join t using (campaign)",
     "distribution_similarity": f"with {PSD}, {DIST} select campaign, sensor_id, is_outlier, rank, {r('score normalised_score')} from dist",
     "record_correlation": f"with {PSD}, {CORR} select campaign, record_idx, sensor_a, sensor_b, round(value, 6) as value from rho",
     "mean_correlation_matrix": f"with {PSD}, {CORR} select campaign, sensor_a, sensor_b, round(avg(value), 6) as mean_correlation from rho group by all",

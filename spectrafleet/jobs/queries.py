@@ -232,6 +232,11 @@ def psd_histogram(spark, sf_dir):
     return rounded(R.psd_histogram(T.cells(spark, sf_dir)))
 
 
+@query
+def histogram_summary(spark, sf_dir):
+    return rounded(R.histogram_summary(T.cells(spark, sf_dir), value_range=(10.0, 50.0)))
+
+
 @query
 def distribution_similarity(spark, sf_dir):
     return rounded(R.distribution_similarity(R.psd_histogram(R.spectra_values(T.psd(spark, sf_dir)))))

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .quantiles import counted
+from .sets import require_none
+
 from ..functions.spectra import noise_floor
 from .records import STD_FLOOR, both_ways, pearson, record_matrix
 
@@ -53,15 +56,29 @@ def dataset_overview(ranking: DataFrame) -> DataFrame:
     return out.select("campaign", F.col("b.sensor_id").alias("best_sensor"), F.col("b.mean_score").alias("best_score"), F.col("b.mean_correlation").alias("best_correlation"), "n_sensors", "n_records")
 
 
-def psd_histogram(values: DataFrame, bins: int = 50) -> DataFrame:
+def _ranges(values: DataFrame, value_range: tuple[float, float] | None) -> DataFrame:
+    """campaign, lo, hi: the given range, or that of a campaign's values."""
+    if value_range is None:
+        return values.groupBy("campaign").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    if not value_range[0] < value_range[1]:
+        raise ValueError("a range must begin below its end")
+    return values.select("campaign").distinct().select("campaign", *[F.lit(float(x)).alias(n) for n, x in zip(("lo", "hi"), value_range)])
+
+
+def psd_histogram(values: DataFrame, bins: int = 50, value_range: tuple[float, float] | None = None) -> DataFrame:
     """campaign, sensor_id, bin, n, density from long values (campaign, sensor_id, value), over edges shared in a campaign.
 
+    Values outside a given range don't count; a sensor that has no others is an error.
+
     Bins are closed on the left, the last one on both sides, and decided by the edge values. A campaign of one value
     has no width and is an error.
     """
-    span = values.groupBy("campaign").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    if value_range is not None:
+        inside = values.filter(F.col("value").between(*value_range))
+        require_none(values.select("campaign", "sensor_id").distinct().join(inside.select("campaign", "sensor_id").distinct(), ["campaign", "sensor_id"], "left_anti"), "no value within the range")
+        values = inside
     width = (F.col("hi") - F.col("lo")) / bins
-    placed = values.join(F.broadcast(span), "campaign")  # one row for each campaign
+    placed = values.join(counted(_ranges(values, value_range)), "campaign")
     placed = placed.withColumn("lo", F.when(F.col("hi") > F.col("lo"), F.col("lo")).otherwise(F.raise_error(F.lit("a campaign's values are all equal")).cast("double")))
     guess = F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1))
     edge = lambda i: F.col("lo") + i * width
@@ -71,6 +88,20 @@ def psd_histogram(values: DataFrame, bins: int = 50) -> DataFrame:
     return counts.select("campaign", "sensor_id", "bin", "n", (F.col("n") / (total * F.col("width"))).alias("density"))
 
 
+def histogram_summary(values: DataFrame, bins: int = 50, value_range: tuple[float, float] | None = None) -> DataFrame:
+    """campaign, bin, centre, n, density over all sensors of a campaign, every bin, and the share of values that the range clips."""
+    found = psd_histogram(values, bins, value_range).groupBy("campaign", "bin").agg(F.sum("n").alias("n"))
+    ends = _ranges(values, value_range)
+    low, high = value_range or (None, None)
+    clipped = F.lit(0.0) if value_range is None else F.count_if(~F.col("value").between(low, high)) / F.count("value")
+    whole = values.groupBy("campaign").agg(clipped.alias("clipped_fraction"))
+    width = (F.col("hi") - F.col("lo")) / bins
+    every = ends.join(whole, "campaign").select("campaign", "clipped_fraction", "lo", width.alias("width"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    out = every.join(found, ["campaign", "bin"], "left").fillna(0, ["n"])
+    total = F.sum("n").over(Window.partitionBy("campaign"))
+    return out.select("campaign", "bin", (F.col("lo") + (F.col("bin") + 0.5) * F.col("width")).alias("centre"), "n", (F.col("n") / (total * F.col("width"))).alias("density"), "clipped_fraction")
+
+
 def spectra_values(rows: DataFrame) -> DataFrame:
     return rows.select("campaign", "sensor_id", F.explode("pxx_db").alias("value"))
 
@@ -135,5 +166,5 @@ def dataset_summary(aligned: DataFrame) -> DataFrame:
 
 def mean_psd_curve(aligned: DataFrame, ranking: DataFrame, n: int = 3) -> DataFrame:
     """campaign, sensor_id, bin, mean_db of the n best sensors."""
-    best = F.broadcast(top_sensors(ranking, n).select("campaign", "sensor_id"))  # n rows for each campaign
+    best = counted(top_sensors(ranking, n).select("campaign", "sensor_id"))
     return aligned.join(best, ["campaign", "sensor_id"]).select("campaign", "sensor_id", F.posexplode("pxx_db").alias("bin", "v")).groupBy("campaign", "sensor_id", "bin").agg(F.avg("v").alias("mean_db"))
