@@ -37,6 +37,8 @@ DENSE = 16
 ALIKE_WORDS, ALIKE, ALIKE_BITS = 5, 0.8, 24
 #: Cells of a text, and hashes that make up one: texts at 0.8 share none of them twice in 10,000 times.
 CELLS, CELL_HASHES = 12, 3
+#: A cell of up to so many texts lists its pairs.
+CROWD = 128
 _SLICE = 1 << 15
 
 
@@ -168,12 +170,16 @@ def set_fingerprint(shingles: np.ndarray) -> int:
 def alike_links(texts: DataFrame, docs: DataFrame, likeness: float, words: int) -> DataFrame:
     """(a, b) nodes of distinct texts at the likeness or more. texts: node, fp, n, cells, doc_id, digest of a row that has it."""
     cells = texts.select("node", F.explode("cells").alias("cell"))
-    # Each member meets four members of its cell, the least and greatest in two orders, one of them the cell's own:
-    # no cell lists its pairs, and texts of one group meet many different ones over their cells.
     own = F.col("node").bitwiseXOR(F.col("cell"))
-    met = cells.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(own).alias("near"), F.max(own).alias("far")).filter("lo <> hi")
+    met = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(own).alias("near"), F.max(own).alias("far")).filter("n > 1")
+    members = materialize(cells.join(met, "cell"), "simhash-members")
+    few = members.filter(F.col("n") <= CROWD).select("cell", "node")
+    pairs = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "cell").filter("a < b").select("a", "b")
+    # In a crowded cell no pairs are listed: each member meets four, the least and greatest in two orders, one of them
+    # the cell's own, so that texts of one group meet many different ones over their cells.
     others = F.array("lo", "hi", F.col("near").bitwiseXOR(F.col("cell")), F.col("far").bitwiseXOR(F.col("cell")))
-    pairs = cells.join(met, "cell").select("node", F.explode(others).alias("other")).filter("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    crowded = members.filter(F.col("n") > CROWD).select("node", F.explode(others).alias("other")).filter("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    pairs = pairs.unionByName(crowded).distinct()
     small = texts.select("node", "fp", "n")
     both = pairs.join(small.toDF("a", "fp_a", "n_a"), "a").join(small.toDF("b", "fp_b", "n_b"), "b")
     fa, fb, scale = F.col("fp_a"), F.col("fp_b"), round(likeness * 10_000)

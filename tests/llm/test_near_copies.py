@@ -89,10 +89,12 @@ def survivors(rows):
     return best
 
 
-@pytest.mark.parametrize("bits", [64, 1 << 16])
-def test_deduplicate_against_all_pairs(spark, monkeypatch, bits):
+@pytest.mark.parametrize(("bits", "crowd"), [(64, 128), (1 << 16, 4)])
+def test_deduplicate_against_all_pairs(spark, monkeypatch, bits, crowd):
     from spectrafleet.llm import _shared
 
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+
     rng = random.Random(3)
     words = [f"w{i}" for i in range(400)]
     rows, n = [], 100
