@@ -62,8 +62,8 @@ def _anchor(t: str) -> str:
     return f"anchor as (select campaign, first(sensor_id order by n, sensor_id) as anchor from (select campaign, sensor_id, count(*) as n from {t} group by all) group by campaign)"
 
 
-def _labels(rest: int) -> str:
-    return f"(select campaign as label, min(src_row) as pos from ev where src_row % 3 = {rest} group by campaign)"
+def _labels(t: str) -> str:
+    return f"(select campaign as label, min(src_row) as pos from {t} group by campaign)"
 
 
 TRAIN_STATS = ", ".join(f"avg({f}) as m_{f}, case when stddev_pop({f}) <= 1e-12 then 1 else stddev_pop({f}) end as s_{f}, min({f}) as lo_{f}, max({f}) as hi_{f}" for f in FEATURES)
@@ -89,9 +89,9 @@ ORACLE_SQL: dict[str, str] = {
     "sensor_registry": f"with {PSD} select distinct sensor_id from psd",
     "sensor_pairs": f"with {PSD} select a.campaign, a.record_idx, a.sensor_id as sensor_a, b.sensor_id as sensor_b from psd a join psd b on a.campaign = b.campaign and a.record_idx = b.record_idx and a.sensor_id < b.sensor_id",
     "reference_weights": f"with {CELLS} select sensor_id, round(count(*) / (select count(*) from cells), 6) as weight from cells group by sensor_id",
-    "workflow_union": f"with {EV}, u as (select label, min((0, pos)) as k from {_labels(0)} group by label union all select label, min((1, pos)) from {_labels(1)} group by label), f as (select label, min(k) as k from u group by label) select label, row_number() over (order by k) as pos from f",
-    "split_overlap": f"with {EV} select label, 'overlap' as problem from (select label from {_labels(0)} where label < 'c6' intersect select label from {_labels(1)} where label > 'c3')",
-    "missing_campaigns": f"with {PSD}, {EV} select campaign from ev except select campaign from psd where src_row < 500",
+    "workflow_union": f"with {PSD}, {EV}, u as (select label, min((0, pos)) as k from {_labels('ev')} group by label union all select label, min((1, pos)) from {_labels('psd')} group by label), f as (select label, min(k) as k from u group by label) select label, row_number() over (order by k) as pos from f",
+    "split_overlap": f"with {PSD}, {EV} select label, 'overlap' as problem from (select label from {_labels('ev')} intersect select label from {_labels('psd')})",
+    "missing_campaigns": f"with {PSD}, {EV} select campaign from ev except select campaign from psd",
     "infer_tolerance": f"with {EV}, g as (select campaign, ts_ms // 3000 - lag(ts_ms // 3000) over (partition by campaign, sensor_id order by ts_ms // 3000) as gap from ev) select campaign, coalesce(round_even(greatest(least(quantile_cont(gap, 0.5) filter (gap > 0) * 0.25, 5000), 250), 0), 5000)::bigint as tolerance_ms from g group by campaign",
     "select_anchor": f"with {EV}, {_anchor('ev')} select campaign, anchor from anchor",
     "nearest_asof": f"with {EV}, {_anchor('ev')}, p as (select a.campaign, a.src_row as anchor_row, a.ts_ms as anchor_ts, b.sensor_id, b.src_row, b.ts_ms, row_number() over (partition by a.campaign, a.src_row, b.sensor_id order by abs(b.ts_ms - a.ts_ms), b.ts_ms, case when b.ts_ms < a.ts_ms then -b.src_row else b.src_row end) as k from ev a join anchor on a.campaign = anchor.campaign and a.sensor_id = anchor join ev b on b.campaign = a.campaign and b.sensor_id <> a.sensor_id and b.ts_ms between a.ts_ms - 1800000 and a.ts_ms + 1800000) select campaign, anchor_row, anchor_ts, sensor_id, src_row, ts_ms from p where k = 1",

@@ -145,23 +145,23 @@ def reference_weights(spark, sf_dir):
     return rounded(X.reference_weights(X.sensor_registry(rows), rows.groupBy("sensor_id").agg(F.count(F.lit(1)).cast("double").alias("weight"))))
 
 
-def _labels(spark, sf_dir, rest):
-    return T.events_series(spark, sf_dir).filter(F.col("src_row") % 3 == rest).groupBy("campaign").agg(F.min("src_row").alias("pos")).select(F.col("campaign").alias("label"), "pos")
+def _labels(rows):
+    return rows.groupBy("campaign").agg(F.min("src_row").alias("pos")).select(F.col("campaign").alias("label"), "pos")
 
 
 @query
 def workflow_union(spark, sf_dir):
-    return X.workflow_union(_labels(spark, sf_dir, 0), _labels(spark, sf_dir, 1))
+    return X.workflow_union(_labels(T.events_series(spark, sf_dir)), _labels(T.psd(spark, sf_dir)))
 
 
 @query
 def split_overlap(spark, sf_dir):
-    return X.split_violations(_labels(spark, sf_dir, 0).filter("label < 'c6'"), _labels(spark, sf_dir, 1).filter("label > 'c3'"))
+    return X.split_violations(_labels(T.events_series(spark, sf_dir)), _labels(T.psd(spark, sf_dir)))
 
 
 @query
 def missing_campaigns(spark, sf_dir):
-    return X.missing_campaigns(T.events_series(spark, sf_dir), T.psd(spark, sf_dir).filter("src_row < 500"))
+    return X.missing_campaigns(T.events_series(spark, sf_dir), T.psd(spark, sf_dir))
 
 
 @query
