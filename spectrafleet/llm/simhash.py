@@ -11,7 +11,9 @@ to the smallest fingerprint at each such word, which keeps every component.
 Links at a likeness (deduplicate). At a Jaccard likeness of 0.8, fingerprints differ in some 10 of 64 bits and now and
 then in 20; cells of that radius would hold a large part of all rows. There, a cell is made of the least shingle
 hashes under a fixed mixing, several cells a text, which texts alike enough share almost surely. Candidates of a cell
-are then held to the Manhattan bound, to the Hamming distance, and last to the exact likeness of their shingle sets.
+are then held to the Manhattan bound, to the Hamming distance, and last to the exact likeness of their shingle sets. A
+cell of more than CROWD texts doesn't list its pairs: its texts meet a few of their number first, and where that leaves
+several components, those of different components meet at rare shingles, of which alike sets always share one.
 """
 
 from __future__ import annotations
@@ -37,8 +39,10 @@ DENSE = 16
 ALIKE_WORDS, ALIKE, ALIKE_BITS = 5, 0.8, 24
 #: Cells of a text, and hashes that make up one: texts at 0.8 share none of them twice in 10,000 times.
 CELLS, CELL_HASHES = 12, 3
-#: A cell of up to so many texts lists its pairs.
+#: A cell of up to so many texts lists its pairs; also the size of a block in larger groups.
 CROWD = 128
+#: Slots in which shingles of crowds are counted, to take rare ones first.
+RARE_SLOTS = 1 << 20
 _SLICE = 1 << 15
 
 
@@ -167,27 +171,9 @@ def set_fingerprint(shingles: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(shingles), bitorder="little").view("<i8")[0])
 
 
-def alike_links(texts: DataFrame, docs: DataFrame, likeness: float, words: int) -> DataFrame:
-    """(a, b) nodes of distinct texts at the likeness or more. texts: node, fp, n, cells, doc_id, digest of a row that has it."""
-    cells = texts.select("node", F.explode("cells").alias("cell"))
-    own = F.col("node").bitwiseXOR(F.col("cell"))
-    met = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(own).alias("near"), F.max(own).alias("far")).filter("n > 1")
-    members = materialize(cells.join(met, "cell"), "simhash-members")
-    few = members.filter(F.col("n") <= CROWD).select("cell", "node")
-    pairs = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "cell").filter("a < b").select("a", "b")
-    # In a crowded cell no pairs are listed: each member meets four, the least and greatest in two orders, one of them
-    # the cell's own, so that texts of one group meet many different ones over their cells.
-    others = F.array("lo", "hi", F.col("near").bitwiseXOR(F.col("cell")), F.col("far").bitwiseXOR(F.col("cell")))
-    crowded = members.filter(F.col("n") > CROWD).select("node", F.explode(others).alias("other")).filter("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    pairs = pairs.unionByName(crowded).distinct()
-    small = texts.select("node", "fp", "n")
-    both = pairs.join(small.toDF("a", "fp_a", "n_a"), "a").join(small.toDF("b", "fp_b", "n_b"), "b")
-    fa, fb, scale = F.col("fp_a"), F.col("fp_b"), round(likeness * 10_000)
-    near = (manhattan(segment_counts(fa), segment_counts(fb)) <= ALIKE_BITS) & (F.bit_count(fa.bitwiseXOR(fb)) <= ALIKE_BITS) & (F.least("n_a", "n_b") * 10_000 >= F.greatest("n_a", "n_b") * scale)
-    pairs = materialize(both.filter(near).select("a", "b"), "simhash-pairs")
-    # Only texts that are still in a pair are read again for their shingles.
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    named = texts.join(asked, "node", "left_semi").select(F.xxhash64("doc_id", "digest"))
+def shingle_table(nodes: DataFrame, texts: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node, s (its sorted shingle hashes) for the given distinct nodes; only rows of docs that may be theirs are cut into shingles again."""
+    named = texts.join(nodes, "node", "left_semi").select(F.xxhash64("doc_id", "digest"))
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter(named))
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text_digest(F.col("text"))).alias("key"))
 
@@ -197,12 +183,92 @@ def alike_links(texts: DataFrame, docs: DataFrame, likeness: float, words: int)
             if got:  # an empty column of arrays has no type
                 yield pd.DataFrame({"node": np.array([g[1] for g in got], np.uint64).view(np.int64), "s": [g[0].view(np.int64) for g in got]})
 
-    sets = materialize(rows.mapInPandas(read, "node long, s array<long>").join(asked, "node", "left_semi").dropDuplicates(["node"]), "simhash-sets")
+    return materialize(rows.mapInPandas(read, "node long, s array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "simhash-sets")
+
+
+def may_be_alike(fa: Column, fb: Column, na: Column, nb: Column, scale: int) -> Column:
+    """The bounds that fingerprints and shingle counts of two alike texts keep."""
+    bits = (manhattan(segment_counts(fa), segment_counts(fb)) <= ALIKE_BITS) & (F.bit_count(fa.bitwiseXOR(fb)) <= ALIKE_BITS)
+    return bits & (F.least(na, nb) * 10_000 >= F.greatest(na, nb) * scale)
+
+
+def alike_pairs(pairs: DataFrame, sets: DataFrame, scale: int) -> DataFrame:
+    """Those of pairs (a, b) whose shingle sets have the likeness scale / 10,000 or more."""
     a, b = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s_{x}")) for x in "ab")
     common = F.size(F.array_intersect("s_a", "s_b"))
     return pairs.join(a, "a").join(b, "b").filter(common * 10_000 >= (F.size("s_a") + F.size("s_b") - common) * scale).select("a", "b")
 
 
+def rare_shingles(sets: DataFrame, scale: int) -> DataFrame:
+    """node, gram: the first shingles of each set in one order of all shingles, so many that any two sets at the likeness share one.
+
+    Sets of sizes p and q at the likeness t have t * max(p, q) shingles in common or more, so whatever the order, one of
+    them is among the first p - ceil(t * p) + 1 of the one and q - ceil(t * q) + 1 of the other. Rare ones come first:
+    the order is by counts in RARE_SLOTS slots, a table of fixed size, then by hash.
+    """
+    slot = F.pmod(F.col("gram"), F.lit(RARE_SLOTS))
+    counted = sets.select(F.explode("s").alias("gram")).groupBy(slot.cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counts = np.zeros(RARE_SLOTS, np.int64)
+    counts[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def first(s: np.ndarray) -> np.ndarray:
+        return s[np.lexsort((s, shared.value[s % RARE_SLOTS]))[: len(s) - -(-len(s) * scale // 10_000) + 1]]
+
+    return sets.select("node", F.explode(F.pandas_udf(lambda col: col.map(first), "array<long>")("s")).alias("gram"))
+
+
+def crowd_pairs(members: DataFrame, sets: DataFrame, scale: int) -> DataFrame:
+    """(a, b) that may be alike, among members (node, fp, n, component) of different components; none at the likeness is left out.
+
+    Members meet at shared rare shingles. Where those of a shingle are of several components, all but its most frequent
+    component's are set against all of them, in blocks of CROWD: two of one component need no link.
+    """
+    rows = materialize(rare_shingles(sets, scale).join(members, "node"), "simhash-rare")
+    parts = rows.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("own"))
+    met = parts.groupBy("gram").agg(F.max(F.struct("own", "component")).alias("main"), F.sum("own").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    blocks = F.ceil((F.col("all") - F.col("main.own")) / CROWD).cast("int")
+    rows = rows.join(met.select("gram", F.col("main.component").alias("main"), blocks.alias("blocks")), "gram")
+    few = rows.filter("component <> main").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    few = few.select("gram", "block", *[F.col(c).alias(f"{c}_a") for c in ("node", "fp", "n", "component")])
+    every = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x, y = F.col("node_a"), F.col("node")
+    differ = (F.col("component_a") != F.col("component")) & may_be_alike(F.col("fp_a"), F.col("fp"), F.col("n_a"), F.col("n"), scale)
+    return few.join(every, ["gram", "block"]).filter(differ).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def alike_components(texts: DataFrame, docs: DataFrame, likeness: float, words: int) -> DataFrame:
+    """(node, component) of the distinct texts that links at the likeness or more join. texts: node, fp, n, cells, doc_id, digest of a row that has it."""
+    cells = texts.select("node", F.explode("cells").alias("cell"))
+    own = F.col("node").bitwiseXOR(F.col("cell"))
+    met = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(own).alias("near"), F.max(own).alias("far")).filter("n > 1")
+    members = materialize(cells.join(met, "cell"), "simhash-members")
+    few = members.filter(F.col("n") <= CROWD).select("cell", "node")
+    pairs = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "cell").filter("a < b").select("a", "b")
+    # In a crowded cell no pairs are listed: each member first meets four, the least and greatest in two orders, one of
+    # them the cell's own, so that texts of one group meet many different ones over their cells.
+    others = F.array("lo", "hi", F.col("near").bitwiseXOR(F.col("cell")), F.col("far").bitwiseXOR(F.col("cell")))
+    crowded = members.filter(F.col("n") > CROWD)
+    hubs = crowded.select("node", F.explode(others).alias("other")).filter("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    pairs = pairs.unionByName(hubs).distinct()
+    small, scale = texts.select("node", "fp", "n"), round(likeness * 10_000)
+    both = pairs.join(small.toDF("a", "fp_a", "n_a"), "a").join(small.toDF("b", "fp_b", "n_b"), "b")
+    pairs = materialize(both.filter(may_be_alike(F.col("fp_a"), F.col("fp_b"), F.col("n_a"), F.col("n_b"), scale)).select("a", "b"), "simhash-pairs")
+    # Only texts that are still in a pair are read again for their shingles.
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    links = materialize(alike_pairs(pairs, shingle_table(asked, texts, docs, words), scale), "simhash-links")
+    parts = connected_components(links, "simhash-components")
+    # Then crowds that are not yet one component: links between components may be missing there.
+    placed = crowded.select("cell", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = placed.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    torn = materialize(placed.join(split, "cell", "left_semi").select("node", "component").distinct().join(small, "node"), "simhash-crowds")
+    if torn.isEmpty():
+        return parts
+    sets = shingle_table(torn.select("node"), texts, docs, words)
+    more = materialize(alike_pairs(materialize(crowd_pairs(torn, sets, scale), "simhash-pairs"), sets, scale), "simhash-links")
+    return connected_components(links.unionByName(more), "simhash-components")
+
+
 def alike_verdicts(docs: DataFrame, likeness: float = ALIKE, words: int = ALIKE_WORDS) -> DataFrame:
     """doc_id, digest (of the text), keep for the rows of docs that are alike another; others have no verdict.
 
@@ -223,7 +289,7 @@ def alike_verdicts(docs: DataFrame, likeness: float = ALIKE, words: int = ALIKE_
     texts = printed.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("cells").alias("cells"), first, F.count(F.lit(1)).alias("rows"), (F.min("again") == F.max("again")).alias("sure"))
     # A node that two different texts share by chance is left alone: its rows stay.
     texts = materialize(texts.filter("sure").select("node", "fp", "n", "cells", "first", "rows", "first.doc_id", "first.digest"), "simhash-texts")
-    parts = connected_components(alike_links(texts, docs, likeness, words), "simhash-components")
+    parts = alike_components(texts, docs, likeness, words)
     classed = texts.select("node", "first", "rows").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = classed.groupBy("component").agg(F.min("first").alias("best"), F.sum("rows").alias("total")).filter("total > 1")
     chosen = classed.join(best, "component").select("node", "best")

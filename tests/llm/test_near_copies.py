@@ -119,6 +119,30 @@ def test_deduplicate_against_all_pairs(spark, monkeypatch, bits, crowd):
     assert simhash.deduplicate(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [2, 16])
+def test_crowded_cells_lose_no_link(spark, monkeypatch, crowd):
+    """Pairs and chains of alike texts hidden in cells of many unlike ones, which meet only there."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "RARE_SLOTS", 64 if crowd == 2 else 1 << 20)
+    # One cell for all: every text meets every other in a crowd.
+    monkeypatch.setattr(simhash, "likeness_cells", lambda shingles: np.zeros(1, np.uint64))
+    monkeypatch.setattr(simhash, "ALIKE_BITS", 64)
+    rng = random.Random(crowd)
+    said = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    passage, rows = said(60), []
+    for _ in range(40):
+        chain = passage + said(rng.choice([0, 20, 60, 200]))
+        for _ in range(rng.choice([1, 2, 4])):
+            rows.append((len(rows), " ".join(chain)))
+            chain = list(chain)
+            for _ in range(max(1, len(chain) // 70)):
+                chain[rng.randrange(len(chain))] = f"e{rng.randrange(5000)}"
+    rows += [(900, "a b"), (901, "a B"), (902, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(r["doc_id"] for r in simhash.deduplicate(docs).collect())
+    assert kept == sorted(i for _, i in survivors(rows).values()) and 20 < len(kept) < len(rows)
+
+
 def test_settled_rows(spark):
     from spectrafleet.llm._shared import settle_rows, text_digest
 
