@@ -43,6 +43,8 @@ CELLS, CELL_HASHES = 12, 3
 CROWD = 128
 #: Slots in which shingles of crowds are counted, to take rare ones first.
 RARE_SLOTS = 1 << 20
+#: Parts in which two sets' shingles are counted, to bound how many they have in common.
+PARTS = 64
 _SLICE = 1 << 15
 
 
@@ -200,11 +202,12 @@ def alike_pairs(pairs: DataFrame, sets: DataFrame, scale: int) -> DataFrame:
 
 
 def rare_shingles(sets: DataFrame, scale: int) -> DataFrame:
-    """node, gram: the first shingles of each set in one order of all shingles, so many that any two sets at the likeness share one.
+    """node, gram, parts: the first shingles of each set in one order of all shingles, so many that any two sets at the likeness share one.
 
     Sets of sizes p and q at the likeness t have t * max(p, q) shingles in common or more, so whatever the order, one of
     them is among the first p - ceil(t * p) + 1 of the one and q - ceil(t * q) + 1 of the other. Rare ones come first:
-    the order is by counts in RARE_SLOTS slots, a table of fixed size, then by hash.
+    the order is by counts in RARE_SLOTS slots, a table of fixed size, then by hash. Those of one set alone are left out
+    then; parts has the numbers of all its other shingles in PARTS parts.
     """
     slot = F.pmod(F.col("gram"), F.lit(RARE_SLOTS))
     counted = sets.select(F.explode("s").alias("gram")).groupBy(slot.cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n")).toArrow()
@@ -212,17 +215,26 @@ def rare_shingles(sets: DataFrame, scale: int) -> DataFrame:
     counts[counted["slot"].to_numpy()] = counted["n"].to_numpy()
     shared = sets.sparkSession.sparkContext.broadcast(counts)
 
-    def first(s: np.ndarray) -> np.ndarray:
-        return s[np.lexsort((s, shared.value[s % RARE_SLOTS]))[: len(s) - -(-len(s) * scale // 10_000) + 1]]
+    def first(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        count = shared.value[s % RARE_SLOTS]
+        order = np.lexsort((s, count))[: len(s) - -(-len(s) * scale // 10_000) + 1]
+        return s[order][count[order] > 1], np.bincount(mix(s[count > 1].view(np.uint64)).astype(np.int64) % PARTS, minlength=PARTS)
 
-    return sets.select("node", F.explode(F.pandas_udf(lambda col: col.map(first), "array<long>")("s")).alias("gram"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [first(s) for s in pdf["s"]]
+            if got:
+                yield pd.DataFrame({"node": pdf["node"], "grams": [g for g, _ in got], "parts": [c.astype(np.int32) for _, c in got]})
+
+    return sets.mapInPandas(run, "node long, grams array<long>, parts array<int>").select("node", F.explode("grams").alias("gram"), "parts")
 
 
 def crowd_pairs(members: DataFrame, sets: DataFrame, scale: int) -> DataFrame:
     """(a, b) that may be alike, among members (node, fp, n, component) of different components; none at the likeness is left out.
 
     Members meet at shared rare shingles. Where those of a shingle are of several components, all but its most frequent
-    component's are set against all of them, in blocks of CROWD: two of one component need no link.
+    component's are set against all of them, in blocks of CROWD: two of one component need no link. Two sets have at
+    most the sum of the lesser of their numbers in each part in common, so only pairs where that is enough come out.
     """
     rows = materialize(rare_shingles(sets, scale).join(members, "node"), "simhash-rare")
     parts = rows.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("own"))
@@ -230,11 +242,13 @@ def crowd_pairs(members: DataFrame, sets: DataFrame, scale: int) -> DataFrame:
     blocks = F.ceil((F.col("all") - F.col("main.own")) / CROWD).cast("int")
     rows = rows.join(met.select("gram", F.col("main.component").alias("main"), blocks.alias("blocks")), "gram")
     few = rows.filter("component <> main").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    few = few.select("gram", "block", *[F.col(c).alias(f"{c}_a") for c in ("node", "fp", "n", "component")])
+    few = few.select("gram", "block", *[F.col(c).alias(f"{c}_a") for c in ("node", "fp", "n", "component", "parts")])
     every = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     x, y = F.col("node_a"), F.col("node")
     differ = (F.col("component_a") != F.col("component")) & may_be_alike(F.col("fp_a"), F.col("fp"), F.col("n_a"), F.col("n"), scale)
-    return few.join(every, ["gram", "block"]).filter(differ).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+    most = F.aggregate(F.zip_with("parts_a", "parts", lambda p, q: F.least(p, q)), F.lit(0).cast("long"), lambda t, v: t + v)
+    enough = most * (10_000 + scale) >= (F.col("n_a") + F.col("n")).cast("long") * scale
+    return few.join(every, ["gram", "block"]).filter(differ & enough).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
 def alike_components(texts: DataFrame, docs: DataFrame, likeness: float, words: int) -> DataFrame:
