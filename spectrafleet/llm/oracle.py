@@ -49,4 +49,29 @@ select conv_id, count(*) as n_turns,
 from e group by conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_winnowing": OP1, "op4_redirect_rules": OP4, "op6_chat_format": OP6}
+OP13 = rf"""
+with t as (
+  select lang, source, doc_id, unnest(w) as term
+  from (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as doc_id,
+               regexp_extract_all(translate(coalesce(text, ''), {_UP}, {_LOW}), '[^ -@[-`{-]+') as w from documents)),
+k as (select lang, term from (select distinct lang, term, doc_id from t) group by lang, term having count(*) >= 30),
+c as (select lang, source, term, count(*) as c from t join k using (lang, term) group by all),
+g as (select distinct coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+v as (select lang, count(*) as v from k group by lang),
+n as (select lang, source, sum(c) as n from c group by all),
+s as (select g.lang, g.source, coalesce(n, 0) as n, v from g join v using (lang) left join n on g.lang = n.lang and g.source = n.source),
+p as (select s.lang, s.source, k.term, coalesce(c, 0) as c, 1 + (1000000000 * (coalesce(c, 0) + 5)) // (s.n + 5 * s.v) as p
+      from s join k using (lang) left join c on c.lang = s.lang and c.source = s.source and c.term = k.term),
+q as (select lang, term, 1 + (1000000000 * (sum(c) + 5)) // ((select sum(n) from s where s.lang = p.lang) + 5 * (select v from v where v.lang = p.lang)) as q
+      from p group by lang, term),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f, 0) as value
+  from g as a join g as b on a.lang = b.lang and a.source <> b.source
+  left join (select a.lang, a.source as one, b.source as two, sum(abs(a.p - b.p)) as f from p as a join p as b using (lang, term) where a.source <> b.source group by all) as d
+    on d.lang = a.lang and d.one = a.source and d.two = b.source),
+terms as (select lang, source, 'term' as part, term as item, p - q as value from p join q using (lang, term) where c > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (from pairs union all from terms))
+select lang, source, part, item, value::bigint as value, rank::int as rank from ranked where part = 'pair' or rank <= 50
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_winnowing": OP1, "op4_redirect_rules": OP4, "op6_chat_format": OP6, "op13_joint_histograms": OP13}
