@@ -53,7 +53,7 @@ OP13 = rf"""
 with t as (
   select lang, source, doc_id, unnest(w) as term
   from (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as doc_id,
-               regexp_extract_all(translate(coalesce(text, ''), {_UP}, {_LOW}), '[^ -@[-`{-]+') as w from documents)),
+               regexp_extract_all(translate(coalesce(text, ''), {_UP}, {_LOW}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents)),
 k as (select lang, term from (select distinct lang, term, doc_id from t) group by lang, term having count(*) >= 30),
 c as (select lang, source, term, count(*) as c from t join k using (lang, term) group by all),
 g as (select distinct coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
