@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, divergence, minhash, ngram_lm, quality, reshard, simhash, token_files, url_rules, whitening
+from . import bpe, chat, decontaminate, divergence, minhash, ngram_lm, quality, reshard, simhash, token_files, url_rules, whitening, wrappers
 from ._shared import new_path
 
 
@@ -98,6 +98,10 @@ def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, str(tokenizer_path("word_bpe_49k.json")), bpe_digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op11_page_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.add_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
 def op12_range_finder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -117,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_popcount": op8_simhash_popcount,
     "op9_one_permutation": op9_one_permutation,
     "op10_flow_reshard": op10_flow_reshard,
+    "op11_page_wrappers": op11_page_wrappers,
     "op12_range_finder": op12_range_finder,
     "op13_joint_histograms": op13_joint_histograms,
 }
