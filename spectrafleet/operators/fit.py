@@ -1,220 +1,59 @@
-"""Fitting persistent calibration curves over a corpus of campaigns.
+"""Fitting persistent calibration curves over a corpus of campaigns; model.py has the objective.
 
-Model. A sensor s under configuration c has features x = [e_s, tanh(W c + b)]; heads A x + B give the spline coefficients
-of log gain, floor and variance parameters. Log gain is centred by the reference weights over all registered sensors;
-G = exp, N = softplus, V = floor + softplus. Each campaign adds its own deviations, those of log gain with mean zero
-over its sensors. An observation is Y = G S + N with variance V, S the record's latent spectrum.
-
-Layout. Within an outer round Y and S are fixed, so the likelihood needs sums over records alone: K, sum Y, sum Y^2,
-sum Y S, sum S, sum S^2 for each (campaign, sensor, bin). Records are read once in a round; a gradient step reads the
-sums and reduces to one vector of the parameters' size for each task. Powers are divided by the corpus deviation, so
-that the sums don't cancel.
+Layout. Aligned records are written once, one row each with the spectra of all its sensors. An outer round reads them
+once, for sums over records by (campaign, sensor, bin) under fixed latent spectra. All gradient steps of the round then
+run in one barrier stage over these sums (descent.py); corpora whose sums are too large for that take one job a step.
+Powers are divided by the corpus deviation, so that the sums don't cancel.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import secrets
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spectra import array_sum, edge_jump_ratio
-from .calibration import config_stats, corpus_stats, spline_basis, work_folder
-
-EPSILON = 1e-12
-
-
-@dataclass(frozen=True)
-class FitConfig:
-    bases: tuple[int, int, int] = (8, 6, 6)
-    degree: int = 3
-    embedding: int = 3
-    hidden: int = 6
-    outer: int = 10
-    inner: int = 30
-    rate: float = 0.03
-    decay: float = 1e-4
-    clip: float = 10.0
-    smooth: float = 1e-3
-    shrink: float = 1.0
-    anchor: float = 1e-2
-    ridge: float = 1e-3
-    consistency: float = 0.0
-    correlation: float = 0.0
-    patience: int = 5
-    tolerance: float = 1e-4
-    divergence: float = 10.0
-    seed: int = 17
-
-
-@dataclass
-class Model:
-    sensors: list[str]
-    weights: np.ndarray
-    features: tuple[str, ...]
-    mean: np.ndarray
-    scale: np.ndarray
-    freq: tuple[float, float]
-    variance_floor: float
-    power_scale: float
-    config: FitConfig
-    theta: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def bases(self, start: float, end: float, n: int, clip: bool = False) -> list[np.ndarray]:
-        f = np.linspace(start, end, n)
-        return [spline_basis(f, k, self.config.degree, *self.freq, clip=clip) for k in self.config.bases]
-
-    def coefficients(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """(hidden layer, features of all sensors, coefficients of the three heads by sensor)."""
-        t = self.theta
-        h = np.tanh(t["W"] @ c + t["b"])
-        x = np.concatenate([t["E"], np.tile(h, (len(self.sensors), 1))], axis=1)
-        return h, x, [x @ t[f"A{i}"].T + t[f"B{i}"] for i in range(3)]
-
-    def persistent(self, c: np.ndarray, bases: list[np.ndarray]) -> list[np.ndarray]:
-        """Parameter curves (sensor, bin) of centred log gain, floor and variance."""
-        _, _, coef = self.coefficients(c)
-        u, n, v = (k @ b.T for k, b in zip(coef, bases, strict=True))
-        return [u - self.weights @ u, n, v]
-
-    def flat(self, grads: dict[str, np.ndarray]) -> np.ndarray:
-        return np.concatenate([grads[k].ravel() for k in sorted(self.theta)])
-
-    def unflat(self, x: np.ndarray) -> dict[str, np.ndarray]:
-        out, at = {}, 0
-        for k in sorted(self.theta):
-            out[k] = x[at : at + self.theta[k].size].reshape(self.theta[k].shape)
-            at += self.theta[k].size
-        return out
-
-
-def softplus(x: np.ndarray) -> np.ndarray:
-    return np.logaddexp(0.0, x)
-
-
-def inverse_softplus(y: np.ndarray) -> np.ndarray:
-    y = np.maximum(y, EPSILON)
-    return y + np.log(-np.expm1(-y))
-
-
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(x / 2))
-
-
-def residual_sums(g: np.ndarray, n: np.ndarray, s: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums over records of r, r S and r^2 for r = Y - G S - N."""
-    r = s["y"] - g * s["s"] - s["k"] * n
-    rs = s["ys"] - g * s["ss"] - n * s["s"]
-    rr = s["yy"] + g**2 * s["ss"] + s["k"] * n**2 - 2 * g * s["ys"] - 2 * n * s["y"] + 2 * g * n * s["s"]
-    return r, rs, np.maximum(rr, 0.0)
-
-
-def loss_and_gradient(model: Model, c: np.ndarray, grid: tuple, row: int, dev: list[np.ndarray], s: dict[str, np.ndarray], reliable: bool) -> tuple[float, np.ndarray, list[np.ndarray]]:
-    """(loss, gradient of the parameters, gradient of the deviations) for one sensor of one campaign."""
-    cfg = model.config
-    bases = model.bases(*grid)
-    h, x, coef = model.coefficients(c)
-    u = coef[0] @ bases[0].T
-    pg, pn, pv = u[row] - model.weights @ u + dev[0], coef[1][row] @ bases[1].T + dev[1], coef[2][row] @ bases[2].T + dev[2]
-    g, n, v = np.exp(np.clip(pg, -30, 30)), softplus(pn), model.variance_floor + softplus(pv)
-    r, rs, rr = residual_sums(g, n, s)
-    loss = 0.5 * float((rr / v + s["k"] * np.log(v)).sum())
-    a, b, d = -rs / v * g, -r / v * sigmoid(pn), 0.5 * (s["k"] / v - rr / v**2) * sigmoid(pv)
-    centred = pg - dev[0]
-    second = np.convolve(centred, [1, -2, 1], "valid")
-    loss += cfg.smooth * float((second**2).sum()) + cfg.shrink * float(sum((x**2).sum() for x in dev[:2]))
-    smooth = 2 * cfg.smooth * np.convolve(second, [1, -2, 1], "full") if len(second) else np.zeros_like(centred)
-    if reliable:
-        loss += cfg.anchor * float((centred**2).sum())
-        smooth = smooth + 2 * cfg.anchor * centred
-    to_coef = bases[0].T @ (a + smooth)
-    gc = [-np.outer(model.weights, to_coef), np.zeros_like(coef[1]), np.zeros_like(coef[2])]
-    gc[0][row] += to_coef
-    gc[1][row] += bases[1].T @ b
-    gc[2][row] += bases[2].T @ d
-    t, e = model.theta, cfg.embedding
-    dx = sum(k @ t[f"A{i}"] for i, k in enumerate(gc))
-    dh = dx[:, e:].sum(axis=0) * (1 - h**2)
-    grads = {"E": dx[:, :e], "W": np.outer(dh, c), "b": dh} | {f"A{i}": k.T @ x for i, k in enumerate(gc)} | {f"B{i}": k.sum(axis=0) for i, k in enumerate(gc)}
-    return loss, model.flat(grads), [a + 2 * cfg.shrink * dev[0], b + 2 * cfg.shrink * dev[1], d]
-
-
-def to_parameters(model: Model, c: np.ndarray, bases: list[np.ndarray], gain: np.ndarray, floor: np.ndarray) -> np.ndarray:
-    """Parameter gradient from the gradients by (sensor, bin) of centred log gain and of the floor parameter."""
-    t, e = model.theta, model.config.embedding
-    h, x, coef = model.coefficients(c)
-    raw = gain @ bases[0]
-    gc = [raw - np.outer(model.weights, raw.sum(axis=0)), floor @ bases[1], np.zeros_like(coef[2])]
-    dx = sum(k @ t[f"A{i}"] for i, k in enumerate(gc))
-    dh = dx[:, e:].sum(axis=0) * (1 - h**2)
-    return model.flat({"E": dx[:, :e], "W": np.outer(dh, c), "b": dh} | {f"A{i}": k.T @ x for i, k in enumerate(gc)} | {f"B{i}": k.sum(axis=0) for i, k in enumerate(gc)})
-
-
-def record_penalties(model: Model, c: np.ndarray, grid: tuple, rows: list[int], y: np.ndarray, records: int) -> tuple[float, float, np.ndarray]:
-    """(consistency, correlation, weighted parameter gradient) of one record's share of its campaign's means.
-
-    Both look at log spectra corrected by the persistent curves alone: how far sensors lie from their mean, and how
-    far the mean correlation of their pairs is from 1.
-    """
-    cfg, bases = model.config, model.bases(*grid)
-    u, p, _ = (k[rows] for k in model.persistent(c, bases))
-    g, n, eps = np.exp(np.clip(u, -30, 30)), softplus(p), EPSILON / model.power_scale
-    x = np.maximum(y - n, 0.0) / g
-    z = np.log(x + eps)
-    away = z - z.mean(axis=0)
-    cons = float((away**2).mean()) / records
-    dz = cfg.consistency * 2 * away / z.size / records
-    a = z - z.mean(axis=1, keepdims=True)
-    norm = np.sqrt((a**2).sum(axis=1))
-    flat = norm < 1e-6
-    unit = np.where(flat[:, None], 0.0, a / np.maximum(norm, 1e-6)[:, None])
-    rho = unit @ unit.T
-    rho[np.outer(flat, flat)] = 1.0
-    m = len(rows)
-    pairs = max(m * (m - 1) // 2, 1)
-    corr = float((1 - rho[np.triu_indices(m, 1)]).sum()) / pairs / records
-    others = unit.sum(axis=0) - unit
-    da = -(others - (unit * others).sum(axis=1, keepdims=True) * unit) / np.maximum(norm, 1e-6)[:, None] / pairs / records
-    da[flat] = 0.0
-    dz = dz + cfg.correlation * (da - da.mean(axis=1, keepdims=True))
-    up = y > n
-    gain, floor = np.zeros((len(model.sensors), z.shape[1])), np.zeros((len(model.sensors), z.shape[1]))
-    gain[rows], floor[rows] = -dz * x / (x + eps), np.where(up, -dz / (g * (x + eps)), 0.0) * sigmoid(p)
-    return cons, corr, to_parameters(model, c, bases, gain, floor)
-
-
-def penalties(model: Model, data: DataFrame, state: DataFrame) -> tuple[float, float, np.ndarray]:
-    """Sums of record_penalties() over all records: one record in a group, one vector for each task to the driver."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sensor_id")
-        f = pdf.iloc[0]
-        out = record_penalties(model, np.asarray(f["c"], float), (f["start_freq_hz"], f["end_freq_hz"], int(f["n_bins"])), [model.sensors.index(s) for s in pdf["sensor_id"]], np.stack(pdf["y"].to_numpy()), int(f["records"]))
-        return pd.DataFrame({"cons": [out[0]], "corr": [out[1]], "grad": [out[2]]})
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [(p["cons"].sum(), p["corr"].sum(), np.sum(np.stack(p["grad"].to_numpy()), axis=0)) for p in batches if len(p)]
-        if parts:
-            yield pd.DataFrame({"cons": [sum(p[0] for p in parts)], "corr": [sum(p[1] for p in parts)], "grad": [np.sum([p[2] for p in parts], axis=0)]})
-
-    schema = "cons double, corr double, grad array<double>"
-    counts = data.groupBy("campaign").agg(F.count_distinct("record_idx").alias("records"))
-    joined = data.join(state.select("campaign", "sensor_id", "c"), ["campaign", "sensor_id"]).join(counts, "campaign")
-    parts = joined.groupBy("campaign", "record_idx").applyInPandas(one, schema).mapInPandas(add, schema).collect()
-    return sum(p["cons"] for p in parts), sum(p["corr"] for p in parts), np.sum([p["grad"] for p in parts], axis=0)
-
-
-_STATE = "campaign string, sensor_id string, start_freq_hz double, end_freq_hz double, n_bins int, c array<double>, reliable boolean, d0 array<double>, d1 array<double>, d2 array<double>"
-_SUMS = "campaign string, sensor_id string, k double, y array<double>, yy array<double>, ys array<double>, s array<double>, ss array<double>"
-_ARRAYS = ("y", "yy", "ys", "s", "ss")
-
-
-def _row(model: Model, r) -> tuple:
-    dev = [np.asarray(r[k], float) for k in ("d0", "d1", "d2")]
-    return np.asarray(r["c"], float), (r["start_freq_hz"], r["end_freq_hz"], int(r["n_bins"])), model.sensors.index(r["sensor_id"]), dev
+from .calibration import config_stats, corpus_stats, work_folder
+from .descent import ARRAYS, DEVIATIONS, MOMENTS, NAMES, ROUND, STATE, SUMS, Adam, held_campaigns, round_task, run_round, total_gradient, unpacked
+from .model import (  # noqa: F401  what a fit's model is made of belongs to this module's names
+    EPSILON, FitConfig, Model, batch_penalties, block_loss_and_gradient, inverse_softplus, loss_and_gradient, median_latent, record_penalties, residual_sums, sigmoid, softplus,
+    variance_deviation, weighted_latent,
+)
+
+#: Bytes that one task of a barrier stage holds at most, and those from which on there is another task.
+HELD_BYTES, TASK_BYTES = 1 << 30, 8 << 20
+#: Tasks of a barrier stage, at most: in every step they add up their gradients.
+BARRIER_TASKS = 64
+#: Tasks whose partial sums meet in one.
+FAN_IN = 64
+#: Curves that are broadcast, in bytes.
+BROADCAST_BYTES = 32 << 20
+
+_STATE, _SUMS = STATE, f"campaign string, sensor_id string, {SUMS}"
+_STATE_NAMES = [x.strip().split(" ")[0] for x in _STATE.split(", ")]
+_SUM_NAMES = [x.strip().split(" ")[0] for x in _SUMS.split(", ")]
+
+
+def record_rows(rows: DataFrame, scale: float) -> DataFrame:
+    """campaign, record_idx, grid, sensors in order, flat: the record's powers over scale, sensor after sensor."""
+    power = F.transform("pxx_db", lambda x: F.pow(F.lit(10.0), x / 10) / scale)
+    each = F.array_sort(F.collect_list(F.struct("sensor_id", power.alias("y"))))
+    grid = [F.first(c).alias(c) for c in ("start_freq_hz", "end_freq_hz", "n_bins")]
+    out = rows.groupBy("campaign", F.col("record_idx").cast("long").alias("record_idx")).agg(*grid, each.alias("each"))
+    return out.select("campaign", "record_idx", "start_freq_hz", "end_freq_hz", "n_bins", F.col("each.sensor_id").alias("sensors"), F.flatten("each.y").alias("flat"))
+
+
+def _blocks(pdf: pd.DataFrame) -> Iterator[tuple[str, list[str], np.ndarray, pd.DataFrame]]:
+    """Of a batch of records: (campaign, sensors, y as (record, sensor, bin), rows) for each set of sensors."""
+    key = [(c, tuple(s), len(y)) for c, s, y in zip(pdf["campaign"], pdf["sensors"], pdf["flat"], strict=True)]
+    for (campaign, sensors, _), part in pdf.groupby(pd.Series(key, index=pdf.index), sort=False):
+        y = np.stack(part["flat"].to_numpy()).astype(np.float64)
+        yield campaign, list(sensors), y.reshape(len(part), len(sensors), -1), part
 
 
 def campaign_curves(model: Model, state: DataFrame) -> DataFrame:
@@ -224,108 +63,133 @@ def campaign_curves(model: Model, state: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for r in pdf.to_dict("records"):
-                c, grid, at, dev = _row(model, r)
-                p = [x[at] + d for x, d in zip(model.persistent(c, model.bases(*grid)), dev, strict=True)]
+                at, dev = model.sensors.index(r["sensor_id"]), [np.asarray(r[d], float) for d in DEVIATIONS]
+                base = model.persistent(np.asarray(r["c"], float), model.bases(r["start_freq_hz"], r["end_freq_hz"], int(r["n_bins"])))
+                p = [x[at] + d for x, d in zip(base, dev, strict=True)]
                 out.append((r["campaign"], r["sensor_id"], np.exp(np.clip(p[0], -30, 30)), softplus(p[1]), model.variance_floor + softplus(p[2])))
             yield pd.DataFrame(out, columns=["campaign", "sensor_id", "gain", "floor", "var"])
 
     return state.mapInPandas(run, "campaign string, sensor_id string, gain array<double>, floor array<double>, var array<double>")
 
 
-def latent_update(rows: DataFrame, curves: DataFrame) -> DataFrame:
-    """campaign, record_idx, s: weighted least squares over a record's sensors, not below EPSILON."""
+def with_curves(records: DataFrame, curves: DataFrame, size: int) -> DataFrame:
+    """records with the curves of their campaign's sensors; size is the bytes of all curves."""
+    by = curves.groupBy("campaign").agg(F.array_sort(F.collect_list(F.struct("sensor_id", "gain", "floor", "var"))).alias("c"))
+    by = by.select("campaign", F.col("c.sensor_id").alias("known"), *[F.flatten(f"c.{k}").alias(k) for k in ("gain", "floor", "var")])
+    return records.join(F.broadcast(by) if size <= BROADCAST_BYTES else by, "campaign")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, g, n, v = (np.stack(pdf[k].to_numpy()) for k in ("y", "gain", "floor", "var"))
-        w = g / np.maximum(v, EPSILON)
-        s = np.maximum((w * (y - n)).sum(axis=0) / np.maximum((w * g).sum(axis=0), EPSILON), EPSILON)
-        return pd.DataFrame({"campaign": pdf["campaign"].iloc[:1], "record_idx": pdf["record_idx"].iloc[:1], "s": [s]})
 
-    joined = rows.join(curves, ["campaign", "sensor_id"])
-    return joined.groupBy("campaign", "record_idx").applyInPandas(one, "campaign string, record_idx long, s array<double>")
+def _latents(pdf: pd.DataFrame, latent: Callable) -> Iterator[tuple[str, list[str], np.ndarray, np.ndarray, pd.DataFrame]]:
+    for campaign, sensors, y, part in _blocks(pdf):
+        first = part.iloc[0]
+        known = list(first["known"])
+        at = [known.index(s) for s in sensors]
+        gain, floor, var = (np.asarray(first[k], float).reshape(len(known), -1)[at] for k in ("gain", "floor", "var"))
+        yield campaign, sensors, y, latent(y, gain, floor, var), part
 
 
-def record_sums(rows: DataFrame, latent: DataFrame) -> DataFrame:
-    """The sums over records for each (campaign, sensor): added up within each task first, then over tasks."""
+def latent_update(records: DataFrame) -> DataFrame:
+    """campaign, record_idx, s of records with curves: weighted least squares over a record's sensors, not below EPSILON."""
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple, list] = {}
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for c, i, y, s in zip(pdf["campaign"], pdf["sensor_id"], pdf["y"], pdf["s"], strict=True):
-                new = (y, y * y, y * s, s, s * s)
-                old = sums.get((c, i))
-                sums[c, i] = [1.0, *new] if old is None else [old[0] + 1, *(a + b for a, b in zip(old[1:], new, strict=True))]
-        yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["campaign", "sensor_id", "k", *_ARRAYS])
+            for _, _, _, s, part in _latents(pdf, weighted_latent):
+                yield pd.DataFrame({"campaign": part["campaign"].to_numpy(), "record_idx": part["record_idx"].to_numpy(), "s": list(s)})
+
+    return records.mapInPandas(run, "campaign string, record_idx long, s array<double>")
 
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[:1]
-        out = {"campaign": first["campaign"], "sensor_id": first["sensor_id"], "k": [pdf["k"].sum()]}
-        return pd.DataFrame(out | {a: [np.sum(np.stack(pdf[a].to_numpy()), axis=0)] for a in _ARRAYS})
 
-    both = rows.select("campaign", "record_idx", "sensor_id", "y").join(latent, ["campaign", "record_idx"])
-    return both.mapInPandas(partial, _SUMS).groupBy("campaign", "sensor_id").applyInPandas(total, _SUMS)
+def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of _SUMS added up by campaign and sensor."""
+    sums: dict[tuple, list] = {}
+    for pdf in batches:
+        for c, i, *new in pdf[_SUM_NAMES].itertuples(index=False, name=None):
+            old = sums.get((c, i))
+            sums[c, i] = new if old is None else [a + b for a, b in zip(old, new, strict=True)]
+    yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=_SUM_NAMES)
+
+
+def record_sums(records: DataFrame, latent: Callable = weighted_latent) -> DataFrame:
+    """Sums over records with curves by (campaign, sensor), in scaled power, under their latent spectra.
+
+    Each task adds up what it reads; groups of FAN_IN tasks add up theirs. There may be several rows for a sensor.
+    """
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows() -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for campaign, sensors, y, s, _ in _latents(pdf, latent):
+                    one, two, three = y.sum(axis=0), (y * y).sum(axis=0), (y * s[:, None]).sum(axis=0)
+                    four, five = s.sum(axis=0), (s * s).sum(axis=0)
+                    yield pd.DataFrame([(campaign, i, float(len(y)), one[k], two[k], three[k], four, five) for k, i in enumerate(sensors)], columns=_SUM_NAMES)
+
+        return _added(rows())
+
+    out = records.mapInPandas(partial, _SUMS)
+    tasks = records.rdd.getNumPartitions()
+    while tasks > FAN_IN:
+        tasks = -(-tasks // FAN_IN)
+        out = out.repartition("campaign", "sensor_id", F.expr(f"pmod(spark_partition_id(), {tasks})")).mapInPandas(_added, _SUMS)
+    return out
 
 
 def objective_and_gradient(model: Model, table: DataFrame) -> tuple[float, np.ndarray]:
-    """Loss and parameter gradient over a table of states joined with sums; each task sends one vector."""
+    """Loss and parameter gradient over states with sums, whole campaigns in a task; each task sends one vector."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loss, grad = 0.0, None
-        for pdf in batches:
-            for r in pdf.to_dict("records"):
-                c, grid, at, dev = _row(model, r)
-                part, g, _ = loss_and_gradient(model, c, grid, at, dev, {k: np.asarray(r[k], float) for k in ("k", *_ARRAYS)}, bool(r["reliable"]))
-                loss, grad = loss + part, g if grad is None else grad + g
-        if grad is not None:
-            yield pd.DataFrame({"loss": [loss], "grad": [grad]})
+        loss, grad, _ = total_gradient(model, *held_campaigns(model, batches))
+        yield pd.DataFrame({"loss": [loss], "grad": [grad]})
 
     parts = table.mapInPandas(run, "loss double, grad array<double>").collect()  # one row for each task
     return sum(p["loss"] for p in parts), np.sum([p["grad"] for p in parts], axis=0)
 
 
-def refresh_deviations(model: Model, table: DataFrame) -> DataFrame:
-    """New states: one damped Gauss-Newton step of gain and floor deviations, and variances from residual energy.
+def penalties(model: Model, records: DataFrame) -> tuple[float, float, np.ndarray]:
+    """Sums of record_penalties() over penalised_records(): batches of records at a time, then of tasks FAN_IN at a time."""
+    schema = "cons double, corr double, grad array<double>"
 
-    A group is one campaign, its sensors' curves and sums, not its records.
-    """
-    cfg = model.config
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sensor_id").reset_index(drop=True)
-        gains, floors, variances = [], [], []
-        for r in pdf.to_dict("records"):
-            c, grid, at, dev = _row(model, r)
-            s = {k: np.asarray(r[k], float) for k in ("k", *_ARRAYS)}
-            _, _, (da, db, _) = loss_and_gradient(model, c, grid, at, dev, s, bool(r["reliable"]))
-            bases = model.bases(*grid)
-            base = [x[at] for x in model.persistent(c, bases)]
-            g, v = np.exp(np.clip(base[0] + dev[0], -30, 30)), model.variance_floor + softplus(base[2] + dev[2])
-            gains.append(dev[0] - np.clip(da / (g**2 * s["ss"] / v + 2 * cfg.shrink), -0.5, 0.5))
-            slope = sigmoid(base[1] + dev[1])
-            floors.append(dev[1] - np.clip(db / (s["k"] * slope**2 / v + 2 * cfg.shrink), -0.5, 0.5))
-            n = softplus(base[1] + floors[-1])
-            _, _, rr = residual_sums(np.exp(np.clip(base[0] + gains[-1], -30, 30)), n, s)
-            parameter = inverse_softplus(np.maximum(rr / s["k"], model.variance_floor) - model.variance_floor)
-            b = bases[2]
-            fitted = b @ np.linalg.solve(b.T @ b + cfg.ridge * np.eye(b.shape[1]), b.T @ parameter)
-            variances.append(fitted - base[2])
-        gains = list(np.stack(gains) - np.mean(gains, axis=0))
-        return pdf.assign(d0=gains, d1=floors, d2=variances)[[x.strip().split(" ")[0] for x in _STATE.split(", ")]]
-
-    return table.groupBy("campaign").applyInPandas(one, _STATE)
-
-
-def init_campaign_state(model: Model, rows: DataFrame, configs: DataFrame, reliable: DataFrame) -> DataFrame:
-    """States whose floors are a tenth of each bin's 5 % quantile over records; gains start at the persistent ones.
-
-    Quantiles and variances are sketches and sums of each bin, made within tasks first: no task holds a sensor's spectra.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(2 + model.flat(model.theta).size)
+        for pdf in batches:
+            for _, sensors, y, part in _blocks(pdf):
+                f = part.iloc[0]
+                cons, corr, grad = batch_penalties(model, np.asarray(f["c"], float), model.bases(f["start_freq_hz"], f["end_freq_hz"], int(f["n_bins"])), [model.sensors.index(s) for s in sensors], y, int(f["records"]))
+                total += np.concatenate([[cons, corr], grad])
+        yield pd.DataFrame({"cons": [total[0]], "corr": [total[1]], "grad": [total[2:]]})
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [pdf for pdf in batches if len(pdf)]
+        if held:
+            both = pd.concat(held)
+            yield pd.DataFrame({"cons": [both["cons"].sum()], "corr": [both["corr"].sum()], "grad": [np.stack(both["grad"].to_numpy()).sum(axis=0)]})
+
+    parts = records.mapInPandas(run, schema)
+    tasks = records.rdd.getNumPartitions()
+    if tasks > FAN_IN:
+        parts = parts.repartition(-(-tasks // FAN_IN)).mapInPandas(added, schema)
+    got = parts.collect()
+    return sum(p["cons"] for p in got), sum(p["corr"] for p in got), np.sum([p["grad"] for p in got], axis=0)
+
+
+def penalised_records(records: DataFrame, state: DataFrame) -> DataFrame:
+    """records with their campaign's configuration c and number of records."""
+    counts = records.groupBy("campaign").agg(F.count_distinct("record_idx").alias("records"))
+    known = state.groupBy("campaign").agg(F.first("c").alias("c")).join(counts, "campaign")  # c is the same for all sensors of a campaign
+    return records.join(known, "campaign")
+
+
+def initial_floors(model: Model, records: DataFrame, configs: DataFrame, reliable: DataFrame) -> DataFrame:
+    """States whose floors are a tenth of each bin's 5 % quantile over records; other deviations are zero.
+
+    Quantiles are sketches of each bin, made within tasks first: no task holds a sensor's spectra.
     """
     c = F.array(*[(F.col(f).cast("double") - float(m)) / float(s) for f, m, s in zip(model.features, model.mean, model.scale, strict=True)])
     key = ("campaign", "sensor_id", "start_freq_hz", "end_freq_hz", "n_bins")
-    bins = rows.select(*key, F.posexplode("y").alias("bin", "v")).groupBy(*key, "bin").agg(F.percentile_approx("v", 0.05, 1000).alias("low"), F.var_pop("v").alias("spread"))
-    one = bins.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("bin", "low", "spread"))).alias("b"))  # n_bins entries
-    one = one.select(*key, F.transform("b", lambda x: x["low"]).alias("low"), F.transform("b", lambda x: x["spread"]).alias("spread"))
-    known = one.join(configs.select("campaign", c.alias("c")), "campaign").join(reliable.select("campaign", "reliable_sensor"), "campaign")
+    spectra = F.transform("sensors", lambda s, i: F.struct(s.alias("sensor_id"), F.slice("flat", i * F.col("n_bins") + 1, F.col("n_bins")).alias("y")))
+    rows = records.select("campaign", "start_freq_hz", "end_freq_hz", "n_bins", F.inline(spectra))
+    bins = rows.select(*key, F.posexplode("y").alias("bin", "v")).groupBy(*key, "bin").agg(F.percentile_approx("v", 0.05, 1000).alias("low"))
+    one = bins.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("bin", "low"))).alias("b"))  # n_bins entries
+    known = one.select(*key, F.col("b.low").alias("low")).join(configs.select("campaign", c.alias("c")), "campaign").join(reliable.select("campaign", "reliable_sensor"), "campaign")
     known = known.withColumn("reliable", F.col("sensor_id") == F.col("reliable_sensor")).drop("reliable_sensor")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -333,14 +197,41 @@ def init_campaign_state(model: Model, rows: DataFrame, configs: DataFrame, relia
             out = []
             for r in pdf.to_dict("records"):
                 grid = (r["start_freq_hz"], r["end_freq_hz"], int(r["n_bins"]))
-                base = [x[model.sensors.index(r["sensor_id"])] for x in model.persistent(np.asarray(r["c"], float), model.bases(*grid))]
-                spread = np.maximum(np.asarray(r["spread"], float), model.variance_floor + EPSILON)
-                out.append((r["campaign"], r["sensor_id"], *grid, r["c"], r["reliable"], np.zeros(grid[2]), inverse_softplus(0.1 * np.asarray(r["low"], float)) - base[1], inverse_softplus(spread - model.variance_floor) - base[2]))
-            yield pd.DataFrame(out, columns=[x.strip().split(" ")[0] for x in _STATE.split(", ")])
+                base = model.persistent(np.asarray(r["c"], float), model.bases(*grid))[1][model.sensors.index(r["sensor_id"])]
+                out.append((r["campaign"], r["sensor_id"], *grid, r["c"], r["reliable"], np.zeros(grid[2]), inverse_softplus(0.1 * np.asarray(r["low"], float)) - base, np.zeros(grid[2])))
+            yield pd.DataFrame(out, columns=_STATE_NAMES)
 
     return known.mapInPandas(run, _STATE)
 
 
+def init_campaign_state(model: Model, records: DataFrame, floors: DataFrame, size: int) -> DataFrame:
+    """States of initial_floors() with variances of the residuals from latent spectra that are medians over sensors.
+
+    Gains start at the persistent ones. size is the bytes of all curves.
+    """
+    sums = record_sums(with_curves(records, campaign_curves(model, floors), size), median_latent)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for campaign in held_campaigns(model, batches)[0]:
+            campaign.renew_variance(model)
+            yield pd.DataFrame([r[: len(_STATE_NAMES)] for r in campaign.rows_out()], columns=_STATE_NAMES)
+
+    both = _round_rows(floors).unionByName(_round_rows(sums))
+    return both.repartition("campaign").mapInPandas(run, _STATE)
+
+
+def _round_rows(df: DataFrame) -> DataFrame:
+    """df with all columns of a round's table."""
+    kinds = dict(x.strip().split(" ", 1) for x in ROUND.split(", "))
+    return df.select(*[F.col(n) if n in df.columns else F.lit(None).cast(kinds[n]).alias(n) for n in NAMES])
+
+
+def slots(spark: SparkSession) -> int:
+    """Tasks that can run at a time."""
+    context = spark.sparkContext._jsc.sc()
+    return max(1, context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile()))
+
+
 @dataclass
 class FitResult:
     model: Model
@@ -354,16 +245,22 @@ class FitResult:
     selected_round: int = 0
     #: States with sums, as the selected loss was taken over them; not saved.
     table: DataFrame | None = None
+    #: The greatest norm of a gradient in each round, before it was clipped.
+    gradient_norms: list[float] = field(default_factory=list)
 
 
-def fit(rows: DataFrame, configs: DataFrame, reliable: DataFrame, features: tuple[str, ...], config: FitConfig = FitConfig(), weights: dict[str, float] | None = None) -> FitResult:
+def fit(rows: DataFrame, configs: DataFrame, reliable: DataFrame, features: tuple[str, ...], config: FitConfig = FitConfig(), weights: dict[str, float] | None = None, held_bytes: int = HELD_BYTES) -> FitResult:
     """Fit aligned rows (campaign, record_idx, sensor_id, grid columns, pxx_db), one configuration row for each campaign.
 
-    A round takes gradient steps for the parameters under fixed deviations, then renews the deviations, and its loss is
-    taken after that. The result is one round's parameters, deviations and latent spectra together: those of the least
-    loss. The fit ends early when no round was better for config.patience rounds, or when the loss is no number or more
-    than config.divergence times the best. Every round's tables are written to the shared folder, so a lost executor
-    costs one round at most.
+    A round takes latent spectra under the present curves, renews variances from residuals, and takes gradient steps for
+    parameters and deviations together; with config.joint off, for parameters alone, and deviations then take a damped
+    Gauss-Newton step. Its loss is taken at its end. The result is one round's parameters, deviations and latent spectra
+    together: those of the least loss. The fit ends early when no round was better for config.patience rounds, or when
+    the loss is no number or more than config.divergence times the best.
+
+    Steps of a round run in one barrier stage, if sums and states (and with penalties, records) come to held_bytes a
+    task at most. A larger fit needs config.joint off; it takes a job for each step. Every round's table is written to
+    the shared folder, so a lost executor costs one round at most; tables that no later round reads are deleted.
     """
     spark = rows.sparkSession
     root = work_folder(spark)
@@ -372,6 +269,10 @@ def fit(rows: DataFrame, configs: DataFrame, reliable: DataFrame, features: tupl
         df.write.mode("overwrite").parquet(f"{root}/{name}")
         return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
+    def drop(name: str) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
     sensors = sorted(r["sensor_id"] for r in rows.select("sensor_id").distinct().collect())
     stats = corpus_stats(rows).first()
     scale = float(np.sqrt(stats["variance"])) or 1.0
@@ -383,53 +284,102 @@ def fit(rows: DataFrame, configs: DataFrame, reliable: DataFrame, features: tupl
     # Splines sum to 1, so equal coefficients are a level: a tenth of the 5 % quantile, and a hundredth of the variance.
     levels = (0.0, float(inverse_softplus(np.array(0.1 * stats["q05"] / scale))), float(inverse_softplus(np.array(0.01))))
     model.theta |= {f"B{i}": np.full(k, levels[i]) for i, k in enumerate(config.bases)}
-    grid = ("campaign", F.col("record_idx").cast("long").alias("record_idx"), "sensor_id", "start_freq_hz", "end_freq_hz", "n_bins")
-    data = keep(rows.select(*grid, F.transform("pxx_db", lambda x: F.pow(F.lit(10.0), x / 10) / scale).alias("y")), "data")
-    state = keep(init_campaign_state(model, data, configs, reliable), "state-0")
-    first = second = np.zeros(model.flat(model.theta).size)
-    best, kept, history, rounds, step, stale, reason = np.inf, None, [], [], 0, 0, "all rounds done"
-
-    def objective(model: Model, table: DataFrame, state: DataFrame) -> tuple[float, np.ndarray]:
-        loss, grad = objective_and_gradient(model, table)
-        if config.consistency or config.correlation:
-            cons, corr, extra = penalties(model, data, state)
-            loss, grad = loss + config.consistency * cons + config.correlation * corr, grad + extra
-        return loss, grad
-
+    records = keep(record_rows(rows, scale), "records")
+    floors = keep(initial_floors(model, records, configs, reliable), "floors")
+    total = floors.agg(F.sum("n_bins").alias("bins"), F.count_distinct("campaign").alias("campaigns")).first()
+    bins, campaigns = total["bins"] or 0, total["campaigns"]
+    size = 24 * bins
+    table = keep(_round_rows(init_campaign_state(model, records, floors, size)), "round-0")
+    penalised = keep(penalised_records(records, floors), "penalised") if config.consistency or config.correlation else None
+    held = 8 * len(NAMES) * bins + (8 * (penalised.agg(F.sum(F.size("flat"))).first()[0] or 0) if penalised is not None else 0)
+    most = max(1, min(slots(spark), BARRIER_TASKS, campaigns))
+    tasks, in_one_stage = max(1, min(most, -(-held // TASK_BYTES))), held <= held_bytes * most
+    if not in_one_stage and config.joint:
+        raise ValueError(f"a joint fit of {held} bytes needs more than {most} tasks of {held_bytes} bytes; set joint=False")
+    key = secrets.token_bytes(32)
+    adam = Adam(np.zeros(model.flat(model.theta).size), np.zeros(model.flat(model.theta).size))
+    best, kept, history, rounds, norms, stale, reason = np.inf, None, [], [], [], 0, "all rounds done"
     for outer in range(config.outer):
-        latent = keep(latent_update(data, campaign_curves(model, state)), f"latent-{outer}")
-        sums = keep(record_sums(data, latent), f"sums-{outer}")
-        table = keep(state.join(sums, ["campaign", "sensor_id"]), f"table-{outer}").persist()  # every step reads it
-        for _ in range(config.inner):
-            loss, grad = objective(model, table, state)
-            history.append(loss)
-            if not np.isfinite(loss):
-                break
-            grad = grad + config.decay * model.flat(model.theta)
-            norm = float(np.linalg.norm(grad))
-            grad = grad * min(1.0, config.clip / max(norm, EPSILON))
-            step += 1
-            first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
-            move = config.rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-            model = replace(model, theta=model.unflat(model.flat(model.theta) - move))
-        renewed = keep(refresh_deviations(model, table), f"state-{outer + 1}")
-        table.unpersist()
-        after = keep(renewed.join(sums, ["campaign", "sensor_id"]), f"after-{outer}")
-        total = objective(model, after, renewed)[0] if np.isfinite(history[-1:]).all() else np.nan
-        rounds.append(total)
-        if kept is None or total < best - config.tolerance * max(abs(best), 1.0):
-            best, kept, stale = total, (model, renewed, latent, after, outer), 0
+        before, start = table, model
+        state = before.filter("campaign is not null").select(*_STATE_NAMES, *MOMENTS)
+        curved = with_curves(records, campaign_curves(model, state), size)
+        if in_one_stage:
+            given = _round_rows(state).unionByName(_round_rows(record_sums(curved)))
+            dealt = given.withColumn("dealt", F.xxhash64("campaign"))
+            if penalised is not None:
+                dealt = dealt.unionByName(penalised.withColumn("dealt", F.xxhash64("campaign", "record_idx")).drop("record_idx"), allowMissingColumns=True)
+            run = dealt.repartition(tasks, "dealt").drop("dealt").mapInPandas(round_task(model, adam, key), ROUND, barrier=True)
+            table = keep(run, f"round-{outer + 1}")
+            model, adam, steps, loss, norm = unpacked(model, table.filter("told is not null").first()["told"])
+        else:
+            sums = keep(record_sums(curved), f"sums-{outer}")
+            model, adam, steps, loss, norm, table = _round_of_jobs(model, adam, state, sums, penalised, lambda df: keep(df, f"round-{outer + 1}"))  # noqa: B023  called within this round
+            drop(f"sums-{outer}")
+        history += steps
+        rounds.append(loss)
+        norms.append(norm)
+        if kept is None or loss < best - config.tolerance * max(abs(best), 1.0):
+            if kept is not None:
+                for k in {kept[4], kept[4] + 1} - {outer}:
+                    drop(f"round-{k}")
+            best, kept, stale = loss, (model, start, before, table, outer), 0
         else:
+            if outer > kept[4] + 1:
+                drop(f"round-{outer}")
             stale += 1
-        if not np.isfinite(total) or total - best > (config.divergence - 1) * max(abs(best), 1.0):
+        if not np.isfinite(loss) or loss - best > (config.divergence - 1) * max(abs(best), 1.0):
             reason = "diverged"
             break
         if stale >= config.patience:
             reason = "no better round"
             break
-        state = renewed
-    model, state, latent, after, chosen = kept or (model, state, keep(latent_update(data, campaign_curves(model, state)), "latent"), None, 0)
-    return FitResult(model, state, latent, history, reason, best, rounds, chosen, after)
+    if kept is None:
+        kept = (model, model, table, table, 0)
+    model, start, before, table, chosen = kept
+    table = table.filter("campaign is not null").drop("told")
+    curves = campaign_curves(start, before.filter("campaign is not null").select(*_STATE_NAMES))
+    latent = keep(latent_update(with_curves(records, curves, size)), "latent")
+    state = table.select(*_STATE_NAMES)
+    return FitResult(model, state, latent, history, reason, best, rounds, chosen, table if rounds else None, norms)
+
+
+def _round_of_jobs(model: Model, adam: Adam, state: DataFrame, sums: DataFrame, penalised: DataFrame | None, keep: Callable[[DataFrame], DataFrame]):
+    """run_round() with a job for each step, of fits whose sums no barrier stage can hold; deviations stay fixed meanwhile."""
+    spark, cfg = state.sparkSession, model.config
+    spread = _round_rows(state).unionByName(_round_rows(sums)).repartition("campaign")
+
+    def objective(model: Model, table: DataFrame) -> tuple[float, np.ndarray]:
+        loss, grad = objective_and_gradient(model, table)
+        if penalised is not None:
+            cons, corr, extra = penalties(model, penalised)
+            loss, grad = loss + cfg.consistency * cons + cfg.correlation * corr, grad + extra
+        return loss, grad
+
+    def settle(model: Model) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for campaign in held_campaigns(model, batches)[0]:
+                campaign.settle(model)
+                yield pd.DataFrame(campaign.rows_out(), columns=NAMES)
+
+        return run
+
+    history, greatest, adam = [], 0.0, replace(adam)
+    spread.persist()  # every step reads it
+    for _ in range(cfg.inner):
+        loss, grad = objective(model, spread)
+        history.append(loss)
+        if not (np.isfinite(loss) and np.isfinite(grad).all()):
+            break
+        flat = model.flat(model.theta)
+        grad = grad + cfg.decay * flat
+        norm = float(np.linalg.norm(grad))
+        greatest = max(greatest, norm)
+        model = replace(model, theta=model.unflat(flat - adam.move(grad * min(1.0, cfg.clip / max(norm, EPSILON)), cfg.rate)))
+    table = keep(spread.mapInPandas(settle(model), ROUND))
+    spread.unpersist()
+    # whole campaigns again: a large file may be cut anywhere
+    loss = objective(model, table.repartition("campaign"))[0] if np.isfinite(history[-1:]).all() else np.nan
+    return model, adam, history, loss, greatest, table
 
 
 def evaluate_curves(model: Model, wanted: DataFrame, clip: bool = False) -> DataFrame:
@@ -447,7 +397,7 @@ def evaluate_curves(model: Model, wanted: DataFrame, clip: bool = False) -> Data
     return wanted.mapInPandas(run, "config_id string, sensor_id string, gain array<double>, floor array<double>, var array<double>")
 
 
-def fit_diagnostics(result: FitResult) -> dict[str, float | str | int]:
+def fit_diagnostics(result: FitResult) -> dict[str, float | str | int | list[float]]:
     """Of the steps, of the rounds, and, where the fit's tables are at hand, how evenly and smoothly it fits."""
     h, rounds = np.array(result.history), np.array(result.rounds)
     rises = np.diff(rounds)
@@ -455,26 +405,26 @@ def fit_diagnostics(result: FitResult) -> dict[str, float | str | int]:
         "start_objective": float(h[0]), "end_objective": float(h[-1]), "selected_objective": result.selected, "selected_round": result.selected_round, "steps": len(h), "increases": int((np.diff(h) > 0).sum()),
         "rounds": len(rounds), "round_increases": int((rises > 0).sum()), "max_round_increase": float(np.max(rises / np.maximum(np.abs(rounds[:-1]), 1.0), initial=0.0)), "reason": result.reason,
         "embedding_norm": float(np.linalg.norm(result.model.theta["E"])), "max_embedding_norm": float(np.linalg.norm(result.model.theta["E"], axis=1).max()),
+        "max_gradient_norm": max(result.gradient_norms, default=float("nan")), "max_gradient_norm_by_round": list(result.gradient_norms),
     }
     return out if result.table is None else out | stability(result)
 
 
 def stability(result: FitResult) -> dict[str, float]:
-    """The greatest campaign's share of the loss, residual variance over observed variance, and jump of a gain curve at its edges."""
+    """Counts, the mean loss of a campaign, the greatest campaign's share of the loss, residual variance over observed variance, and jump of a gain curve at its edges."""
     model, table = result.model, result.table
 
     def losses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.to_dict("records"):
-                c, grid, at, dev = _row(model, r)
-                out.append(loss_and_gradient(model, c, grid, at, dev, {k: np.asarray(r[k], float) for k in ("k", *_ARRAYS)}, bool(r["reliable"]))[0])
-            yield pd.DataFrame({"campaign": pdf["campaign"], "loss": out})
+        for campaign in held_campaigns(model, batches)[0]:
+            yield pd.DataFrame({"campaign": [campaign.keys[0]["campaign"]], "loss": [campaign.gradient(model)[0]]})
 
-    share = table.mapInPandas(losses, "campaign string, loss double").groupBy("campaign").agg(F.sum("loss").alias("loss")).agg(F.max("loss").alias("m")).first()["m"]
+    by_campaign = table.mapInPandas(losses, "campaign string, loss double").groupBy("campaign").agg(F.sum("loss").alias("loss"))
+    told = by_campaign.agg(F.max("loss").alias("most"), F.avg("loss").alias("mean"), F.count(F.lit(1)).alias("campaigns")).first()
+    counts = table.agg(F.count_distinct("sensor_id").alias("sensors"), F.sum(F.col("k") * F.size("y")).alias("values")).first()
     n = F.sum(F.col("k") * F.size("y"))
     seen = table.groupBy("campaign").agg((F.sum(array_sum(F.col("yy"))) / n - F.pow(F.sum(array_sum(F.col("y"))) / n, 2)).alias("seen"))
     curves = campaign_curves(model, result.state)
     left = curves.groupBy("campaign").agg(F.max(F.array_max("var")).alias("left"), F.max(edge_jump_ratio(F.col("gain"))).alias("jump"))
     row = left.join(seen, "campaign").agg(F.max(F.col("left") / F.greatest("seen", F.lit(EPSILON))).alias("ratio"), F.max("jump").alias("jump")).first()
-    return {"max_campaign_share": share / max(abs(result.selected), EPSILON), "max_variance_ratio": row["ratio"], "max_edge_jump_ratio": row["jump"]}
+    counted = {"mean_campaign_objective": told["mean"], "campaigns": told["campaigns"], "sensors": counts["sensors"], "values": int(counts["values"])}
+    return counted | {"max_campaign_share": told["most"] / max(abs(result.selected), EPSILON), "max_variance_ratio": row["ratio"], "max_edge_jump_ratio": row["jump"]}

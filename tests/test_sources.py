@@ -117,7 +117,7 @@ def test_the_fit_returned_is_the_best_round_whole(spark):
 def test_a_fit_stops_early(spark):
     worse = small_fit(spark, outer=6, inner=1, tolerance=1e9, patience=2)
     assert worse.reason == "no better round" and worse.selected_round == 0 and len(worse.rounds) == 3
-    wild = small_fit(spark, outer=6, inner=2, rate=60.0, divergence=1.0001, tolerance=1e9)
+    wild = small_fit(spark, outer=6, inner=2, rate=60.0, divergence=1.0001, tolerance=1e9, joint=False)
     assert wild.reason == "diverged" and len(wild.rounds) < 6 and np.isfinite(wild.selected)
 
 
@@ -136,6 +136,59 @@ def test_saved_fits_come_back_equal(spark, tmp_path):
     assert manifest["extra"] == {"note": "x"}
     with pytest.raises(Exception):
         R.load_fit(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError, match="another corpus"):
+        R.load_fit(spark, str(tmp_path / "m"), corpus="other")
+    # a loaded fit may be saved where it came from, and the last two versions stay
+    for note in ("y", "z"):
+        R.save_fit(R.load_fit(spark, str(tmp_path / "m")), str(tmp_path / "m"), {"note": note})
+    assert len(list((tmp_path / "m/versions").iterdir())) == 2 and len(list((tmp_path / "m").glob("current-*"))) == 2
+    assert R.load_fit(spark, str(tmp_path / "m"), corpus=manifest["corpus"]).history == done.history
+
+
+def test_a_stop_between_any_two_writes_leaves_the_model_before(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    first, second, path = small_fit(spark, outer=1), small_fit(spark, outer=1, inner=4), str(tmp_path / "m")
+    R.save_fit(first, path)
+
+    class Stopped(Exception):
+        pass
+
+    left = None
+    for method in ("parquet", "text"):
+
+        def write(self, *args, whole=getattr(DataFrameWriter, method), **more):
+            nonlocal left
+            if left == 0:
+                raise Stopped
+            left -= 1
+            return whole(self, *args, **more)
+
+        monkeypatch.setattr(DataFrameWriter, method, write)
+    monkeypatch.setattr(R, "_publish", lambda *args, whole=R._publish: whole(*args) if left else (_ for _ in ()).throw(Stopped))
+    stops = 0
+    for writes in range(20):
+        left = writes
+        try:
+            R.save_fit(second, path)
+            break
+        except Stopped:
+            stops += 1
+            left = 100
+            assert R.load_fit(spark, path).history == first.history
+    left = 100
+    assert stops == 8 and R.load_fit(spark, path).history == second.history
+
+
+def test_an_altered_model_is_refused(spark, tmp_path):
+    done, path = small_fit(spark, outer=1), str(tmp_path / "m")
+    R.save_fit(done, path)
+    (version,) = (tmp_path / "m/versions").iterdir()
+    changed = done.state.withColumn("d1", F.transform("d1", lambda x: x + 1e-12))
+    changed.write.mode("overwrite").parquet(str(version / "state"))
+    with pytest.raises(ValueError, match="state is not what was saved"):
+        R.load_fit(spark, path)
+    assert R.load_fit(spark, path, verify=False).history == done.history
 
 
 def test_evaluation_of_a_fit(spark):
