@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .quantiles import counted
+from .quantiles import counted, exact_quantile
 
 MIN_TOLERANCE_MS, MAX_TOLERANCE_MS, TOLERANCE_RATIO = 250, 5000, 0.25
 EXHAUSTIVE_SENSORS = 12
@@ -20,7 +20,8 @@ def infer_tolerance(rows: DataFrame) -> DataFrame:
     """campaign, tolerance_ms: a quarter of the median positive gap between a sensor's rows, within 250 and 5000 ms."""
     w = Window.partitionBy("campaign", "sensor_id").orderBy("ts_ms")
     gaps = rows.select("campaign", (F.col("ts_ms") - F.lag("ts_ms").over(w)).alias("gap"))
-    middle = gaps.groupBy("campaign").agg(F.percentile(F.when(F.col("gap") > 0, F.col("gap")), F.lit(0.5)).alias("m"))
+    middle = exact_quantile(gaps.select("campaign", F.when(F.col("gap") > 0, F.col("gap")).alias("value")), ["campaign"], 0.5, "m")
+    middle = rows.select("campaign").distinct().join(middle, "campaign", "left")
     clipped = F.greatest(F.least(F.col("m") * TOLERANCE_RATIO, F.lit(float(MAX_TOLERANCE_MS))), F.lit(float(MIN_TOLERANCE_MS)))
     return middle.select("campaign", F.coalesce(F.bround(clipped), F.lit(float(MAX_TOLERANCE_MS))).cast("long").alias("tolerance_ms"))
 

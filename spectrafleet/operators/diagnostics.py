@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.spectra import array_mean, array_sum, curve_roughness, linear_to_db
-from .quantiles import exact_quantile
-from .records import log_dispersion, log_pearson, mean_over, record_matrix, rmse_matrix, sensor_spread
+from .quantiles import counted, exact_quantile
+from .records import LOG_FLOOR, by_record, log_pearson, mean_over, record_matrix, rmse_matrix, sensor_spread
 
 
 def pairwise_rmse(rows: DataFrame, spectrum: str, name: str = "rmse_db") -> DataFrame:
@@ -45,16 +46,35 @@ def deployment_summary(calibrated: DataFrame, curves: DataFrame) -> DataFrame:
     return power.join(values, "campaign").join(F.broadcast(gain)).join(F.broadcast(rest))  # single rows
 
 
+def record_measures(calibrated: DataFrame) -> DataFrame:
+    """campaign, record_idx, raw and cal (mean RMSE of sensor pairs in dB), ss and n (squared log deviations), corr and pairs: in one pass over records."""
+
+    def measures(_: np.ndarray, spectra: np.ndarray) -> list[tuple]:
+        raw, db, power = np.split(spectra, 3, axis=1)
+        a, b = np.triu_indices(len(spectra), 1)
+        z = np.log(power + LOG_FLOOR)
+        squares = (z - z.mean(axis=0)) ** 2
+        mean = lambda m: float(m[a, b].mean()) if len(a) else None
+        return [(mean(rmse_matrix(raw)), mean(rmse_matrix(db)), float(squares.sum()), squares.size, float(log_pearson(power)[a, b].sum()), len(a))]
+
+    both = with_db(calibrated).withColumn("all", F.concat("raw_db", "calibrated_db", "calibrated_power"))
+    return by_record(both, "all", measures, "raw double, cal double, ss double, n long, corr double, pairs long")
+
+
 def campaign_diagnostics(calibrated: DataFrame, roles: DataFrame, trust: DataFrame) -> DataFrame:
-    """One row per campaign: role, RMSE raw and calibrated (mean, median, greatest), improvement, dispersion, correlation, OOD flag."""
-    both = with_db(calibrated)
-    rmse = pairwise_rmse(both, "raw_db", "raw").join(pairwise_rmse(both, "calibrated_db", "cal"), ["campaign", "record_idx"])
-    half = lambda c: F.percentile(c, F.lit(0.5))
-    out = rmse.groupBy("campaign").agg(
-        F.count(F.lit(1)).alias("n_records"), F.avg("raw").alias("mean_raw_rmse_db"), half("raw").alias("median_raw_rmse_db"), F.max("raw").alias("max_raw_rmse_db"),
-        F.avg("cal").alias("mean_cal_rmse_db"), half("cal").alias("median_cal_rmse_db"), F.max("cal").alias("max_cal_rmse_db"), (F.avg("raw") - F.avg("cal")).alias("improvement_db"),
+    """One row per campaign: role, RMSE raw and calibrated (mean, median, greatest), improvement, dispersion, correlation, OOD flag.
+
+    Spectra are shuffled once; the medians are taken of one row for each record, which is written.
+    """
+    each = counted(record_measures(calibrated))
+    out = each.filter("raw is not null").groupBy("campaign").agg(
+        F.count(F.lit(1)).alias("n_records"), F.avg("raw").alias("mean_raw_rmse_db"), F.max("raw").alias("max_raw_rmse_db"), F.avg("cal").alias("mean_cal_rmse_db"), F.max("cal").alias("max_cal_rmse_db"), (F.avg("raw") - F.avg("cal")).alias("improvement_db"),
+        (F.sum("corr") / F.sum("pairs")).alias("log_correlation"),
     )
-    return out.join(log_dispersion(calibrated, "calibrated_power"), "campaign").join(pairwise_log_correlation(calibrated, "calibrated_power"), "campaign").join(roles, "campaign").join(trust, "campaign", "left")
+    for c in ("raw", "cal"):
+        out = out.join(exact_quantile(each.select("campaign", F.col(c).alias("value")), ["campaign"], 0.5, f"median_{c}_rmse_db"), "campaign")
+    dispersion = each.groupBy("campaign").agg((F.sum("ss") / F.sum("n")).alias("dispersion"))
+    return out.join(dispersion, "campaign").join(roles, "campaign").join(trust, "campaign", "left")
 
 
 def role_summary(diagnostics: DataFrame, weight_dispersion: float = 1.0, weight_correlation: float = 1.0) -> DataFrame:

@@ -6,10 +6,10 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from ..functions.spectra import is_valid_spectrum
+from .delimited import read_records
 
 # The columns of an acquisition file, those that are numbers, and of a campaign's metadata file.
 ACQUISITION_COLUMNS = (
@@ -50,8 +50,6 @@ def parse_measurements(raw: DataFrame) -> DataFrame:
     return typed.withColumn("pxx_db", F.from_json("pxx", "array<double>")).drop("pxx").withColumnRenamed("timestamp", "ts_ms").withColumn("n_bins", F.size("pxx_db"))
 
 
-#: Columns of a file at most; files are read by their own headers, whatever their number and order of columns.
-FILE_COLUMNS = 64
 #: Headers are one row for each file; beyond so many they are joined by shuffle.
 BROADCAST_FILES = 10_000
 _PLACE = r"(?:[^/=]+=)?([^/]+)/(?:[^/=]+=)?([^/]+)\.csv(?:/[^/]+)?$"
@@ -61,18 +59,16 @@ def read_measurements(spark: SparkSession, root: str, campaigns: list[str] | Non
     """All sensor files root/<campaign>/<sensor>.csv but metadata.csv; a <sensor>.csv may also be a folder of part files.
 
     Every file's columns are found by the names in its own header, so files with other columns, or with the same in
-    another order, may lie together; a file without a pxx column is an error. src_row is the id column where there is
-    one, else the row's place in its file, which multi-line reading keeps within one task for each file.
+    another order, may lie together, whatever their number; a file without a pxx column is an error. src_row is the id
+    column where there is one, else the record's place, which grows along its file. Large files are read by many tasks.
     """
-    path = [f"{root}/{c}/*.csv" for c in campaigns] if campaigns else f"{root}/*/*.csv"
-    names = [f"_c{i}" for i in range(FILE_COLUMNS)]
-    cells = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in names])).option("multiLine", True).option("escape", '"').csv(path)
-    cells = cells.select(F.array(*names).alias("cells"), F.col("_metadata.file_path").alias("file")).filter(~F.col("file").rlike(r"metadata\.csv(?:/[^/]+)?$"))
+    paths = [f"{root}/{c}/*.csv" for c in campaigns] if campaigns else [f"{root}/*/*.csv"]
+    cells = read_records(spark, paths).filter(~F.col("file").rlike(r"metadata\.csv(?:/[^/]+)?$"))
     is_header = F.exists("cells", lambda c: F.coalesce(F.trim(c) == "pxx", F.lit(False)))
     headers = cells.filter(is_header).groupBy("file").agg(F.first(F.transform("cells", lambda c: F.regexp_replace(F.trim(c), "^\ufeff", ""))).alias("names"))
     if headers.count() <= BROADCAST_FILES:
         headers = F.broadcast(headers)
-    rows = cells.withColumn("place", F.monotonically_increasing_id()).filter(~is_header).join(headers, "file", "left")
+    rows = cells.filter(~is_header).join(headers, "file", "left")
     known = F.when(F.col("names").isNull(), F.raise_error(F.concat(F.lit("no pxx column in "), F.col("file"))).cast("array<string>")).otherwise(F.col("names"))
     rows = rows.withColumn("names", known)
     value = {c: F.get("cells", F.array_position("names", F.lit(c)).cast("int") - 1) for c in ACQUISITION_COLUMNS}
@@ -165,7 +161,7 @@ def build_metadata_row(settings: DataFrame) -> DataFrame:
 def load_campaign_config(metadata: DataFrame, order: str = "row") -> DataFrame:
     """campaign and its seven settings in SI units from the first metadata row; problem names what is missing or not positive."""
     first = metadata.withColumn("_n", F.row_number().over(Window.partitionBy("campaign").orderBy(order))).filter("_n = 1").drop("_n")
-    by_key = {re.sub("[^a-z0-9]", "", c.lower()): c for c in reversed(metadata.columns)}
+    by_key = {re.sub("[^a-z0-9]", "", c.lower()): c for c in metadata.columns}  # of two columns with one key, the last
     # The first accepted name that holds anything decides, even if it is no number.
     cols = {}
     for name, options in ALIASES.items():

@@ -42,6 +42,47 @@ def test_files_of_different_columns_lie_together(spark, tmp_path):
     assert M.invalid_measurements(got).count() == 0 and M.grid_problems(got, ("campaign", "sensor_id")).count() == 0
 
 
+def test_a_file_of_two_hundred_columns(spark, tmp_path):
+    names = [f"extra{k}" for k in range(190)] + [c for c in FULL if c != "timestamp"] + ["timestamp"]
+    sensor_file(tmp_path / "one" / "Node1.csv", names, records(3, -60, 10))
+    got = {r["ts_ms"]: r for r in M.read_measurements(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [10, 1010, 2010] and got[1010]["pxx_db"] == [-59, -61] and got[10]["mac"] == "00:00:00:00:00:01" and got[2010]["src_row"] == 502
+
+
+def test_records_with_line_ends_in_quotes_across_blocks(spark, tmp_path, monkeypatch):
+    import csv
+    import random
+
+    from spectrafleet.sources import delimited
+
+    rng = random.Random(3)
+    cell = lambda: "".join(rng.choices(['"', ",", "\n", "\r\n", "é", "a", " ", "5\" x"], k=rng.randrange(0, 9)))
+    want = {}
+    for name in ("a.csv", "b.csv"):
+        rows = [[cell() or "x" for _ in range(rng.randrange(1, 6))] for _ in range(120)] + [["y" * 50 + "\n" * 700 + "z"], ["end", "\n\n"]]
+        with (tmp_path / name).open("w", newline="") as f:
+            for r in rows:
+                f.write(",".join(c if c and set(c) <= set("aé x5") else '"' + c.replace('"', '""') + '"' for c in r) + rng.choice(["\n", "\r\n"]))
+        with (tmp_path / name).open(newline="") as f:
+            want[name] = [r for r in csv.reader(f) if r and ",".join(r).strip(" ")]
+    (tmp_path / "c.csv").write_text('a,5" pipe,b\n\n"x ""y""",,\n')
+    want["c.csv"] = [["a", '5" pipe', "b"], ['x "y"', "", ""]]
+    saved = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for block, few in (("134217728", 1000), ("97", 1000), ("300", 0)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            monkeypatch.setattr(delimited, "BROADCAST_BLOCKS", few)
+            got = {}
+            for r in delimited.read_records(spark, [str(tmp_path / "*.csv")]).collect():
+                got.setdefault(r["file"].rsplit("/", 1)[1], []).append((r["place"], r["cells"]))
+            for name, rows in want.items():
+                assert [c for _, c in sorted(got[name])] == rows and len({p for p, _ in got[name]}) == len(rows), (name, block)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", saved[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", saved[1])
+
+
 def test_a_file_without_spectra_is_an_error(spark, tmp_path):
     sensor_file(tmp_path / "one" / "Node1.csv", FULL, records(2, -60, 10))
     sensor_file(tmp_path / "one" / "Node2.csv", ["start_freq_hz", "timestamp"], records(2, -60, 10))
@@ -70,6 +111,28 @@ def test_the_first_name_that_holds_anything_decides(spark):
     assert got["g"]["span_hz"] is None and got["h"]["span_hz"] == 7e6
 
 
+def test_selection_narrows_any_distribution(spark, monkeypatch):
+    from spectrafleet.operators import quantiles
+
+    rng, left = np.random.default_rng(4), []
+    groups = {"log": 10.0 ** rng.uniform(-12, 0, 60_000), "same": np.full(20_000, 7.0), "two": np.repeat([1.0, 2.0], 10_000), "few": rng.normal(size=50), "heavy": np.concatenate([np.full(15_000, 3.0), rng.normal(size=9_000) + 3])}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs], "g string, value double").repartition(4)
+    monkeypatch.setattr(quantiles, "BUCKETS", 500)
+    whole = quantiles._inside
+
+    def seen(values, state, by):
+        if "s1" not in state.columns:
+            left.append(max((r["left"] for r in state.collect()), default=0))
+        return whole(values, state, by)
+
+    monkeypatch.setattr(quantiles, "_inside", seen)
+    for q in (0.05, 0.5, 0.987):
+        left.clear()
+        got = {r["g"]: r["v"] for r in exact_quantile(df, ["g"], q, "v").collect()}
+        assert all(got[g] == pytest.approx(np.quantile(xs, q), rel=1e-13) for g, xs in groups.items())
+        assert left[-1] <= 500 and len(left) <= 4
+
+
 @pytest.mark.parametrize("q", [0.0, 0.05, 0.5, 0.99, 1.0])
 def test_exact_quantiles(spark, monkeypatch, q):
     from spectrafleet.operators import quantiles
@@ -78,7 +141,8 @@ def test_exact_quantiles(spark, monkeypatch, q):
     rng = np.random.default_rng(3)
     groups = {"a": rng.normal(size=1000), "b": np.repeat([1.0, 2.0, 2.0, 9.0], 50), "c": np.array([4.0]), "d": np.full(70, -3.0), "e": np.concatenate([rng.random(50) * 1e-9, [1e9]])}
     rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("a", None), ("f", None)]
-    got = {r["g"]: r["v"] for r in exact_quantile(spark.createDataFrame(rows, "g string, value double"), ["g"], q, "v").collect()}
+    df = spark.createDataFrame(rows, "g string, value double")
+    got = {r["g"]: r["v"] for r in exact_quantile(df, ["g"], q, "v").collect()}
     assert set(got) == set(groups)
     for g, xs in groups.items():
         assert got[g] == pytest.approx(np.quantile(xs, q), rel=1e-12, abs=1e-18), g
