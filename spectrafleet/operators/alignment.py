@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,10 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .calibration import work_folder
 from .quantiles import counted, exact_quantile
 
 MIN_TOLERANCE_MS, MAX_TOLERANCE_MS, TOLERANCE_RATIO = 250, 5000, 0.25
 EXHAUSTIVE_SENSORS = 12
+#: Rows of a block of time on average, the work of one task.
+BLOCK_ROWS = 50_000
+#: Subsets of a campaign's sensors that are matched at a time.
+WAVE = 8
 
 
 def infer_tolerance(rows: DataFrame) -> DataFrame:
@@ -59,15 +65,16 @@ def nearest_asof(rows: DataFrame, tolerance_ms: DataFrame) -> DataFrame:
     return near.groupBy("campaign", "anchor_row", "anchor_ts", "sensor_id").agg(best.alias("m")).select("campaign", "anchor_row", "anchor_ts", "sensor_id", "m.src_row", "m.ts_ms")
 
 
-def greedy_groups(times: dict[str, np.ndarray], tol: int, anchor: str | None = None) -> list[dict[str, int]]:
+def greedy_groups(times: dict[str, np.ndarray], tol: int, anchor: str | None = None, start: dict[str, int] | None = None) -> list[dict[str, int]]:
     """One-to-one, order-preserving groups of row positions that hold every sensor; times are sorted.
 
     The anchor, where none is given, is the sensor with the fewest rows, ties by id. Each anchor row takes every other sensor's nearest row
-    not before that sensor's last match, within tol and the earlier on a tie; pointers move only on a full match.
+    not before that sensor's last match, within tol and the earlier on a tie; pointers move only on a full match. start
+    has the first positions that earlier matches leave free.
     """
     names = sorted(times)
     anchor = anchor or min(names, key=lambda s: (len(times[s]), s))
-    at, out = {s: 0 for s in names}, []
+    at, out = {s: 0 for s in names} | (start or {}), []
     for i, t in enumerate(times[anchor]):
         group = {anchor: i}
         for s in names:
@@ -86,53 +93,186 @@ def greedy_groups(times: dict[str, np.ndarray], tol: int, anchor: str | None = N
     return out
 
 
-def _tolerance(times: dict[str, np.ndarray]) -> int:
-    gaps = np.concatenate([np.diff(t) for t in times.values()] or [np.array([])])
-    gaps = gaps[gaps > 0]
-    return int(np.round(np.clip(np.median(gaps) * TOLERANCE_RATIO, MIN_TOLERANCE_MS, MAX_TOLERANCE_MS))) if len(gaps) else MAX_TOLERANCE_MS
+def first_matches(times: dict[str, np.ndarray], tol: int, anchor: str, start: dict[str, int]) -> list[dict[str, int]]:
+    """Groups of an anchor row and the earliest free row of the one other sensor within tol: as many as there can be."""
+    (other,) = [s for s in times if s != anchor]
+    ts, j, out = times[other], start.get(other, 0), []
+    for i, t in enumerate(times[anchor]):
+        j = max(j, int(np.searchsorted(ts, t - tol)))
+        if j < len(ts) and ts[j] <= t + tol:
+            out.append({anchor: i, other: j})
+            j += 1
+    return out
 
 
-def pair_matches(a: np.ndarray, b: np.ndarray, tol: int) -> int:
-    """Monotone two-pointer count of matches within tol."""
-    i = j = n = 0
-    while i < len(a) and j < len(b):
-        d = int(a[i]) - int(b[j])
-        if abs(d) <= tol:
-            n, i, j = n + 1, i + 1, j + 1
-        elif d < 0:
-            i += 1
-        else:
-            j += 1
-    return n
+def _written(df: DataFrame) -> DataFrame:
+    path = work_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
+_EXIT = "array<struct<sensor_id: string, ts_ms: bigint, src_row: bigint>>"
+_MATCHED = f"campaign string, block long, k int, sensor_id string, src_row long, ts_ms long, exit {_EXIT}"
 
-def prune(times: dict[str, np.ndarray], tol: int | None) -> tuple[list[str], list[dict[str, int]], int]:
-    """(kept sensors, groups, tolerance) of the best subset of at least two sensors that aligns.
 
-    Up to EXHAUSTIVE_SENSORS sensors: the largest subset, then most records, then mean and least retained share, then
-    ids. Beyond: the sensor with the fewest pair matches is dropped until the rest aligns.
+def match_blocks(rows: DataFrame, matcher: Callable) -> DataFrame:
+    """campaign, record_idx, sensor_id, src_row, ts_ms: matcher's groups of rows with their campaign's anchor, sensors and tolerance_ms.
+
+    A campaign is matched in blocks of time, each with the rows of other sensors that its anchor rows can reach. What a
+    block must know of the one before is which rows its last matches took. At first each block is matched as if none
+    were taken; then those that were given another start than they had are matched again, until none was. Matches forget
+    their start within a few records, so this takes a round or two; each block is right at the latest when those before
+    it are. A task holds one block, however long the campaign.
     """
-    names = sorted(times)
-    if len(names) <= EXHAUSTIVE_SENSORS:
-        for size in range(len(names), 1, -1):
-            found = []
-            for kept in itertools.combinations(names, size):
-                part = {s: times[s] for s in kept}
-                t = _tolerance(part) if tol is None else tol
-                if groups := greedy_groups(part, t):
-                    share = [len(groups) / len(part[s]) for s in kept]
-                    found.append(((-len(groups), -float(np.mean(share)), -min(share), kept), groups, t))
-            if found:
-                (*_, kept), groups, t = min(found, key=lambda f: f[0])
-                return list(kept), groups, t
-        return [], [], tol or MAX_TOLERANCE_MS
-    t = _tolerance(times) if tol is None else tol
-    while len(names) >= 2:
-        if groups := greedy_groups({s: times[s] for s in names}, t):
-            return names, groups, t
-        support = {s: sum(pair_matches(times[s], times[o], t) for o in names if o != s) for s in names}
-        names.remove(min(names, key=lambda s: (support[s], len(times[s]), s)))
-    return [], [], t
+    rows = rows.select("campaign", "sensor_id", "src_row", "ts_ms", "anchor", "sensors", "tolerance_ms")
+    stats = rows.groupBy("campaign").agg(F.count(F.lit(1)).alias("n"), F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("hi"), F.max("tolerance_ms").alias("reach"))
+    width = F.greatest(4 * F.col("reach") + 1, F.ceil((F.col("hi") - F.col("lo") + 1) * float(BLOCK_ROWS) / F.col("n"))).cast("long")
+    stats = counted(stats.select("campaign", "lo", "reach", width.alias("width")))
+    at = lambda shift: F.floor((F.col("ts_ms") - F.col("lo") + shift) / F.col("width")).cast("long")
+    blocks = F.when(F.col("sensor_id") == F.col("anchor"), F.array(at(F.lit(0)))).otherwise(F.sequence(at(-F.col("reach")), at(F.col("reach"))))
+    placed = _written(rows.join(stats, "campaign").withColumn("block", F.explode(blocks)).drop("lo", "reach", "width"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts_ms", "src_row"], kind="stable")
+        first = pdf.iloc[0]
+        campaign, block, anchor = first["campaign"], first["block"], first["anchor"]
+        taken = {e["sensor_id"]: (e["ts_ms"], e["src_row"]) for e in (first["entry"] if first["entry"] is not None else [])}
+        parts = {s: (p["ts_ms"].to_numpy(), p["src_row"].to_numpy()) for s, p in pdf.groupby("sensor_id")}
+        # rows up to the last one taken are not free
+        start = {s: int(np.count_nonzero((parts[s][0] < t) | ((parts[s][0] == t) & (parts[s][1] <= r)))) for s, (t, r) in taken.items() if s in parts}
+        groups = matcher({s: p[0] for s, p in parts.items()}, int(first["tolerance_ms"]), anchor, start) if anchor in parts and len(parts) == first["sensors"] else []
+        if groups:
+            taken |= {s: (int(parts[s][0][j]), int(parts[s][1][j])) for s, j in groups[-1].items() if s != anchor}
+        made = [(campaign, block, k, s, int(parts[s][1][j]), int(parts[s][0][j]), None) for k, g in enumerate(groups) for s, j in g.items()]
+        exit = [{"sensor_id": s, "ts_ms": t, "src_row": r} for s, (t, r) in sorted(taken.items())]
+        return pd.DataFrame([*made, (campaign, block, -1, None, None, None, exit)], columns=["campaign", "block", "k", "sensor_id", "src_row", "ts_ms", "exit"]).astype({"src_row": "Int64", "ts_ms": "Int64"})
+
+    def matched(entries: DataFrame | None) -> DataFrame:
+        given = placed.withColumn("entry", F.lit(None).cast(_EXIT)) if entries is None else placed.join(entries, ["campaign", "block"])
+        return _written(given.groupBy("campaign", "block").applyInPandas(one, _MATCHED))
+
+    done = matched(None)
+    used = done.filter("k = -1").select("campaign", "block", F.array().cast(_EXIT).alias("entry"), "exit")
+    in_order = Window.partitionBy("campaign").orderBy("block")
+    while True:
+        # what was taken longer ago than a tolerance before a block's start is out of its reach
+        before = F.coalesce(F.lag("exit").over(in_order), F.array().cast(_EXIT))
+        start = F.col("lo") + F.col("block") * F.col("width") - F.col("reach")
+        now = used.withColumn("before", before).join(stats, "campaign").withColumn("now", F.filter("before", lambda e: e["ts_ms"] >= start))
+        states = _written(now.select("campaign", "block", "entry", "exit", "now"))
+        changed = states.filter(F.col("now") != F.col("entry")).select("campaign", "block", F.col("now").alias("entry"))
+        if changed.isEmpty():
+            break
+        again = matched(changed)
+        done = _written(done.join(changed.select("campaign", "block"), ["campaign", "block"], "left_anti").unionByName(again))
+        exits = done.filter("k = -1").select("campaign", "block", "exit")
+        used = states.select("campaign", "block", F.col("now").alias("entry")).join(exits, ["campaign", "block"])
+    groups = done.filter("k >= 0")
+    counts = groups.groupBy("campaign", "block").agg((F.max("k") + 1).alias("n"))
+    base = counts.select("campaign", "block", (F.sum("n").over(in_order) - F.col("n")).alias("base"))
+    return groups.join(base, ["campaign", "block"]).select("campaign", (F.col("base") + F.col("k")).cast("int").alias("record_idx"), "sensor_id", "src_row", "ts_ms")
+
+
+def upper_bound(kept: list[int], counts: list[int], near: np.ndarray, far: np.ndarray) -> int:
+    """Records of a subset of sensors (positions), at most.
+
+    A record has every other sensor's row within the tolerance of the anchor's, and so any two within twice of it: near
+    and far have the most matches of each pair at these distances.
+    """
+    anchor = min(kept, key=lambda i: (counts[i], i))
+    most = min((near[anchor, i] for i in kept if i != anchor), default=0)
+    return int(min(most, min((far[i, j] for i, j in itertools.combinations(kept, 2)), default=0)))
+
+
+def next_subsets(names: list[str], counts: list[int], near: np.ndarray, far: np.ndarray, tried: dict[int, int], wave: int = 8) -> tuple[list[int], int | None]:
+    """(subsets to match next, the chosen one): bit i of a subset stands for the i-th sensor; tried has records by subset.
+
+    Up to EXHAUSTIVE_SENSORS sensors: the largest subset that aligns, then most records, then mean and least retained
+    share, then ids. By branch and bound: subsets that cannot have as many records as the best are never matched.
+    Beyond: the sensor with the fewest pair matches is dropped until the rest aligns.
+    """
+    members = lambda m: [i for i in range(len(names)) if m >> i & 1]
+    if len(names) > EXHAUSTIVE_SENSORS:
+        kept, chain = list(range(len(names))), []
+        while len(kept) >= 2:
+            chain.append(sum(1 << i for i in kept))
+            support = {i: int(sum(near[i, j] for j in kept if j != i)) for i in kept}
+            kept.remove(min(kept, key=lambda i: (support[i], counts[i], names[i])))
+        for k, m in enumerate(chain):
+            if m not in tried:
+                return [x for x in chain[k : k + wave] if x not in tried], None
+            if tried[m]:
+                return [], m
+        return [], None
+    for size in range(len(names), 1, -1):
+        bounds = {sum(1 << i for i in kept): upper_bound(list(kept), counts, near, far) for kept in itertools.combinations(range(len(names)), size)}
+        best = max((tried.get(m, 0) for m in bounds), default=0)
+        todo = sorted((m for m, b in bounds.items() if m not in tried and b >= max(best, 1)), key=lambda m: (-bounds[m], m))
+        if todo:
+            return todo[:wave], None
+        if best:
+            share = lambda m: [best / counts[i] for i in members(m)]
+            return [], min((m for m in bounds if tried.get(m) == best), key=lambda m: (-float(np.mean(share(m))), -min(share(m)), [names[i] for i in members(m)]))
+    return [], None
+
+
+def _subset_rows(rows: DataFrame, subsets: DataFrame, tolerance_ms: int | None) -> DataFrame:
+    """rows of the sensors of each subset (campaign, mask), as campaigns of their own, with anchor, sensors and tolerance_ms."""
+    own = F.concat_ws("\u0001", "campaign", F.col("mask").cast("string"))
+    some = rows.join(subsets, "campaign").filter(F.expr("shiftright(mask, position) & 1 = 1")).withColumn("campaign", own).select("campaign", "sensor_id", "src_row", "ts_ms")
+    tol = infer_tolerance(some) if tolerance_ms is None else some.select("campaign").distinct().withColumn("tolerance_ms", F.lit(tolerance_ms).cast("long"))
+    sensors = some.groupBy("campaign").agg(F.count_distinct("sensor_id").alias("sensors"))
+    return some.join(counted(select_anchor(some).join(tol, "campaign").join(sensors, "campaign")), "campaign")
+
+
+def align_subsets(rows: DataFrame, tolerance_ms: int | None) -> DataFrame:
+    """Aligned records (_ALIGNED) of each campaign's best subset of at least two sensors, as next_subsets() chooses it.
+
+    Pair counts bound how many records a subset can have; the subsets that may win are matched WAVE at a time for all
+    campaigns together, in blocks of time.
+    """
+    ids = rows.groupBy("campaign", "sensor_id").agg(F.count(F.lit(1)).alias("rows"))
+    place = F.row_number().over(Window.partitionBy("campaign").orderBy("sensor_id")) - 1  # sensors of a campaign
+    ids = counted(ids.withColumn("position", place))
+    rows = _written(rows.join(ids.drop("rows"), ["campaign", "sensor_id"]))
+    reach = MAX_TOLERANCE_MS if tolerance_ms is None else tolerance_ms
+    pairs = None
+    for name, t in (("near", reach), ("far", 2 * reach)):
+        found = pairwise_match_count(rows, t).withColumnRenamed("matches", name)
+        pairs = found if pairs is None else pairs.join(found, ["campaign", "sensor_a", "sensor_b"])
+    pairs = pairs.groupBy("campaign").agg(F.collect_list(F.struct("sensor_a", "sensor_b", "near", "far")).alias("pairs"))
+    known = ids.groupBy("campaign").agg(F.array_sort(F.collect_list(F.struct("sensor_id", "rows"))).alias("known")).join(pairs, "campaign")
+    known = _written(known)
+    tried = rows.sparkSession.createDataFrame([], "campaign string, mask long, n long")
+    schema = "campaign string, mask long, chosen boolean"
+
+    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                names, counts = [k["sensor_id"] for k in r["known"]], [int(k["rows"]) for k in r["known"]]
+                near, far = (np.zeros((len(names), len(names)), int) for _ in range(2))
+                for p in r["pairs"]:
+                    i, j = names.index(p["sensor_a"]), names.index(p["sensor_b"])
+                    near[i, j] = near[j, i] = p["near"]
+                    far[i, j] = far[j, i] = p["far"]
+                todo, chosen = next_subsets(names, counts, near, far, {t["mask"]: t["n"] for t in (r["tried"] if r["tried"] is not None else [])}, WAVE)
+                out += [(r["campaign"], m, False) for m in todo] + ([(r["campaign"], chosen, True)] if chosen is not None else [])
+            yield pd.DataFrame(out, columns=["campaign", "mask", "chosen"])
+
+    while True:
+        so_far = tried.groupBy("campaign").agg(F.collect_list(F.struct("mask", "n")).alias("tried"))
+        plans = _written(known.join(so_far, "campaign", "left").mapInPandas(plan, schema))
+        todo = plans.filter("not chosen").select("campaign", "mask")
+        if todo.isEmpty():
+            break
+        parted = F.split("campaign", "\u0001")
+        found = match_blocks(_subset_rows(rows, todo, tolerance_ms), greedy_groups).groupBy(parted[0].alias("campaign"), parted[1].cast("long").alias("mask")).agg((F.max("record_idx") + 1).cast("long").alias("n"))
+        tried = _written(tried.unionByName(todo.join(found, ["campaign", "mask"], "left").fillna(0, ["n"])))
+    best = _written(_subset_rows(rows, plans.filter("chosen").select("campaign", "mask"), tolerance_ms))
+    tolerance = best.groupBy("campaign").agg(F.max("tolerance_ms").alias("tolerance_ms"))
+    out = match_blocks(best, greedy_groups).join(tolerance, "campaign")
+    return out.select(F.split("campaign", "\u0001")[0].alias("campaign"), "record_idx", "sensor_id", "src_row", "ts_ms", "tolerance_ms")
 
 
 _ALIGNED = "campaign string, record_idx int, sensor_id string, src_row long, ts_ms long, tolerance_ms long"
@@ -143,9 +283,8 @@ def align(rows: DataFrame, tolerance_ms: int | None = None, allow_pruning: bool
 
     Works on slim rows (campaign, sensor_id, src_row, ts_ms); join spectra back on (campaign, sensor_id, src_row).
     Campaigns whose anchor rows are more than two tolerances apart are aligned by joins alone, where the greedy rule
-    and the nearest row agree. The others are cut where no row of any sensor stands for longer than a tolerance, which
-    no record can span, and each stretch is aligned in a task, on timestamps only. With allow_pruning, a campaign
-    without a common record keeps its best subset of sensors; that choice takes the whole campaign's timestamps.
+    and the nearest row agree. The others are matched in blocks of time, on timestamps only. With allow_pruning, a
+    campaign without a common record keeps its best subset of sensors, found by branch and bound.
     """
     slim = rows.select("campaign", "sensor_id", "src_row", "ts_ms")
     tol = infer_tolerance(slim) if tolerance_ms is None else slim.select("campaign").distinct().withColumn("tolerance_ms", F.lit(tolerance_ms).cast("long"))
@@ -162,46 +301,13 @@ def align(rows: DataFrame, tolerance_ms: int | None = None, allow_pruning: bool
     fast = whole.select("campaign", "record_idx", "tolerance_ms", F.explode(F.concat("others", F.array(F.struct(F.col("anchor").alias("sensor_id"), F.col("anchor_row").alias("src_row"), F.col("anchor_ts").alias("ts_ms"))))).alias("r"))
     fast = fast.select("campaign", "record_idx", "r.sensor_id", "r.src_row", "r.ts_ms", "tolerance_ms")
     hard = spread.filter("not easy").select("campaign", "anchor", "sensors", "tolerance_ms")
-    slow = _stretches(slim.join(hard, "campaign"))
+    slow = match_blocks(slim.join(hard, "campaign"), greedy_groups).join(hard.select("campaign", "tolerance_ms"), "campaign")
     out = fast.unionByName(slow)
     if not allow_pruning:
         return out
+    out = _written(out)
     left = chosen.select("campaign").join(out.select("campaign").distinct(), "campaign", "left_anti")
-
-    def pruned(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_ms", "src_row"], kind="stable")
-        parts = {s: p for s, p in pdf.groupby("sensor_id")}
-        times = {s: p["ts_ms"].to_numpy() for s, p in parts.items()}
-        _, groups, t = prune(times, tolerance_ms)
-        made = [(pdf["campaign"].iloc[0], k, s, int(parts[s]["src_row"].iloc[j]), int(times[s][j]), t) for k, g in enumerate(groups) for s, j in g.items()]
-        return pd.DataFrame(made, columns=["campaign", "record_idx", "sensor_id", "src_row", "ts_ms", "tolerance_ms"])
-
-    return out.unionByName(slim.join(left, "campaign").groupBy("campaign").applyInPandas(pruned, _ALIGNED))
-
-
-def _stretches(rows: DataFrame) -> DataFrame:
-    """The greedy rule on rows with their campaign's anchor, number of sensors and tolerance, one stretch of time at a time."""
-    # An empty bucket as wide as the tolerance parts what stands on its two sides.
-    bucketed = rows.withColumn("b", F.floor(F.col("ts_ms") / F.greatest("tolerance_ms", F.lit(1))))
-    full = bucketed.groupBy("campaign", "b").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("campaign").orderBy("b")
-    cut = F.when(F.col("b") - F.lag("b").over(w) > 1, 1).otherwise(0)
-    stretch = full.withColumn("cut", cut).select("campaign", "b", F.sum("cut").over(w).alias("stretch"))
-    schema = "campaign string, stretch long, k int, sensor_id string, src_row long, ts_ms long, tolerance_ms long"
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_ms", "src_row"], kind="stable")
-        parts = {s: p for s, p in pdf.groupby("sensor_id")}
-        times = {s: p["ts_ms"].to_numpy() for s, p in parts.items()}
-        campaign, part, anchor, t = (pdf[c].iloc[0] for c in ("campaign", "stretch", "anchor", "tolerance_ms"))
-        groups = greedy_groups(times, int(t), anchor) if len(parts) == pdf["sensors"].iloc[0] else []
-        made = [(campaign, part, k, s, int(parts[s]["src_row"].iloc[j]), int(times[s][j]), t) for k, g in enumerate(groups) for s, j in g.items()]
-        return pd.DataFrame(made, columns=[x.strip().split(" ")[0] for x in schema.split(",")])
-
-    found = bucketed.join(stretch, ["campaign", "b"]).groupBy("campaign", "stretch").applyInPandas(one, schema)
-    counts = found.groupBy("campaign", "stretch").agg((F.max("k") + 1).alias("n"))
-    before = counts.select("campaign", "stretch", (F.sum("n").over(Window.partitionBy("campaign").orderBy("stretch")) - F.col("n")).alias("base"))
-    return found.join(before, ["campaign", "stretch"]).select("campaign", (F.col("base") + F.col("k")).cast("int").alias("record_idx"), "sensor_id", "src_row", "ts_ms", "tolerance_ms")
+    return out.unionByName(align_subsets(slim.join(left, "campaign"), tolerance_ms))
 
 
 def pruned_sensors(rows: DataFrame, aligned: DataFrame) -> DataFrame:
@@ -228,14 +334,16 @@ def align_report(rows: DataFrame, aligned: DataFrame) -> DataFrame:
 
 
 def pairwise_match_count(rows: DataFrame, tolerance_ms: int) -> DataFrame:
-    """campaign, sensor_a, sensor_b, matches for every pair of sensors, one pair in a task, on timestamps only."""
+    """campaign, sensor_a, sensor_b, matches for every pair of sensors: most one-to-one matches in order within the tolerance.
+
+    A pair is matched in blocks of time, on timestamps only.
+    """
     ids = rows.select("campaign", "sensor_id").distinct()
     a, b = ids.withColumnRenamed("sensor_id", "sensor_a"), ids.withColumnRenamed("sensor_id", "sensor_b")
-    pairs = a.join(b, "campaign").filter("sensor_a < sensor_b")
-    one = pairs.withColumn("sensor_id", F.explode(F.array("sensor_a", "sensor_b"))).join(rows.select("campaign", "sensor_id", "ts_ms"), ["campaign", "sensor_id"])
-
-    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = (np.sort(pdf.loc[pdf["sensor_id"] == s, "ts_ms"].to_numpy()) for s in key[1:])
-        return pd.DataFrame([(*key, pair_matches(x, y, tolerance_ms))], columns=["campaign", "sensor_a", "sensor_b", "matches"])
-
-    return one.groupBy("campaign", "sensor_a", "sensor_b").applyInPandas(count, "campaign string, sensor_a string, sensor_b string, matches long")
+    pairs = counted(a.join(b, "campaign").filter("sensor_a < sensor_b"))
+    key = F.concat_ws("\u0001", "campaign", "sensor_a", "sensor_b")
+    one = pairs.withColumn("sensor_id", F.explode(F.array("sensor_a", "sensor_b"))).join(rows.select("campaign", "sensor_id", "src_row", "ts_ms"), ["campaign", "sensor_id"])
+    one = one.select(key.alias("campaign"), "sensor_id", "src_row", "ts_ms", F.col("sensor_a").alias("anchor"), F.lit(2).alias("sensors"), F.lit(tolerance_ms).cast("long").alias("tolerance_ms"))
+    found = match_blocks(one, first_matches).groupBy("campaign").agg((F.max("record_idx") + 1).cast("long").alias("matches"))
+    out = pairs.withColumn("key", key).join(found.withColumnRenamed("campaign", "key"), "key", "left")
+    return out.select("campaign", "sensor_a", "sensor_b", F.coalesce("matches", F.lit(0)).cast("long").alias("matches"))

@@ -311,6 +311,7 @@ def test_pairwise_matches_against_plain_counting(spark):
 def test_stretches_align_like_whole_campaigns(spark):
     from spectrafleet.operators import alignment as A
     from spectrafleet.operators import sets as X
+    from tests.test_alignment import plain_best
 
     rng, rows = np.random.default_rng(8), []
     for campaign in ("p", "q", "r"):
@@ -325,7 +326,7 @@ def test_stretches_align_like_whole_campaigns(spark):
         got.setdefault(r["campaign"], {}).setdefault(r["record_idx"], {})[r["sensor_id"]] = r["src_row"]
     for campaign in ("p", "q", "r"):
         times = {s: np.array([t for c, x, _, t in rows if c == campaign and x == s]) for s in "abc"}
-        groups = A.greedy_groups(times, 60) if campaign != "r" else A.prune(times, 60)[1]
+        groups = A.greedy_groups(times if campaign != "r" else {s: times[s] for s in plain_best(times, 60)[0]}, 60)
         assert groups and [got[campaign][k] for k in sorted(got[campaign])] == groups
     assert {tuple(r) for r in A.pruned_sensors(df, aligned).collect()} == {("r", "c")}
     strict = A.align(df, 60)
