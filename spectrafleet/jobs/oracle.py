@@ -71,7 +71,34 @@ TRAIN_STATS = ", ".join(f"avg({f}) as m_{f}, case when stddev_pop({f}) <= 1e-12
 LANDED = """landed as (select event_id::varchar as id, case when event_id % 4 = 0 then ' ' else 'm' || user_id end as mac, case when event_id % 3 = 0 then user_id::varchar end as campaign_id, user_id,
   case when event_id % 9 = 0 then null when event_id % 10 = 0 then '' else format('[{{}}, {{}},{{}}]', event_id % 7, event_id % 5, user_id % 3) end as pxx, (epoch_us(ts) // 1000)::varchar as ts, 'c' || (user_id % 10) as campaign, event_type as label from events)""".replace("{{}}", "{}")
 
+#: The greedy rule by recursion over anchor rows: each step takes every sensor's nearest free row, if all have one.
+GREEDY = """n as (select campaign, sensor_id, ts_ms, src_row, row_number() over (partition by campaign, sensor_id order by ts_ms, src_row) as rn from ev),
+sz as (select campaign, sensor_id, count(*) as held from n group by all),
+an as (select campaign, arg_min(sensor_id, (held, sensor_id)) as anchor, count(*) as sensors from sz group by campaign),
+m as (
+  select campaign, sensor_id, 0::bigint as i, 0::bigint as last, false as whole, null::bigint as src_row, null::bigint as ts_ms from sz
+  union all
+  select campaign, sensor_id, i, case when whole then rn else last end, whole, src_row, ts_ms
+  from (select *, count(rn) over (partition by campaign) = sensors as whole
+        from (select r.campaign, r.sensor_id, r.i + 1 as i, r.last, an.sensors, n.rn, n.src_row, n.ts_ms,
+                     row_number() over (partition by r.campaign, r.sensor_id order by abs(n.ts_ms - a.ts_ms), n.ts_ms, case when n.ts_ms < a.ts_ms then -n.rn else n.rn end) as k
+              from m as r join an on an.campaign = r.campaign join n as a on a.campaign = r.campaign and a.sensor_id = an.anchor and a.rn = r.i + 1
+              left join n on n.campaign = r.campaign and n.sensor_id = r.sensor_id and case when r.sensor_id = an.anchor then n.rn = r.i + 1 else n.rn > r.last and abs(n.ts_ms - a.ts_ms) <= 7200000 end)
+        where k = 1))"""
+#: The most matches of a pair by recursion over the first sensor's rows: each takes the second's earliest free row within the tolerance.
+PAIRED = """n as (select campaign, sensor_id, ts_ms, row_number() over (partition by campaign, sensor_id order by ts_ms, src_row) as rn from ev),
+p as (select a.campaign, a.sensor_id as sensor_a, b.sensor_id as sensor_b from (select distinct campaign, sensor_id from n) as a join (select distinct campaign, sensor_id from n) as b on a.campaign = b.campaign and a.sensor_id < b.sensor_id),
+m as (
+  select campaign, sensor_a, sensor_b, 0::bigint as i, 0::bigint as last, 0::bigint as matches from p
+  union all
+  select r.campaign, r.sensor_a, r.sensor_b, r.i + 1, coalesce(min(b.rn), r.last), r.matches + (count(b.rn) > 0)::bigint
+  from m as r join n as a on a.campaign = r.campaign and a.sensor_id = r.sensor_a and a.rn = r.i + 1
+  left join n as b on b.campaign = r.campaign and b.sensor_id = r.sensor_b and b.rn > r.last and abs(b.ts_ms - a.ts_ms) <= 1800000
+  group by r.campaign, r.sensor_a, r.sensor_b, r.i, r.last, r.matches)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "align_greedy": f"with recursive {EV}, {GREEDY} select campaign, (dense_rank() over (partition by campaign order by i) - 1)::int as record_idx, sensor_id, src_row, ts_ms, 7200000::bigint as tolerance_ms from m where whole",
+    "pairwise_match_count": f"with recursive {EV}, {PAIRED} select campaign, sensor_a, sensor_b, max(matches) as matches from m group by all",
     "sensor_ranking": f"with {PSD}, {CORR}, {NOISE}, {RANKING}, f as (select campaign, sensor_id, avg(noise_floor_db) as mean_noise_floor_db from psd join nf using (src_row) group by all) select campaign, sensor_id, n_records, rank, {r('mean_score mean_correlation score_std mean_noise_floor_db')} from ranking join f using (campaign, sensor_id)",
     "db_to_linear": f"with {PSD} select campaign, record_idx, sensor_id, round(list_sum(list_transform(pxx_db, lambda x: power(10.0::double, x / 10))) * 1e6, 6) as total_uw from psd",
     "linear_to_db": f"with {PSD} select campaign, record_idx, sensor_id, round(list_avg(list_transform(pxx_db, lambda x: 10 * log10(greatest(power(10.0::double, x / 10) - 1e-6, 1e-12)))), 6) as mean_db from psd",
@@ -79,7 +106,8 @@ ORACLE_SQL: dict[str, str] = {
     "noise_floor": f"with {PSD}, {NOISE} select campaign, record_idx, sensor_id, round(noise_floor_db, 6) as noise_floor_db from psd join nf using (src_row)",
     "curve_roughness": f"with {PSD} select campaign, record_idx, sensor_id, round(sqrt(list_avg(list_transform(range(2, n_bins), lambda i: power(pxx_db[i + 1] - 2 * pxx_db[i] + pxx_db[i - 1], 2)))), 6) as roughness from psd",
     "gain_edge_jump_ratio": f"with {PSD}, j as (select *, list_transform(range(1, n_bins), lambda i: abs(pxx_db[i + 1] - pxx_db[i])) as d from psd) select campaign, record_idx, sensor_id, round(greatest(d[1], d[n_bins - 1]) / greatest(list_aggregate(d[2:n_bins - 2], 'quantile_cont', 0.5), 1e-12), 6) as ratio from j",
-    "validate_measurements": f"with {PSD} select campaign, sensor_id, count(*) filter (src_row % 7 <> 0 and src_row % 11 <> 0) as n_valid, count(*) filter (src_row % 7 = 0 or src_row % 11 = 0) as n_rejected from psd group by all",
+    "validate_measurements": f"with {PSD}, v as (select *, case when src_row % 7 = 0 then 'fewer than two values' when src_row % 11 = 0 then 'spectrum is no array' when src_row % 17 = 0 then 'frequency missing' when src_row % 13 = 0 then 'timestamp missing' else 'none' end as problem from psd) select campaign, sensor_id, problem, count(*) as n from v group by all",
+    "stream_quarantine": f"with {PSD}, {CURVES}, {CAL}, v as (select cal.*, case when src_row % 7 = 0 then 'fewer than two values' when src_row % 11 = 0 then 'no curve' when campaign = 'c2' then 'configuration out of distribution' else 'none' end as problem from cal), t as (select v.campaign, case when src_row % 11 = 0 then 'Node99' else v.sensor_id end as sensor_id, problem, list_sum(cp) as cp, list_sum(list_transform(range(1, len(gain) + 1), lambda i: var[i] / greatest(gain[i] * gain[i], 1e-12))) as pv from v join curves using (sensor_id)) select campaign, sensor_id, problem, count(*) as n, round(sum(cp) filter (problem = 'none') * 1e6, 6) as total_uw, round(sum(pv) filter (problem = 'none') * 1e12, 6) as total_var from t group by all",
     "list_campaigns": f"with {EV} select distinct campaign from ev",
     "drop_leading": f"with {EV} select campaign, sensor_id, count(*) as n, min(ts_ms) as first_ms, sum(src_row)::bigint as rows_sum from (select *, row_number() over (partition by campaign, sensor_id order by ts_ms, src_row) as k from ev) where k > 3 group by all",
     "select_record_sample": f"with {PSD}, c as (select campaign, min(n) as n from (select campaign, sensor_id, count(*) as n from psd group by all) group by campaign) select campaign, sensor_id, record_idx, src_row from psd join c using (campaign) where record_idx in (0, n // 2, n - 1)",
@@ -111,7 +139,7 @@ ORACLE_SQL: dict[str, str] = {
     "mean_psd_curve": f"with {PSD}, {CORR}, {RANKING}, v as (select campaign, sensor_id, unnest(pxx_db) as v, (generate_subscripts(pxx_db, 1) - 1)::int as bin from psd join (select campaign, sensor_id from ranking where rank <= 3) using (campaign, sensor_id)) select campaign, sensor_id, bin, round(avg(v), 6) as mean_db from v group by all",
     "corpus_stats": f"with {PSD}, v as (select power(10.0::double, unnest(pxx_db) / 10) as p from psd) select round(var_pop(p) * 1e12, 6) as variance, round(quantile_cont(p, 0.05) * 1e6, 6) as q05, round(greatest(1e-18, 1e-3 * var_pop(p)) * 1e12, 6) as variance_floor, 88e6::double as freq_min_hz, 108e6::double as freq_max_hz from v",
     "config_stats": f"with {CONFIGS} " + " union all ".join(f"select '{f}' as feature, round(avg({f}), 4) as mean, round(case when stddev_pop({f}) <= 1e-12 then 1 else stddev_pop({f}) end, 4) as scale, round(min({f}), 4) as least, round(max({f}), 4) as greatest from configs where role = 'train'" for f in FEATURES),
-    "trust_envelope": f"with {CONFIGS}, s as (select {TRAIN_STATS} from configs where role = 'train' and lna_gain_db < 1500), o as (select config_id, greatest({', '.join(f'abs(({f} - m_{f}) / s_{f})' for f in FEATURES)}) as z, list_filter([{', '.join(f'''case when {f} < lo_{f} or {f} > hi_{f} then '{f}' end''' for f in FEATURES)}], lambda x: x is not null) as o from configs, s) select config_id, round(z, 4) as max_abs_z, array_to_string(o, ',') as out_of_range, len(o) > 0 as outside_envelope from o",
+    "trust_envelope": f"with {CONFIGS}, s as (select {TRAIN_STATS} from configs where role = 'train'), o as (select config_id, greatest({', '.join(f'abs(({f} - m_{f}) / s_{f})' for f in FEATURES)}) as z, list_filter([{', '.join(f'''case when {f} < lo_{f} or {f} > hi_{f} then '{f}' end''' for f in FEATURES)}], lambda x: x is not null) as o from configs, s) select config_id, round(z, 4) as max_abs_z, array_to_string(o, ',') as out_of_range, len(o) > 0 as outside_envelope from o",
     "calibration_map": f"with {PSD}, {CURVES}, {CAL} select campaign, record_idx, sensor_id, round(list_sum(cp) * 1e6, 6) as total_uw from cal",
     "propagated_variance": f"with {PSD}, {CURVES} select sensor_id, round(list_sum(list_transform(range(1, len(gain) + 1), lambda i: var[i] / greatest(gain[i] * gain[i], 1e-12))) * 1e12, 6) as sum_var, 'observation_noise_only' as uncertainty from curves",
     "curve_summary": f"with {PSD}, {CURVES} select sensor_id, " + ", ".join(f"round(list_avg(list_transform({c}, lambda x: 10 * log10(greatest(x, 1e-12)))), 6) as mean_{c}_db" for c in ("gain", "floor", "var")) + " from curves",
@@ -126,7 +154,7 @@ ORACLE_SQL: dict[str, str] = {
     "stream_calibrate": f"with {PSD}, {CURVES}, {CAL} select campaign, sensor_id, count(*) as n, round(sum(list_sum(cp)) * 1e6, 6) as total_uw from cal group by all",
     "content_fingerprint": f"""with {PSD} select campaign, sha256('{{"campaign":"' || campaign || '","grid":{{"start_freq_hz":8.8E7,"end_freq_hz":1.08E8,"n_bins":' || any_value(n_bins) || '}},"n":' || count(*) || ',"sensors":["' || string_agg(distinct sensor_id, '","' order by sensor_id) || '"]}}') as sha256 from psd group by campaign""",
     "write_calibrated": f"with {PSD}, {CURVES}, {CAL} select campaign, sensor_id, count(*) as n, round(sum(list_sum(cp)) * 1e6, 6) as total_uw from cal group by all",
-    "ingest_measurements": f"with {LANDED} select id, coalesce(nullif(trim(mac), ''), 'fallback') as mac, coalesce(campaign_id::bigint, 7) as campaign_id, replace(pxx, ' ', '') as pxx, ts as timestamp from landed where pxx is not null and pxx <> ''",
+    "ingest_measurements": f"with {LANDED} select id, coalesce(nullif(trim(mac), ''), 'fallback') as mac, coalesce(campaign_id::bigint, 7) as campaign_id, replace(pxx, ' ', '') as pxx, '88e6' as start_freq_hz, '108e6' as end_freq_hz, ts as timestamp, {', '.join(f'null::varchar as {c}' for c in ('lat', 'lng', 'excursion_peak_to_peak_hz', 'excursion_peak_deviation_hz', 'excursion_rms_deviation_hz', 'depth_peak_to_peak', 'depth_peak_deviation', 'depth_rms_deviation', 'created_at'))} from landed where pxx is not null and pxx <> ''",
     "ingest_report": f"with {LANDED}, raw as (select * from landed where not (campaign = 'c1' and label = 'click')), pairs as (select * from (select distinct campaign from raw), (select distinct label from raw)), n as (select campaign, label, count(*) as raw, count(*) filter (pxx is not null and pxx <> '' and not (campaign = 'c2' and label = 'view')) as kept from raw group by all) select campaign, label, coalesce(kept, 0) as rows, case when raw is null then 'no data' when kept = 0 then 'nothing left after filter' else 'saved' end as reason from pairs left join n using (campaign, label)",
     "read_measurements": f"with {LANDED}, v as (select *, id::bigint % 13 = 0 or pxx is null or pxx = '' as bad from landed) select campaign, label as sensor_id, count(*) filter (not bad) as n_good, round(sum(id::bigint % 7 + id::bigint % 5 + user_id % 3) filter (not bad), 6)::double as total, count(*) filter (bad) as n_bad from v group by all",
     "parse_campaign_payload": "select p_partkey as campaign_id, 'campaign ' || p_partkey as name, (60 + p_size * 15)::double as acquisition_interval_s, (88000000 + 125000 * p_size)::double as central_freq_hz, p_size * 1e6::double as span_hz, (1000 * (1 + p_size % 5))::double as rbw_hz, case p_size % 3 when 1 then true when 2 then false end as antenna_amp, case when p_size % 3 = 0 then 'antenna_amp missing' end as problem from part",

@@ -92,7 +92,10 @@ def gain_edge_jump_ratio(spark, sf_dir):
 @query
 def validate_measurements(spark, sf_dir):
     rows = T.psd(spark, sf_dir).withColumn("pxx_db", F.when(F.col("src_row") % 7 == 0, F.slice("pxx_db", 1, 1)).when(F.col("src_row") % 11 == 0, F.lit(None)).otherwise(F.col("pxx_db")))
-    return rows.groupBy("campaign", "sensor_id").agg(F.count_if(S.is_valid_spectrum(F.col("pxx_db"))).alias("n_valid"), F.count_if(~S.is_valid_spectrum(F.col("pxx_db"))).alias("n_rejected"))
+    rows = rows.withColumn("ts_ms", F.when(F.col("src_row") % 13 != 0, F.col("ts_ms"))).withColumn("end_freq_hz", F.when(F.col("src_row") % 17 != 0, F.col("end_freq_hz")))
+    bad = M.invalid_measurements(rows).groupBy("campaign", "sensor_id", "problem").agg(F.count(F.lit(1)).alias("n"))
+    good = rows.join(M.invalid_measurements(rows).select("src_row", "campaign", "sensor_id"), ["src_row", "campaign", "sensor_id"], "left_anti")
+    return bad.unionByName(good.groupBy("campaign", "sensor_id").agg(F.lit("none").alias("problem"), F.count(F.lit(1)).alias("n")))
 
 
 @query
@@ -288,7 +291,7 @@ def config_stats(spark, sf_dir):
 @query
 def trust_envelope(spark, sf_dir):
     rows = T.configs(spark, sf_dir)
-    g = C.config_geometry(rows.filter("role = 'train' and lna_gain_db < 1500"), T.FEATURES)
+    g = C.config_geometry(rows.filter("role = 'train'"), T.FEATURES)
     out = C.envelope_checks(rows, g)
     return rounded(out.select("config_id", "max_abs_z", F.array_join("out_of_range", ",").alias("out_of_range"), "outside_envelope"), 4)
 
@@ -382,7 +385,7 @@ def _landed(spark, sf_dir):
 
 @query
 def ingest_measurements(spark, sf_dir):
-    return M.ingest_measurements(_landed(spark, sf_dir), F.lit("fallback"), F.lit(7).cast("bigint")).select("id", "mac", "campaign_id", "pxx", "timestamp")
+    return M.ingest_measurements(_landed(spark, sf_dir), F.lit("fallback"), F.lit(7).cast("bigint"))
 
 
 @query
@@ -468,6 +471,22 @@ def stream_calibrate(spark, sf_dir):
     return rounded(spark.read.parquet(f"{root}/out").groupBy("campaign", "sensor_id").agg(F.count(F.lit(1)).alias("n"), (F.sum(S.array_sum(F.col("calibrated_power"))) * 1e6).alias("total_uw")))
 
 
+@query
+def stream_quarantine(spark, sf_dir):
+    """Streams spectra, some of them broken, of an unknown sensor or of a refused configuration, into two sinks, and counts both."""
+    root = C.work_folder(spark)
+    rows = T.psd(spark, sf_dir).withColumn("config_id", F.expr("cast(substring(campaign, 2) as bigint)"))
+    rows = rows.withColumn("pxx_db", F.when(F.col("src_row") % 7 == 0, F.slice("pxx_db", 1, 1)).otherwise(F.col("pxx_db"))).withColumn("sensor_id", F.when(F.col("src_row") % 11 == 0, "Node99").otherwise(F.col("sensor_id")))
+    rows.repartition(4).write.parquet(f"{root}/in")
+    trust = rows.select("config_id").distinct().withColumn("is_ood", F.col("config_id") == 2)
+    stream_rows = stream.read_stream(spark, f"{root}/in", rows.schema)
+    done = stream.start_judged(stream.judged(stream_rows, curves(spark, sf_dir), trust=trust, allow_ood=False), f"{root}/out", f"{root}/quarantine", f"{root}/log")
+    done.awaitTermination()
+    good = spark.read.parquet(f"{root}/out").groupBy("campaign", "sensor_id").agg(F.lit("none").alias("problem"), F.count(F.lit(1)).alias("n"), (F.sum(S.array_sum(F.col("calibrated_power"))) * 1e6).alias("total_uw"), (F.sum(S.array_sum(F.col("propagated_var"))) * 1e12).alias("total_var"))
+    bad = spark.read.parquet(f"{root}/quarantine").groupBy("campaign", "sensor_id", "problem").agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("total_uw"), F.lit(None).cast("double").alias("total_var"))
+    return rounded(good.unionByName(bad))
+
+
 def corpus(spark, sf_dir):
     """Spectra with one configuration for each campaign, and the campaign's reliable sensor."""
     rows = T.psd(spark, sf_dir)

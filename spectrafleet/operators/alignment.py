@@ -19,7 +19,7 @@ EXHAUSTIVE_SENSORS = 12
 #: Rows of a block of time on average, the work of one task.
 BLOCK_ROWS = 50_000
 #: Subsets of a campaign's sensors that are matched at a time.
-WAVE = 8
+WAVE = 32
 
 
 def infer_tolerance(rows: DataFrame) -> DataFrame:

@@ -131,11 +131,11 @@ def out_of_distribution(configs: DataFrame, g: Geometry) -> DataFrame:
 
 
 def trust_diagnostics(configs: DataFrame, g: Geometry, freq_min_hz: float, freq_max_hz: float) -> DataFrame:
-    """Trust of each deployment row (features, start_freq_hz, end_freq_hz, n_bins): bins off the support, envelope, distance, verdict."""
+    """Trust of each deployment row (features, start_freq_hz, end_freq_hz, n_bins): standardized vector, bins off the support, envelope, distance, verdict."""
     step = (F.col("end_freq_hz") - F.col("start_freq_hz")) / (F.col("n_bins") - 1)
     below = F.greatest(F.least(F.ceil((F.lit(freq_min_hz) - F.col("start_freq_hz")) / step), F.col("n_bins").cast("long")), F.lit(0))
     above = F.greatest(F.least(F.ceil((F.col("end_freq_hz") - F.lit(freq_max_hz)) / step), F.col("n_bins").cast("long")), F.lit(0))
-    far = envelope_checks(configs, g).withColumn("distance", mahalanobis(g)).withColumn("bins_below", below).withColumn("bins_above", above)
+    far = envelope_checks(configs, g).withColumn("standardized", F.array(*standardized(g))).withColumn("distance", mahalanobis(g)).withColumn("bins_below", below).withColumn("bins_above", above)
     d2, dof = F.col("distance") * F.col("distance"), g.rank
     h = d2 / 2
     if dof % 2 == 0:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spectra import array_sum, edge_jump_ratio
-from .calibration import config_stats, corpus_stats, work_folder
+from .calibration import Geometry, config_stats, corpus_stats, trust_diagnostics, work_folder
 from .descent import ARRAYS, DEVIATIONS, MOMENTS, NAMES, ROUND, STATE, SUMS, Adam, held_campaigns, round_task, run_round, total_gradient, unpacked
 from .model import (  # noqa: F401  what a fit's model is made of belongs to this module's names
     EPSILON, FitConfig, Model, batch_penalties, block_loss_and_gradient, inverse_softplus, loss_and_gradient, median_latent, record_penalties, residual_sums, sigmoid, softplus,
@@ -397,6 +397,28 @@ def evaluate_curves(model: Model, wanted: DataFrame, clip: bool = False) -> Data
     return wanted.mapInPandas(run, "config_id string, sensor_id string, gain array<double>, floor array<double>, var array<double>")
 
 
+def trusted_curves(model: Model, wanted: DataFrame, g: Geometry, allow_extrapolation: bool = False, allow_ood: bool = False) -> DataFrame:
+    """evaluate_curves() of wanted, with trust_diagnostics() of each configuration.
+
+    A grid off the training support, unless allow_extrapolation, and a configuration out of distribution, unless
+    allow_ood, is an error of the row that asks for it, so that it never gives a curve; extrapolation clamps to the ends.
+    """
+    told = trust_diagnostics(wanted.withColumn("config_id", F.col("config_id").cast("string")), g, *model.freq)
+    name = F.coalesce("config_id", F.lit("?"))
+    features_out = F.array_join("out_of_range", ", ")
+    refused = F.lit(None).cast("string")
+    if not allow_ood:
+        far = F.col("outside_envelope") | (F.col("distance") > float(g.threshold))
+        refused = F.when(far, F.concat(F.lit("configuration "), name, F.lit(" is out of distribution: "), features_out, F.lit(" out of range, distance "), F.col("distance").cast("string"))).otherwise(refused)
+    if not allow_extrapolation:
+        refused = F.when(F.col("extrapolates"), F.concat(F.lit("the grid of configuration "), name, F.lit(" lies outside the training support"))).otherwise(refused)
+    # the guard is the grid itself, which every curve needs
+    guarded = told.withColumn("start_freq_hz", F.when(refused.isNotNull(), F.raise_error(refused).cast("double")).otherwise(F.col("start_freq_hz")))
+    made = evaluate_curves(model, guarded.select("config_id", "sensor_id", "start_freq_hz", "end_freq_hz", "n_bins", *model.features), allow_extrapolation)
+    trust = told.select("config_id", "sensor_id", "standardized", "bins_below", "bins_above", "distance", "tail_probability", "outside_envelope", "extrapolates", "is_ood")
+    return made.join(trust, ["config_id", "sensor_id"])
+
+
 def fit_diagnostics(result: FitResult) -> dict[str, float | str | int | list[float]]:
     """Of the steps, of the rounds, and, where the fit's tables are at hand, how evenly and smoothly it fits."""
     h, rounds = np.array(result.history), np.array(result.rounds)

@@ -82,16 +82,25 @@ def list_campaigns(measurements: DataFrame) -> DataFrame:
     return measurements.select("campaign").distinct()
 
 
-def invalid_measurements(rows: DataFrame) -> DataFrame:
-    """Rows to quarantine, each with the first rule that it breaks."""
-    rule = (
+def measurement_problem() -> Column:
+    """The first rule that a row breaks, or null."""
+    return (
         F.when(F.col("pxx_db").isNull(), "spectrum is no array")
         .when(F.size("pxx_db") < 2, "fewer than two values")
         .when(~is_valid_spectrum(F.col("pxx_db")), "value missing or not finite")
         .when(F.col("start_freq_hz").isNull() | F.col("end_freq_hz").isNull(), "frequency missing")
         .when(F.col("ts_ms").isNull(), "timestamp missing")
     )
-    return rows.withColumn("problem", rule).filter("problem is not null")
+
+
+def invalid_measurements(rows: DataFrame) -> DataFrame:
+    """Rows to quarantine, each with the first rule that it breaks."""
+    return rows.withColumn("problem", measurement_problem()).filter("problem is not null")
+
+
+def repeated_sensors(rows: DataFrame) -> DataFrame:
+    """campaign, sensor_id, files: sensors that come from more than one file; rows have the column file."""
+    return rows.groupBy("campaign", "sensor_id").agg(F.count_distinct("file").alias("files")).filter("files > 1")
 
 
 def grid_problems(rows: DataFrame, by: tuple[str, ...] = ("campaign",)) -> DataFrame:
@@ -106,12 +115,16 @@ def require_valid(rows: DataFrame) -> DataFrame:
 
 
 def ingest_measurements(raw: DataFrame, mac: Column, campaign_id: Column) -> DataFrame:
-    """The acquisition columns from landed JSON rows: blank mac and campaign_id filled, rows without pxx dropped, pxx as compact JSON."""
+    """The acquisition columns from landed JSON rows: blank mac and campaign_id filled, rows without pxx dropped, pxx as compact JSON.
+
+    Of the other columns, text that is no number becomes null.
+    """
     pxx = F.col("pxx") if dict(raw.dtypes)["pxx"] == "string" else F.to_json("pxx")
     out = raw.withColumn("pxx", F.regexp_replace(pxx, r"\s+", "")).filter("pxx is not null and pxx not in ('', 'null')")
     out = out.withColumn("mac", F.coalesce(F.nullif(F.trim(F.col("mac")), F.lit("")), mac) if "mac" in raw.columns else mac)
     out = out.withColumn("campaign_id", F.coalesce(F.expr("try_cast(campaign_id as bigint)"), campaign_id) if "campaign_id" in raw.columns else campaign_id)
-    return out.select(*[F.col(c) if c in out.columns else F.lit(None).cast("string").alias(c) for c in ACQUISITION_COLUMNS])
+    kept = lambda c: F.col(c) if c in ("mac", "pxx", "campaign_id") else F.when(F.expr(_number(c)).isNotNull(), F.trim(c)).alias(c)
+    return out.select(*[kept(c) if c in out.columns else F.lit(None).cast("string").alias(c) for c in ACQUISITION_COLUMNS])
 
 
 def ingest_report(registry: DataFrame, campaigns: DataFrame, raw: DataFrame, kept: DataFrame) -> DataFrame:

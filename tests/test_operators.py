@@ -202,5 +202,45 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {tuple(r["calibrated_power"]) for r in got.filter("known_sensor").collect()} == want
 
 
+def test_refused_rows_go_to_quarantine_and_a_restart_repeats_none(spark, tmp_path, monkeypatch):
+    rows = spectra_rows(spark, {"a": [[0.0, -10.0]] * 9, "zz": [[0.0, -3.0]] * 2, "b": [[1.0, 2.0]] * 4}).withColumn("config_id", F.when(F.col("record_idx") == 3, 2).otherwise(1))
+    rows = rows.withColumn("pxx_db", F.when((F.col("sensor_id") == "a") & (F.col("record_idx") == 0), F.array(F.lit(1.0))).otherwise(F.col("pxx_db")))
+    schema = "sensor_id string, config_id int, gain array<double>, floor array<double>, var array<double>"
+    curve = spark.createDataFrame([(s, c, [2.0 * c, 2.0], [0.5, 0.5], [0.1, 0.2]) for s in "ab" for c in (1, 2)], schema)
+    with pytest.raises(ValueError, match="more than one curve for"):
+        stream.with_calibration(rows, curve)
+    trust = spark.createDataFrame([(1, False), (2, True)], "config_id int, is_ood boolean")
+    rows.repartition(5).write.parquet(str(tmp_path / "in"))
+    out, bad, log = (str(tmp_path / x) for x in ("out", "bad", "log"))
+
+    def run():
+        given = stream.judged(stream.read_stream(spark, str(tmp_path / "in"), rows.schema, 1), curve, ("sensor_id", "config_id"), trust, allow_ood=False)
+        query = stream.start_judged(given, out, bad, log)
+        query.awaitTermination()
+
+    whole, calls = stream.batch_writer, []
+
+    def failing(out, bad):
+        def write(batch, number):
+            calls.append(number)
+            whole(out, bad if len(calls) != 2 else "/proc/nowhere")(batch, number)
+
+        return write
+
+    monkeypatch.setattr(stream, "batch_writer", failing)
+    with pytest.raises(Exception):
+        run()
+    run()
+    assert len(calls) > len(set(calls))  # a batch was begun, stopped after its first sink, and done again
+    good, refused = spark.read.parquet(out), spark.read.parquet(bad)
+    assert good.count() + refused.count() == rows.count() == 15
+    assert good.select("sensor_id", "record_idx").distinct().count() == good.count() == 10
+    assert {(r["problem"], r["n"]) for r in refused.groupBy("problem").agg(F.count(F.lit(1)).alias("n")).collect()} == {("fewer than two values", 1), ("no curve", 2), ("configuration out of distribution", 2)}
+    r = good.filter("sensor_id = 'b'").first()
+    assert r["calibrated_power"] == pytest.approx([(10**0.1 - 0.5) / 2, (10**0.2 - 0.5) / 2]) and r["propagated_var"] == pytest.approx([0.025, 0.05]) and not r["is_ood"]
+    kept = stream.judged(rows, curve, ("sensor_id", "config_id"), trust).filter("is_ood and problem is null")
+    assert kept.count() == 2 and kept.filter("calibrated_power is null").count() == 0
+
+
 def test_db_bounds():
     assert math.isclose(10 * math.log10(S.POWER_FLOOR), -120)

@@ -30,3 +30,22 @@ def test_evaluate_corpus_counts_campaigns_inside_every_range_but_far_away(spark,
     g = C.config_geometry(settings.filter("role = 'train'"), features)
     assert not C.envelope_checks(settings.filter("campaign = 'x1'"), g).first()["outside_envelope"]
     assert C.out_of_distribution(settings.filter("campaign = 'x1'"), g).first()["distance"] > g.threshold == pytest.approx(3.035, abs=1e-2)
+
+
+def test_curves_are_refused_off_the_support_and_out_of_distribution(spark):
+    from spectrafleet.operators import fit as G
+    from tests.test_fit import model
+
+    train = spark.createDataFrame([(i, float(i), i + 0.1 * (i % 3)) for i in range(40)], "config_id int, u double, v double")
+    g, m = C.config_geometry(train, ("u", "v")), model()
+    wanted = spark.createDataFrame([(1, "a", 5.0, 5.1, 0.0, 1.0, 12), (2, "b", 5.0, 35.0, 0.1, 0.9, 12), (3, "a", 20.0, 20.1, 0.0, 1.5, 12)], "config_id int, sensor_id string, u double, v double, start_freq_hz double, end_freq_hz double, n_bins int")
+    fine = G.trusted_curves(m, wanted.filter("config_id = 1"), g).first()
+    assert len(fine["gain"]) == 12 and not fine["is_ood"] and fine["standardized"] == pytest.approx([(5.0 - g.mean[0]) / g.scale[0], (5.1 - g.mean[1]) / g.scale[1]])
+    with pytest.raises(Exception, match="configuration 2 is out of distribution"):
+        G.trusted_curves(m, wanted.filter("config_id < 3"), g).collect()
+    with pytest.raises(Exception, match="grid of configuration 3 lies outside"):
+        G.trusted_curves(m, wanted.filter("config_id <> 2"), g).collect()
+    got = {r["config_id"]: r for r in G.trusted_curves(m, wanted, g, allow_extrapolation=True, allow_ood=True).collect()}
+    assert sorted(got) == ["1", "2", "3"] and got["2"]["is_ood"] and got["3"]["extrapolates"] and got["3"]["bins_above"] == 4
+    at_end, clamped = got["3"]["gain"][-4:], got["3"]["gain"][7]
+    assert len(set(at_end)) == 1 and clamped != at_end[0]
