@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions.spectra import array_mean, noise_floor
 from .quantiles import counted
-from .sets import require_none
-
-from ..functions.spectra import noise_floor
 from .records import STD_FLOOR, both_ways, pearson, record_matrix
+from .sets import require_none
 
 
 def _ranked(df: DataFrame, by: list[str], score: str, name: str = "rank") -> DataFrame:
@@ -56,34 +60,62 @@ def dataset_overview(ranking: DataFrame) -> DataFrame:
     return out.select("campaign", F.col("b.sensor_id").alias("best_sensor"), F.col("b.mean_score").alias("best_score"), F.col("b.mean_correlation").alias("best_correlation"), "n_sensors", "n_records")
 
 
+def _is_array(values: DataFrame) -> bool:
+    return dict(values.dtypes)["value"].startswith("array")
+
+
 def _ranges(values: DataFrame, value_range: tuple[float, float] | None) -> DataFrame:
     """campaign, lo, hi: the given range, or that of a campaign's values."""
     if value_range is None:
-        return values.groupBy("campaign").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+        low, high = (F.array_min("value"), F.array_max("value")) if _is_array(values) else (F.col("value"), F.col("value"))
+        return values.groupBy("campaign").agg(F.min(low).alias("lo"), F.max(high).alias("hi"))
     if not value_range[0] < value_range[1]:
         raise ValueError("a range must begin below its end")
     return values.select("campaign").distinct().select("campaign", *[F.lit(float(x)).alias(n) for n, x in zip(("lo", "hi"), value_range)])
 
 
-def psd_histogram(values: DataFrame, bins: int = 50, value_range: tuple[float, float] | None = None) -> DataFrame:
-    """campaign, sensor_id, bin, n, density from long values (campaign, sensor_id, value), over edges shared in a campaign.
+def bin_counts(value: np.ndarray, lo: float, hi: float, bins: int) -> np.ndarray:
+    """How many values within lo and hi lie in each bin; bins are closed on the left, the last one on both sides, and decided by their edges."""
+    value = value[(value >= lo) & (value <= hi)]
+    width = (hi - lo) / bins
+    guess = np.minimum(np.floor((value - lo) / width), bins - 1)
+    at = guess - (value < lo + guess * width) + ((value >= lo + (guess + 1) * width) & (guess < bins - 1))
+    return np.bincount(at.astype(np.int64), minlength=bins)
 
-    Values outside a given range don't count; a sensor that has no others is an error.
 
-    Bins are closed on the left, the last one on both sides, and decided by the edge values. A campaign of one value
-    has no width and is an error.
+def psd_histogram(values: DataFrame, bins: int = 50, value_range: tuple[float, float] | None = None) -> DataFrame:
+    """campaign, sensor_id, bin, n, density from values (campaign, sensor_id, value), over edges shared in a campaign.
+
+    value is a number, or an array of them such as a spectrum. Values outside a given range don't count; a sensor that
+    has no others is an error. A campaign of one value has no width and is an error. Each task counts into one array
+    for each sensor, so that what is shuffled is a row for each task, sensor and bin, not for each value.
     """
-    if value_range is not None:
-        inside = values.filter(F.col("value").between(*value_range))
-        require_none(values.select("campaign", "sensor_id").distinct().join(inside.select("campaign", "sensor_id").distinct(), ["campaign", "sensor_id"], "left_anti"), "no value within the range")
-        values = inside
-    width = (F.col("hi") - F.col("lo")) / bins
-    placed = values.join(counted(_ranges(values, value_range)), "campaign")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            column = batch.column("value")
+            flat = column.flatten() if pa.types.is_list(column.type) else column
+            value = flat.to_numpy(zero_copy_only=False)
+            ends = np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)) if pa.types.is_list(column.type) else np.arange(1, len(value) + 1)
+            rows = {}
+            for k, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("campaign", "sensor_id", "lo", "hi")), strict=True)):
+                rows.setdefault(key, []).append(value[ends[k - 1] if k else 0 : ends[k]])
+            for key, parts in rows.items():
+                found = bin_counts(np.concatenate(parts), key[2], key[3], bins)
+                held[key] = held[key] + found if key in held else found
+        out = [(*key[:2], int(i), int(n), (key[3] - key[2]) / bins) for key, found in held.items() for i, n in enumerate(found) if n]
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["campaign", "sensor_id", "bin", "n", "width"])
+
+    known = values.select("campaign", "sensor_id", F.col("value").cast("array<double>" if _is_array(values) else "double").alias("value"))
+    placed = known.join(counted(_ranges(values, value_range)), "campaign")
     placed = placed.withColumn("lo", F.when(F.col("hi") > F.col("lo"), F.col("lo")).otherwise(F.raise_error(F.lit("a campaign's values are all equal")).cast("double")))
-    guess = F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1))
-    edge = lambda i: F.col("lo") + i * width
-    at = guess - F.when(F.col("value") < edge(guess), 1).otherwise(0) + F.when((F.col("value") >= edge(guess + 1)) & (guess < bins - 1), 1).otherwise(0)
-    counts = placed.groupBy("campaign", "sensor_id", at.cast("int").alias("bin"), width.alias("width")).agg(F.count(F.lit(1)).alias("n"))
+    parts = placed.mapInArrow(count, "campaign string, sensor_id string, bin int, n long, width double")
+    counts = parts.groupBy("campaign", "sensor_id", "bin", "width").agg(F.sum("n").alias("n"))
+    if value_range is not None:
+        counts = counted(counts)
+        require_none(values.select("campaign", "sensor_id").distinct().join(counts.select("campaign", "sensor_id").distinct(), ["campaign", "sensor_id"], "left_anti"), "no value within the range")
     total = F.sum("n").over(Window.partitionBy("campaign", "sensor_id"))
     return counts.select("campaign", "sensor_id", "bin", "n", (F.col("n") / (total * F.col("width"))).alias("density"))
 
@@ -93,7 +125,12 @@ def histogram_summary(values: DataFrame, bins: int = 50, value_range: tuple[floa
     found = psd_histogram(values, bins, value_range).groupBy("campaign", "bin").agg(F.sum("n").alias("n"))
     ends = _ranges(values, value_range)
     low, high = value_range or (None, None)
-    clipped = F.lit(0.0) if value_range is None else F.count_if(~F.col("value").between(low, high)) / F.count("value")
+    if value_range is None:
+        clipped = F.lit(0.0)
+    elif _is_array(values):
+        clipped = F.sum(F.size(F.filter("value", lambda v: ~v.between(low, high)))) / F.sum(F.size("value"))
+    else:
+        clipped = F.count_if(~F.col("value").between(low, high)) / F.count("value")
     whole = values.groupBy("campaign").agg(clipped.alias("clipped_fraction"))
     width = (F.col("hi") - F.col("lo")) / bins
     every = ends.join(whole, "campaign").select("campaign", "clipped_fraction", "lo", width.alias("width"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
@@ -103,7 +140,8 @@ def histogram_summary(values: DataFrame, bins: int = 50, value_range: tuple[floa
 
 
 def spectra_values(rows: DataFrame) -> DataFrame:
-    return rows.select("campaign", "sensor_id", F.explode("pxx_db").alias("value"))
+    """campaign, sensor_id and value, a spectrum, for psd_histogram()."""
+    return rows.select("campaign", "sensor_id", F.col("pxx_db").alias("value"))
 
 
 def distribution_similarity(histogram: DataFrame, bins: int = 50) -> DataFrame:
@@ -132,11 +170,17 @@ def reliable_sensor(ranking: DataFrame, distribution: DataFrame) -> DataFrame:
 
 def sensor_integrity(aligned: DataFrame) -> DataFrame:
     """Per sensor: records, first and last time, span, and mean, deviation, least and greatest value of all its bins."""
-    values = aligned.select("campaign", "sensor_id", F.explode("pxx_db").alias("v")).groupBy("campaign", "sensor_id").agg(
-        F.avg("v").alias("mean_db"), F.stddev_pop("v").alias("std_db"), F.min("v").alias("min_db"), F.max("v").alias("max_db")
-    )
-    times = aligned.groupBy("campaign", "sensor_id").agg(F.count(F.lit(1)).alias("n_records"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), ((F.max("ts_ms") - F.min("ts_ms")) / 1000).alias("span_s"))
-    return times.join(values, ["campaign", "sensor_id"])
+    # sums of each row's own array: its mean, and the squared deviations from it
+    row_mean, bins = array_mean(F.col("pxx_db")), F.size("pxx_db")
+    rows = aligned.select("campaign", "sensor_id", "ts_ms", "pxx_db", row_mean.alias("m"), bins.alias("k"))
+    rows = rows.withColumn("squares", F.aggregate("pxx_db", F.lit(0.0), lambda s, x: s + (x - F.col("m")) * (x - F.col("m"))))
+    k, m = F.col("k"), F.col("m")
+    n, mean = F.sum(k), F.sum(k * m) / F.sum(k)
+    out = rows.groupBy("campaign", "sensor_id").agg(
+        F.count(F.lit(1)).alias("n_records"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), ((F.max("ts_ms") - F.min("ts_ms")) / 1000).alias("span_s"), mean.alias("mean_db"),
+        F.sqrt(F.greatest((F.sum("squares") + F.sum(k * m * m)) / n - mean * mean, F.lit(0.0))).alias("std_db"), F.min(F.array_min("pxx_db")).alias("min_db"), F.max(F.array_max("pxx_db")).alias("max_db"),
+    )
+    return out
 
 
 def campaign_inspection(rows: DataFrame) -> DataFrame:

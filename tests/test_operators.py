@@ -52,6 +52,32 @@ def test_distribution_flags_the_offset_sensor(spark):
     assert got["Node9"]["is_outlier"] and not got["Node1"]["is_outlier"]
 
 
+def test_counts_are_those_of_the_edges(spark):
+    rng = np.random.default_rng(6)
+    spectra = {s: [(-60 + 0.1 * rng.integers(0, 50, 40)).tolist() for _ in range(7)] for s in ("x", "y")}
+    rows = spectra_rows(spark, spectra).repartition(3)
+    edges = lambda lo, hi, n: np.array([lo + i * ((hi - lo) / n) for i in range(n)] + [hi])
+    for bins, limits in ((10, None), (7, (-59.0, -56.5))):
+        lo, hi = limits or (min(v for xs in spectra.values() for x in xs for v in x), max(v for xs in spectra.values() for x in xs for v in x))
+        want = {}
+        for s, xs in spectra.items():
+            v = np.concatenate(xs)
+            v = v[(v >= lo) & (v <= hi)]
+            n = np.bincount(np.minimum(np.searchsorted(edges(lo, hi, bins), v, "right") - 1, bins - 1), minlength=bins)
+            want |= {(s, b): (int(k), k / (n.sum() * (hi - lo) / bins)) for b, k in enumerate(n) if k}
+        for values in (R.spectra_values(rows), rows.select("campaign", "sensor_id", F.explode("pxx_db").alias("value"))):
+            got = {(r["sensor_id"], r["bin"]): r for r in R.psd_histogram(values, bins, limits).collect()}
+            assert set(got) == set(want) and all(got[k]["n"] == n and got[k]["density"] == pytest.approx(d) for k, (n, d) in want.items())
+            whole = R.histogram_summary(values, bins, limits).collect()
+            assert len(whole) == bins and sum(r["n"] for r in whole) == sum(n for n, _ in want.values())
+            assert whole[0]["clipped_fraction"] == pytest.approx(1 - sum(n for n, _ in want.values()) / 560)
+    with pytest.raises(ValueError, match="no value within the range"):
+        R.psd_histogram(R.spectra_values(rows), 5, (5.0, 6.0)).count()
+    told = {r["sensor_id"]: r for r in R.sensor_integrity(rows).collect()}
+    for s, xs in spectra.items():
+        assert (told[s]["mean_db"], told[s]["std_db"]) == pytest.approx((np.mean(xs), np.std(xs))) and (told[s]["min_db"], told[s]["max_db"]) == (np.min(xs), np.max(xs))
+
+
 def series(spark, times, campaign="c"):
     out = [(campaign, s, i * 1000 + k, t) for i, (s, ts) in enumerate(times.items()) for k, t in enumerate(ts)]
     return spark.createDataFrame(out, "campaign string, sensor_id string, src_row long, ts_ms long")
