@@ -22,6 +22,8 @@ from pyspark.sql import Window
 from ._shared import materialize, spare
 
 BYTES_PER_FILE = 128 << 20
+#: Files that a task writes at most, on average.
+TASK_FILES = 4
 #: Up to so many files, some 20 MB, their table is broadcast; beyond that it is joined by shuffle.
 BROADCAST_FILES = 100_000
 #: Columns that are added to documents; columns of those names come back with this before their names.
@@ -31,50 +33,85 @@ ADDED, THEIRS = ("shard", "file", "size", "text_crc32", "slot"), "doc_"
 def min_cost_flow(supply: list[int], capacity: list[int]) -> dict[tuple[int, int], int]:
     """{(old, new): bytes}, moving the fewest bytes; shard i keeps its number. The capacities must hold the supply.
 
-    Successive shortest paths over old shards, new shards, a source and a sink; its size depends on the number of
-    shards alone.
+    Bytes that stay go along an arc of their own; all others pass one hub, since where they go costs the same. So there
+    are some four arcs for each shard. Each round sends a blocking flow along the shortest ways, of which there are as
+    many lengths as costs; what passes the hub is dealt out to the new shards in order.
     """
     if sum(supply) > sum(capacity):
         raise ValueError("the new shards cannot hold the old ones' bytes")
     n, m = len(supply), len(capacity)
-    source, sink = n + m, n + m + 1
-    room: dict[tuple[int, int], int] = {}
-    cost: dict[tuple[int, int], int] = {}
-    near: list[list[int]] = [[] for _ in range(n + m + 2)]
-
-    def arc(a: int, b: int, c: int, w: int) -> None:
-        room[a, b], room[b, a], cost[a, b], cost[b, a] = c, 0, w, -w
-        near[a].append(b)
-        near[b].append(a)
-
+    hub, source, sink = n + m, n + m + 1, n + m + 2
+    to: list[int] = []
+    room: list[int] = []
+    cost: list[int] = []
+    arcs: list[list[int]] = [[] for _ in range(n + m + 3)]
+
+    def arc(a: int, b: int, c: int, w: int) -> int:
+        for x, y, r, k in ((a, b, c, w), (b, a, 0, -w)):
+            arcs[x].append(len(to))
+            to.append(y)
+            room.append(r)
+            cost.append(k)
+        return len(to) - 2
+
+    stays, leaves, comes = {}, {}, {}
     for i, s in enumerate(supply):
         arc(source, i, s, 0)
-        for j in range(m):
-            arc(i, n + j, s, 0 if i == j else 1)
+        leaves[i] = arc(i, hub, s, 1)
+        if i < m:
+            stays[i] = arc(i, n + i, s, 0)
     for j, c in enumerate(capacity):
+        comes[j] = arc(hub, n + j, c, 0)
         arc(n + j, sink, c, 0)
     while True:
-        best, came, queue, queued = {source: 0}, {}, deque([source]), {source}
+        far, queue, queued = {source: 0}, deque([source]), {source}
         while queue:
             a = queue.popleft()
             queued.discard(a)
-            for b in near[a]:
-                if room[a, b] and best[a] + cost[a, b] < best.get(b, 1 << 60):
-                    best[b], came[b] = best[a] + cost[a, b], a
-                    if b not in queued:
-                        queue.append(b)
-                        queued.add(b)
-        if sink not in came:
+            for e in arcs[a]:
+                if room[e] and far[a] + cost[e] < far.get(to[e], 1 << 60):
+                    far[to[e]] = far[a] + cost[e]
+                    if to[e] not in queued:
+                        queue.append(to[e])
+                        queued.add(to[e])
+        if sink not in far:
             break
-        path, b = [], sink
-        while b != source:
-            path.append((came[b], b))
-            b = came[b]
-        push = min(room[e] for e in path)
-        for a, b in path:
-            room[a, b] -= push
-            room[b, a] += push
-    return {(i, j): room[n + j, i] for i in range(n) for j in range(m) if room[n + j, i]}
+        tried, path, on_path = [0] * len(arcs), [], {source}
+        while True:
+            a = to[path[-1]] if path else source
+            if a == sink:
+                push = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= push
+                    room[e ^ 1] += push
+                path, on_path = [], {source}
+                continue
+            while tried[a] < len(arcs[a]):
+                e = arcs[a][tried[a]]
+                if room[e] and to[e] not in on_path and far.get(to[e]) == far[a] + cost[e]:
+                    break
+                tried[a] += 1
+            if tried[a] < len(arcs[a]):
+                path.append(e)
+                on_path.add(to[e])
+            elif path:
+                on_path.discard(a)
+                tried[to[path.pop() ^ 1]] += 1
+            else:
+                break
+    out = {(i, i): room[e ^ 1] for i, e in stays.items() if room[e ^ 1]}
+    wanting = deque([j, room[e ^ 1]] for j, e in comes.items() if room[e ^ 1])
+    for i, e in leaves.items():
+        left = room[e ^ 1]
+        while left:
+            j, open_bytes = wanting[0]
+            moved = min(left, open_bytes)
+            out[i, j] = out.get((i, j), 0) + moved
+            left -= moved
+            wanting[0][1] -= moved
+            if not wanting[0][1]:
+                wanting.popleft()
+    return out
 
 
 def even_capacities(total: int, n: int) -> list[int]:
@@ -128,7 +165,7 @@ def rewrite_shards(spark: SparkSession, columns: T.StructType, old_uri: str, new
     moved = blocks(flow)
     counts = [(hi - 1) // file_bytes - lo // file_bytes + 2 for _, lo, hi, _ in moved]
     numbers = [0, *accumulate(counts)]
-    cuts = spark.createDataFrame([(*b, n) for b, n in zip(moved, numbers)], "shard int, lo long, hi long, new int, number int")  # at most shards x shards rows
+    cuts = spark.createDataFrame([(*b, n) for b, n in zip(moved, numbers)], "shard int, lo long, hi long, new int, number int")  # at most one row for each shard, old or new, and one more for each old one
     place = F.sum("bytes").over(Window.partitionBy("shard").orderBy("file"))
     placed = files.withColumn("stop", place).withColumn("start", F.col("stop") - F.col("bytes"))
     met = placed.join(F.broadcast(cuts), "shard").filter("start < hi and stop > lo")
@@ -148,7 +185,7 @@ def rewrite_shards(spark: SparkSession, columns: T.StructType, old_uri: str, new
     stretch = F.floor(F.col("start") / file_bytes) - F.floor(F.col("piece.lo") / file_bytes) + 1
     number = F.col("piece.number") + F.greatest(stretch, F.lit(0))
     both = whole.select(*keep, F.col("piece.new").alias("shard"), number.alias("file")).unionByName(cut.select(*keep, F.col("piece.new").alias("shard"), number.alias("file")))
-    tasks = max(1, min(numbers[-1], 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    tasks = max(1, min(numbers[-1], max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), numbers[-1] // TASK_FILES)))
     dealt = both.repartitionById(tasks, F.floor(F.col("file") * tasks / max(1, numbers[-1])).cast("int"))
     dealt.drop("file").write.partitionBy("shard").parquet(new_uri)
     stayed = rows.join(small(fates.select("shard", "file")), ["shard", "file"], "left_anti").select(*rows.columns)

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 from pyspark.sql import functions as F
@@ -20,6 +21,22 @@ def test_flow_moves_the_fewest_bytes():
         assert moved == sum(s - min(s, capacity[i] if i < n else 0) for i, s in enumerate(supply))
 
 
+def test_flow_of_thousands_of_shards():
+    rng = random.Random(3)
+    supply = [rng.choice([0, rng.randrange(10**12), rng.randrange(10**9)]) for _ in range(2000)]
+    capacity = reshard.even_capacities(sum(supply), 2100)
+    began = time.process_time()
+    flow = reshard.min_cost_flow(supply, capacity)
+    assert time.process_time() - began < 5 and len(flow) <= 3 * 2100
+    out, into = [0] * 2000, [0] * 2100
+    for (i, j), v in flow.items():
+        assert v > 0
+        out[i] += v
+        into[j] += v
+    assert out == supply and into == capacity
+    assert sum(v for (i, j), v in flow.items() if i != j) == sum(s - min(s, capacity[i]) for i, s in enumerate(supply))
+
+
 def test_shards_are_even_and_whole(spark):
     rng = random.Random(2)
     rows = [(i, "é" * rng.randrange(0, 400), rng.choice([0, 0, 0, 1, 2, 9])) for i in range(3000)]
