@@ -75,11 +75,45 @@ def campaign_overview(rows: DataFrame, aligned: DataFrame, distribution: DataFra
     )
 
 
-def evaluate_corpus(rows: DataFrame, settings: DataFrame, done: FitResult, features: tuple[str, ...]) -> DataFrame:
-    """Role summary of rows calibrated with a fit's persistent curves, out-of-distribution campaigns counted."""
+@dataclass
+class Evaluation:
+    """One row for each campaign, each role, and the run."""
+
+    campaigns: DataFrame
+    roles: DataFrame
+    run: DataFrame
+
+
+def _diagnosed(rows: DataFrame, settings: DataFrame, done: FitResult, features: tuple[str, ...]) -> DataFrame:
+    """campaign_diagnostics() of rows calibrated with a fit's persistent curves."""
     grid = rows.select("campaign", "sensor_id", "start_freq_hz", "end_freq_hz", "n_bins").distinct()
     made = evaluate_curves(done.model, grid.join(settings.drop("config_id"), "campaign").withColumnRenamed("campaign", "config_id")).withColumnRenamed("config_id", "campaign")
     out = C.calibrate(rows, made, ("campaign", "sensor_id"))
     g = C.config_geometry(settings.filter("role = 'train'"), features)
     trust = C.out_of_distribution(settings, g).select("campaign", "is_ood")
-    return D.role_summary(D.campaign_diagnostics(out, settings.select("campaign", "role"), trust))
+    return D.campaign_diagnostics(out, settings.select("campaign", "role"), trust)
+
+
+def evaluate_run(rows: DataFrame, settings: DataFrame, done: FitResult, features: tuple[str, ...]) -> Evaluation:
+    """Agreement by campaign and role under a fit's persistent curves, and what the fit came to."""
+    spark = rows.sparkSession
+    campaigns = written(_diagnosed(rows, settings, done, features), work_folder(spark))
+    told = [(done.reason, len(done.rounds), done.selected_round, float(done.selected), len(done.history), max(done.gradient_norms, default=None))]
+    fitted = spark.createDataFrame(told, "reason string, rounds int, selected_round int, selected_objective double, steps int, max_gradient_norm double")
+    count = lambda role: F.count_if(F.col("role") == role)
+    whole = campaigns.agg(
+        count("train").alias("train_campaigns"), count("test").alias("test_campaigns"), F.sum("n_records").alias("records"), F.avg("mean_raw_rmse_db").alias("mean_raw_rmse_db"), F.avg("mean_cal_rmse_db").alias("mean_cal_rmse_db"),
+        F.count_if(F.col("improvement_db") > 0).alias("improved_campaigns"), F.count_if("is_ood").alias("ood_campaigns"),
+    )
+    return Evaluation(campaigns, D.role_summary(campaigns), fitted.join(F.broadcast(whole)))  # single rows
+
+
+def evaluate_corpus(rows: DataFrame, settings: DataFrame, done: FitResult, features: tuple[str, ...]) -> DataFrame:
+    """Role summary of rows calibrated with a fit's persistent curves, out-of-distribution campaigns counted."""
+    return D.role_summary(_diagnosed(rows, settings, done, features))
+
+
+def write_evaluation(told: Evaluation, path: str) -> None:
+    """campaigns, roles and run as tables under path."""
+    for name in ("campaigns", "roles", "run"):
+        getattr(told, name).write.mode("overwrite").parquet(f"{path}/{name}")

@@ -183,15 +183,17 @@ def curve_summary(curves: DataFrame) -> DataFrame:
     return curves.select("sensor_id", db("gain").alias("mean_gain_db"), db("floor").alias("mean_floor_db"), db("var").alias("mean_var_db"))
 
 
-def sensor_training_summary(curves: DataFrame, weights: DataFrame) -> DataFrame:
-    """sensor_id, weight, campaigns, and medians over all campaigns' bins of gain, floor and deviation in dB."""
+def sensor_training_summary(curves: DataFrame, weights: DataFrame, norms: DataFrame | None = None) -> DataFrame:
+    """sensor_id, campaigns, medians over all campaigns' bins of gain, floor and deviation in dB, weight, and embedding_norm of norms (sensor_id, embedding_norm)."""
     from .quantiles import exact_quantile
 
-    out = curves.groupBy("sensor_id").agg(F.count_distinct("campaign").alias("campaigns"))
-    for name, curve, root in (("median_gain_db", "gain", False), ("median_floor_db", "floor", False), ("median_std_db", "var", True)):
-        db = F.transform(curve, lambda x: 10 * F.log10(F.greatest(F.sqrt(x) if root else x, F.lit(1e-12))))  # noqa: B023
-        out = out.join(exact_quantile(curves.select("sensor_id", F.explode(db).alias("value")), ["sensor_id"], 0.5, name), "sensor_id")
-    return out.join(weights, "sensor_id", "left")
+    db = lambda curve, root=False: F.transform(curve, lambda x: F.struct(F.lit(curve).alias("what"), (10 * F.log10(F.greatest(F.sqrt(x) if root else x, F.lit(1e-12)))).alias("value")))
+    values = curves.select("sensor_id", F.inline(F.concat(db("gain"), db("floor"), db("var", True))))
+    half = exact_quantile(values, ["sensor_id", "what"], 0.5, "median")
+    of = lambda what, name: F.max(F.when(F.col("what") == what, F.col("median"))).alias(name)
+    half = half.groupBy("sensor_id").agg(of("gain", "median_gain_db"), of("floor", "median_floor_db"), of("var", "median_std_db"))
+    out = curves.groupBy("sensor_id").agg(F.count_distinct("campaign").alias("campaigns")).join(half, "sensor_id").join(weights, "sensor_id", "left")
+    return out if norms is None else out.join(norms.select("sensor_id", "embedding_norm"), "sensor_id", "left")
 
 
 def spline_basis(frequency: np.ndarray, n_basis: int, degree: int, lo: float, hi: float, clip: bool = False) -> np.ndarray:

@@ -419,6 +419,12 @@ def trusted_curves(model: Model, wanted: DataFrame, g: Geometry, allow_extrapola
     return made.join(trust, ["config_id", "sensor_id"])
 
 
+def embedding_norms(spark: SparkSession, model: Model) -> DataFrame:
+    """sensor_id, embedding_norm: one row for each sensor of a model."""
+    norms = np.linalg.norm(model.theta["E"], axis=1).tolist()
+    return spark.createDataFrame(list(zip(model.sensors, norms, strict=True)), "sensor_id string, embedding_norm double")
+
+
 def fit_diagnostics(result: FitResult) -> dict[str, float | str | int | list[float]]:
     """Of the steps, of the rounds, and, where the fit's tables are at hand, how evenly and smoothly it fits."""
     h, rounds = np.array(result.history), np.array(result.rounds)

@@ -89,6 +89,28 @@ def registry_problems(rows: DataFrame) -> DataFrame:
     return clean.select("label", problem.alias("problem")).filter("problem is not null")
 
 
+#: Fixed value: a header as a registry file in use misspells it, and what it means.
+MISSPELLED_HEADER = ("capaign_label", "campaign_label")
+
+
+def load_registry(raw: DataFrame, strict: bool = True) -> DataFrame:
+    """campaign_label, campaign_id (long) from a registry file's text columns, whatever stands around its headers.
+
+    The misspelled header is renamed before headers are trimmed. A missing column is an error; so are no rows and, if
+    strict, registry_problems(). If not, rows with an id that is no number have none.
+    """
+    wrong, right = MISSPELLED_HEADER
+    raw = raw.toDF(*[(right if c == wrong else c).strip() for c in raw.columns])
+    if missing := [c for c in (right, "campaign_id") if c not in raw.columns]:
+        raise ValueError(f"the registry has no column {', '.join(missing)}")
+    rows = raw.select(F.trim(right).alias("label"), F.col("campaign_id").cast("string").alias("id"))
+    if strict:
+        if rows.isEmpty():
+            raise ValueError("the registry names no campaign")
+        require_none(registry_problems(rows), "registry")
+    return rows.select(F.col("label").alias(right), F.expr("try_cast(trim(id) as bigint)").alias("campaign_id"))
+
+
 def row_position(by: list[str], *order: str) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
 

@@ -38,3 +38,22 @@ def test_curves_round_trip_and_fingerprints(spark, tmp_path):
     b = {r["campaign"]: r["sha256"] for r in M.content_fingerprint(rows.repartition(5), settings).collect()}
     c = {r["campaign"]: r["sha256"] for r in M.content_fingerprint(rows.filter("not (campaign = 'c0' and sensor_id = 'Node1')"), settings).collect()}
     assert a == b and a["c0"] != c["c0"] and a["c1"] == c["c1"]
+
+
+def test_evaluation_of_a_run(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from spectrafleet.operators import fit as G
+
+    rows = T.psd(spark, SF)
+    settings = rows.selectExpr("campaign", "cast(substring(campaign, 2) as bigint) config_id").distinct().join(T.configs(spark, SF), "config_id").withColumn("role", F.expr("case when config_id = 1 then 'test' else 'train' end"))
+    done = G.fit(rows, settings, rows.groupBy("campaign").agg(F.min("sensor_id").alias("reliable_sensor")), T.FEATURES, G.FitConfig(outer=1, inner=2))
+    told = J.evaluate_run(rows, settings, done, T.FEATURES)
+    run, campaigns = told.run.first(), told.campaigns.collect()
+    n = settings.count()
+    assert (run["train_campaigns"], run["test_campaigns"], run["rounds"], run["steps"]) == (n - 1, 1, 1, 2) and run["selected_objective"] == done.selected and run["max_gradient_norm"] == max(done.gradient_norms)
+    assert len(campaigns) == n and run["records"] == sum(r["n_records"] for r in campaigns) and run["improved_campaigns"] == sum(r["improvement_db"] > 0 for r in campaigns)
+    J.write_evaluation(told, str(tmp_path / "told"))
+    assert spark.read.parquet(str(tmp_path / "told/roles")).count() == 2 and spark.read.parquet(str(tmp_path / "told/campaigns")).count() == n
+    norms = {r["sensor_id"]: r["embedding_norm"] for r in G.embedding_norms(spark, done.model).collect()}
+    assert set(norms) == set(done.model.sensors) and all(v > 0 for v in norms.values())

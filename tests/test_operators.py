@@ -268,5 +268,17 @@ def test_refused_rows_go_to_quarantine_and_a_restart_repeats_none(spark, tmp_pat
     assert kept.count() == 2 and kept.filter("calibrated_power is null").count() == 0
 
 
+def test_registry_headers(spark):
+    schema = "`capaign_label` string, ` campaign_id ` string, note string"
+    rows = X.load_registry(spark.createDataFrame([(" one ", "7", ""), ("two", " 9 ", None)], schema))
+    assert sorted(map(tuple, rows.collect())) == [("one", 7), ("two", 9)]
+    for bad, match in (([("one", "x", "")], "bad id"), ([("one", "1", ""), ("one", "2", "")], "repeated label"), ([], "names no campaign")):
+        with pytest.raises(ValueError, match=match):
+            X.load_registry(spark.createDataFrame(bad, schema))
+    with pytest.raises(ValueError, match="no column campaign_id"):
+        X.load_registry(spark.createDataFrame([("one",)], "campaign_label string"))
+    assert X.load_registry(spark.createDataFrame([("one", "x", "")], schema), strict=False).first()["campaign_id"] is None
+
+
 def test_db_bounds():
     assert math.isclose(10 * math.log10(S.POWER_FLOOR), -120)
