@@ -56,3 +56,41 @@ def test_small_tables(spark):
     (row,) = minhash.fingerprint_documents(docs).collect()
     assert row["near_next"] == 1.0 and row["edited_sha256"] == hashlib.sha256(("a b c d e f"[:8] + "a b").encode()).hexdigest()
     assert minhash.fingerprint_documents(docs.limit(0)).count() == 0
+
+
+def plain_fingerprint(text):
+    """Bins, probes and packed low bits, one by one."""
+    import xxhash
+
+    words = [w for w in "".join(c.lower() if c.isascii() or c.lower() != c else c for c in text).translate(str.maketrans("\t\n\x0b\f\r", "     ")).split(" ") if w]
+    if not words:
+        return ""
+    least = {}
+    for i in range(max(1, len(words) - 4)):
+        h = 42
+        for w in words[i : i + 5]:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        h = h - (1 << 64) if h >> 63 else h
+        b = (h >> 56) + 128
+        least[b] = min(least.get(b, h), h)
+    out = []
+    for b in range(256):
+        t = 0
+        while (at := (minhash._START[b] + t * minhash._STEP[b]) % 256 if b not in least else b) not in least:
+            t += 1
+        out.append(least[at] & 255)
+    return bytes(out).hex()
+
+
+def test_fingerprints_bin_by_bin(spark):
+    texts = ["one two three four five six seven", "a", "", "ça va bien? Oui, ça va très bien, merci", " ".join(f"w{k * k % 97}" for k in range(3000)), "A\tb\nC  d\re f\x0bg"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    # repeated ids, repeated rows and several null ids
+    rows += [(4, "another text of the same id that is long enough"), (4, texts[4]), (0, texts[0]), (None, "first without an id"), (None, "second without an id"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = minhash.fingerprint_documents(docs).collect()
+    assert sorted((str(r["doc_id"]), r["fingerprint"]) for r in got) == sorted((str(i), plain_fingerprint(t or "")) for i, t in rows)
+    steps = [{(minhash._START[b] + t * minhash._STEP[b]) % 256 for t in range(256)} for b in range(256)]
+    assert all(len(s) == 256 for s in steps)
+    # every row is some row's next: the first third of its text stands at the end of exactly one edited text
+    assert len(got) == len(rows) and all(0 <= r["near_next"] <= 1 for r in got)
