@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
@@ -157,6 +158,9 @@ def page_tree(html: str) -> list:
     root: list = []
     # open tags: (tag, items of its block or None if inline or flat, mutes, is a link)
     stack: list[tuple[str, list | None, bool, bool]] = []
+    #: How often each tag is open, and the items of the open blocks that are nested.
+    opened: Counter[str] = Counter()
+    nested = [root]
     items, pieces, links = root, [], 0
     depth = muted = linked = 0
 
@@ -171,17 +175,21 @@ def page_tree(html: str) -> list:
 
     def pop_to(k: int) -> None:
         nonlocal items, depth, muted, linked
-        if any(t[0] in _BLOCKS for t in stack[k:]):
+        if any(stack[i][0] in _BLOCKS for i in range(k, len(stack))):
             flush()
         while len(stack) > k:
-            _, own, mutes, link = stack.pop()
+            tag, own, mutes, link = stack.pop()
+            opened[tag] -= 1
             muted -= mutes
             linked -= link
             if own is not None:
                 depth -= 1
-        items = next((own for _, own, _, _ in reversed(stack) if own is not None), root)
+                nested.pop()
+        items = nested[-1]
 
     def end(tags: frozenset, stop: frozenset) -> bool:
+        if not any(opened[t] for t in tags):
+            return False
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in tags:
                 pop_to(k)
@@ -241,7 +249,7 @@ def page_tree(html: str) -> list:
                 flush()
                 stops = frozenset(["ul", "ol"]) | _SCOPE if tag == "li" else _TABLE_SCOPE - {tag} if tag in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "caption") else _SCOPE - {tag}
                 end(frozenset([tag]), stops)
-            else:
+            elif opened[tag]:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
                         pop_to(k)
@@ -278,6 +286,7 @@ def page_tree(html: str) -> list:
             own: list = []
             items.append([label, own])
             items = own
+            nested.append(own)
             stack.append((tag, own, False, False))
             depth += 1
         else:
@@ -285,6 +294,7 @@ def page_tree(html: str) -> list:
             stack.append((tag, None, mutes, tag == "a"))
             muted += mutes
             linked += tag == "a"
+        opened[tag] += 1
     flush()
     _settle(root)
     return root

@@ -1,6 +1,7 @@
 import json
 import random
 import re
+import time
 from html import unescape
 
 import pytest
@@ -156,6 +157,13 @@ def test_deep_and_long_pages():
     assert texts_of([long]) == ["\n".join(["word & word"] * 50_000)]
 
 
+@pytest.mark.parametrize("html", ["<b>" * 60_000 + "x" + "</i>" * 60_000, "<div>" * 60_000 + "x", "</div>" * 60_000 + "<p>" * 60_000 + "x", "<ul>" * 3000 + "<li>x</p>" * 20_000, "<p title='" * 60_000, "<b>" * 60_000 + "</b>" * 60_000 + "x"])
+def test_broken_markup_takes_time_in_proportion(html):
+    began = time.process_time()
+    wrappers.wrapper_of(html_tree.page_tree(html))
+    assert time.process_time() - began < 5
+
+
 def test_table_with_odd_rows(spark, monkeypatch):
     rng = random.Random(6)
     data = [(k, f"http://{h}.example/{k}", *site(rng, k)) for k, (h, site) in enumerate([("a", plain_site), ("B", named_site)] * 12)]
