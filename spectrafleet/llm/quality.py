@@ -42,57 +42,88 @@ def _byte_classes() -> np.ndarray:
 _CLASS = _byte_classes()
 
 
+#: What follows a text's last byte, for its last grams: the same for all.
+_PAD = b"\n\n"
+#: A longer text's passages are described so many bytes at a time: features take some hundred times a text's memory.
+LONG_BYTES = 1 << 19
+
+
+def _features(blob: bytes, edges: np.ndarray, whole_words: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """passage_features() of texts that end at edges of blob, each followed by two bytes; whole_words if there is one, a piece of a text of so many words."""
+    raw = np.frombuffer(blob, np.uint8).astype(np.int64)
+    starts, ends = word_spans(blob, NON_SPACE)
+    if whole_words is not None:
+        inside = starts < edges[-1] - len(_PAD)  # a word may begin in what follows
+        starts, ends = starts[inside], ends[inside]
+    first = np.searchsorted(starts, edges)
+    words = np.diff(first)
+    texts = len(words)
+    n = np.maximum(1, -(-words // PASSAGE_WORDS))
+    base = np.concatenate([[0], np.cumsum(n)])
+    owner = np.repeat(np.arange(texts), words)
+    passage = base[owner] + (np.arange(len(owner)) - first[owner]) // PASSAGE_WORDS
+    total = int(base[-1])
+    # A byte belongs to the passage of the word it is in or after, bytes before the first word to the first passage.
+    at = np.repeat(np.arange(texts), np.diff(edges))
+    own = np.ones(len(raw), bool)
+    own[edges[1:] - 1] = own[edges[1:] - 2] = False
+    last = np.searchsorted(starts, np.arange(len(raw)), side="right") - 1
+    known = (last >= 0) & (last >= first[at])
+    byte_passage = np.where(known, passage[np.maximum(last, 0)] if len(passage) else 0, base[at])
+    byte_passage = byte_passage[own]
+    size = np.bincount(byte_passage, minlength=total).astype(float)
+    kind = _CLASS[raw]
+    gram = (raw * 65599 + np.roll(raw, -1) * 31 + np.roll(raw, -2) * 7919) * 40503 >> 7 & BUCKETS - 1
+    gram, change = gram[own], (kind * CLASSES + np.roll(kind, -1))[own]
+    grams = np.bincount(byte_passage * BUCKETS + gram, minlength=total * BUCKETS).reshape(total, BUCKETS)
+    steps = np.bincount(byte_passage * CLASSES**2 + change, minlength=total * CLASSES**2).reshape(total, CLASSES**2)
+    hashes = span_hashes(blob, starts, ends)
+    n_words = np.bincount(passage, minlength=total).astype(float)
+    pairs = passage.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ hashes
+    distinct, where = np.unique(pairs, return_index=True)
+    kinds = np.bincount(passage[where], minlength=total).astype(float)
+    same = np.zeros(total)
+    if len(passage) > 1:
+        again = (hashes[1:] == hashes[:-1]) & (passage[1:] == passage[:-1])
+        same = np.bincount(passage[1:][again], minlength=total).astype(float)
+    lengths = np.bincount(passage, weights=ends - starts, minlength=total)
+    some = np.maximum(n_words, 1)
+    extra = np.stack([kinds / some, same / some, lengths / some / 10, np.log1p(n_words), np.log1p(words if whole_words is None else np.array([whole_words]))[np.repeat(np.arange(texts), n)], (n_words == 0).astype(float)], axis=1)
+    share = np.maximum(size, 1)[:, None]
+    return np.concatenate([np.sqrt(grams / share), np.sqrt(steps / share), extra], axis=1).astype(np.float32), n
+
+
 def passage_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(features of every passage of every text, number of passages of each text); an empty text is one blank passage."""
     data = [t.encode("utf-8", "surrogatepass") for t in texts]
     out, counts = [], []
     for lo, hi in slices([len(d) for d in data]):
-        pad = b"\n\n"  # what follows a text's last byte is the same for all
-        blob = pad.join(data[lo:hi]) + pad
-        raw = np.frombuffer(blob, np.uint8).astype(np.int64)
-        starts, ends = word_spans(blob, NON_SPACE)
-        edges = np.cumsum([0, *(len(d) + len(pad) for d in data[lo:hi])])
-        first = np.searchsorted(starts, edges)
-        words = np.diff(first)
-        n = np.maximum(1, -(-words // PASSAGE_WORDS))
-        base = np.concatenate([[0], np.cumsum(n)])
-        owner = np.repeat(np.arange(hi - lo), words)
-        passage = base[owner] + (np.arange(len(owner)) - first[owner]) // PASSAGE_WORDS
-        total = int(base[-1])
-        # A byte belongs to the passage of the word it is in or after, bytes before the first word to the first passage.
-        at = np.repeat(np.arange(hi - lo), np.diff(edges))
-        own = np.ones(len(raw), bool)
-        own[edges[1:] - 1] = own[edges[1:] - 2] = False
-        last = np.searchsorted(starts, np.arange(len(raw)), side="right") - 1
-        known = (last >= 0) & (last >= first[at])
-        byte_passage = np.where(known, passage[np.maximum(last, 0)] if len(passage) else 0, base[at])
-        byte_passage = byte_passage[own]
-        size = np.bincount(byte_passage, minlength=total).astype(float)
-        kind = _CLASS[raw]
-        gram = (raw * 65599 + np.roll(raw, -1) * 31 + np.roll(raw, -2) * 7919) * 40503 >> 7 & BUCKETS - 1
-        gram, change = gram[own], (kind * CLASSES + np.roll(kind, -1))[own]
-        grams = np.bincount(byte_passage * BUCKETS + gram, minlength=total * BUCKETS).reshape(total, BUCKETS)
-        steps = np.bincount(byte_passage * CLASSES**2 + change, minlength=total * CLASSES**2).reshape(total, CLASSES**2)
-        hashes = span_hashes(blob, starts, ends)
-        n_words = np.bincount(passage, minlength=total).astype(float)
-        pairs = passage.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ hashes
-        distinct, where = np.unique(pairs, return_index=True)
-        kinds = np.bincount(passage[where], minlength=total).astype(float)
-        same = np.zeros(total)
-        if len(passage) > 1:
-            again = (hashes[1:] == hashes[:-1]) & (passage[1:] == passage[:-1])
-            same = np.bincount(passage[1:][again], minlength=total).astype(float)
-        lengths = np.bincount(passage, weights=ends - starts, minlength=total)
-        some = np.maximum(n_words, 1)
-        extra = np.stack([kinds / some, same / some, lengths / some / 10, np.log1p(n_words), np.log1p(words)[np.repeat(np.arange(hi - lo), n)], (n_words == 0).astype(float)], axis=1)
-        share = np.maximum(size, 1)[:, None]
-        out.append(np.concatenate([np.sqrt(grams / share), np.sqrt(steps / share), extra], axis=1).astype(np.float32))
+        x, n = _features(_PAD.join(data[lo:hi]) + _PAD, np.cumsum([0, *(len(d) + len(_PAD) for d in data[lo:hi])]))
+        out.append(x)
         counts.append(n)
     if not out:
         return np.zeros((0, WIDTH), np.float32), np.zeros(0, np.int64)
     return np.concatenate(out), np.concatenate(counts)
 
 
+def feature_pieces(text: str) -> Iterator[np.ndarray]:
+    """The features of a text's passages, those of about LONG_BYTES at a time and cut at passages: the same as of the whole."""
+    data = text.encode("utf-8", "surrogatepass")
+    starts, _ = word_spans(data, NON_SPACE)
+    words, firsts = len(starts), starts[::PASSAGE_WORDS][1:]  # where passages but the first begin
+    del starts
+    at = 0
+    while True:
+        k = np.searchsorted(firsts, at + LONG_BYTES)
+        end = int(firsts[k]) if k < len(firsts) else len(data)
+        follows = data[end : end + len(_PAD)]
+        piece = data[at:end] + follows + _PAD[len(follows) :]
+        yield _features(piece, np.array([0, len(piece)]), words)[0]
+        if end == len(data):
+            return
+        at = end
+
+
 @dataclass
 class Model:
     weights: dict[str, np.ndarray]
@@ -100,20 +131,38 @@ class Model:
     def forward(self, x: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
         p = self.weights
         starts = np.cumsum(counts) - counts
-        z = np.clip((x - p["mean"]) / p["scale"], -6, 6)
-        h = np.tanh(z @ p["W"] + p["b"])
-        t, s = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
-        e = (t * s) @ p["w"]
+        z, h, t, s, e = self.encode(x)
         e = np.exp(e - np.repeat(np.maximum.reduceat(e, starts), counts))
         a = e / np.repeat(np.add.reduceat(e, starts), counts)
         bag = np.add.reduceat(a[:, None] * h, starts)
         y = 1 / (1 + np.exp(-(bag @ p["c"] + p["d"])))
         return {"z": z, "h": h, "t": t, "s": s, "a": a, "bag": bag, "y": y, "starts": starts}
 
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """z, h, t, s and e of passages: standardised features, codes, the two halves of the gate, and its logits."""
+        p = self.weights
+        z = np.clip((x - p["mean"]) / p["scale"], -6, 6)
+        h = np.tanh(z @ p["W"] + p["b"])
+        t, s = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
+        return z, h, t, s, (t * s) @ p["w"]
+
+    def score_long(self, text: str) -> tuple[float, int]:
+        """(score, number of passages) of one text, of which codes and logits are held, but not features."""
+        p = self.weights
+        held = [(h, e) for x in feature_pieces(text) for _, h, _, _, e in [self.encode(x)]]
+        h, e = (np.concatenate(k).astype(np.float64) for k in zip(*held, strict=True))
+        a = np.exp(e - e.max())
+        bag = (a / a.sum()) @ h
+        return float(1 / (1 + np.exp(-(bag @ p["c"] + p["d"])))), len(e)
+
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(score, number of passages) of each text."""
         out = [(np.zeros(0), np.zeros(0, np.int64))]
         for lo, hi in slices([len(t) for t in texts], 1 << 18):  # features take many times the text's memory
+            if hi == lo + 1 and len(texts[lo]) > LONG_BYTES:
+                y, n = self.score_long(texts[lo])
+                out.append((np.array([y]), np.array([n], np.int64)))
+                continue
             x, counts = passage_features(texts[lo:hi])
             out.append((self.forward(x, counts)["y"].astype(np.float64), counts))
         return np.concatenate([y for y, _ in out]), np.concatenate([n for _, n in out])
@@ -157,6 +206,22 @@ def fit_bags(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, epochs: int
     return model
 
 
+def sampled_passages(text: str, most: int) -> np.ndarray:
+    """Features of a text's passages, or of most of them, evenly spread."""
+    pieces = [x.astype(np.float16) for x in feature_pieces(text)] if len(text) <= LONG_BYTES else None
+    if pieces is not None:
+        (x,) = pieces if len(pieces) == 1 else [np.concatenate(pieces)]
+        return x[np.arange(most) * len(x) // most] if len(x) > most else x
+    total = sum(len(x) for x in feature_pieces(text))
+    wanted = np.arange(most) * total // most if total > most else np.arange(total)
+    out, before = [], 0
+    for x in feature_pieces(text):
+        mine = wanted[(wanted >= before) & (wanted < before + len(x))] - before
+        out.append(x[mine].astype(np.float16))
+        before += len(x)
+    return np.concatenate(out)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_FIT_DOCS, max_passages: int = MAX_FIT_PASSAGES) -> Model:
     """Learn from labels (doc_id, label 0 or 1) of docs (doc_id, text).
 
@@ -173,9 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_FIT_DOCS, max_pa
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x, counts = passage_features(pdf["text"].tolist())
-            cut = np.split(x.astype(np.float16), np.cumsum(counts)[:-1])
-            spread = [c[np.arange(max_passages) * len(c) // max_passages] if len(c) > max_passages else c for c in cut]
+            spread = [sampled_passages(t, max_passages) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "x": [c.tobytes() for c in spread]})
 
     rows = texts.groupBy("doc_id", "label").agg(F.max("text").alias("text")).mapInPandas(describe, "doc_id long, label int, x binary").toArrow().sort_by("doc_id")
@@ -187,6 +250,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_FIT_DOCS, max_pa
 def add_scores(docs: DataFrame, model: Model, score: str = "score", passages: str = "n_passages") -> DataFrame:
     """docs with a score (0 to 1) and the number of passages of each row's whole text, of any length.
 
+    A long text is described piece by piece: a task holds some thirty bytes for each of its words.
+
     Null texts score as empty ones, repeated rows and rows of equal texts score alike, an empty table gives no rows.
     Columns of docs that have the new ones' names are replaced.
     """

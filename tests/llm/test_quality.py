@@ -135,3 +135,26 @@ def test_long_texts_give_bounded_samples(spark):
     docs = spark.createDataFrame([(1, "good words " * 50_000), (2, "SPAM!! " * 50_000)], "doc_id long, text string")
     model = quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, label int"))
     assert all(0 <= r["score"] <= 1 and r["n_passages"] > quality.MAX_FIT_PASSAGES for r in quality.add_scores(docs, model).collect())
+
+
+def test_long_texts_in_pieces_are_as_whole_ones(monkeypatch):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(rng.choice(["a", "Bé", "see", "x1", "end.", "\n", "  "], n)) for n in (3, 64, 129, 700, 3000)] + ["", "   ", "\n lead " * 300, "one" * 900]
+    model = quality.fit_bags(*_bags(texts, rng))
+    whole = [model.score([t]) for t in texts]
+    for size in (1, 50, 400, 2000):
+        monkeypatch.setattr(quality, "LONG_BYTES", size)
+        for t, (y, n) in zip(texts, whole, strict=True):
+            x = np.concatenate(list(quality.feature_pieces(t)))
+            assert np.array_equal(x, quality.passage_features([t])[0])
+            got, k = model.score_long(t)
+            assert k == n[0] == len(x) and abs(got - y[0]) < 1e-6
+            for most in (1, 4, 64):
+                want = x.astype(np.float16)
+                assert np.array_equal(quality.sampled_passages(t, most), want[np.arange(most) * len(want) // most] if len(want) > most else want)
+        assert np.allclose(model.score(texts)[0], [y[0] for y, _ in whole], atol=1e-6)
+
+
+def _bags(texts, rng):
+    x, n = quality.passage_features(texts)
+    return x, n, rng.integers(0, 2, len(texts)).astype(np.float32)
