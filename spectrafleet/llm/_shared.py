@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -34,14 +37,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Tables that materialize() wrote in this process and nobody has deleted.
-_MADE: list[str] = []
+#: Tables that materialize() wrote in the innermost own_tables() of this thread.
+_OWN: ContextVar[list[str] | None] = ContextVar("own_tables", default=None)
+
+
+@contextmanager
+def own_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that materialize() writes inside, at the end; what other threads and outer blocks write stays."""
+    made: list[str] = []
+    before = _OWN.set(made)
+    try:
+        yield
+    finally:
+        _OWN.reset(before)
+        for path in made:
+            delete(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write the rows as Parquet in the shared folder and read them back."""
     path = new_path(df.sparkSession, name)
-    _MADE.append(path)
+    if (made := _OWN.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path
@@ -50,9 +67,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def drop_written(df: DataFrame) -> None:
     """Delete a table that materialize() wrote and no later step reads."""
-    path = getattr(df, "_written_to", None)
-    if path in _MADE:
-        _MADE.remove(path)
+    if path := getattr(df, "_written_to", None):
+        if path in (made := _OWN.get() or []):
+            made.remove(path)
         delete(df.sparkSession, path)
 
 
@@ -61,17 +78,6 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
-def tables_made() -> int:
-    """A mark for clear_tables()."""
-    return len(_MADE)
-
-
-def clear_tables(spark: SparkSession, mark: int) -> None:
-    """Delete the tables that materialize() wrote since a mark, once what was made from them is written."""
-    while len(_MADE) > mark:
-        delete(spark, _MADE.pop())
-
-
 def spare(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as keep it from clashing with a column of df (case ignored)."""
     taken, out = {c.lower() for c in df.columns}, []
