@@ -11,7 +11,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 
 from spectrafleet.llm import bpe, decontaminate, quality, simhash
-from spectrafleet.llm._shared import clear_tables, delete, new_path, tables_made
+from spectrafleet.llm._shared import delete, new_path, own_tables
 from spectrafleet.llm.queries import quality_model, tokenizer_path
 
 
@@ -51,9 +51,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        mark, path = tables_made(), new_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        clear_tables(spark, mark)
+        path = new_path(spark, f"stage-{name}")
+        with own_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         if before:
             delete(spark, before)
         docs, before = spark.read.parquet(path), path
