@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ._shared import materialize
 
 SHINGLE_WORDS, BINS, BITS = 5, 256, 8
 _TOP = 64 - (BINS.bit_length() - 1)
-_NO_ID = -(1 << 63)
 
 
 def _bins() -> Column:
@@ -81,31 +81,53 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), (F.size(a) == F.size(b)).cast("double")).otherwise(F.greatest(F.lit(0.0), (same / BINS - chance) / (1 - chance)))
 
 
-def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Add next_<column>: each column's value in the next row by descending key (null last), the first row's after the last.
+def _identified(docs: DataFrame) -> DataFrame:
+    """_no, _k: the order of rows by descending doc_id, null last; _a, _b: a digest of the text; text."""
+    key, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    # The complement turns the order of longs around, without an overflow.
+    return docs.select(key.isNull().alias("_no"), F.coalesce(F.bitwise_not(key), F.lit(0)).alias("_k"), F.xxhash64(text).alias("_a"), F.xxhash64(F.lit(1), text).alias("_b"), text.alias("text"))
 
-    The rows are dealt into key ranges of about equal counts; each range also gets the next range's first rows, so
-    no task sees more than its range. Ties of the key are ordered by the columns, rows with a null key by a digest of
-    the first column, by which they are dealt as well; rows of one key share a range. Ranges and their first keys, one
-    number for each range, are all that reaches the driver.
+
+_ORDER, _ID = ("_no", "_k", "_head", "_a", "_b"), ("_a", "_b", "_k", "_no")
+#: Characters of a text that order documents of one doc_id.
+HEAD_CHARS = 64
+
+
+def before_each(texts: DataFrame) -> DataFrame:
+    """Of distinct documents: _a, _b, _k, _no, fp, copies, and prev, the same of the document before (before the first: the last).
+
+    These rows hold no texts. Ranges of the whole order cut them up, so many documents of one doc_id are several
+    ranges; a range's last row is what its successor's first one looks for.
+    """
+    slim = add_fingerprint(texts.withColumn("_head", F.substring("text", 1, HEAD_CHARS)).withColumn("_len", F.length("text")), "text", "fp").drop("text")
+    distinct = slim.groupBy(*_ORDER, "_len", "fp").agg(F.count(F.lit(1)).alias("copies"))
+    ranged = materialize(distinct.repartitionByRange(*_ORDER).withColumn("_range", F.spark_partition_id()), "document-order")
+    whole = F.struct(*_ORDER, "_len", "fp")
+    ranges = Window.orderBy("_range")  # one row for each range
+    every = ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = ranged.groupBy("_range").agg(F.max(whole).alias("last"))
+    edges = last.select("_range", F.coalesce(F.lag("last").over(ranges), F.last("last").over(every)).alias("edge"))
+    within = Window.partitionBy("_range").orderBy(*_ORDER)
+    out = ranged.select("*", F.lag(whole).over(within).alias("prev")).join(F.broadcast(edges), "_range")
+    return out.select(*_ID, "fp", "copies", F.coalesce("prev", "edge").alias("prev"))
+
+
+def with_next_start(docs: DataFrame) -> DataFrame:
+    """doc_id, text, fp, third, next_start, near_next of docs: a third of the text's code points, and as many of the next document's first.
+
+    Each document sends its successor in reverse order, the one before, the piece that is asked for: no more of a text
+    than that goes to another row, and no two documents share a key.
     """
-    spark = df.sparkSession
-    unkeyed = F.lit(_NO_ID) + F.pmod(F.xxhash64(columns[0]), F.lit(1 << 40))  # below every id in use
-    df = df.withColumn("_key", F.coalesce(F.col(key).cast("long"), unkeyed))
-    n = max(2, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = sorted(set(df.agg(F.percentile_approx("_key", [i / n for i in range(1, n)], 100 * n)).first()[0] or []))
-    of_range = F.size(F.filter(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<long>"), lambda c: F.col("_key") >= c))
-    ranged = df.withColumn("_range", of_range)
-    firsts = {r["_range"]: r["k"] for r in ranged.groupBy("_range").agg(F.max("_key").alias("k")).collect()}
-    order = sorted(firsts)
-    # A range's first rows stand after all rows of the range above it; the top range's stand after those of the lowest.
-    guests = [(firsts[r], order[(i + 1) % len(order)]) for i, r in enumerate(order)]
-    lookup = F.create_map(*[F.lit(x) for pair in guests for x in pair]) if guests else F.lit(None).cast("map<long,int>")
-    seen = df.filter(F.col("_key").isin([k for k, _ in guests])).withColumn("_range", F.element_at(lookup, F.col("_key")))
-    # A guest from the top range has a greater key than its hosts, so guests are told apart first.
-    both = ranged.withColumn("_guest", F.lit(False)).unionByName(seen.withColumn("_guest", F.lit(True)))
-    w = Window.partitionBy("_range").orderBy("_guest", F.col("_key").desc(), *columns)
-    return both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns]).filter("not _guest").drop("_guest", "_range", "_key")
+    texts = _identified(docs)
+    told = before_each(texts)
+    asked = [F.col(f"prev.{c}").alias(f"_to{c}") for c in _ID]
+    asks = told.select(*_ID, "copies", *asked, F.floor(F.col("prev._len") / 3).cast("int").alias("third"), F.col("prev.fp").alias("fp"), likeness(F.col("prev.fp"), F.col("fp")).alias("near_next"))
+    to = [f"_to{c}" for c in _ID]
+    starts = texts.join(asks, list(_ID)).select(*to, "copies", "third", "fp", "near_next", F.substring("text", F.lit(1), F.col("third")).alias("next_start"))
+    if not told.filter("copies > 1").isEmpty():  # copies all give the same piece
+        starts = starts.filter("copies = 1").unionByName(starts.filter("copies > 1").dropDuplicates(to))
+    found = texts.join(starts.withColumnsRenamed(dict(zip(to, _ID, strict=True))), list(_ID))
+    return found.select(F.when(~F.col("_no"), F.bitwise_not("_k")).alias("doc_id"), "text", "fp", "third", "next_start", "near_next")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -113,15 +135,13 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     A document's edited text has its last third (floor of its code points by 3) replaced by the first as many code
     points, or all, of the next document by descending doc_id; the last is followed by the first. Null text: empty.
-    Repeated rows stay, ordered by text; null doc_ids come last, by a digest of their texts. A text of any length is
-    one row of its task; ids below -2**63 + 2**40 are not provided for. An empty table gives no rows; a lone row is its own
-    next. Other columns are ignored.
+    Documents of one doc_id are ordered by their first HEAD_CHARS characters, then by a digest; those without a doc_id
+    come last, in the same order. Repeated rows (of equal doc_id and text) are one document, whose result each of them
+    gets. A text of any length is one row of its task. An empty table gives no rows; a lone document is its own next.
+    Other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    pairs = with_next(add_fingerprint(rows, "text", "fp"), "doc_id", ["text", "fp"])
-    third = F.floor(F.length("text") / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring("next_text", F.lit(1), third))
-    edited_rows = add_fingerprint(pairs.withColumn("edited", edited), "edited", "edited_fp")
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - F.col("third")), "next_start")
+    edited_rows = add_fingerprint(with_next_start(docs).withColumn("edited", edited), "edited", "edited_fp")
     return edited_rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
@@ -129,5 +149,5 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         as_hex(F.col("fp")).alias("fingerprint"),
         as_hex(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        "near_next",
     )

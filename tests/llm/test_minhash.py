@@ -94,3 +94,18 @@ def test_fingerprints_bin_by_bin(spark):
     assert all(len(s) == 256 for s in steps)
     # every row is some row's next: the first third of its text stands at the end of exactly one edited text
     assert len(got) == len(rows) and all(0 <= r["near_next"] <= 1 for r in got)
+
+
+def test_documents_of_one_id_and_repeated_rows(spark):
+    rng = random.Random(3)
+    own = {(5, f"{rng.random()} text {i} of an id that a third of all rows have") for i in range(60)}
+    own |= {(i, f"{rng.random()} a document of its own, number {i}") for i in range(100, 200)} | {(None, f"{rng.random()} no id {i}") for i in range(9)} | {(-(1 << 63), "the least id"), ((1 << 63) - 1, "the greatest id")}
+    ordered = sorted(own, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = {}
+    for i, (doc_id, text) in enumerate(ordered):
+        k, after = len(text) // 3, ordered[(i + 1) % len(ordered)][1]
+        want[doc_id, hashlib.sha256((text[: len(text) - k] + after[:k]).encode()).hexdigest()] = 1
+    repeated = ordered[3:5] * 40 + ordered[-1:] * 7
+    docs = spark.createDataFrame(list(own) + repeated, "doc_id long, text string").repartition(5)
+    got = [(r["doc_id"], r["edited_sha256"]) for r in minhash.fingerprint_documents(docs).collect()]
+    assert set(got) == set(want) and len(got) == len(own) + 87
