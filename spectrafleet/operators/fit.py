@@ -305,10 +305,12 @@ def fit(rows: DataFrame, configs: DataFrame, reliable: DataFrame, features: tupl
         curved = with_curves(records, campaign_curves(model, state), size)
         if in_one_stage:
             given = _round_rows(state).unionByName(_round_rows(record_sums(curved)))
-            dealt = given.withColumn("dealt", F.xxhash64("campaign"))
+            # The tasks of a barrier stage run at the same time, so there must be this many whatever else is set.
+            to = lambda *by: F.pmod(F.xxhash64(*by), F.lit(tasks)).cast("int")
+            dealt = given.withColumn("dealt", to("campaign"))
             if penalised is not None:
-                dealt = dealt.unionByName(penalised.withColumn("dealt", F.xxhash64("campaign", "record_idx")).drop("record_idx"), allowMissingColumns=True)
-            run = dealt.repartition(tasks, "dealt").drop("dealt").mapInPandas(round_task(model, adam, key), ROUND, barrier=True)
+                dealt = dealt.unionByName(penalised.withColumn("dealt", to("campaign", "record_idx")).drop("record_idx"), allowMissingColumns=True)
+            run = dealt.repartitionById(tasks, "dealt").drop("dealt").mapInPandas(round_task(model, adam, key), ROUND, barrier=True)
             table = keep(run, f"round-{outer + 1}")
             model, adam, steps, loss, norm = unpacked(model, table.filter("told is not null").first()["told"])
         else:
