@@ -54,6 +54,36 @@ DIAG = f"""{RMSE.format(x="raw_db", n="raw", t="db").replace("rm as", "rmr as")}
   case when substring(campaign, 2)::int % 2 = 0 then 'train' else 'test' end as role, campaign = 'c1' as is_ood from rmr join rmc using (campaign, record_idx) join disp using (campaign) join logc using (campaign) group by campaign)"""
 
 
+#: The curves of queries.level_model(), values under them, and latent spectra.
+LEVEL = f"""{CONFIGS}, ks as (select sensor_id, k, avg(k) over () as mk from (select distinct sensor_id, substring(sensor_id, 5)::double as k from psd)),
+  hs as (select campaign, exp(2 * a) as e from (select campaign, 0.3::double * (vga_gain_db - 5) / 3 + 0.1::double as a from (select distinct campaign from psd) join configs on config_id = substring(campaign, 2)::bigint)),
+  flat as (select campaign, record_idx, sensor_id, n_bins, unnest(pxx_db) as p, generate_subscripts(pxx_db, 1) - 1 as bin from psd),
+  par as (select campaign, record_idx, sensor_id, bin, power(10.0::double, p / 10) / 1e-6 as y, bin / (n_bins - 1)::double as x, k, mk, (e - 1) / (e + 1) as h from flat join ks using (sensor_id) join hs using (campaign)),
+  arg as (select *, 0.02::double * k + 0.5::double * h + 0.3::double * x - 3 as pn, 0.1::double * k + 0.5::double * h + 0.2::double * x - 2 as pv from par),
+  obs as (select campaign, record_idx, sensor_id, bin, y, pn, pv, exp(0.05::double * (1 + x) * (k - mk)) as gain, ln(1 + exp(pn)) as floor, 1e-3::double + ln(1 + exp(pv)) as var from arg),
+  lat as (select campaign, record_idx, bin, greatest(sum(gain / var * (y - floor)) / sum(gain / var * gain), 1e-12) as s from obs group by all),
+  level as (select campaign, sensor_id, bin, any_value(gain) as gain, any_value(floor) as floor, any_value(var) as var from obs group by all)"""
+LOGS = """lx as (select *, ln(greatest(y - floor, 0) / gain + 1e-6) as z from obs), nr as (select campaign, count(distinct record_idx) as records from obs group by campaign)"""
+
+
+def _splines(knots: list[float], degree: int) -> str:
+    """splines: the weights b of x of points (x, others), degree by degree."""
+    t, n = "[" + ", ".join(f"{k}::double" for k in knots) + "]", len(knots) - 1
+    zero = f"select *, list_transform(range(1, {n + 1}), lambda j: case when x < 1 and t[j] <= x and x < t[j + 1] or x >= 1 and j = {n - degree} then 1.0::double else 0.0::double end) as b from (select *, {t} as t from points)"
+    out = f"d0 as ({zero})"
+    for d in range(1, degree + 1):
+        up = f"case when t[j + {d}] > t[j] then (x - t[j]) / (t[j + {d}] - t[j]) * b[j] else 0 end"
+        down = f"case when t[j + {d + 1}] > t[j + 1] then (t[j + {d + 1}] - x) / (t[j + {d + 1}] - t[j + 1]) * b[j + 1] else 0 end"
+        out += f", d{d} as (select * exclude (b), list_transform(range(1, {n - d + 1}), lambda j: {up} + {down}) as b from d{d - 1})"
+    return out + f", splines as (select * from d{degree})"
+
+
+def _covariance(a: str, b: str) -> str:
+    sd = lambda f: f"(case when stddev_pop({f}) <= 1e-12 then 1 else stddev_pop({f}) end)"
+    ridge = " + 1e-6 * greatest(count(*) / (count(*) - 1), 1)" if a == b else ""
+    return f"select '{a}' as feature_a, '{b}' as feature_b, round(covar_samp({a}, {b}) / ({sd(a)} * {sd(b)}){ridge}, 5) + 0.0::double as covariance from train"
+
+
 def r(cols: str, digits: int = 6) -> str:
     return ", ".join(f"round({c}, {digits}) as {c}" for c in cols.split())
 
@@ -166,4 +196,17 @@ ORACLE_SQL: dict[str, str] = {
     "prepare_corpus": f"with {PSD.replace('psd as', 'every as', 1)}, psd as (select * from every where record_idx > 0 and not (campaign = 'c1' and sensor_id = 'Node5')), {CORR}, {RANKING}, {DIST}, {CONFIGS}, j as (select campaign, ranking.sensor_id, is_outlier, row_number() over (partition by campaign order by is_outlier, ranking.rank) as k from ranking join dist using (campaign, sensor_id)), best as (select campaign, any_value(sensor_id) filter (k = 1) as reliable_sensor, coalesce(string_agg(sensor_id, ',' order by sensor_id) filter (is_outlier), '') as outliers from j group by campaign) select campaign, string_agg(distinct sensor_id, ',' order by sensor_id) as sensors, case when campaign = 'c1' then 'Node5' else '' end as left_out, count(distinct record_idx) as n_records, any_value(reliable_sensor) as reliable_sensor, any_value(outliers) as outliers, round(any_value(central_freq_hz) / 1e6, 6) as central_freq_mhz, round(any_value(span_hz) / 1e6, 6) as span_mhz, round(any_value(rbw_hz) / 1e3, 6) as rbw_khz, round(any_value(acquisition_interval_s) / 60, 6) as interval_min from psd join best using (campaign) left join configs on config_id = substring(campaign, 2)::bigint group by campaign",
     "campaign_inspection": f"with {PSD} select campaign, sensor_id, count(*) as n_records, make_timestamp(min(ts_ms) * 1000)::varchar as start_utc, make_timestamp(max(ts_ms) * 1000)::varchar as end_utc, round((max(ts_ms) - min(ts_ms)) / 60000, 6) as span_min, 64.0::double as median_bins, round(avg(list_avg(pxx_db)), 6) as mean_db, round(avg(list_aggregate(pxx_db, 'quantile_cont', 0.1)), 6) as mean_p10_db from psd group by campaign, sensor_id",
     "deployment_summary": f"with {PSD}, {CURVES}, {CAL}, b as (select campaign, record_idx, unnest(cp) as v, generate_subscripts(cp, 1) as bin from cal), sp as (select campaign, avg(s) as calibrated_spread from (select campaign, record_idx, bin, stddev_pop(v) as s from b group by all) group by campaign), vs as (select campaign, avg(v) as m, quantile_cont(v, 0.99) as q from b group by campaign), gs as (select avg(s) as g from (select bin, stddev_pop(v) as s from (select unnest(gain) as v, generate_subscripts(gain, 1) as bin from curves) group by bin)), cs as (select avg(list_avg(gain)) as mg, avg(list_avg(floor)) as mf, avg(list_avg(var)) as mv, max(sqrt(list_avg(list_transform(range(2, len(gain)), lambda i: power(gain[i + 1] - 2 * gain[i] + gain[i - 1], 2))))) as r from curves) select campaign, round(calibrated_spread * 1e6, 6) as calibrated_spread, round(m * 1e6, 6) as mean_calibrated, round(q * 1e6, 6) as q99_calibrated, round(g, 6) as gain_spread, round(mg, 6) as mean_gain, round(mf * 1e6, 6) as mean_floor, round(mv * 1e12, 6) as mean_var, round(r, 6) as max_gain_roughness from sp join vs using (campaign), gs, cs",
+    "spline_basis": f"with {CONFIGS}, g as (select config_id, central_freq_hz - span_hz / 2 as a, central_freq_hz + span_hz / 2 as b from configs), points as (select config_id, i as bin, least(greatest((a + i * (b - a) / 15 - lo) / (hi - lo), 0), 1) as x from g, (select min(a) as lo, max(b) as hi from g), (select unnest(range(0, 16)) as i)), {_splines([0, 0, 0, 0, 0.2, 0.4, 0.6, 0.8, 1, 1, 1, 1], 3)}, w as (select config_id, bin, unnest(b) as weight, generate_subscripts(b, 1) - 1 as spline from splines) select config_id, bin::int as bin, spline::int as spline, round(weight, 6) as weight from w where weight > 1e-9",
+    "config_geometry": f"with {CONFIGS}, train as (select * from configs where role = 'train') " + " union all ".join(_covariance(a, b) for a in FEATURES for b in FEATURES),
+    "evaluate_curves": f"with {PSD}, {LEVEL} select campaign, sensor_id, bin::int as bin, {r('gain floor var')} from level",
+    "latent_update": f"with {PSD}, {LEVEL} select campaign, record_idx, bin::int as bin, round(s, 6) as s from lat",
+    "write_latent": f"with {PSD}, {LEVEL} select campaign, record_idx, count(*)::int as n, round(sum(s), 6) as total from lat group by all",
+    "write_curves": f"with {PSD}, {LEVEL} select campaign, sensor_id, count(*)::int as n, round(avg(gain), 6) as mean_gain, round(avg(floor), 6) as mean_floor, round(avg(var), 6) as mean_var from level group by all",
+    "initial_floors": f"with {PSD}, {LEVEL} select campaign, sensor_id, bin::int as bin, round(0.1::double * quantile_disc(y, 0.05), 6) as floor from obs group by all",
+    "objective_and_gradient": f"""with {PSD}, {LEVEL}, res as (select campaign, sensor_id, bin, any_value(gain) as gain, any_value(var) as v, any_value(pn) as pn, any_value(pv) as pv, count(*) as n, sum(y - gain * s - floor) as r, sum(power(y - gain * s - floor, 2)) as rr
+  from obs join lat using (campaign, record_idx, bin) group by campaign, sensor_id, bin), rel as (select campaign, min(sensor_id) as reliable from psd group by campaign)
+  select round(sum(0.5::double * (rr / v + n * ln(v)) + case when sensor_id = reliable then 0.01::double * power(ln(gain), 2) else 0 end), 4) as loss, round(sum(-r / v / (1 + exp(-pn))), 4) as floor_slope,
+  round(sum(0.5::double * (n / v - rr / (v * v)) / (1 + exp(-pv))), 4) as variance_slope from res join rel using (campaign)""",
+    "consistency_penalty": f"with {PSD}, {LEVEL}, {LOGS}, q as (select campaign, record_idx, sum(ss) / sum(n) as q from (select campaign, record_idx, bin, var_pop(z) * count(*) as ss, count(*) as n from lx group by all) group by all) select round(sum(q / records), 6) as penalty from q join nr using (campaign)",
+    "correlation_penalty": f"with {PSD}, {LEVEL}, {LOGS}, c as (select a.campaign, a.record_idx, a.sensor_id, b.sensor_id as other, corr(a.z, b.z) as rho from lx a join lx b on a.campaign = b.campaign and a.record_idx = b.record_idx and a.bin = b.bin and a.sensor_id < b.sensor_id group by all), q as (select campaign, record_idx, avg(1 - rho) as q from c group by all) select round(sum(q / records), 6) as penalty from q join nr using (campaign)",
 }

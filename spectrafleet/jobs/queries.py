@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -522,3 +523,123 @@ def prepare_corpus(spark, sf_dir):
     rows, settings, _ = corpus(spark, sf_dir)
     gone = rows.filter("campaign = 'c1' and sensor_id = 'Node5'").select("campaign", "sensor_id").distinct()
     return rounded(jobs.prepare_corpus(rows, settings, gone, 1, 1000).overview)
+
+
+@query
+def spline_basis(spark, sf_dir):
+    """Cubic splines over the band of each configuration, on the support of all."""
+    half = F.col("span_hz") / 2
+    grids = T.configs(spark, sf_dir).select("config_id", (F.col("central_freq_hz") - half).alias("start_freq_hz"), (F.col("central_freq_hz") + half).alias("end_freq_hz"), F.lit(16).alias("n_bins"))
+    support = grids.agg(F.min("start_freq_hz").alias("lo"), F.max("end_freq_hz").alias("hi")).first()
+    made = C.spline_weights(grids, 8, 3, support["lo"], support["hi"])
+    each = made.select("config_id", F.posexplode("basis").alias("bin", "w")).select("config_id", "bin", F.posexplode("w").alias("spline", "weight"))
+    return rounded(each.filter("weight > 1e-9"))
+
+
+@query
+def config_geometry(spark, sf_dir):
+    """The covariance of standardised training settings, with its ridge, that the geometry's precision belongs to."""
+    g = C.config_geometry(T.configs(spark, sf_dir).filter("role = 'train'"), T.FEATURES)
+    cov = np.linalg.inv(g.precision)
+    cells = [(a, b, round(float(cov[i, j]), 5) + 0.0) for i, a in enumerate(T.FEATURES) for j, b in enumerate(T.FEATURES)]
+    return spark.createDataFrame(cells, "feature_a string, feature_b string, covariance double")
+
+
+def level_model(spark: SparkSession, sf_dir: str) -> fit.Model:
+    """A model whose curves have a closed form, in frequency x from 0 to 1, sensor number k and h = tanh of one setting.
+
+    Log gain is 0.05 (1 + x) (k - mean k), the floor's parameter 0.02 k + 0.5 h + 0.3 x - 3, the variance's
+    0.1 k + 0.5 h + 0.2 x - 2.
+    """
+    sensors = sorted(r["sensor_id"] for r in T.psd(spark, sf_dir).select("sensor_id").distinct().collect())
+    x = np.linspace(0.0, 1.0, 4)  # cubic splines with these coefficients give x itself
+    head = lambda sensor, setting: np.stack([sensor + 0 * x, setting + 0 * x], axis=1)
+    theta = {"E": np.array([[float(s[4:])] for s in sensors]), "W": np.array([[0.3]]), "b": np.array([0.1])}
+    theta |= {"A0": head(0.05 * (1 + x), 0.0), "A1": head(0.02, 0.5), "A2": head(0.1, 0.5), "B0": 0 * x, "B1": 0.3 * x - 3, "B2": 0.2 * x - 2}
+    even = np.full(len(sensors), 1 / len(sensors))
+    return fit.Model(sensors, even, ("vga_gain_db",), np.array([5.0]), np.array([3.0]), (88e6, 108e6), 1e-3, 1e-6, fit.FitConfig(bases=(4, 4, 4), embedding=1, hidden=1), theta)
+
+
+def level_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States without deviations of the campaigns of corpus(), for level_model()."""
+    rows, settings, reliable = corpus(spark, sf_dir)
+    known = rows.select("campaign", "sensor_id", "start_freq_hz", "end_freq_hz", "n_bins").distinct()
+    known = known.join(settings.select("campaign", F.array((F.col("vga_gain_db") - 5) / 3).alias("c")), "campaign").join(reliable, "campaign")
+    zero = F.array_repeat(F.lit(0.0), F.col("n_bins"))
+    return known.withColumn("reliable", F.col("sensor_id") == F.col("reliable_sensor")).drop("reliable_sensor").withColumns({d: zero for d in fit.DEVIATIONS})
+
+
+def level_records(spark: SparkSession, sf_dir: str, model: fit.Model, state: DataFrame) -> DataFrame:
+    """Records of corpus() with the curves of level_model()."""
+    size = 24 * (state.agg(F.sum("n_bins")).first()[0] or 0)
+    return fit.with_curves(fit.record_rows(corpus(spark, sf_dir)[0], model.power_scale), fit.campaign_curves(model, state), size)
+
+
+@query
+def evaluate_curves(spark, sf_dir):
+    rows, settings, _ = corpus(spark, sf_dir)
+    wanted = rows.select("campaign", "sensor_id", "start_freq_hz", "end_freq_hz", "n_bins").distinct().join(settings, "campaign").withColumn("config_id", F.col("campaign"))
+    made = fit.evaluate_curves(level_model(spark, sf_dir), wanted)
+    each = made.select(F.col("config_id").alias("campaign"), "sensor_id", F.posexplode(F.arrays_zip("gain", "floor", "var")).alias("bin", "at"))
+    return rounded(each.select("campaign", "sensor_id", "bin", "at.gain", (F.col("at.floor") * 1e6).alias("floor"), (F.col("at.var") * 1e12).alias("var")))
+
+
+def level_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, state = level_model(spark, sf_dir), level_state(spark, sf_dir)
+    return fit.latent_update(level_records(spark, sf_dir, model, state))
+
+
+@query
+def latent_update(spark, sf_dir):
+    each = level_latent(spark, sf_dir).select("campaign", "record_idx", F.posexplode("s").alias("bin", "s"))
+    return rounded(each)
+
+
+@query
+def write_latent(spark, sf_dir):
+    path = C.work_folder(spark) + "/latent"
+    artifacts.write_latent(level_latent(spark, sf_dir), path)
+    return rounded(spark.read.parquet(path).select("campaign", "record_idx", F.size("s").alias("n"), S.array_sum(F.col("s")).alias("total")))
+
+
+@query
+def write_curves(spark, sf_dir):
+    path = C.work_folder(spark) + "/curves"
+    M.write_curves(fit.campaign_curves(level_model(spark, sf_dir), level_state(spark, sf_dir)), path)
+    means = [S.array_mean(F.col(c)).alias(f"mean_{c}") for c in ("gain", "floor", "var")]
+    return rounded(spark.read.parquet(path).select("campaign", "sensor_id", F.size("gain").alias("n"), *means))
+
+
+@query
+def initial_floors(spark, sf_dir):
+    """Starting floors, a tenth of each bin's 5 % quantile, as the states of the fit have them."""
+    rows, settings, reliable = corpus(spark, sf_dir)
+    model = level_model(spark, sf_dir)
+    floors = fit.initial_floors(model, fit.record_rows(rows, model.power_scale), settings, reliable)
+    each = fit.campaign_curves(model, floors).select("campaign", "sensor_id", F.posexplode("floor").alias("bin", "floor"))
+    return rounded(each)
+
+
+@query
+def objective_and_gradient(spark, sf_dir):
+    """The loss of level_model() under its latent spectra, and its slope at the levels of all floors and variances."""
+    model, state = level_model(spark, sf_dir), level_state(spark, sf_dir)
+    loss, grad = fit.objective_and_gradient(model, fit.round_table(state, fit.record_sums(level_records(spark, sf_dir, model, state))))
+    by = model.unflat(grad)
+    return rounded(spark.createDataFrame([(float(loss), float(by["B1"].sum()), float(by["B2"].sum()))], "loss double, floor_slope double, variance_slope double"), 4)
+
+
+def level_penalties(spark: SparkSession, sf_dir: str) -> tuple[float, float]:
+    model, state = level_model(spark, sf_dir), level_state(spark, sf_dir)
+    records = fit.record_rows(corpus(spark, sf_dir)[0], model.power_scale)
+    return fit.penalties(model, fit.penalised_records(records, state))[:2]
+
+
+@query
+def consistency_penalty(spark, sf_dir):
+    return spark.createDataFrame([(round(float(level_penalties(spark, sf_dir)[0]), 6),)], "penalty double")
+
+
+@query
+def correlation_penalty(spark, sf_dir):
+    return spark.createDataFrame([(round(float(level_penalties(spark, sf_dir)[1]), 6),)], "penalty double")

@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.spectra import array_mean, calibrate_power, db_to_linear, linear_to_db, propagated_variance
 
@@ -213,6 +216,22 @@ def spline_basis(frequency: np.ndarray, n_basis: int, degree: int, lo: float, hi
     return b / b.sum(axis=1, keepdims=True)
 
 
+def spline_weights(grids: DataFrame, n_basis: int, degree: int, lo: float, hi: float, clip: bool = False) -> DataFrame:
+    """grids (start_freq_hz, end_freq_hz, n_bins, others) with basis, the spline weights of each bin, and without end and start.
+
+    A grid off the support lo to hi is an error, unless clip clamps it.
+    """
+    kept = [f for f in grids.schema.fields if f.name not in ("start_freq_hz", "end_freq_hz", "n_bins")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            spans = zip(pdf["start_freq_hz"], pdf["end_freq_hz"], pdf["n_bins"], strict=True)
+            made = [spline_basis(np.linspace(a, b, int(n)), n_basis, degree, lo, hi, clip).tolist() for a, b, n in spans]
+            yield pdf[[f.name for f in kept]].assign(basis=made)
+
+    return grids.mapInPandas(run, StructType([*kept, StructField("basis", ArrayType(ArrayType(DoubleType())))]))
+
+
 def work_folder(spark: SparkSession) -> str:
     """A new folder that all executors share: under spark.checkpoint.dir, or a temporary one on a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

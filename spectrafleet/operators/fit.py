@@ -226,6 +226,11 @@ def _round_rows(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(n) if n in df.columns else F.lit(None).cast(kinds[n]).alias(n) for n in NAMES])
 
 
+def round_table(state: DataFrame, sums: DataFrame) -> DataFrame:
+    """States and their sums in a round's columns, campaign by campaign, as objective_and_gradient() reads them."""
+    return _round_rows(state).unionByName(_round_rows(sums)).repartition("campaign")
+
+
 def slots(spark: SparkSession) -> int:
     """Tasks that can run at a time."""
     context = spark.sparkContext._jsc.sc()
