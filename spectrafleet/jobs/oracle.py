@@ -196,7 +196,7 @@ ORACLE_SQL: dict[str, str] = {
     "prepare_corpus": f"with {PSD.replace('psd as', 'every as', 1)}, psd as (select * from every where record_idx > 0 and not (campaign = 'c1' and sensor_id = 'Node5')), {CORR}, {RANKING}, {DIST}, {CONFIGS}, j as (select campaign, ranking.sensor_id, is_outlier, row_number() over (partition by campaign order by is_outlier, ranking.rank) as k from ranking join dist using (campaign, sensor_id)), best as (select campaign, any_value(sensor_id) filter (k = 1) as reliable_sensor, coalesce(string_agg(sensor_id, ',' order by sensor_id) filter (is_outlier), '') as outliers from j group by campaign) select campaign, string_agg(distinct sensor_id, ',' order by sensor_id) as sensors, case when campaign = 'c1' then 'Node5' else '' end as left_out, count(distinct record_idx) as n_records, any_value(reliable_sensor) as reliable_sensor, any_value(outliers) as outliers, round(any_value(central_freq_hz) / 1e6, 6) as central_freq_mhz, round(any_value(span_hz) / 1e6, 6) as span_mhz, round(any_value(rbw_hz) / 1e3, 6) as rbw_khz, round(any_value(acquisition_interval_s) / 60, 6) as interval_min from psd join best using (campaign) left join configs on config_id = substring(campaign, 2)::bigint group by campaign",
     "campaign_inspection": f"with {PSD} select campaign, sensor_id, count(*) as n_records, make_timestamp(min(ts_ms) * 1000)::varchar as start_utc, make_timestamp(max(ts_ms) * 1000)::varchar as end_utc, round((max(ts_ms) - min(ts_ms)) / 60000, 6) as span_min, 64.0::double as median_bins, round(avg(list_avg(pxx_db)), 6) as mean_db, round(avg(list_aggregate(pxx_db, 'quantile_cont', 0.1)), 6) as mean_p10_db from psd group by campaign, sensor_id",
     "deployment_summary": f"with {PSD}, {CURVES}, {CAL}, b as (select campaign, record_idx, unnest(cp) as v, generate_subscripts(cp, 1) as bin from cal), sp as (select campaign, avg(s) as calibrated_spread from (select campaign, record_idx, bin, stddev_pop(v) as s from b group by all) group by campaign), vs as (select campaign, avg(v) as m, quantile_cont(v, 0.99) as q from b group by campaign), gs as (select avg(s) as g from (select bin, stddev_pop(v) as s from (select unnest(gain) as v, generate_subscripts(gain, 1) as bin from curves) group by bin)), cs as (select avg(list_avg(gain)) as mg, avg(list_avg(floor)) as mf, avg(list_avg(var)) as mv, max(sqrt(list_avg(list_transform(range(2, len(gain)), lambda i: power(gain[i + 1] - 2 * gain[i] + gain[i - 1], 2))))) as r from curves) select campaign, round(calibrated_spread * 1e6, 6) as calibrated_spread, round(m * 1e6, 6) as mean_calibrated, round(q * 1e6, 6) as q99_calibrated, round(g, 6) as gain_spread, round(mg, 6) as mean_gain, round(mf * 1e6, 6) as mean_floor, round(mv * 1e12, 6) as mean_var, round(r, 6) as max_gain_roughness from sp join vs using (campaign), gs, cs",
-    "spline_basis": f"with {CONFIGS}, g as (select config_id, central_freq_hz - span_hz / 2 as a, central_freq_hz + span_hz / 2 as b from configs), points as (select config_id, i as bin, least(greatest((a + i * (b - a) / 15 - lo) / (hi - lo), 0), 1) as x from g, (select min(a) as lo, max(b) as hi from g), (select unnest(range(0, 16)) as i)), {_splines([0, 0, 0, 0, 0.2, 0.4, 0.6, 0.8, 1, 1, 1, 1], 3)}, w as (select config_id, bin, unnest(b) as weight, generate_subscripts(b, 1) - 1 as spline from splines) select config_id, bin::int as bin, spline::int as spline, round(weight, 6) as weight from w where weight > 1e-9",
+    "spline_basis": f"with {CONFIGS}, g as (select config_id, central_freq_hz - span_hz / 2 as a, central_freq_hz + span_hz / 2 as b from configs), points as (select config_id, i as bin, least(greatest((a + i * (b - a) / 15 - lo) / (hi - lo), 0), 1) as x from g, (select min(a) - 123457.0::double as lo, max(b) + 234571.0::double as hi from g), (select unnest(range(0, 16)) as i)), {_splines([0, 0, 0, 0, 0.2, 0.4, 0.6, 0.8, 1, 1, 1, 1], 3)}, w as (select config_id, bin, unnest(b) as weight, generate_subscripts(b, 1) - 1 as spline from splines) select config_id, bin::int as bin, spline::int as spline, round(weight, 6) as weight from w where weight > 1e-9",
     "config_geometry": f"with {CONFIGS}, train as (select * from configs where role = 'train') " + " union all ".join(_covariance(a, b) for a in FEATURES for b in FEATURES),
     "evaluate_curves": f"with {PSD}, {LEVEL} select campaign, sensor_id, bin::int as bin, {r('gain floor var')} from level",
     "latent_update": f"with {PSD}, {LEVEL} select campaign, record_idx, bin::int as bin, round(s, 6) as s from lat",

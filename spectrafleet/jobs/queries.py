@@ -527,10 +527,11 @@ def prepare_corpus(spark, sf_dir):
 
 @query
 def spline_basis(spark, sf_dir):
-    """Cubic splines over the band of each configuration, on the support of all."""
+    """Cubic splines over the band of each configuration, on a support somewhat wider than all bands."""
     half = F.col("span_hz") / 2
     grids = T.configs(spark, sf_dir).select("config_id", (F.col("central_freq_hz") - half).alias("start_freq_hz"), (F.col("central_freq_hz") + half).alias("end_freq_hz"), F.lit(16).alias("n_bins"))
-    support = grids.agg(F.min("start_freq_hz").alias("lo"), F.max("end_freq_hz").alias("hi")).first()
+    # Odd margins: no weight lies half-way between two rounded values.
+    support = grids.agg((F.min("start_freq_hz") - 123_457.0).alias("lo"), (F.max("end_freq_hz") + 234_571.0).alias("hi")).first()
     made = C.spline_weights(grids, 8, 3, support["lo"], support["hi"])
     each = made.select("config_id", F.posexplode("basis").alias("bin", "w")).select("config_id", "bin", F.posexplode("w").alias("spline", "weight"))
     return rounded(each.filter("weight > 1e-9"))
