@@ -54,6 +54,30 @@ DIAG = f"""{RMSE.format(x="raw_db", n="raw", t="db").replace("rm as", "rmr as")}
   case when substring(campaign, 2)::int % 2 = 0 then 'train' else 'test' end as role, campaign = 'c1' as is_ood from rmr join rmc using (campaign, record_idx) join disp using (campaign) join logc using (campaign) group by campaign)"""
 
 
+def _inverse(rows: list[str], table: str) -> str:
+    """inv: the inverse of a matrix of expressions over a table, as one list of rows; by elimination, column by column."""
+    n = len(rows)
+    unit = lambda i: ", ".join("1.0::double" if i == j else "0.0::double" for j in range(n))
+    out = "e0 as (" + " union all ".join(f"select {i + 1} as i, [{row}, {unit(i)}] as m from {table}" for i, row in enumerate(rows)) + ")"
+    for p in range(1, n + 1):
+        out += f""", e{p} as (select i, case when i = {p} then list_transform(m, lambda v: v / lead[{p}]) else list_transform(range(1, {2 * n + 1}), lambda j: m[j] - m[{p}] * lead[j] / lead[{p}]) end as m
+  from e{p - 1}, (select m as lead from e{p - 1} where i = {p}))"""
+    return out + f", inv as (select list(m[{n + 1}:{2 * n}] order by i) as inv from e{n})"
+
+
+def _cell(a: str, b: str) -> str:
+    sd = lambda f: f"(case when stddev_pop({f}) <= 1e-12 then 1 else stddev_pop({f}) end)"
+    return f"covar_samp({a}, {b}) / ({sd(a)} * {sd(b)})" + (" + 1e-6 * greatest(count(*) / (count(*) - 1), 1)" if a == b else "")
+
+
+#: Distances of settings from those for training, and upper tails of chi-square of 7 degrees of freedom.
+TRUST = f"""{CONFIGS}, train as (select * from configs where role = 'train'), {_inverse([", ".join(_cell(a, b) for b in FEATURES) for a in FEATURES], "train")},
+  st as (select {", ".join(f"avg({f}) as m_{f}, case when stddev_pop({f}) <= 1e-12 then 1 else stddev_pop({f}) end as s_{f}, min({f}) as lo_{f}, max({f}) as hi_{f}" for f in FEATURES)} from train),
+  zs as (select config_id, role, central_freq_hz - span_hz as a, central_freq_hz + span_hz as b, [{", ".join(f"({f} - m_{f}) / s_{f}" for f in FEATURES)}] as z, {" or ".join(f"{f} < lo_{f} or {f} > hi_{f}" for f in FEATURES)} as outside_envelope from configs, st),
+  sq as (select *, greatest(list_sum(list_transform(range(1, 8), lambda i: z[i] * list_dot_product(z, inv[i]))), 0) as d2 from zs, inv),
+  ds as (select *, sqrt(d2) as distance, greatest(max(sqrt(d2)) filter (role = 'train') over (), sqrt(18.475306906582357)) as threshold,
+  least(greatest(ceil((80e6 - a) / ((b - a) / 63)), 0), 64)::bigint as bins_below, least(greatest(ceil((b - 100e6) / ((b - a) / 63)), 0), 64)::bigint as bins_above,
+  case when d2 > 80 then 0 else 1 - 2 / sqrt(pi()) * exp(-d2 / 2) * sqrt(d2 / 2) * list_sum(list_transform(range(0, 300), lambda n: exp(n * ln(2 * greatest(d2, 1e-300)) + lgamma(n + 1) - lgamma(2 * n + 2)))) end as erfc from sq)"""
 #: The curves of queries.level_model(), values under them, and latent spectra.
 LEVEL = f"""{CONFIGS}, ks as (select sensor_id, k, avg(k) over () as mk from (select distinct sensor_id, substring(sensor_id, 5)::double as k from psd)),
   hs as (select campaign, exp(2 * a) as e from (select campaign, 0.3::double * (vga_gain_db - 5) / 3 + 0.1::double as a from (select distinct campaign from psd) join configs on config_id = substring(campaign, 2)::bigint)),
@@ -79,9 +103,7 @@ def _splines(knots: list[float], degree: int) -> str:
 
 
 def _covariance(a: str, b: str) -> str:
-    sd = lambda f: f"(case when stddev_pop({f}) <= 1e-12 then 1 else stddev_pop({f}) end)"
-    ridge = " + 1e-6 * greatest(count(*) / (count(*) - 1), 1)" if a == b else ""
-    return f"select '{a}' as feature_a, '{b}' as feature_b, round(covar_samp({a}, {b}) / ({sd(a)} * {sd(b)}){ridge}, 5) + 0.0::double as covariance from train"
+    return f"select '{a}' as feature_a, '{b}' as feature_b, round({_cell(a, b)}, 5) + 0.0::double as covariance from train"
 
 
 def r(cols: str, digits: int = 6) -> str:
@@ -209,4 +231,5 @@ ORACLE_SQL: dict[str, str] = {
   round(sum(0.5::double * (n / v - rr / (v * v)) / (1 + exp(-pv))), 4) as variance_slope from res join rel using (campaign)""",
     "consistency_penalty": f"with {PSD}, {LEVEL}, {LOGS}, q as (select campaign, record_idx, sum(ss) / sum(n) as q from (select campaign, record_idx, bin, var_pop(z) * count(*) as ss, count(*) as n from lx group by all) group by all) select round(sum(q / records), 6) as penalty from q join nr using (campaign)",
     "correlation_penalty": f"with {PSD}, {LEVEL}, {LOGS}, c as (select a.campaign, a.record_idx, a.sensor_id, b.sensor_id as other, corr(a.z, b.z) as rho from lx a join lx b on a.campaign = b.campaign and a.record_idx = b.record_idx and a.bin = b.bin and a.sensor_id < b.sensor_id group by all), q as (select campaign, record_idx, avg(1 - rho) as q from c group by all) select round(sum(q / records), 6) as penalty from q join nr using (campaign)",
+    "trust_diagnostics": f"with {TRUST} select config_id, bins_below, bins_above, round(distance, 6) as distance, round(erfc + exp(-d2 / 2) * sqrt(d2 / 2 / pi()) * 2 * (1 + d2 / 3 + d2 * d2 / 15), 6) as tail_probability, outside_envelope, outside_envelope or distance > threshold or bins_below > 0 or bins_above > 0 as is_ood from ds",
 }

@@ -133,6 +133,15 @@ def out_of_distribution(configs: DataFrame, g: Geometry) -> DataFrame:
     return out.withColumn("is_ood", F.col("outside_envelope") | (F.col("distance") > float(g.threshold)))
 
 
+def _erfc_of_half(d2: Column, terms: int = 80) -> Column:
+    """erfc(sqrt(d2 / 2)) to double precision: a series of positive terms below d2 = 18, a continued fraction from there on."""
+    down, h = F.sequence(F.lit(terms), F.lit(1), F.lit(-1)), d2 / 2
+    near = F.aggregate(down, F.lit(1.0), lambda acc, n: 1 + d2 / (2 * n + 1) * acc)
+    large = F.greatest(d2, F.lit(18.0))
+    far = F.aggregate(down, F.lit(1.0), lambda acc, n: 1 + n / large / acc)
+    return F.when(d2 < 18, 1 - 2 / math.sqrt(math.pi) * F.exp(-h) * F.sqrt(h) * near).otherwise(F.exp(-h) / F.sqrt(large / 2 * math.pi) / far)
+
+
 def trust_diagnostics(configs: DataFrame, g: Geometry, freq_min_hz: float, freq_max_hz: float) -> DataFrame:
     """Trust of each deployment row (features, start_freq_hz, end_freq_hz, n_bins): standardized vector, bins off the support, envelope, distance, verdict."""
     step = (F.col("end_freq_hz") - F.col("start_freq_hz")) / (F.col("n_bins") - 1)
@@ -148,13 +157,7 @@ def trust_diagnostics(configs: DataFrame, g: Geometry, freq_min_hz: float, freq_
             tail = tail + term
         probability = tail
     else:
-        # The odd series needs erfc; a fixed rational approximation (error below 1.2e-7) stays inside generated code.
-        x = F.sqrt(h)
-        t = 1 / (1 + 0.5 * x)
-        poly = F.lit(0.17087277)
-        for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
-            poly = poly * t + c
-        probability, term = t * F.exp(-x * x + poly), F.exp(-h) * F.sqrt(h / math.pi) * 2
+        probability, term = _erfc_of_half(d2), F.exp(-h) * F.sqrt(h / math.pi) * 2
         for k in range(1, dof, 2):
             probability, term = probability + term, term * d2 / (k + 2)
     out = far.withColumn("tail_probability", probability).withColumn("extrapolates", (F.col("bins_below") > 0) | (F.col("bins_above") > 0))

@@ -14,7 +14,7 @@ from spectrafleet.operators.calibration import spline_basis, spline_weights
 SF = "/root/testdata/sf0.001"
 NAMES = (
     "spline_basis", "config_geometry", "evaluate_curves", "latent_update", "write_latent", "write_curves", "initial_floors", "objective_and_gradient",
-    "consistency_penalty", "correlation_penalty",
+    "consistency_penalty", "correlation_penalty", "trust_diagnostics",
 )
 
 

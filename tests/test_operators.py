@@ -178,11 +178,17 @@ def test_trust(spark):
     assert by[140.0]["out_of_range"] == ["u", "v"] and not by[100.0]["outside_envelope"]
     assert by[105.0]["tail_probability"] < 0.05 and by[100.0]["tail_probability"] > 0.5
     for r in got:
-        assert r["tail_probability"] == pytest.approx(C.chi2_tail(r["distance"] ** 2, g.rank), abs=1e-5)
+        assert r["tail_probability"] == pytest.approx(C.chi2_tail(r["distance"] ** 2, g.rank), abs=1e-12)
     one = C.config_geometry(spark.createDataFrame([(1.0, 2.0)], "u double, v double"), ("u", "v"))
     assert np.array_equal(one.precision, np.eye(2))
 
 
+def test_erfc(spark):
+    values = [0.0, 1e-9, 0.3, 2.0, 17.9, 18.0, 18.1, 60.0, 900.0]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", C._erfc_of_half(F.col("v")).alias("e")).collect()
+    assert all(r["e"] == pytest.approx(math.erfc(math.sqrt(r["v"] / 2)), rel=1e-9, abs=1e-15) for r in got)
+
+
 def test_calibration_rules(spark):
     rows = spectra_rows(spark, {"a": [[0.0, -10.0]]})
     curve = spark.createDataFrame([("a", [2.0, 2.0], [0.5, 0.5], [0.1, 0.1])], "sensor_id string, gain array<double>, floor array<double>, var array<double>")
