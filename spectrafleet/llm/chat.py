@@ -38,6 +38,8 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
     role then text, so repeated rows stay and their order is defined. Null text and null role are the empty string.
     A null conv_id is a conversation of its own. An empty table gives no rows. Spans count code points from 0 and
     cover the escaped text of each turn of loss_role, without markers.
+    Texts of any length are kept whole; a conversation is one row, so one task holds all its turns, and all rows without
+    a conv_id. Its pieces are appended one by one, work in proportion to the square of its number of turns.
     """
     rows = turns.select("conv_id", F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
