@@ -13,7 +13,8 @@ then in 20; cells of that radius would hold a large part of all rows. There, a c
 hashes under a fixed mixing, several cells a text, which texts alike enough share almost surely. Candidates of a cell
 are then held to the Manhattan bound, to the Hamming distance, and last to the exact likeness of their shingle sets. A
 cell of more than CROWD texts doesn't list its pairs: its texts meet a few of their number first, and where that leaves
-several components, those of different components meet at rare shingles, of which alike sets always share one.
+several components, those of different components meet at rare shingles, of which alike sets always share one; how many
+shingles of a set count as rare depends on the other's size.
 """
 
 from __future__ import annotations
@@ -40,8 +41,10 @@ DENSE = 16
 ALIKE_WORDS, ALIKE, ALIKE_BITS = 5, 0.8, 24
 #: Cells of a text, and hashes that make up one: texts at 0.8 share none of them twice in 10,000 times.
 CELLS, CELL_HASHES = 12, 3
-#: A cell of up to so many texts lists its pairs; also the size of a block in larger groups.
-CROWD = 128
+#: A cell of up to so many texts lists its pairs. In larger groups, texts outside the largest component are cut into blocks.
+CROWD, BLOCK = 16, 128
+#: Sets are told apart by size in steps of so much.
+SIZE_STEP = 1.02
 #: Slots in which shingles of crowds are counted, to take rare ones first.
 RARE_SLOTS = 1 << 20
 #: Parts in which two sets' shingles are counted, to bound how many they have in common.
@@ -204,12 +207,13 @@ def alike_pairs(pairs: DataFrame, sets: DataFrame, scale: int) -> DataFrame:
 
 
 def rare_shingles(sets: DataFrame, scale: int) -> DataFrame:
-    """node, gram, parts: the first shingles of each set in one order of all shingles, so many that any two sets at the likeness share one.
+    """node, gram, reach, parts: the first shingles of each set in one order of all shingles, so many that any two sets at the likeness share one.
 
-    Sets of sizes p and q at the likeness t have t * max(p, q) shingles in common or more, so whatever the order, one of
-    them is among the first p - ceil(t * p) + 1 of the one and q - ceil(t * q) + 1 of the other. Rare ones come first:
-    the order is by counts in RARE_SLOTS slots, a table of fixed size, then by hash. Those of one set alone are left out
-    then; parts has the numbers of all its other shingles in PARTS parts.
+    Sets of sizes p and q at the likeness t have t / (1 + t) * (p + q) shingles in common or more, so whatever the order,
+    one of them is among the first p - t / (1 + t) * (p + q) + 1 of the one and the first q - t / (1 + t) * (p + q) + 1
+    of the other. reach is the largest q for which a shingle is among the former. Rare ones come first: the order is by
+    counts in RARE_SLOTS slots, a table of fixed size, then by hash. Those of one set alone are left out then; parts has
+    the numbers of all its other shingles in PARTS parts.
     """
     slot = F.pmod(F.col("gram"), F.lit(RARE_SLOTS))
     counted = sets.select(F.explode("s").alias("gram")).groupBy(slot.cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n")).toArrow()
@@ -217,40 +221,62 @@ def rare_shingles(sets: DataFrame, scale: int) -> DataFrame:
     counts[counted["slot"].to_numpy()] = counted["n"].to_numpy()
     shared = sets.sparkSession.sparkContext.broadcast(counts)
 
-    def first(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def first(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         count = shared.value[s % RARE_SLOTS]
         order = np.lexsort((s, count))[: len(s) - -(-len(s) * scale // 10_000) + 1]
-        return s[order][count[order] > 1], np.bincount(mix(s[count > 1].view(np.uint64)).astype(np.int64) % PARTS, minlength=PARTS)
+        reach = (len(s) * 10_000 - np.arange(len(order)) * (10_000 + scale)) // scale
+        held = count[order] > 1
+        return s[order][held], reach[held], np.bincount(mix(s[count > 1].view(np.uint64)).astype(np.int64) % PARTS, minlength=PARTS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = [first(s) for s in pdf["s"]]
             if got:
-                yield pd.DataFrame({"node": pdf["node"], "grams": [g for g, _ in got], "parts": [c.astype(np.int32) for _, c in got]})
+                yield pd.DataFrame({"node": pdf["node"], "grams": [g[0] for g in got], "reaches": [g[1] for g in got], "parts": [g[2].astype(np.int32) for g in got]})
 
-    return sets.mapInPandas(run, "node long, grams array<long>, parts array<int>").select("node", F.explode("grams").alias("gram"), "parts")
+    rows = sets.mapInPandas(run, "node long, grams array<long>, reaches array<long>, parts array<int>")
+    return rows.select("node", F.explode(F.arrays_zip("grams", "reaches")).alias("at"), "parts").select("node", F.col("at.grams").alias("gram"), F.col("at.reaches").alias("reach"), "parts")
 
 
-def crowd_pairs(members: DataFrame, sets: DataFrame, scale: int) -> DataFrame:
-    """(a, b) that may be alike, among members (node, fp, n, component) of different components; none at the likeness is left out.
+def size_step(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(SIZE_STEP))).cast("int")
+
+
+def crowd_meetings(members: DataFrame, sets: DataFrame, scale: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables of members, all that may be alike in both under one (gram, step, block): what crowd_pairs() compares.
 
     Members meet at shared rare shingles. Where those of a shingle are of several components, all but its most frequent
-    component's are set against all of them, in blocks of CROWD: two of one component need no link. Two sets have at
-    most the sum of the lesser of their numbers in each part in common, so only pairs where that is enough come out.
+    component's are set against all of them: two of one component need no link. Of those, a member meets sizes that its
+    shingle reaches, and only members whose shingle reaches the least of the sizes they meet.
     """
     rows = materialize(rare_shingles(sets, scale).join(members, "node"), "simhash-rare")
     parts = rows.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("own"))
-    met = parts.groupBy("gram").agg(F.max(F.struct("own", "component")).alias("main"), F.sum("own").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    blocks = F.ceil((F.col("all") - F.col("main.own")) / CROWD).cast("int")
-    rows = rows.join(met.select("gram", F.col("main.component").alias("main"), blocks.alias("blocks")), "gram")
-    few = rows.filter("component <> main").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    few = few.select("gram", "block", *[F.col(c).alias(f"{c}_a") for c in ("node", "fp", "n", "component", "parts")])
-    every = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = parts.groupBy("gram").agg(F.max(F.struct("own", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    rows = rows.join(met.select("gram", F.col("main.component").alias("main")), "gram").withColumn("step", size_step(F.col("n")))
+    sizes = rows.groupBy("gram", "step").agg(F.min("n").alias("least_n"), F.max("reach").alias("reached"))
+    # Few sizes hold a shingle, so a member is set against those there are, not against all steps within its reach.
+    few = rows.filter("component <> main").drop("step").join(sizes, "gram").filter("reach >= least_n and reached >= n").drop("least_n", "reached")
+    blocks = few.groupBy("gram", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("n").alias("least_n"))
+    few = few.join(blocks, ["gram", "step"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = rows.join(blocks, ["gram", "step"]).filter("reach >= least_n").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = ["gram", "step", "block"]
+    columns = ("node", "fp", "n", "component", "reach", "parts")
+    return few.select(*key, *[F.col(c).alias(f"{c}_a") for c in columns]), every.select(*key, *columns)
+
+
+def crowd_pairs(members: DataFrame, sets: DataFrame, scale: int) -> DataFrame:
+    """(a, b) that may be alike, among members (node, fp, n, component) of different components; none at the likeness is left out.
+
+    Two sets have at most the sum of the lesser of their numbers in each part in common, so of the members that meet
+    only pairs where that is enough come out.
+    """
+    few, every = crowd_meetings(members, sets, scale)
     x, y = F.col("node_a"), F.col("node")
+    reached = (F.col("reach_a") >= F.col("n")) & (F.col("reach") >= F.col("n_a"))
     differ = (F.col("component_a") != F.col("component")) & may_be_alike(F.col("fp_a"), F.col("fp"), F.col("n_a"), F.col("n"), scale)
     most = F.aggregate(F.zip_with("parts_a", "parts", lambda p, q: F.least(p, q)), F.lit(0).cast("long"), lambda t, v: t + v)
     enough = most * (10_000 + scale) >= (F.col("n_a") + F.col("n")).cast("long") * scale
-    return few.join(every, ["gram", "block"]).filter(differ & enough).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+    return few.join(every, ["gram", "step", "block"]).filter(reached & differ & enough).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
 def alike_components(texts: DataFrame, docs: DataFrame, likeness: float, words: int) -> DataFrame:

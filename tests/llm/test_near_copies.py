@@ -143,6 +143,69 @@ def test_crowded_cells_lose_no_link(spark, monkeypatch, crowd):
     assert kept == sorted(i for _, i in survivors(rows).values()) and 20 < len(kept) < len(rows)
 
 
+def test_a_cell_of_unlike_texts_lists_few_pairs(spark, monkeypatch):
+    """120 texts of one cell, ten of them with a copy alike: each is set against a few others, not against all."""
+    monkeypatch.setattr(simhash, "likeness_cells", lambda shingles: np.zeros(1, np.uint64))
+    monkeypatch.setattr(simhash, "ALIKE_BITS", 64)
+    asked, alike_pairs = [], simhash.alike_pairs
+
+    def counted(pairs, sets, scale):
+        asked.append(pairs.count())
+        return alike_pairs(pairs, sets, scale)
+
+    monkeypatch.setattr(simhash, "alike_pairs", counted)
+    rng = random.Random(6)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(80)] for _ in range(110)]
+    texts += [[*t[:40], "new", *t[41:]] for t in texts[:10]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    kept = sorted(r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == sorted(i for _, i in survivors(rows).values()) == list(range(110))
+    assert sum(asked) < 6 * len(rows)
+
+
+def crowd_of(spark, sets):
+    members = [(i, 0, len(s), i) for i, s in enumerate(sets)]
+    return spark.createDataFrame(members, "node long, fp long, n int, component long"), spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "node long, s array<long>")
+
+
+def all_alike(sets):
+    return {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j])}
+
+
+def test_copies_too_far_apart_meet_in_proportion_to_their_number(spark):
+    """Copies of one text, five to seven words of 150 changed in each: no two are alike but for those planted."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    copies = []
+    for i in range(300):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.choice([5, 6, 7])):
+            copy[at] = f"e{rng.randrange(10**9)}"
+        copies.append(copy[: rng.choice([150, 150, 149, 145])])
+        if i % 20 == 0:
+            copies.append([*copy[:70], "planted", *copy[71:]])
+    sets = [set(s[0].view(np.int64).tolist()) for s in simhash.shingle_sets([" ".join(c) for c in copies])]
+    members, table = crowd_of(spark, sets)
+    few, every = simhash.crowd_meetings(members, table, 8000)
+    assert few.join(every, ["gram", "step", "block"]).count() < 10 * len(sets)
+    links = all_alike(sets)
+    assert len(links) >= 15 and links <= {tuple(r) for r in simhash.crowd_pairs(members, table, 8000).collect()}
+
+
+@pytest.mark.parametrize("block", [2, 128])
+def test_members_of_all_sizes_meet_where_they_are_alike(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(block)
+    sets = [set(rng.sample(range(16), rng.randrange(1, 16))) for _ in range(90)]
+    for _ in range(90):
+        s = set(rng.sample(range(60), rng.randrange(20, 60)))
+        sets += [s, s - set(rng.sample(sorted(s), rng.randrange(len(s) // 5 + 2)))]
+    members, table = crowd_of(spark, sets)
+    links = all_alike(sets)
+    assert len(links) > 80
+    assert links <= {tuple(r) for r in simhash.crowd_pairs(members, table, 8000).collect()}
+
+
 def test_settled_rows(spark):
     from spectrafleet.llm._shared import settle_rows, text_digest
 
