@@ -57,3 +57,27 @@ def test_evaluation_of_a_run(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "told/roles")).count() == 2 and spark.read.parquet(str(tmp_path / "told/campaigns")).count() == n
     norms = {r["sensor_id"]: r["embedding_norm"] for r in G.embedding_norms(spark, done.model).collect()}
     assert set(norms) == set(done.model.sensors) and all(v > 0 for v in norms.values())
+
+
+def test_records_that_lack_sensors_are_left_out(spark, tmp_path):
+    """A last campaign of two whole records and one of three sensors: rankings are those of the SQL over whole records."""
+    from pathlib import Path
+
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    (tmp_path / "part.parquet").symlink_to(Path(SF) / "part.parquet")
+    spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id < 138").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view part as select * from '{SF}/part.parquet'")
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet' where vec_id < 135")
+    rows = lambda cols, found: sorted(tuple(round(r[c], 6) if isinstance(r[c], float) else r[c] for c in cols) for r in found)
+    for name in ("rank_campaigns", "prepare_corpus"):
+        want = con.sql(oracle_sql()[name])
+        got = queries()[name](spark, str(tmp_path)).collect()
+        assert rows(sorted(want.columns), got) == rows(sorted(want.columns), [dict(zip(want.columns, r)) for r in want.fetchall()]), name
+    report = {r["sensor_id"]: r for r in queries()["align_report"](spark, str(tmp_path)).filter("campaign = 'c1'").collect()}
+    assert {s: (r["is_anchor"], r["source_rows"], r["aligned_rows"], r["dropped_rows"], r["retained"]) for s, r in report.items()} == {
+        **{f"Node{k}": (False, 3, 2, 1, 0.666667) for k in (1, 2, 3)}, "Node4": (True, 2, 2, 0, 1.0), "Node5": (False, 2, 2, 0, 1.0),
+    }
