@@ -143,3 +143,49 @@ def test_pair_counts_are_the_most_matches(spark, monkeypatch):
     campaigns["apart"] = {"a": [0], "b": [10**9]}
     got = {(r["campaign"], r["sensor_a"], r["sensor_b"]): r["matches"] for r in A.pairwise_match_count(table(spark, campaigns), 5).collect()}
     assert got == {(c, a, b): most_matches(times[a], times[b], 5) for c, times in campaigns.items() for a, b in itertools.combinations(sorted(times), 2)}
+
+
+def plain_nearest(rows, tol):
+    """The nearest rows as stated: least distance, then the earlier time, then the last of earlier rows or the first of the others."""
+    out = set()
+    for campaign in {r[0] for r in rows}:
+        series = {}
+        for c, s, k, t in rows:
+            if c == campaign:
+                series.setdefault(s, []).append((t, k))
+        anchor = plain_anchor(series)
+        for t, k in series[anchor]:
+            for s, others in series.items():
+                near = [(abs(u - t), u, -j if u < t else j, j) for u, j in others if s != anchor and abs(u - t) <= tol]
+                if near:
+                    out.add((campaign, k, t, s, min(near)[3], min(near)[1]))
+    return out
+
+
+@pytest.mark.parametrize(("block", "tol"), [(3, 20), (50_000, 20), (10, 0), (7, 100_000)])
+def test_nearest_rows_over_blocks(spark, monkeypatch, block, tol):
+    rng = random.Random(block + tol)
+    rows = [(c, f"s{rng.choice((1, 1, 2, 2, 3))}", k, rng.randrange(0, wide)) for k, (c, wide) in enumerate([("a", 300), ("b", 4000), ("c", 1)] * 60)] + [("d", "s1", 1, 5), ("e", "s1", 2, -70), ("e", "s2", 3, -80)]
+    rows += [("f", "s1", 1000 + k, 10 * k) for k in range(30)] + [("f", "s2", 2000 + k, 280 + k) for k in range(60)]  # sensors that hardly overlap
+    rng.shuffle(rows)
+    monkeypatch.setattr(A, "BLOCK_ROWS", block)
+    df = spark.createDataFrame(rows, "campaign string, sensor_id string, src_row long, ts_ms long")
+    tolerance = df.select("campaign").distinct().withColumn("tolerance_ms", F.lit(tol).cast("long"))
+    got = [tuple(r) for r in A.nearest_asof(df, tolerance).select("campaign", "anchor_row", "anchor_ts", "sensor_id", "src_row", "ts_ms").collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_nearest(rows, tol)
+
+
+def test_nearest_rows_of_dense_series(spark):
+    """Twice 20,000 rows, each within the tolerance of each: 400 million pairs, too many to list within the time."""
+    import threading
+
+    n = 20_000
+    df = spark.range(2 * n).selectExpr("'c' campaign", "if(id % 2 = 0, 'a', 'b') sensor_id", "id src_row", "id * 10 ts_ms")
+    tolerance = spark.createDataFrame([("c", 100 * n)], "campaign string, tolerance_ms long")
+    late = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        got = A.nearest_asof(df, tolerance).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("anchor_ts") - F.col("ts_ms")).alias("least"), F.max(F.col("anchor_ts") - F.col("ts_ms")).alias("most")).first()
+    finally:
+        late.cancel()
+    assert (got["n"], got["least"], got["most"]) == (n, -10, 10)  # the first row has none before it
