@@ -83,6 +83,38 @@ def test_records_with_line_ends_in_quotes_across_blocks(spark, tmp_path, monkeyp
         spark.conf.set("spark.sql.files.openCostInBytes", saved[1])
 
 
+def test_lines_that_leave_quotes_closed():
+    import random
+
+    import pyarrow as pa
+
+    from spectrafleet.sources import delimited
+
+    rng = random.Random(5)
+    lines = ["".join(rng.choices(['"', ",", "a", "\r", " ", "é"], k=rng.randrange(0, 10))) for _ in range(20_000)]
+    closed, open_ = delimited._unchanged(pa.array(lines))
+    assert [bool(c) for c in closed] == [not delimited.open_after(t, False) for t in lines]
+    assert all(delimited.open_after(t, True) for t, o in zip(lines, open_) if o)
+
+
+def test_headers_with_quotes_and_line_ends(spark, tmp_path):
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "Node1.csv").write_text('"no\ntes",timestamp,"px"x,start_freq_hz,end_freq_hz\n"pxx, said\nthey",5,"[1,2]",1,2\n\n,6,"[3,4]",1,2\n')
+    (tmp_path / "one" / "Node2.csv").write_text('\ufefftimestamp,p"xx," pxx ",end_freq_hz,start_freq_hz\n7,,"[5,6]",2,1\n')
+    got = {r["ts_ms"]: (r["sensor_id"], r["pxx_db"], r["start_freq_hz"]) for r in M.read_measurements(spark, str(tmp_path)).collect()}
+    assert got == {5: ("Node1", [1.0, 2.0], 1.0), 6: ("Node1", [3.0, 4.0], 1.0), 7: ("Node2", [5.0, 6.0], 1.0)}
+
+
+def test_files_are_parsed_once(spark, tmp_path):
+    """Besides the passes that settle quotes and headers: no record here lies in several blocks, so no second one looks for pieces."""
+    from __spark_entry__ import queries
+
+    parses = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    sensor_file(tmp_path / "one" / "Node1.csv", FULL, records(3, -60, 10))
+    assert parses(M.read_measurements(spark, str(tmp_path))) == 1
+    assert parses(queries()["read_measurements"](spark, "/root/testdata/sf0.001")) == 1
+
+
 def test_a_file_without_spectra_is_an_error(spark, tmp_path):
     sensor_file(tmp_path / "one" / "Node1.csv", FULL, records(2, -60, 10))
     sensor_file(tmp_path / "one" / "Node2.csv", ["start_freq_hz", "timestamp"], records(2, -60, 10))
